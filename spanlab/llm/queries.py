@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import decontaminate, license_scan, packing, secret_scan, token_files
 from .common import vocabulary_path
 
 
@@ -13,16 +13,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), ratios)
+    n = lambda kind: F.size(F.filter("base", lambda s: s["rank"] == secret_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("every")).alias("spans"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path(), end_id=1, capacity=4096)
     return packed.drop("ids")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.word_order(docs))
+    words, labels = F.transform("places", lambda p: p["word"]), F.transform("places", lambda p: p["label"])
+    own = F.transform("matches", lambda m: m["label"])
+    text = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        text(labels).alias("base_labels"),
+        text(F.concat(labels, own)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate.hits(docs, benchmark)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
     records = token_files.read_tokens(manifest)
     return records.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op6_license_scan, op8_decontamination, op10_token_files)}
 ORACLES: dict[str, str] = {}
