@@ -45,7 +45,7 @@ TEMPLATES = {
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
-THRESHOLD = 0.8
+THRESHOLD = 0.85
 BLOCK_WORDS = 64
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 

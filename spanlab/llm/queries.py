@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, secret_scan, token_files
+from . import chat, decontaminate, license_scan, packing, secret_scan, sql, token_files
 from .common import vocabulary_path
 
 
@@ -13,6 +13,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CHAT_PROBE = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"))
+    made = chat.windows(table.unionByName(probe), budget=1024, history=256, history_turns=2)
+    read = made.select("conv_id", "window", F.slice(chat.parse(F.col("formatted")), (F.col("n_context") + 1).cast("int"), F.col("n_new").cast("int")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").alias("chars"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    rows = read.select("conv_id", "chars", F.size("turns").alias("n"), F.struct("window", text.alias("text"), "loss").alias("w"))
+    rows = rows.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("w")).alias("ws"))
+    whole = lambda part: F.array_join(F.transform("ws", lambda w: w[part]), "")
+    return rows.select("conv_id", "n_turns", F.sha2(whole("text"), 256).alias("turns_sha256"), F.length(whole("loss")).cast("long").alias("loss_chars"), F.sha2(whole("loss"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = secret_scan.train(secret_scan.labelled_samples(spark))
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), ratios)
@@ -56,5 +71,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op6_license_scan, op8_decontamination, op10_token_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_secret_scan, op4_best_fit_packing, op6_license_scan, op8_decontamination, op10_token_files)}
+ORACLES: dict[str, str] = {"op1_chat_windows": sql.OP1}
