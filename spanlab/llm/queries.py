@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, packing, secret_scan, sql, token_files
+from . import chat, decontaminate, html_text, license_scan, packing, quality, secret_scan, sql, token_files
 from .common import vocabulary_path
 
 
@@ -28,6 +28,11 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "n_turns", F.sha2(whole("text"), 256).alias("turns_sha256"), F.length(whole("loss")).cast("long").alias("loss_chars"), F.sha2(whole("loss"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = secret_scan.train(secret_scan.labelled_samples(spark))
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), ratios)
@@ -59,6 +64,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.ratios(docs, _table(spark, sf_dir, "labels"))
+    return quality.assess(docs, weights)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     found = decontaminate.hits(docs, benchmark)
@@ -71,5 +82,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_secret_scan, op4_best_fit_packing, op6_license_scan, op8_decontamination, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_html_text, op3_secret_scan, op4_best_fit_packing, op6_license_scan, op7_quality_rules, op8_decontamination, op10_token_files)}
 ORACLES: dict[str, str] = {"op1_chat_windows": sql.OP1}
