@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, license_scan, packing, quality, secret_scan, sql, token_files
+from . import chat, decontaminate, html_text, license_scan, lm_score, packing, quality, secret_scan, sql, token_files
 from .common import vocabulary_path
 
 
@@ -45,6 +45,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = license_scan.scan(docs, license_scan.word_order(docs))
@@ -82,5 +86,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_html_text, op3_secret_scan, op4_best_fit_packing, op6_license_scan, op7_quality_rules, op8_decontamination, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_html_text, op3_secret_scan, op4_best_fit_packing, op5_lm_score, op6_license_scan, op7_quality_rules, op8_decontamination, op10_token_files)}
 ORACLES: dict[str, str] = {"op1_chat_windows": sql.OP1}
