@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, license_scan, lm_score, packing, quality, secret_scan, sql, token_files
+from . import chat, decontaminate, html_text, jaccard, license_scan, lm_score, packing, quality, secret_scan, sql, token_files
 from .common import vocabulary_path
 
 
@@ -80,11 +80,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
     records = token_files.read_tokens(manifest)
     return records.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_html_text, op3_secret_scan, op4_best_fit_packing, op5_lm_score, op6_license_scan, op7_quality_rules, op8_decontamination, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_html_text, op3_secret_scan, op4_best_fit_packing, op5_lm_score, op6_license_scan, op7_quality_rules, op8_decontamination, op9_jaccard_join, op10_token_files)}
 ORACLES: dict[str, str] = {"op1_chat_windows": sql.OP1}
