@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but the ``used`` ones renamed by place, and what gives the names back.
+
+    Operators that keep extra columns work behind it, so no name they use can clash.
+    """
+    own = df.columns
+    inner = [c if c in used else f"__c{i}" for i, c in enumerate(own)]
+    return df.toDF(*inner), lambda out: out.select(*inner).toDF(*own)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, shielded
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANCHOR = 4
@@ -108,15 +108,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, mode: str
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
-    columns = docs.columns
+    docs, restore = shielded(docs, "doc_id", "text")
     each = docs.withColumn("_hash", F.xxhash64("text"))
     found = hits(docs.select("doc_id", "text"), benchmark, n, broadcast_windows)
     found = (found.where("contaminated") if mode == "documents" else found.where("n_hit > 0")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_text"])
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text"))
     if mode == "documents":
-        return each.join(found, same, "left_anti").select(*columns)
+        return restore(each.join(found, same, "left_anti"))
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 0)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     parts = F.regexp_extract_all("text", F.lit(word), F.lit(0))
     kept = F.filter(parts, lambda _, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"])))
-    return each.join(found, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))).select(*columns)
+    return restore(each.join(found, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))))

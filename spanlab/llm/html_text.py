@@ -171,14 +171,15 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with the main text of ``column`` in its place, as ``text``."""
-    kept = [f for f in pages.schema.fields if f.name not in (column, "text")]
-    schema = T.StructType([*kept, T.StructField("text", T.StringType())])
+    own = [c for c in pages.columns if c not in (column, "text")]
+    inner = pages.select(*own, F.col(column)).toDF(*(f"c{i}" for i in range(len(own))), "page")
+    schema = T.StructType([*inner.schema.fields[:-1], T.StructField("text", T.StringType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                text = pa.array([main_text(x) for x in batch.column("_page").to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), text], names=[f.name for f in schema.fields])
+                text = pa.array([main_text(x) for x in batch.column("page").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=schema.names)
 
-    return pages.select(*(F.col(f.name) for f in kept), F.col(column).alias("_page")).mapInArrow(read, schema)
+    return inner.mapInArrow(read, schema).toDF(*own, "text")

@@ -31,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_words import plain_texts, words_of
 from .blocks import blocked, counted, from_counted, from_planes, planes, shard_bounds
-from .common import mixed, written
+from .common import mixed, shielded, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -247,6 +247,12 @@ def components(docs: DataFrame, percent: int = PERCENT, block_bytes: int | None
 
 
 def distinct(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id is the component's; null ids stay."""
+    """``docs`` with one document of each component: the one whose id is the component's.
+
+    Of several rows of that id the one of the smallest text stays; rows of null id all stay.
+    """
+    docs, restore = shielded(docs, "doc_id", "text")
     found = components(docs.select("doc_id", "text"), percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(found, "doc_id", "left_semi").select(*docs.columns))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+    return restore(docs.where("doc_id is null").unionByName(kept))

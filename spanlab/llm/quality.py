@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_words import Words, plain_texts, slices, words_of
-from .common import mixed
+from .common import mixed, shielded
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
@@ -157,7 +157,5 @@ def assess(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
 
 def keep(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    own = docs.columns
-    inner = docs.toDF(*(f"c{i}" if c != "text" else "text" for i, c in enumerate(own)))
-    kept = _assessed(inner, weights, threshold).where("kept")
-    return kept.select(*(F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(own)))
+    inner, restore = shielded(docs, "text")
+    return restore(_assessed(inner, weights, threshold).where("kept"))

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shielded
+
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the runs AKIA[A-Z0-9]+ of 20 or more characters
@@ -158,5 +160,5 @@ def redact(docs: DataFrame, ratios: list[float], threshold: float = 0.5, mark: s
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("every", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    columns = docs.columns
-    return scan(docs, ratios, threshold).withColumn("text", F.when(F.size("every") > 0, clean).otherwise(text)).select(*columns)
+    inner, restore = shielded(docs, "text")
+    return restore(scan(inner, ratios, threshold).withColumn("text", F.when(F.size("every") > 0, clean).otherwise(text)))
