@@ -1 +1,274 @@
-"""Queries."""
+"""Queries over documents, conversations and literal questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.hashing import draw, sha1_bucket, stable_index
+from ..operators import metrics as M
+from ..operators import rules as R
+from ..operators import sampling as S
+from .registry import query, table
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+@query("SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*)::BIGINT AS copies FROM documents GROUP BY text")
+def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each text, grouped by digest so that texts aren't shuffled."""
+    first = F.min(F.struct("doc_id", "source")).alias("f")
+    return _docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("h")).agg(first, F.count(F.lit(1)).alias("copies")).select("f.doc_id", "f.source", "copies")
+
+
+@query("SELECT sha256(text) AS digest, any_value(substr(sha1(text), 1, 2) || '/' || sha1(text) || '.txt') AS path, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+def q_doc_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).select(F.sha2("text", 256).alias("digest"), F.sha1("text").alias("s"))
+    return d.groupBy("digest").agg(F.min(F.concat(F.substring("s", 1, 2), F.lit("/"), "s", F.lit(".txt"))).alias("path"), F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""SELECT conv_id, turn, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS words, length(regexp_replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' '), '\.+$', ''))::BIGINT AS collapsed,
+sha256(trim(lower(translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '')), ' ')) AS plain FROM conversations""")
+def q_text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.sha2(X.words_only(t), 256).alias("words"), F.length(X.collapsed(t)).cast("long").alias("collapsed"), F.sha2(X.unpunctuated(t), 256).alias("plain"))
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, [trim(x, ' ') FOR x IN string_split(text, chr(10)) IF trim(x, ' ') <> ''][1] AS line FROM conversations)
+SELECT conv_id, turn, CASE WHEN line IS NOT NULL THEN array_to_string(regexp_split_to_array(line, '[ \t]+')[1:24], ' ') END AS clean, len(regexp_split_to_array(line, '[ \t]+')[1:24])::BIGINT AS n_words FROM l""")
+def q_sanitize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = X.sanitized(F.col("text"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", clean.alias("clean")).withColumn("n_words", F.when(F.col("clean").isNotNull(), F.size(F.split("clean", " "))).cast("long"))
+
+
+QUESTIONS = [
+    "Is a needle driver being used?", "Is there no needle driver in view?", "Are forceps present?", "Was a stapler fired?", "Is any instrument visible?",
+    "Are no tools installed?", "Is the tissue being cut?", "Is anything being dissected here?", "Is the surgeon suturing?", "Does this show stitching?",
+    "Is this an open procedure?", "Is it laparoscopic?", "Was it a robot assisted operation?", "Is this the knot exercise?", "Does the clip show ring transfer?",
+    "Is the camera moving?", "In this clip, is blood visible?", "Can you confirm that scissors are used?", "Can you identify the organ?", "Could you describe the procedure being performed?",
+    "Would you describe this as suturing?", "What tool is used?", "Which instruments are visible?", "What type of forceps is this?", "Name the device in the left of the image.",
+    "How many instruments are there?", "What is the number of tools?", "How long does this step take?", "Which arm holds the needle driver?", "Where is the grasper?",
+    "Who is operating?", "How many seconds is the stapler used?", "What organ is manipulated in this procedure?", "Which tissue is grasped?", "What is the location of the procedure?",
+    "What is the purpose of the clip applier?", "What are forceps for?", "Why is the cautery hook used?", "What phase of the procedure is this?", "Which forceps is used in this step?",
+    "What procedure is being performed?", "What is the surgeon doing?", "Describe what is happening in this clip.", "Summarize the surgical activity.", "Tell me about the weather.",
+    "", "What surgery is this?", "Explain the scene.", "Is the vein divided, or not?", "State the operation shown.",
+]
+_LIT = "q(id, question) AS (VALUES " + ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(QUESTIONS)) + ")"
+
+
+def _questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(QUESTIONS)), "id long, question string")
+
+
+def _stem(*words: str) -> str:
+    return r"\b(" + "|".join(w.replace("*", "[a-z0-9]*") for w in words) + r")\b"
+
+
+_N = "trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g'), ' ')"
+_RULES_SQL = rf"""{_LIT}, cl AS (SELECT id, question, {_N} AS whole, [trim(c, ' ') FOR c IN regexp_split_to_array(lower(trim(question, ' ')), '[,;:]')] AS cs FROM q),
+po AS (SELECT *, len([c FOR c IN cs IF regexp_matches(c, '^({R.POLAR.replace("'", "''")})\b') AND NOT (regexp_matches(c, '{R.POLITE}') AND (regexp_matches(regexp_replace(c, '{R.POLITE}', ''), '^(what|which|who|where|when|why|how)\b') OR (regexp_matches(regexp_replace(c, '{R.POLITE}', ''), '^(identify|describe|name|list|state|specify)\b') AND NOT contains(c, ' as '))))]) > 0 AS polar,
+  regexp_matches(lower(trim(question, ' ')), '{R.POLITE}') AND (regexp_matches(regexp_replace(lower(trim(question, ' ')), '{R.POLITE}', ''), '^(what|which|who|where|when|why|how)\b') OR (regexp_matches(regexp_replace(lower(trim(question, ' ')), '{R.POLITE}', ''), '^(identify|describe|name|list|state|specify)\b') AND NOT contains(question, ' as '))) AS polite FROM cl),
+tx AS (SELECT *, trim(regexp_replace(CASE WHEN polite THEN regexp_replace(lower(trim(question, ' ')), '{R.POLITE}', '') ELSE lower(question) END, '[^a-z0-9]+', ' ', 'g'), ' ') AS text, regexp_matches(whole, '{_stem(*(t + "s?" for t in R.TOOLS))}') AS tool, regexp_matches(whole, '\b(no|not|without|absent|never|none)\b') AS neg FROM po),
+it AS (SELECT *, CASE WHEN whole = '' THEN 'unknown_open' WHEN polar AND tool THEN 'tool_presence' WHEN polar AND regexp_matches(whole, '{_stem(*R.TASKS)}') THEN 'task_confirm'
+ WHEN polar AND regexp_matches(whole, '{_stem(*R.APPROACH)}') THEN 'approach' WHEN polar AND regexp_matches(whole, '{_stem(*R.CUT)}') THEN 'cutting' WHEN polar AND regexp_matches(whole, '{_stem(*R.SEW)}') THEN 'suture'
+ WHEN polar AND regexp_matches(whole, '{_stem(*R.TOOL_WORDS)}') THEN 'tool_presence' WHEN polar THEN 'unknown_polar'
+ WHEN regexp_matches(text, '^(how much time|how many (seconds|minutes|times)|when|where|who)\b|\bhow long\b|\b(what|which|whose) (arms?|sides?|hands?)\b') THEN 'unknown_open'
+ WHEN regexp_matches(text, '\b(purpose|why|function|used for|role of|meant to|intended)\b|\bfor$') THEN 'purpose' WHEN regexp_matches(text, '\bhow (many|much)\b|\bnumber of\b|\bcount\b') THEN 'count'
+ WHEN regexp_matches(text, '\b(organs?|anatom(y|ic|ical))\b|\b(what|which|name the|identify the) (tissues?|structures?|part of the body|body part)\b') OR (regexp_matches(text, '\b(location|located)\b|\b(anatomic(al)?|body) (region|site|area)\b') AND NOT tool) THEN 'organ'
+ WHEN regexp_matches(text, '\b(what|which) ((kind|type|sort) of )?{R.TASK_WORDS}\b') THEN 'task'
+ WHEN regexp_matches(text, '\bwhat ((kind|type|sort) of )?(procedure|surgery|operation)\b|\b(procedure|surgery|operation) (is|was) (this|being)\b|\bsummary describ') THEN 'procedure'
+ WHEN tool OR regexp_matches(text, '{_stem(*R.TOOL_WORDS)}') THEN 'tool_identity' WHEN regexp_matches(text, '\b{R.TASK_WORDS}\b') THEN 'task'
+ WHEN regexp_matches(text, '^(what|which|describe|identify|name|list|state)\b') AND regexp_matches(text, '\b(procedure|surgery|operation)\b') THEN 'procedure'
+ WHEN regexp_matches(text, '^(what|which|describe|identify|name|list|state)\b') AND regexp_matches(text, '\b(doing|performed|performing|underway)\b') THEN 'task'
+ WHEN regexp_matches(text, '\bwhat ?s? (is |are )?(happening|going on|taking place|occurring)\b|\b(describe|explain|summari[sz]e|tell me)\b.*\b(happening|going on|taking place|scene|surgeon (is doing|does)|being (done|performed))\b') THEN 'task' ELSE 'unknown_open' END AS intent FROM tx)"""
+
+
+@query(f"WITH {_RULES_SQL} SELECT id::BIGINT AS id, question, intent FROM it")
+def q_intent_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark).withColumn("intent", R.intent(F.col("question")))
+
+
+@query(f"WITH {_RULES_SQL} SELECT id::BIGINT AS id, CAST(polar AS INT) AS polar, CAST(neg AS INT) AS negated, CAST(polite AS INT) AS polite FROM it")
+def q_text_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("question")
+    return _questions(spark).select("id", R.is_polar(q).cast("int").alias("polar"), R.negated(q).cast("int").alias("negated"), R.polite_open(F.lower(F.trim(q))).cast("int").alias("polite"))
+
+
+RECORDS = [("a", ["forceps", "needle driver"], "Suturing", "uterine horn"), ("b", [], None, None), ("c", ["scissors"], "Dissection", "rectal artery")]
+_REC = "rec(rid, tools, task, organ) AS (VALUES ('a', ['forceps', 'needle driver'], 'Suturing', 'uterine horn'), ('b', CAST([] AS VARCHAR[]), NULL, NULL), ('c', ['scissors'], 'Dissection', 'rectal artery'))"
+_TOOLRE = "|".join(R.TOOLS)
+
+
+@query(rf"""WITH {_RULES_SQL}, {_REC}, j AS (SELECT id, rid, intent, neg, tools, task, organ, regexp_extract(whole, '\b({_TOOLRE})', 1) AS named FROM it, rec),
+y AS (SELECT *, CASE intent WHEN 'tool_presence' THEN CASE WHEN named <> '' THEN list_contains(tools, named) ELSE len(tools) > 0 END WHEN 'cutting' THEN list_contains(tools, 'scissors') WHEN 'suture' THEN list_contains(tools, 'needle driver') END AS yes FROM j)
+SELECT id::BIGINT AS id, rid, CASE WHEN yes IS NOT NULL THEN CASE WHEN yes <> neg THEN 'Yes' ELSE 'No' END WHEN intent IN ('task_confirm', 'approach', 'unknown_polar') THEN 'Yes'
+ WHEN intent = 'count' THEN list_extract(['Zero', 'One', 'Two', 'Three'], len(tools)::INT + 1) WHEN intent = 'organ' THEN coalesce(upper(organ[1]) || organ[2:], 'Not visible') WHEN intent = 'task' THEN coalesce(task, 'Surgical activity')
+ WHEN intent = 'tool_identity' THEN CASE WHEN len(tools) = 0 THEN 'No instrument' WHEN len(tools) = 1 THEN upper(tools[1][1]) || tools[1][2:] ELSE upper(tools[1][1]) || tools[1][2:] || ' and ' || tools[2] END
+ WHEN intent = 'purpose' THEN 'To handle tissue' WHEN intent = 'procedure' THEN 'Endoscopic surgery' ELSE 'A surgical scene' END AS answer FROM y""")
+def q_answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question by record to the final answer; every question keeps a row, unknown ones a general sentence."""
+    from ..functions.arrays import english_list
+
+    rec = F.broadcast(spark.createDataFrame(RECORDS, "rid string, tools array<string>, task string, organ string"))
+    q = F.col("question")
+    j = _questions(spark).select("id", "question", R.intent(q).alias("intent"), F.regexp_extract(X.words_only(q), rf"\b({_TOOLRE})", 1).alias("named")).crossJoin(rec)  # two literal tables
+    intent, tools = F.col("intent"), F.col("tools")
+    yes = F.when(intent == "tool_presence", F.when(F.col("named") != "", F.array_contains("tools", F.col("named"))).otherwise(F.size("tools") > 0)).when(intent == "cutting", F.array_contains("tools", "scissors")).when(intent == "suture", F.array_contains("tools", "needle driver"))
+    answer = (
+        F.when(yes.isNotNull(), R.polar_answer(yes, q))
+        .when(intent.isin("task_confirm", "approach", "unknown_polar"), "Yes")
+        .when(intent == "count", F.get(F.array(*map(F.lit, ("Zero", "One", "Two", "Three"))), F.size("tools")))
+        .when(intent == "organ", F.coalesce(F.col("organ"), F.lit("Not visible")))
+        .when(intent == "task", F.coalesce(F.col("task"), F.lit("Surgical activity")))
+        .when(intent == "tool_identity", F.when(F.size("tools") == 0, "No instrument").otherwise(english_list(tools)))
+        .when(intent == "purpose", "To handle tissue")
+        .when(intent == "procedure", "Endoscopic surgery")
+        .otherwise("A surgical scene")
+    )
+    return j.select("id", "rid", X.finalized(answer, "Unknown").alias("answer"))
+
+
+@query("SELECT doc_id, CAST(('0x' || sha256(doc_id::VARCHAR)[1:16])::UHUGEINT % 7 AS BIGINT) AS bucket, CAST(('0x' || sha1(doc_id::VARCHAR)[1:8])::BIGINT % 200 AS BIGINT) AS shard, CAST(('0x' || sha256(doc_id::VARCHAR)[1:16])::UHUGEINT % 25 = 0 AS INT) AS keep FROM documents")
+def q_stable_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("doc_id").cast("string")
+    return _docs(spark, sf_dir).select("doc_id", stable_index(key, 7).alias("bucket"), sha1_bucket(key).alias("shard"), (stable_index(key, 25) == 0).cast("int").alias("keep"))
+
+
+@query("SELECT source, count(*)::BIGINT AS n, count(DISTINCT text)::BIGINT AS texts, round(1 - count(DISTINCT text) / count(*), 6) AS redundancy FROM documents GROUP BY source")
+def q_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows against distinct texts; two hash aggregations on digests, so a hot source is combined before it is shuffled."""
+    per = _docs(spark, sf_dir).groupBy("source", F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).withColumn("redundancy", F.round(1 - F.col("texts") / F.col("n"), 6))
+
+
+@query("SELECT source, lang, n::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY n DESC, first)::BIGINT AS rank FROM (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1, 2)")
+def q_mode_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _docs(spark, sf_dir).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    return c.select("source", "lang", "n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "first")).cast("long").alias("rank"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, regexp_extract(lower(text), '^[^ \t\n.,]+') AS word FROM conversations), c AS (SELECT conv_id, word, count(*) AS n, min(turn) AS first FROM w GROUP BY 1, 2),
+b AS (SELECT conv_id, arg_max(word, (n, -first)) AS word, max(n) AS n, sum(n) AS total FROM c GROUP BY conv_id) SELECT conv_id, word, round(n / total, 6) AS share, CAST(round(n / total, 6) >= 0.66 AS INT) AS accepted FROM b""")
+def q_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent first word of a conversation's turns, earliest on ties, and whether two thirds agree."""
+    w = _turns(spark, sf_dir).select("conv_id", "turn", F.regexp_extract(F.lower("text"), r"^[^ \t\n.,]+", 0).alias("word"))
+    c = w.groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first"))
+    b = c.groupBy("conv_id").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "word")).alias("b"), F.sum("n").alias("total"))
+    share = F.round(F.col("b.n") / F.col("total"), 6)
+    return b.select("conv_id", "b.word", share.alias("share"), (share >= 0.66).cast("int").alias("accepted"))
+
+
+@query("SELECT conv_id, sha256(arg_min(text, turn) FILTER (WHERE role = 'user')) AS asked, sha256(arg_min(text, turn) FILTER (WHERE role = 'assistant')) AS answered FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0 AND count(*) FILTER (WHERE role = 'assistant') > 0")
+def q_conv_first_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = lambda role: F.min_by(F.sha2("text", 256), F.when(F.col("role") == role, F.col("turn")))
+    return _turns(spark, sf_dir).groupBy("conv_id").agg(first("user").alias("asked"), first("assistant").alias("answered")).where("asked is not null and answered is not null")
+
+
+@query("""SELECT problem, count(*)::BIGINT AS n FROM (SELECT CASE WHEN text IS NULL THEN 'missing' WHEN trim(text, ' ') = '' THEN 'empty' WHEN length(text) < 20 THEN 'short' WHEN length(text) > 1000 THEN 'long' ELSE 'ok' END AS problem FROM conversations WHERE role = 'assistant') GROUP BY 1""")
+def q_conv_response_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    problem = R.ladder([("missing", t.isNull()), ("empty", F.trim(t) == ""), ("short", F.length(t) < 20), ("long", F.length(t) > 1000)], "ok")
+    return _turns(spark, sf_dir).where("role = 'assistant'").groupBy(problem.alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH n AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS t FROM conversations), l AS (SELECT *, lag(t) OVER (PARTITION BY conv_id, role ORDER BY turn) AS p FROM n)
+SELECT conv_id, role, count(*) FILTER (WHERE p <> '' AND t <> '' AND p <> t)::BIGINT AS disagreements FROM l GROUP BY 1, 2""")
+def q_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _turns(spark, sf_dir).select("conv_id", "turn", "role", X.words_only(F.col("text")).alias("t"))
+    n = n.withColumn("p", F.lag("t").over(Window.partitionBy("conv_id", "role").orderBy("turn")))
+    return n.groupBy("conv_id", "role").agg(F.count_if((F.col("p") != "") & (F.col("t") != "") & (F.col("p") != F.col("t"))).alias("disagreements"))
+
+
+@query("""WITH v AS (SELECT CASE WHEN d.n_chars BETWEEN 300 AND 600 THEN 'undecidable' WHEN (d.n_chars > 600) = (l.quality = 1) THEN 'agrees' ELSE 'contradicts' END AS verdict, l.toxic FROM documents d JOIN labels l USING (doc_id))
+SELECT verdict, count(*)::BIGINT AS n, round(avg(toxic), 6) AS toxic_rate FROM v GROUP BY 1""")
+def q_verdict_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _docs(spark, sf_dir).select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    verdict = F.when(F.col("n_chars").between(300, 600), "undecidable").when((F.col("n_chars") > 600) == (F.col("quality") == 1), "agrees").otherwise("contradicts")
+    return j.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("toxic"), 6).alias("toxic_rate"))
+
+
+CASES = [(1, "Yes", "No", "tool_presence", 2), (2, "Yes", None, "count", 1), (3, "Two", "Three", "count", 1), (4, "Suturing", "suturing.", "task", 2), (5, "A scene", "nan", "unknown_open", 2), (6, "A scene", "Knot tying", "unknown_open", 2)]
+MODES = ("fallback", "challenger", "primary", "per_intent", "judge", "other")
+
+
+@query(r"""WITH c(id, base, draft, intent, judged) AS (VALUES (1, 'Yes', 'No', 'tool_presence', 2), (2, 'Yes', NULL, 'count', 1), (3, 'Two', 'Three', 'count', 1), (4, 'Suturing', 'suturing.', 'task', 2), (5, 'A scene', 'nan', 'unknown_open', 2), (6, 'A scene', 'Knot tying', 'unknown_open', 2)),
+m AS (SELECT unnest(['fallback', 'challenger', 'primary', 'per_intent', 'judge', 'other']) AS mode), x AS (SELECT *, trim(regexp_replace(lower(draft), '[^a-z0-9]+', ' ', 'g'), ' ') <> trim(regexp_replace(lower(base), '[^a-z0-9]+', ' ', 'g'), ' ') AS differs FROM c, m)
+SELECT id::BIGINT AS id, mode, CASE WHEN draft IS NULL OR trim(draft, ' ') = '' OR lower(trim(draft, ' ')) = 'nan' THEN base WHEN mode = 'primary' THEN draft WHEN mode = 'challenger' AND differs THEN draft
+WHEN mode = 'per_intent' AND intent IN ('unknown_open', 'purpose') THEN draft WHEN mode = 'judge' AND differs AND judged = 2 THEN draft ELSE base END AS answer FROM x""")
+def q_arbitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.createDataFrame(CASES, "id long, base string, draft string, intent string, judged int").withColumn("mode", F.explode(F.array(*map(F.lit, MODES))))
+    return c.select("id", "mode", R.arbitrated(F.col("mode"), F.col("base"), F.col("draft"), F.col("intent"), F.col("judged"), ("unknown_open", "purpose")).alias("answer"))
+
+
+@query("""WITH p(policy, said) AS (VALUES ('always_0', 0), ('always_1', 1)) SELECT policy, count(*)::BIGINT AS n, round(avg(CAST(quality = said AS INT)), 6) AS quality_accuracy, round(avg(CAST(toxic = said AS INT)), 6) AS toxic_accuracy FROM labels, p GROUP BY policy""")
+def q_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constant policies scored from the label counts."""
+    counts = table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    each = counts.withColumn("said", F.explode(F.array(F.lit(0), F.lit(1))))
+    rate = lambda c: F.round(F.sum(F.when(F.col(c) == F.col("said"), F.col("n")).otherwise(0)) / F.sum("n"), 6)
+    return each.groupBy("said").agg(F.sum("n").alias("n"), rate("quality").alias("quality_accuracy"), rate("toxic").alias("toxic_accuracy")).select(F.concat(F.lit("always_"), "said").alias("policy"), "n", "quality_accuracy", "toxic_accuracy")
+
+
+@query("""WITH x AS (SELECT n_chars AS s, quality AS y, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM documents JOIN labels USING (doc_id))
+SELECT round((sum(r * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc, sum(y)::BIGINT AS positives, (count(*) - sum(y))::BIGINT AS negatives FROM x""")
+def q_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _docs(spark, sf_dir).select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return M.auc(j, [], "n_chars", "quality").withColumn("auc", F.round("auc", 6))
+
+
+@query("""WITH x AS (SELECT n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT DISTINCT s AS cut FROM x), b AS (SELECT cut, (count(*) FILTER (WHERE s >= cut AND y = 1) / (SELECT sum(y) FROM x) + count(*) FILTER (WHERE s < cut AND y = 0) / (SELECT count(*) - sum(y) FROM x)) / 2 AS v FROM c, x GROUP BY cut)
+SELECT arg_max(cut, (round(v, 12), -cut))::BIGINT AS cut, round(max(v), 6) AS balanced FROM b""")
+def q_best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _docs(spark, sf_dir).select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return M.balanced_cut(j, "n_chars", "quality").withColumn("balanced", F.round("balanced", 6))
+
+
+_TOKEN_F1 = r"""t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), ' '), lambda x: x <> '')) AS w FROM conversations),
+s AS (SELECT r.conv_id, r.turn, CASE WHEN len(a.w) + len(r.w) = 0 THEN 0.0 ELSE 2 * len(list_intersect(a.w, r.w)) / (len(a.w) + len(r.w)) END AS score FROM t a JOIN t r ON a.conv_id = r.conv_id AND a.turn = 0 AND r.turn > 0)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token F1 of each conversation's turn 0 against its later turns."""
+    t = _turns(spark, sf_dir).select("conv_id", "turn", F.array_distinct(F.filter(F.split(X.words_only(F.col("text")), " "), lambda w: w != "")).alias("w"))
+    j = t.where("turn > 0").join(t.where("turn = 0").select("conv_id", F.col("w").alias("a")), "conv_id")
+    both = F.size("a") + F.size("w")
+    return j.select("conv_id", "turn", F.when(both == 0, 0.0).otherwise(2 * F.size(F.array_intersect("a", "w")) / both).alias("score"))
+
+
+@query(f"WITH {_TOKEN_F1} SELECT conv_id, round(max(score), 6) AS best, arg_max(turn, (round(score, 9), -turn))::BIGINT AS best_turn FROM s GROUP BY conv_id")
+def q_best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("turn")).alias("t"), "score")).alias("b")
+    return _scores(spark, sf_dir).groupBy("conv_id").agg(best).select("conv_id", F.round("b.score", 6).alias("best"), (-F.col("b.t")).alias("best_turn"))
+
+
+@query(f"WITH {_TOKEN_F1}, m AS (SELECT conv_id, max(score) AS every, max(score) FILTER (WHERE turn = 1) AS one, max(score) FILTER (WHERE turn <= 2) AS two, max(score) FILTER (WHERE turn > 1) AS late FROM s GROUP BY conv_id) SELECT count(*)::BIGINT AS n, round(avg(every), 6) AS every, round(avg(one), 6) AS one, round(avg(two), 6) AS two, round(avg(late), 6) AS late FROM m")
+def q_reference_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best score under four subsets of the references, averaged over conversations."""
+    s = F.col("score")
+    m = _scores(spark, sf_dir).groupBy("conv_id").agg(F.max(s).alias("every"), F.max(F.when(F.col("turn") == 1, s)).alias("one"), F.max(F.when(F.col("turn") <= 2, s)).alias("two"), F.max(F.when(F.col("turn") > 1, s)).alias("late"))
+    return m.agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("every", "one", "two", "late")))
+
+
+@query("""WITH r AS (SELECT d.doc_id, coalesce(l.toxic, 0) AS toxic, row_number() OVER (PARTITION BY coalesce(l.toxic, 0) ORDER BY sha256('cap|' || d.doc_id)) AS r FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT doc_id, toxic FROM r WHERE toxic = 1 OR r <= 100""")
+def q_protected_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _docs(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left").select("doc_id", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    return S.protected_cap(j, F.col("toxic") == 1, draw("cap", F.col("doc_id")), 100)
+
+
+@query("SELECT quality, toxic, sum(CASE WHEN toxic = 1 THEN 3 ELSE 1 END)::BIGINT AS n FROM labels GROUP BY 1, 2")
+def q_oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = S.oversample(table(spark, sf_dir, "labels"), F.when(F.col("toxic") == 1, 3).otherwise(1))
+    return more.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS lang, regexp_extract(url, '/([0-9]+)', 1) AS number FROM pages""")
+def q_url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda pattern: F.regexp_extract("url", pattern, 1)
+    return table(spark, sf_dir, "pages").select("page_id", part("^https?://([^/?#]+)").alias("host"), part("^https?://[^/]+/([a-z]{2})/").alias("lang"), part("/([0-9]+)").alias("number"))
