@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 @dataclass
@@ -50,6 +51,13 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(codes, bounds, dictionary)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that waits for its next task stays small."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut where about ``size`` bytes of text have come together; a row stays whole."""
     for batch in batches:
@@ -60,3 +68,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow_words import plain_texts, words_of
+from .arrow_words import plain_texts, release, words_of
 from .blocks import blocked, counted, from_counted, from_planes, planes, shard_bounds
 from .common import mixed
 
@@ -85,6 +85,7 @@ class Block:
 
 def _totals(table: pa.Table) -> pa.Table:
     """One shard: adds up what all blocks sent and answers each in its own order."""
+    release()
     rows = table.to_pylist()
     known: dict[bytes, int] = {}
     names = [r["words"].split(b"\n") if r["n_words"] else [] for r in rows]
@@ -113,6 +114,7 @@ def traverse(pairs: list[int], tokens: list[int], arcs: list[float | None], unig
 
 
 def _scored(table: pa.Table, totals: pa.Table, strength: float) -> pa.Table:
+    release()  # what the worker's last task left
     block = Block(table)
     answers = sorted(totals.to_pylist(), key=lambda r: r["shard"])
     tokens, vocabulary = sum(r["tokens"] for r in answers), sum(r["vocabulary"] for r in answers)

@@ -6,8 +6,8 @@ Whether pieces fit together depends on their lengths alone, and there are at mos
 * the histogram of lengths, at most ``capacity`` rows whatever the corpus, goes to the
   driver, where minimum bin slack runs on counts: the largest length left opens a bin,
   a bitset subset-sum finds the fullest combination of the lengths left for the rest of
-  it, and that combination is removed as often as the counts allow.  Every removal uses
-  up a length, so there are no more patterns than lengths;
+  it, and that combination is removed as often as the counts allow, which leaves some
+  length too few for another one.  So there are at most capacity / length patterns a length;
 * every piece gets its rank among the pieces of its length (counted per small bucket,
   so that a length a third of all pieces share is dealt over many tasks), and the rank
   alone says which bin of which pattern it fills and where.
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow_words import slices
 from .common import written
 from .wordids import word_ids
 
@@ -90,20 +91,18 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(vocabulary)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                ids, ends = words.encode(batch.column("text"))
-                at, rows = 0, []
-                for doc, upto in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
-                    own = np.append(ids[at:upto], end_id).astype("<u4")
-                    at = upto
-                    for p, start in enumerate(range(0, len(own), capacity)):
-                        raw = own[start : start + capacity].tobytes()
-                        rows.append((doc, p, start, len(raw) // 4, zlib.crc32(raw), raw))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        for batch in slices(batches):
+            ids, ends = words.encode(batch.column("text"))
+            at, rows = 0, []
+            for doc, upto in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                own = np.append(ids[at:upto], end_id).astype("<u4")
+                at = upto
+                for p, start in enumerate(range(0, len(own), capacity)):
+                    raw = own[start : start + capacity].tobytes()
+                    rows.append((doc, p, start, len(raw) // 4, zlib.crc32(raw), raw))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return plain.mapInArrow(cut, PIECES)

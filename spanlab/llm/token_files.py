@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow_words import release
 from .common import scratch, written
 from .wordids import word_ids
 
 MAGIC = b"SPTK"
 HEADER = struct.Struct("<4sHHq")  # magic, version, bytes an id, records
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 NO_ID = -(1 << 63)
 
 MANIFEST = "part int, shard int, data string, index string, n_records long, n_ids long"
@@ -130,6 +131,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
                     rows.append(shard.close())
         if shard and (row := shard.close()):
             rows.append(row)
+        shard = None
+        release()
         if rows:
             names = ["part", "shard", "data", "index", "n_records", "n_ids"]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -169,5 +172,6 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     ids = [np.frombuffer(unframe(data, int(o)), f"<u{width}").astype("<u4").tobytes() for o in offsets[a : a + 2000]]
                     doc = docs[a : a + 2000]
                     yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == NO_ID), pa.array(starts[a : a + 2000], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+        release()
 
     return shards.repartition(max(1, min(n, 20_000))).mapInArrow(read, RECORDS)

@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 600_000
-SLICE_BYTES = 8 << 20
+CACHE_CHUNKS = 300_000
+SLICE_BYTES = 3 << 20
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\n {_LETTERS}0-9]+")
