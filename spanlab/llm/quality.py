@@ -32,7 +32,7 @@ from .common import mixed, shielded
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
-THRESHOLD = -0.13
+THRESHOLD = -0.25
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -74,8 +74,10 @@ def ratios(docs: DataFrame, labels: DataFrame, alpha: float = 1.0) -> np.ndarray
         raw[r.cell], good[r.cell] = r.raw, r.good
     if not good.any():
         return np.zeros(BUCKETS)
-    share = lambda x: np.log((x + alpha) / (x.sum() + alpha * BUCKETS))
-    return share(good) - share(raw)
+    # the trusted estimate backs off to the corpus with a weight of one count a cell, so that a
+    # small trusted sample moves the ratios little and never pulls them all to one side
+    common = (raw + alpha) / (raw.sum() + alpha * BUCKETS)
+    return np.log((good + BUCKETS * common) / (good.sum() + BUCKETS)) - np.log(common)
 
 
 def _per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
