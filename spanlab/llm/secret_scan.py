@@ -56,7 +56,8 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     """The default training sample, ``n`` strings a form: (token string, label int).
 
     Random strings are hexadecimal and base-64 digests of a counter and mixtures of
-    their letters; identifiers join words in the usual ways.
+    their letters; identifiers join words in the usual ways or
+    repeat one character.
     """
     words = F.split(F.lit(" ".join(WORDS)), " ")
     pick = lambda k: F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int"))
@@ -77,6 +78,7 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.upper(F.concat_ws("_", pick(1), pick(2), pick(3))), 0),
         (F.concat(pick(1), pick(2), pick(3)), 0),
         (F.concat(cap(1), F.lit("="), pick(2)), 0),
+        (F.repeat(F.substring(F.lit("-_=+/0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.pmod("id", F.lit(67)) + 1).cast("int"), F.lit(1)), F.lit(8)), 0),
     ]
     each = F.explode(F.array(*(F.struct(t.alias("token"), F.lit(x).alias("label")) for t, x in forms)))
     return spark.range(n).select(each.alias("s")).select("s.token", "s.label")
