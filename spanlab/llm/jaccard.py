@@ -10,8 +10,8 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes); two documen
 2. A set of n shingles enters with its ``n - ceil(0.75 n) + 1`` rarest.  A shingle of
    frequency 1 joins nothing and isn't sent, so a document that shares none of its rare
    shingles costs nothing further.
-3. Pairs that share a prefix shingle pass a length and a positional filter and are verified
-   once each on the whole sets, behind a suffix filter that bounds the overlap by hash ranges.
+3. Pairs that share a prefix shingle pass a length filter and, at their first common shingle, a
+   positional filter, and are verified once each on the whole sets, behind a suffix filter that bounds the overlap by hash ranges.
 4. Pairs are made in two rounds, not all within a shingle's list.  First every member is
    compared with the list's smallest member.  Lists whose members thereby fall into one
    component are done, as further links there can't change a component; in the others the
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_words import plain_texts, words_of
+from .arrow_words import plain_texts, release, words_of
 from .blocks import blocked, counted, from_counted, from_planes, planes, shard_bounds
 from .common import mixed, shielded, written
 
@@ -108,6 +108,7 @@ class Sets:
 
 def _totals(table: pa.Table) -> pa.Table:
     """One shard: frequency of each key and smallest id of each set, for every block in its own order."""
+    release()
     rows = table.to_pylist()
     keys = [np.cumsum(from_planes(r["keys"]).astype(np.int64)) for r in rows]
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -129,6 +130,7 @@ def _totals(table: pa.Table) -> pa.Table:
 
 def _nodes(table: pa.Table, totals: pa.Table, percent: int) -> pa.Table:
     """A row a document: its size, the smallest id of its set, and, for one document a set, prefix and set."""
+    release()  # what the worker's last task left
     sets = Sets(table)
     answers = sorted(totals.to_pylist(), key=lambda r: r["shard"])
     n = len(sets.size)
@@ -162,9 +164,12 @@ def nodes(docs: DataFrame, percent: int = PERCENT, block_bytes: int | None = Non
 
 
 def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """Length filter, then positional filter at a common shingle."""
+    """Length filter, then positional filter: nothing before a pair's first common shingle is common.
+
+    At the first common shingle the bound is largest, so a pair that passes at no common one can't link.
+    """
     need = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    bound = F.least(pa_, pb) + 1 + F.least(na - 1 - pa_, nb - 1 - pb)
+    bound = 1 + F.least(na - 1 - pa_, nb - 1 - pb)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bound >= need)
 
 
@@ -212,10 +217,13 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = entries.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed_lists = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rest = named.join(mixed_lists, "key")
-    left = rest.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
+    # the smaller set of a pair needs its common shingle earlier, as its overlap is at least that of two sets of its size
+    early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+    left = rest.where(early).select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
     right = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"))
-    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
-    across = across.select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    across = left.join(right, "key").where(ordered & (F.col("la") != F.col("lb")) & _may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
     return star.where("linked").select("a", "b").unionByName(verified(across, sets, percent).where("linked").select("a", "b"))
 
 
