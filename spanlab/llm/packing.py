@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .arrow_words import slices
 from .common import written
-from .wordids import word_ids
+from .wordids import SLICE_BYTES, word_ids
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(vocabulary)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             ids, ends = words.encode(batch.column("text"))
             at, rows = 0, []
             for doc, upto in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
@@ -118,9 +118,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096
     histogram = {r.length: r["count"] for r in table.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = seats(fill_patterns(histogram, capacity))
     shared = spark.sparkContext.broadcast(plan)  # bounded by the capacity, not by the corpus
-    buckets = max(1, -(-max(histogram.values(), default=1) // BUCKET_ROWS))
+    buckets = spark.createDataFrame([(size, -(-n // BUCKET_ROWS)) for size, n in histogram.items()], "length long, buckets long")
 
-    dealt = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    # each length gets buckets by its own number of pieces; the joined table has a row a length
+    dealt = table.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")).cast("int"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("own_rank", F.row_number().over(own) - 1)
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
