@@ -40,7 +40,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|widget|toolbar|pagination)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<icon>svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -102,7 +102,7 @@ def lines_of(page: str) -> list[Line]:
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"]:
+            if m["raw"] or m["icon"]:
                 say(" ")
             continue
         if tag == "br":
