@@ -2,8 +2,9 @@
 
 A page is read once into lines, one a block element, with its markup stripped: scripts,
 styles, comments, forms and elements that by tag, role or class are navigation, banners,
-adverts, notices, sidebars or reader comments never enter a line.  Each line's length is
-summed over a sliding window of ``WINDOW`` lines.  Where the sum surges (it passes the
+adverts, notices, sidebars or reader comments never enter a line, unless such an
+element wraps most of the page's article or main elements or, for forms, roles and class hints,
+most of the page's text.  Each line's length is summed over a sliding window of ``WINDOW`` lines.  Where the sum surges (it passes the
 ``SURGE`` share of the page's mean and keeps up over the next lines) a run opens, where it
 dives to nothing it closes; the run with the most text is the core, and the text between its
 surge and dive points is kept.  Short lines at the rim of an article fall outside those
@@ -37,7 +38,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select|title"
 DROPPED = frozenset("nav footer aside form header menu dialog button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|widget|toolbar|pagination)(?:$|[\s_-])", re.I)
+# Class and id tokens, matched whole, and the usual compounds of them.
+HINT = re.compile(
+    r"(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|widget|toolbar|pagination"
+    r"|(?:site|page|global|top|main|primary|secondary|left|right|bottom|mobile)[_-](?:header|footer|nav(?:bar|igation)?|menu|sidebar|banner|toolbar)"
+    r"|(?:ads?|adverts?|cookies?|consent|newsletter|promo|sponsor|social|share|sharing|comments?|replies|popup|modal|subscribe|breadcrumbs?|nav|menu|related|widget)[_-](?:banner|bar|box|notice|container|wrapper|lists?|section|area|form|links?|buttons?|slot|unit|items?|posts|articles|stories|block)"
+    r"|(?:reader|user|post|article)[_-]comments|disqus[_-]thread)",
+    re.I,
+)
+# Hints of text that is written beside an article and may be longer than it.
+BESIDE = re.compile(r"(?:ads?|adverts?|comments?|replies|disqus|cookies?|consent|related)(?:[_-].*)?|.*[_-]comments", re.I)
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<icon>svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -54,23 +64,58 @@ class Line:
     home: int  # number of the article or main element around, 0 if none
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
+@dataclass
+class Aside:
+    """An element that its markup marks as no main text, with its characters outside links."""
+
+    mark: str  # "firm" is never kept for its length, "beside" only where nothing stands around it
+    outside: bool  # no article or main element around
+    size: int = 0
+    held: int = 0  # those in articles or main elements that lie inside
+
+
+def _unwanted(tag: str, attrs: str, inside: bool) -> str:
+    """Whether an element is no main text by its markup: "firm" by its tag, "beside" and "soft" by hint, tag form or role, or ""."""
     if tag in DROPPED:
-        return not (tag == "header" and inside)
+        return "soft" if tag == "form" else "" if tag == "header" and inside else "firm"
     if not attrs or tag in ("body", "html", "article", "main"):
-        return False
+        return ""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-    if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in attrs.lower().split():
-        return True
-    return any(HINT.search(found[k]) for k in ("class", "id") if k in found)
+    hints = [t for k in ("class", "id") for t in found.get(k, "").split() if HINT.fullmatch(t)]
+    if any(BESIDE.fullmatch(t) for t in hints):
+        return "beside"
+    hidden = found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in attrs.lower().split()
+    return "soft" if hints or hidden else ""
+
+
+def _overruled(asides: list[Aside], size: int, held: int) -> frozenset[int]:
+    """Numbers of the elements that hold the page's main text all the same.
+
+    ``size`` and ``held`` are the characters outside links of the page and of its articles and main
+    elements.  An element stays when it holds most of ``held``; a soft one also when it holds most of
+    ``size`` and no article stands beside it.
+    """
+    wraps = lambda x: 2 * x.held > held
+    long = lambda x: x.mark != "firm" and 2 * x.size > size and not (x.outside and held > x.held) and not (x.mark == "beside" and size > x.size)
+    return frozenset(k for k, x in enumerate(asides) if wraps(x) or long(x))
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order, without what is no main text by its markup."""
+    """The page's blocks in order, without what is no main text by its markup and length."""
+    lines, asides, size, held = _read(page)
+    kept = _overruled(asides, size, held)
+    return _read(page, kept)[0] if kept else lines
+
+
+def _read(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Line], list[Aside], int, int]:
+    """Lines without the elements left out (but with those of the numbers ``kept``), these elements, and characters outside links: all, in articles."""
     lines: list[Line] = []
+    asides: list[Aside] = []
+    open_: list[tuple[Aside, bool]] = []  # those around, and whether an article began inside
+    total, inner = 0, 0
     parts: list[str] = []
     state = {"links": 0}
-    stack: list[tuple[str, bool, int]] = []  # tag, whether it is left out, number of its article
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, whether it is left out, number of its article, whether by markup it were
     out, link, home, homes, at = 0, 0, 0, 0, 0
 
     def flush() -> None:
@@ -81,6 +126,13 @@ def lines_of(page: str) -> list[Line]:
         state["links"] = 0
 
     def say(text: str) -> None:
+        nonlocal total, inner
+        n = 0 if link else len(text.strip())
+        total += n
+        inner += n if home else 0
+        for x, around in open_:
+            x.size += n
+            x.held += n if home and around else 0
         if not out and text:
             parts.append(text)
             if link:
@@ -89,11 +141,13 @@ def lines_of(page: str) -> list[Line]:
     def pop(tag: str) -> None:
         nonlocal out, link, home
         while stack:
-            name, dropped, _ = stack.pop()
+            name, dropped, _, marked = stack.pop()
             out -= dropped
+            if marked:
+                open_.pop()
             link -= name == "a"
             if name in ("article", "main"):
-                home = next((h for _, _, h in reversed(stack) if h), 0)
+                home = next((h for _, _, h, _ in reversed(stack) if h), 0)
             if name == tag:
                 return
 
@@ -111,25 +165,29 @@ def lines_of(page: str) -> list[Line]:
         if tag in BLOCKS:
             flush()
         if m["close"]:
-            if any(name == tag for name, _, _ in stack):
+            if any(name == tag for name, *_ in stack):
                 pop(tag)
             continue
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        if tag == "p" and any(name == "p" for name, _, _ in stack[-3:]) or tag == "li" and stack and stack[-1][0] == "li":
+        if tag == "p" and any(name == "p" for name, *_ in stack[-3:]) or tag == "li" and stack and stack[-1][0] == "li":
             pop(tag)  # these end where the next one begins
-        dropped = _unwanted(tag, m["attrs"], home > 0)
+        marked = _unwanted(tag, m["attrs"], home > 0)
+        dropped = bool(marked) and len(asides) not in kept
+        if marked:
+            asides.append(Aside(marked, not home))
+            open_.append((asides[-1], not home))
         out += dropped
         link += tag == "a"
         if tag in ("article", "main") and not home:
             homes += 1
             home = homes
-        stack.append((tag, dropped, home))
+        stack.append((tag, dropped, home, bool(marked)))
     rest = page[at:]
     cut = re.search(r"<[/!?a-zA-Z][^<]*\Z", rest)  # a tag that the page's end cuts off
     say(rest[: cut.start()] if cut else rest)
     flush()
-    return lines
+    return lines, asides, total, inner
 
 
 def core(lines: list[Line], window: int = WINDOW, surge: float = SURGE) -> tuple[int, int]:

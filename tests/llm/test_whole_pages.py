@@ -11,3 +11,27 @@ TEXT = "Head\nThe long body of the page with words in it.\nMore of the body of t
 @pytest.mark.parametrize("before", ["<svg class='i' viewBox=\"0 0 1 1\"/>", "<math />", "<object-view>", "<title-bar></title-bar>", "<template-x>", "<svg><path d='M0 0'/></svg>", "<script>var a = '<svg>';</script>"])
 def test_raw_elements_end_where_they_end(before):
     assert html_text.main_text(f"<body>{before}<article>{BODY}</article></body>") == TEXT
+
+
+WRAPPED = [
+    f"<form id=aspnetForm>{BODY}</form>",
+    f"<form><nav><a href=x>Home</a></nav><article>{BODY}</article><footer>us</footer></form>",
+    f"<div class='content with-sidebar'>{BODY}</div>",
+    f"<div id='page' class='has-header'><main>{BODY}</main></div>",
+    f"<section class='related-work'>{BODY}</section>",
+    f"<article><div class='article-header'><h1>Head</h1></div>{BODY[13:]}</article>",
+    f"<div class='widget'><div class='sidebar'>{BODY}</div></div>",
+    f"<header><article>{BODY}</article></header>",
+    f"<article><div class='widget'>{BODY}</div></article>",
+    f"<div class='comments'>{BODY}</div>",
+    # and what stays out
+    f"<article>{BODY}</article><div class='sidebar'>{'A long text beside the article. ' * 20}</div>",
+    f"<article>{BODY}<div class='comments'><p>{'A long comment of a reader. ' * 20}</p></div></article>",
+    f"<div class='site-header'>Site</div><div>{BODY}</div><div class='cookie-banner'>We use cookies.</div><footer>{'Terms. ' * 90}</footer>",
+    f"<main>{BODY}</main><aside><article><p>A teaser.</p></article></aside>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_wrappers_keep_the_text_they_hold(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == TEXT
