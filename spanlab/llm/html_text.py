@@ -1,15 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-A page is read once into lines, one a block element, with its markup stripped: scripts,
-styles, comments, forms and elements that by tag, role or class are navigation, banners,
-adverts, notices, sidebars or reader comments never enter a line, unless such an
-element wraps most of the page's article or main elements or, for forms, roles and class hints,
-most of the page's text.  Each line's length is summed over a sliding window of ``WINDOW`` lines.  Where the sum surges (it passes the
-``SURGE`` share of the page's mean and keeps up over the next lines) a run opens, where it
-dives to nothing it closes; the run with the most text is the core, and the text between its
-surge and dive points is kept.  Short lines at the rim of an article fall outside those
-points, so the run is widened to the article or main element that holds the core, where the
-page marks one, and otherwise over the neighbouring lines that aren't mostly link text.
+A page is read into lines, one a block element, with its markup stripped: scripts, styles,
+comments, forms and elements that by tag, role or class are navigation, banners, adverts,
+notices, sidebars or reader comments never enter a line, unless such an element wraps most of
+the page's article or main elements or, for forms, roles and class hints, most of the page's
+text.  Each line's length is summed over a sliding window of ``WINDOW`` lines.  Where the sum
+surges (it passes the ``SURGE`` share of the page's mean and keeps up over the next lines) a run
+opens, where it dives to nothing it closes; the run with the most text is the core, and all text
+between its surge and dive points is kept, link-heavy lines too.  Short lines at the rim of an
+article fall outside those points, so the run is widened: to all of the article and main
+elements that it holds text of and to their siblings with a line of that share as well, where
+the page marks any, and otherwise over the neighbouring lines that aren't mostly link text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by a line end in page order.  A null page is empty and gives an empty text; a page
@@ -213,18 +214,31 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     a, b = core(lines)
+    # a line carries the text when it reaches the surge's share of the mean line
+    least = SURGE * sum(len(x.text) - x.links for x in lines) / len(lines)
+    carries = lambda x: len(x.text) - x.links > least
+    linky = lambda x: 2 * x.links > len(x.text)
     weight: dict[int, int] = {}
     for x in lines[a:b]:
         weight[x.home] = weight.get(x.home, 0) + len(x.text) - x.links
-    home = max(weight, key=lambda h: (weight[h], h))
-    if home:
-        return "\n".join(x.text for x in lines if x.home == home)
-    linky = lambda x: 2 * x.links > len(x.text)
-    while a > 0 and not linky(lines[a - 1]):
+    homes = {x.home for x in lines[a:b] if x.home and carries(x)}
+    top = max(weight, key=lambda h: (weight[h], h))
+    if homes or top:
+        # articles and main elements of the core, and their siblings that carry text
+        homes |= {top} - {0} | {x.home for x in lines if x.home and carries(x)}
+        # a window surges ahead of its text: the points are the first and last line that carry it
+        own = [i for i in range(a, b) if carries(lines[i])]
+        a, b = (own[0], own[-1] + 1) if own else (a, a)
+        return "\n".join(x.text for i, x in enumerate(lines) if a <= i < b or x.home in homes)
+    while a < b and linky(lines[a]) and not carries(lines[a]):
+        a += 1
+    while a < b and linky(lines[b - 1]) and not carries(lines[b - 1]):
+        b -= 1
+    while 0 < a < b and not linky(lines[a - 1]):
         a -= 1
-    while b < len(lines) and not linky(lines[b]):
+    while a < b < len(lines) and not linky(lines[b]):
         b += 1
-    return "\n".join(x.text for x in lines[a:b] if not linky(x))
+    return "\n".join(x.text for x in lines[a:b])
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

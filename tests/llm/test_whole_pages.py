@@ -35,3 +35,21 @@ WRAPPED = [
 @pytest.mark.parametrize("page", WRAPPED)
 def test_wrappers_keep_the_text_they_hold(page):
     assert html_text.main_text(f"<html><body>{page}</body></html>") == TEXT
+
+
+LONG = "A paragraph of the page with quite a number of words in it, on and on."
+LINK = "<a href=x>Home</a>"
+SPREAD = {
+    f"<article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG} 2</p></article>": f"One\n{LONG}\nTwo\n{LONG} 2",
+    f"<article><h2>One</h2><p>{LONG}</p></article>" + f"<p>{LINK}</p>" * 4 + f"<article><h2>Two</h2><p>{LONG} 2</p></article>": f"One\n{LONG}\nTwo\n{LONG} 2",
+    f"<div>{LINK}</div><p>{LONG} before</p><article><h2>One</h2><p>{LONG}</p><p>{LONG}</p></article><p>{LONG} after</p><div>(c) us</div>": f"{LONG} before\nOne\n{LONG}\n{LONG}\n{LONG} after",
+    f"<div>{LINK}</div><p>{LONG}</p><p>See <a href=y>the other page about all of this</a>.</p><p>{LONG}</p><div>{LINK}</div>": f"{LONG}\nSee the other page about all of this.\n{LONG}",
+    f"<p><a href=y>{LONG}</a> {LONG[:40]}</p><p>{LONG}</p>": f"{LONG} {LONG[:40]}\n{LONG}",
+    # and what stays out
+    f"<div>{LINK}</div><div>My site</div><article><h2>One</h2><p>{LONG}</p><p>{LONG}</p></article><div>(c) us</div>": f"One\n{LONG}\n{LONG}",
+}
+
+
+@pytest.mark.parametrize("page", SPREAD)
+def test_text_between_surge_and_dive_is_kept(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == SPREAD[page]
