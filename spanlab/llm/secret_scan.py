@@ -2,10 +2,13 @@
 
 Two first-order character models are counted from labelled samples (label 1: random
 strings such as keys and digests, label 0: ordinary identifiers and words).  A candidate
-is a run of key characters; its score is the mean log-likelihood ratio of its character
-pairs under the two models, and it becomes a span of kind ``random`` when the score
-exceeds ``threshold`` and no pattern span overlaps it.  The models are tables over ASCII
-pairs, so their size doesn't depend on the samples or the corpus.
+is a run of key characters, or what pattern spans leave of one; its score is the mean
+log-likelihood ratio of its character pairs under the two models, and it becomes a span of
+kind ``random`` when the score exceeds ``threshold``.  In a run that is ordinary on the whole,
+such as a key name or path with a secret behind it, the segments are found whose pairs exceed
+the threshold by the largest sum; one of more than ``LEAST * threshold`` is widened to the
+separators around it and becomes a span when it has ``LEAST`` characters.  The models are
+tables over ASCII pairs, so their size doesn't depend on the samples or the corpus.
 
 Everything on the main path is DataFrame functions evaluated row by row: no shuffle, no
 Python.  Nulls: a null text has no spans; a null id is kept.  Empty and repeated rows give
@@ -27,6 +30,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the runs AKIA[A-Z0-9]+ of 20 or more characters
 HEX = r"[0-9a-f]{24,}"  # the runs [0-9a-f]+ of 24 or more characters
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20  # the least characters of a candidate
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:long,rank:int,end:long>>"
 WIDTH = 128
@@ -106,45 +110,106 @@ def train(samples: DataFrame, alpha: float = 0.5) -> list[float]:
     return ratios
 
 
-def _places(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """All leftmost, non-overlapping matches as spans; positions from the text between matches."""
+HITS = "array<struct<start:long,rank:int,end:long,hit:string>>"
+
+
+def _hits(text: Column, pattern: str, kind: str) -> Column:
+    """All leftmost, non-overlapping matches with their strings; positions from the text between matches."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(pieces.alias("p"), hits.alias("h"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,rank:int,end:long,hit:string>>").alias("found"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(HITS).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["p"])
         end = begin + F.coalesce(F.length(x["h"]), F.lit(0))
         one = F.struct(begin.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("long").alias("end"), x["h"].alias("hit"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["found"], F.when(x["h"].isNull(), F.array().cast("array<struct<start:long,rank:int,end:long,hit:string>>")).otherwise(F.array(one))).alias("found"))
+        return F.struct(end.cast("long").alias("at"), F.concat(acc["found"], F.when(x["h"].isNull(), F.array().cast(HITS)).otherwise(F.array(one))).alias("found"))
+
+    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(HITS))
+
+
+def _span(start: Column, rank: Column, end: Column) -> Column:
+    return F.struct(start.cast("long").alias("start"), rank.cast("int").alias("rank"), end.cast("long").alias("end"))
+
+
+def _left(run: Column, base: Column) -> Column:
+    """What the ``base`` spans leave of a run, as (start, rank, end, hit)."""
+
+    def piece(start: Column, end: Column) -> Column:
+        hit = F.substring(run["hit"], (start - run["start"] + 1).cast("int"), (end - start).cast("int"))
+        return F.when(start < end, F.array(F.struct(start.alias("start"), run["rank"].alias("rank"), end.alias("end"), hit.alias("hit")))).otherwise(F.array().cast(HITS))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
-    found = F.filter(found, keep) if keep else found
-    spans = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    within = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+    return F.aggregate(within, F.struct(run["start"].alias("at"), F.array().cast(HITS).alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])))
+
+
+def _segments(hit: Column, excess: Column, least: float) -> Column:
+    """(a, b) of the segments whose pairs sum up to more than ``least``, widened to separators, apart, in order."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    first = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("a"), F.lit(0).alias("b"), none.alias("found"))
+    emitted = lambda acc: F.when(acc["peak"] > least, F.concat(acc["found"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))).otherwise(acc["found"])
+
+    def step(acc: Column, x: Column) -> Column:
+        now, i = acc["sum"] + x, acc["i"]
+        ends, best = (now <= 0) | (acc["peak"] - now > least), now > acc["peak"]
+        return F.struct(
+            (i + 1).alias("i"),
+            F.when(ends, 0.0).otherwise(now).alias("sum"),
+            F.when(ends, 0.0).when(best, now).otherwise(acc["peak"]).alias("peak"),
+            F.when(ends, i).otherwise(acc["a"]).alias("a"),
+            F.when(ends | best, i + 1).otherwise(acc["b"]).alias("b"),
+            F.when(ends, emitted(acc)).otherwise(acc["found"]).alias("found"),
+        )
+
+    def wide(s: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(hit, F.lit(1), s["a"]), "[^=/_-]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(hit, s["b"] + 1, F.length(hit)), "^[^=/_-]*", 0))
+        return F.struct((s["a"] - before).alias("a"), (s["b"] + after).alias("b"))
+
+    def merge(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
+        return F.when((F.size(acc) > 0) & (s["a"] < F.try_element_at(acc, F.lit(-1))["b"]), joined).otherwise(F.concat(acc, F.array(s)))
+
+    found = F.transform(F.aggregate(excess, first, step, emitted), wide)
+    return F.aggregate(found, none, merge)
 
 
 def spans(text: Column, ratios: list[float], threshold: float = 0.5) -> Column:
-    """Struct of ``base`` and ``every`` span of a text, each sorted: (start, rank of kind, end), code points, end exclusive."""
+    """Struct of ``base`` and ``random`` spans of a text, each sorted, none of either in both: (start, rank of kind, end), code points, end exclusive."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
     text = F.coalesce(text, F.lit(""))
     long_value = lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= 6
-    base = F.array_sort(F.concat(_places(text, ASSIGN, "assign", long_value), _places(text, ACCESS, "access"), _places(text, HEX, "hex")))
+    plain = lambda found: F.transform(found, lambda s: _span(s["start"], s["rank"], s["end"]))
+    base = F.array_sort(F.concat(plain(F.filter(_hits(text, ASSIGN, "assign"), long_value)), plain(_hits(text, ACCESS, "access")), plain(_hits(text, HEX, "hex"))))
+
+    def coded(piece: Column) -> Column:
+        return F.struct(*(piece[k].alias(k) for k in ("start", "rank", "end", "hit")), F.transform(F.split(piece["hit"], ""), lambda c: F.ascii(c)).alias("codes"))
+
+    def scored(piece: Column) -> Column:
+        """A piece with what each of its pairs has above the threshold."""
+        excess = F.transform(piece["codes"], lambda c, i: F.when(i == 0, 0.0).otherwise(F.get(table, F.get(piece["codes"], i - 1) * WIDTH + c) - threshold))
+        return F.struct(*(piece[k].alias(k) for k in ("start", "rank", "end", "hit")), excess.alias("excess"))
+
+    def random_in(x: Column) -> Column:
+        total = F.aggregate(x["excess"], F.lit(0.0), lambda acc, e: acc + e)
+        whole = (total > 0) & ((x["end"] - x["start"] >= LEAST) | (total > LEAST * threshold))  # what a pattern leaves may be short
+        parts = F.filter(_segments(x["hit"], x["excess"], LEAST * threshold), lambda s: s["b"] - s["a"] >= LEAST)
+        return F.when(whole, F.array(_span(x["start"], x["rank"], x["end"]))).otherwise(F.transform(parts, lambda s: _span(x["start"] + s["a"], x["rank"], x["start"] + s["b"])))
 
-    def score(hit: Column) -> Column:
-        codes = F.transform(F.split(hit, ""), lambda c: F.ascii(c))
-        total = F.aggregate(codes, F.struct(F.lit(-1).alias("a"), F.lit(0.0).alias("s")), lambda acc, b: F.struct(b.alias("a"), (acc["s"] + F.when(acc["a"] < 0, F.lit(0.0)).otherwise(F.get(table, acc["a"] * WIDTH + b))).alias("s")), lambda acc: acc["s"])
-        return total / (F.length(hit) - 1)
+    def random(found: Column) -> Column:
+        pieces = F.flatten(F.transform(found["runs"], lambda run: _left(run, found["base"])))
+        return F.struct(found["base"].alias("base"), F.flatten(F.transform(F.transform(F.transform(pieces, coded), scored), random_in)).alias("random"))
 
-    random = _places(text, CANDIDATE, "random", lambda s: score(s["hit"]) > threshold)
-    return F.struct(base.alias("base"), random.alias("random"))
+    # a one-element array evaluates runs and base spans once
+    return F.get(F.transform(F.array(F.struct(base.alias("base"), _hits(text, CANDIDATE, "random").alias("runs"))), random), 0)
 
 
 def scan(docs: DataFrame, ratios: list[float], threshold: float = 0.5) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the columns ``base`` and ``every`` (arrays of spans) added."""
     found = docs.withColumn("_found", spans(F.col("text"), ratios, threshold))
-    apart = F.filter("_found.random", lambda r: ~F.exists("_found.base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return found.withColumn("base", F.col("_found.base")).withColumn("every", F.array_sort(F.concat("_found.base", apart))).drop("_found")
+    return found.withColumn("base", F.col("_found.base")).withColumn("every", F.array_sort(F.concat("_found.base", "_found.random"))).drop("_found")
 
 
 def joined(found: Column) -> Column:
