@@ -1,12 +1,14 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against training windows.
 
 A benchmark item gives a window for every run of ``n`` consecutive words, a shorter item one
-window of all its words.  Training texts are scanned in two steps: the hash of the first
-``ANCHOR`` words at every position probes the broadcast anchors, and only at the positions
-that pass is the window's text compared, word for word, with the item's.
+window of all its words.  Training texts are scanned once, a row a word position: the hash of
+the words from there on probes the windows' hashes, once for each size that windows have, and
+a hit is kept when its words are the window's.  A row holds no copy of its text: positions
+that meet no window are dropped where they are made.
 
 The benchmark's windows are counted first.  Up to ``broadcast_windows`` of them are broadcast;
-beyond that the same joins run as shuffle joins on the anchor's hash, with the same result.
+beyond that positions are shuffled as (id, hash of the text, start, hash of the window), nothing
+wider, and the texts of those that meet a window are read again to verify them.
 
 Nulls: a null text, of a document or an item, has no words and no hits.  Items without words
 give no window.  Repeated document rows give a row each, repeated items count once by
@@ -19,60 +21,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shielded
+from .common import shielded
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANCHOR = 4
 BROADCAST_WINDOWS = 1_000_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SEPARATORS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 def words_of(text: Column) -> Column:
     """The words of a lower-cased text, null as none."""
-    line = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
-    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " "))
-
-
-def n_words_of(text: Column) -> Column:
-    """size(words_of(text)) without making the words."""
-    line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
-    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
+    line = F.translate(F.coalesce(text, F.lit("")), _UPPER + _SEPARATORS, _LOWER + " " * len(_SEPARATORS))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """``benchmark(item_id, text)``: item_id, size, anchor size, anchor hash, window text; distinct."""
-    words = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """``benchmark(item_id, text)``, a row a distinct window: window (its words), size, hash, items (ids as strings)."""
+    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))).alias("i"))
-    window = starts.select("item_id", F.slice("w", F.col("i"), n).alias("w"))
-    k = F.least(F.size("w"), F.lit(ANCHOR))
-    return window.select("item_id", F.size("w").alias("size"), k.alias("k"), F.xxhash64(F.array_join(F.slice("w", F.lit(1), k), " ")).alias("anchor"), F.array_join("w", " ").alias("window")).distinct()
+    window = starts.select("item_id", F.slice("w", F.col("i"), n).alias("window"))
+    # a passage of many items is one window
+    return window.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select("window", F.size("window").alias("size"), F.xxhash64("window").alias("hash"), "items")
+
+
+KEY = ("doc_id", "text_hash")
 
 
 def places(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Every occurrence of a window: doc_id, text_hash, start (word), size, item_id."""
+    """For every row of ``docs`` one row with ``n_words``, and a row for every occurrence of a window: doc_id, text_hash, n_words, start, size, items."""
     wanted = windows(benchmark, n)
-    shape = wanted.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ANCHOR rows
+    shape = wanted.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # at most n rows
     small = sum(r["n"] for r in shape) <= broadcast_windows
-    kept = F.broadcast if small else lambda df: df
-    key = ["doc_id", F.xxhash64("text").alias("text_hash")]
-    words = docs.where("text is not null").select(*key, words_of(F.col("text")).alias("w"))
-
-    def anchors(k: int) -> Column:
-        at = lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, k), " "))
-        none = F.array().cast("array<long>")
-        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), at)).otherwise(none)
-
-    found = None
-    for k in sorted(r.k for r in shape):
-        own = wanted.where(F.col("k") == k)
-        first = kept(own.select("anchor").distinct())
-        spots = words.select("doc_id", "text_hash", "w", F.posexplode(anchors(k)).alias("start", "anchor")).join(first, "anchor")
-        spots = spots.select("doc_id", "text_hash", "start", "anchor", F.concat(F.array_join(F.slice("w", F.col("start") + 1, n), " "), F.lit(" ")).alias("here"))
-        hits = spots.join(kept(own), "anchor").where(F.expr("startswith(here, concat(window, ' '))"))
-        hits = hits.select("doc_id", "text_hash", F.col("start").cast("int").alias("start"), "size", "item_id")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = words.select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")).where(F.lit(False))
-    return found
+
+    # after the last word comes a null: its row stands for the document
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.concat(words_of(F.col("text")), F.array(F.lit(None).cast("string"))).alias("w"))
+    each = texts.select(*KEY, "w", F.posexplode_outer("w").alias("start", "word"))
+    ended = F.col("word").isNull()
+    # words beyond the end are nulls, which the hash skips
+    hashes = [F.xxhash64(*(F.get("w", F.col("start") + i) for i in range(r["size"]))) for r in sorted(shape, key=lambda r: r["size"])]
+    probes = F.when(ended, F.lit(None)).otherwise(hashes[0]) if len(hashes) == 1 else F.explode_outer(F.when(~ended, F.array(*hashes))) if hashes else F.lit(None).cast("long")
+    spots = each.select(*KEY, "w", "start", "word", probes.alias("hash"))
+    count = F.when(ended, F.col("start")).cast("long").alias("n_words")
+    if small:
+        met = spots.join(F.broadcast(wanted), "hash", "left").where(ended | (F.slice("w", F.col("start") + 1, F.col("size")) == F.col("window")))
+        return met.select(*KEY, count, F.when(~ended, F.col("start")).alias("start"), "size", "items")
+    met = spots.where(~ended).select(*KEY, "start", "hash").join(wanted, "hash").select(*KEY, F.struct("start", "size", "window", "items").alias("s"))
+    met = met.groupBy(*KEY).agg(F.collect_set("s").alias("spots")).toDF("_doc", "_text", "spots")  # at most the document's words times n
+    rows = texts.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")), "left")
+    true = F.filter("spots", lambda s: F.slice(F.col("w"), s["start"] + 1, s["size"]) == s["window"])
+    rows = rows.select(*KEY, (F.size("w") - 1).cast("long").alias("n_words"), true.alias("spots"))
+    hit = rows.where(F.size("spots") > 0).select(*KEY, F.explode("spots").alias("s")).select(*KEY, F.lit(None).cast("long").alias("n_words"), "s.start", "s.size", "s.items")
+    return rows.select(*KEY, "n_words", *(F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in ("start", "size", "items"))).unionByName(hit)
 
 
 def covered(spans: Column) -> Column:
@@ -92,12 +90,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_windows:
 
     A document is contaminated when at least a twentieth of its words, and at least one, are hit.
     """
-    found = places(docs, benchmark, n, broadcast_windows)
-    found = found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words_of(F.col("text")).alias("n_words")).alias("d")
-    joined = each.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash")), "left")
-    n_hit = F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long")
-    out = joined.select("d.doc_id", "d.text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,size:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), n_hit.alias("n_hit"))
+    found = places(docs, benchmark, n, broadcast_windows).groupBy(*KEY).agg(
+        F.count("n_words").alias("_rows"),
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "size")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    out = found.select(*KEY, "n_words", "spans", "items", covered(F.col("spans")).alias("n_hit"), F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_row")).drop("_row")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -118,5 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, mode: str
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 0)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     parts = F.regexp_extract_all("text", F.lit(word), F.lit(0))
-    kept = F.filter(parts, lambda _, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"])))
-    return restore(each.join(found, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))))
+    hit = F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))
+    left = each.join(found, same, "left").withColumn("_parts", F.when(F.col("_spans").isNotNull(), parts))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), hit), lambda i: F.get("_parts", i))
+    return restore(left.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))))
