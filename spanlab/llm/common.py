@@ -56,6 +56,34 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+RUNNING = 64
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b, levels: int = 2) -> Column:
+    """For each of an array of non-negative longs, 0 joined with all before it (by default their sum).
+
+    Chunks of RUNNING are joined up first and then gone through, each from what was before it, so
+    that an array of n costs about n * RUNNING steps and not n * n.
+    """
+    zero = F.lit(0).cast("long")
+
+    def through(chunk: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<long>").alias("out"))
+        step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(chunk, start, step, lambda acc: acc["out"])
+
+    if not levels:
+        return through(values, zero)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(RUNNING)), lambda a: F.slice(v, a + 1, RUNNING))
+    whole = lambda chunks: running(F.transform(chunks, lambda c: F.aggregate(c, zero, join)), join, levels - 1)
+    return let(let(values, cut), lambda chunks: let(whole(chunks), lambda before: F.flatten(F.transform(chunks, lambda c, i: through(c, F.get(before, i))))))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values over the whole range (a finaliser of the multiply-xorshift kind)."""
     h = h ^ (h >> np.uint64(31))

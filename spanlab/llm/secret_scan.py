@@ -2,13 +2,17 @@
 
 Two first-order character models are counted from labelled samples (label 1: random
 strings such as keys and digests, label 0: ordinary identifiers and words).  A candidate
-is a run of key characters, or what pattern spans leave of one; its score is the mean
-log-likelihood ratio of its character pairs under the two models, and it becomes a span of
-kind ``random`` when the score exceeds ``threshold``.  In a run that is ordinary on the whole,
-such as a key name or path with a secret behind it, the segments are found whose pairs exceed
-the threshold by the largest sum; one of more than ``LEAST * threshold`` is widened to the
-separators around it and becomes a span when it has ``LEAST`` characters.  The models are
-tables over ASCII pairs, so their size doesn't depend on the samples or the corpus.
+is a run of at least ``LEAST`` key characters; its score is the mean log-likelihood ratio of
+its character pairs under the two models, and it becomes a span of kind ``random`` when the
+score exceeds ``threshold``.  In a run that is ordinary on the whole, such as a key name or
+path with a secret behind it, the segments are found whose pairs exceed the threshold by the
+largest sum; one of more than ``LEAST * threshold`` takes the parts between separators whole
+that lie in it by half or more, leaves the others, and becomes a span when it has ``LEAST``
+characters.  A span of the models may overlap pattern
+spans, so a secret that is longer than what a pattern takes of it is covered whole; it is left
+out where a pattern span has just its bounds.  Shorter strings than ``LEAST`` are left to the
+patterns: their few pairs tell too little.  The models are tables over ASCII pairs, so their
+size doesn't depend on the samples or the corpus.
 
 Everything on the main path is DataFrame functions evaluated row by row: no shuffle, no
 Python.  Nulls: a null text has no spans; a null id is kept.  Empty and repeated rows give
@@ -19,18 +23,19 @@ are ordered by kind as listed in ``KINDS``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shielded
+from .common import let, running, shielded
 
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the runs AKIA[A-Z0-9]+ of 20 or more characters
 HEX = r"[0-9a-f]{24,}"  # the runs [0-9a-f]+ of 24 or more characters
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST = 20  # the least characters of a candidate
+LEAST = 20  # the least characters of a candidate; from 16 on ordinary long words begin to pass
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:long,rank:int,end:long>>"
 WIDTH = 128
@@ -113,39 +118,25 @@ def train(samples: DataFrame, alpha: float = 0.5) -> list[float]:
 HITS = "array<struct<start:long,rank:int,end:long,hit:string>>"
 
 
-def _hits(text: Column, pattern: str, kind: str) -> Column:
+def _hits(text: Column, pattern: str, kind: str, size: Callable[[Column], Column]) -> Column:
     """All leftmost, non-overlapping matches with their strings; positions from the text between matches."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(pieces.alias("p"), hits.alias("h"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(HITS).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.coalesce(F.length(x["h"]), F.lit(0))
-        one = F.struct(begin.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("long").alias("end"), x["h"].alias("hit"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["found"], F.when(x["h"].isNull(), F.array().cast(HITS)).otherwise(F.array(one))).alias("found"))
+    def placed(x: Column) -> Column:
+        at = lambda i: F.get(x["before"], i) + size(F.get(x["pieces"], i))
+        return F.transform(x["hits"], lambda h, i: F.struct(at(i).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (at(i) + size(h)).alias("end"), h.alias("hit")))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(HITS))
+    cut = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    steps = lambda x: F.transform(x["hits"], lambda h, i: (size(F.get(x["pieces"], i)) + size(h)).cast("long"))
+    found = let(let(cut, lambda x: F.struct(x["pieces"].alias("pieces"), x["hits"].alias("hits"), running(steps(x)).alias("before"))), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(HITS))
 
 
 def _span(start: Column, rank: Column, end: Column) -> Column:
     return F.struct(start.cast("long").alias("start"), rank.cast("int").alias("rank"), end.cast("long").alias("end"))
 
 
-def _left(run: Column, base: Column) -> Column:
-    """What the ``base`` spans leave of a run, as (start, rank, end, hit)."""
-
-    def piece(start: Column, end: Column) -> Column:
-        hit = F.substring(run["hit"], (start - run["start"] + 1).cast("int"), (end - start).cast("int"))
-        return F.when(start < end, F.array(F.struct(start.alias("start"), run["rank"].alias("rank"), end.alias("end"), hit.alias("hit")))).otherwise(F.array().cast(HITS))
-
-    within = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
-    return F.aggregate(within, F.struct(run["start"].alias("at"), F.array().cast(HITS).alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])))
-
-
 def _segments(hit: Column, excess: Column, least: float) -> Column:
-    """(a, b) of the segments whose pairs sum up to more than ``least``, widened to separators, apart, in order."""
+    """(a, b) of the segments whose pairs sum up to more than ``least``, cut at separators, apart, in order."""
     none = F.array().cast("array<struct<a:int,b:int>>")
     first = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("a"), F.lit(0).alias("b"), none.alias("found"))
     emitted = lambda acc: F.when(acc["peak"] > least, F.concat(acc["found"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))).otherwise(acc["found"])
@@ -163,9 +154,13 @@ def _segments(hit: Column, excess: Column, least: float) -> Column:
         )
 
     def wide(s: Column) -> Column:
-        before = F.length(F.regexp_extract(F.substring(hit, F.lit(1), s["a"]), "[^=/_-]*$", 0))
-        after = F.length(F.regexp_extract(F.substring(hit, s["b"] + 1, F.length(hit)), "^[^=/_-]*", 0))
-        return F.struct((s["a"] - before).alias("a"), (s["b"] + after).alias("b"))
+        to_a, from_a = F.substring(hit, F.lit(1), s["a"]), F.substring(hit, s["a"] + 1, F.length(hit))
+        to_b, from_b = F.substring(hit, F.lit(1), s["b"]), F.substring(hit, s["b"] + 1, F.length(hit))
+        before = lambda part: F.length(F.regexp_extract(part, "[^=/_-]*$", 0))
+        behind = lambda part: F.length(F.regexp_extract(part, "^[^=/_-]*", 0))
+        a = F.when(before(to_a) > behind(from_a), s["a"] + behind(from_a) + 1).otherwise(s["a"] - before(to_a))
+        b = F.when(behind(from_b) > before(to_b), s["b"] - before(to_b) - 1).otherwise(s["b"] + behind(from_b))
+        return F.struct(a.alias("a"), b.alias("b"))
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -176,34 +171,37 @@ def _segments(hit: Column, excess: Column, least: float) -> Column:
     return F.aggregate(found, none, merge)
 
 
-def spans(text: Column, ratios: list[float], threshold: float = 0.5) -> Column:
-    """Struct of ``base`` and ``random`` spans of a text, each sorted, none of either in both: (start, rank of kind, end), code points, end exclusive."""
+def spans(text: Column, ratios: list[float], threshold: float = 0.5, size: Callable[[Column], Column] = F.length) -> Column:
+    """Struct of ``base`` and ``random`` spans of a text, each sorted: (start, rank of kind, end), end exclusive.
+
+    Positions are in what ``size`` measures, code points (F.length) or bytes (F.octet_length).
+    """
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
     text = F.coalesce(text, F.lit(""))
     long_value = lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= 6
     plain = lambda found: F.transform(found, lambda s: _span(s["start"], s["rank"], s["end"]))
-    base = F.array_sort(F.concat(plain(F.filter(_hits(text, ASSIGN, "assign"), long_value)), plain(_hits(text, ACCESS, "access")), plain(_hits(text, HEX, "hex"))))
+    base = F.array_sort(F.concat(plain(F.filter(_hits(text, ASSIGN, "assign", size), long_value)), plain(_hits(text, ACCESS, "access", size)), plain(_hits(text, HEX, "hex", size))))
 
-    def coded(piece: Column) -> Column:
-        return F.struct(*(piece[k].alias(k) for k in ("start", "rank", "end", "hit")), F.transform(F.split(piece["hit"], ""), lambda c: F.ascii(c)).alias("codes"))
+    def coded(run: Column) -> Column:
+        return F.struct(*(run[k].alias(k) for k in ("start", "rank", "end", "hit")), F.transform(F.split(run["hit"], ""), lambda c: F.ascii(c)).alias("codes"))
 
-    def scored(piece: Column) -> Column:
-        """A piece with what each of its pairs has above the threshold."""
-        excess = F.transform(piece["codes"], lambda c, i: F.when(i == 0, 0.0).otherwise(F.get(table, F.get(piece["codes"], i - 1) * WIDTH + c) - threshold))
-        return F.struct(*(piece[k].alias(k) for k in ("start", "rank", "end", "hit")), excess.alias("excess"))
+    def scored(run: Column) -> Column:
+        """A run with what each of its pairs has above the threshold."""
+        excess = F.transform(run["codes"], lambda c, i: F.when(i == 0, 0.0).otherwise(F.get(table, F.get(run["codes"], i - 1) * WIDTH + c) - threshold))
+        return F.struct(*(run[k].alias(k) for k in ("start", "rank", "end", "hit")), excess.alias("excess"))
 
     def random_in(x: Column) -> Column:
         total = F.aggregate(x["excess"], F.lit(0.0), lambda acc, e: acc + e)
-        whole = (total > 0) & ((x["end"] - x["start"] >= LEAST) | (total > LEAST * threshold))  # what a pattern leaves may be short
         parts = F.filter(_segments(x["hit"], x["excess"], LEAST * threshold), lambda s: s["b"] - s["a"] >= LEAST)
-        return F.when(whole, F.array(_span(x["start"], x["rank"], x["end"]))).otherwise(F.transform(parts, lambda s: _span(x["start"] + s["a"], x["rank"], x["start"] + s["b"])))
+        return F.when(total > 0, F.array(_span(x["start"], x["rank"], x["end"]))).otherwise(F.transform(parts, lambda s: _span(x["start"] + s["a"], x["rank"], x["start"] + s["b"])))
 
     def random(found: Column) -> Column:
-        pieces = F.flatten(F.transform(found["runs"], lambda run: _left(run, found["base"])))
-        return F.struct(found["base"].alias("base"), F.flatten(F.transform(F.transform(F.transform(pieces, coded), scored), random_in)).alias("random"))
+        every = F.flatten(F.transform(F.transform(F.transform(found["runs"], coded), scored), random_in))
+        bounds = lambda spans: F.transform(spans, lambda s: F.shiftleft(s["start"], 32) + s["end"])
+        own = F.transform(F.array_except(bounds(every), bounds(found["base"])), lambda x: _span(F.shiftright(x, 32), F.lit(KINDS.index("random")), F.pmod(x, F.lit(1 << 32))))
+        return F.struct(found["base"].alias("base"), own.alias("random"))
 
-    # a one-element array evaluates runs and base spans once
-    return F.get(F.transform(F.array(F.struct(base.alias("base"), _hits(text, CANDIDATE, "random").alias("runs"))), random), 0)
+    return let(F.struct(base.alias("base"), _hits(text, CANDIDATE, "random", size).alias("runs")), random)
 
 
 def scan(docs: DataFrame, ratios: list[float], threshold: float = 0.5) -> DataFrame:
@@ -219,13 +217,20 @@ def joined(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, ratios: list[float], threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mark``; overlapping spans get one mark."""
-    text = F.col("text")
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("out"),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("every", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    """``docs`` with every span of its texts replaced by ``mark``; overlapping spans get one mark.
+
+    Texts are cut by bytes, where a piece is found without going through what comes before it.
+    """
     inner, restore = shielded(docs, "text")
-    return restore(scan(inner, ratios, threshold).withColumn("text", F.when(F.size("every") > 0, clean).otherwise(text)))
+    found = inner.withColumn("_found", spans(F.col("text"), ratios, threshold, F.octet_length))
+    found = found.withColumn("_every", F.array_sort(F.concat("_found.base", "_found.random")))
+
+    def cut(x: Column) -> Column:
+        piece = lambda a, b: F.substring(x["raw"], (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+        upto = lambda i: F.get(x["upto"], i)
+        pieces = F.transform(x["every"], lambda s, i: F.when(s["start"] >= upto(i), F.concat(piece(upto(i), s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), piece(F.array_max(F.transform(x["every"], lambda s: s["end"])), F.octet_length(x["raw"]).cast("long")))
+
+    upto = running(F.transform("_every", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    clean = let(F.struct(F.col("text").cast("binary").alias("raw"), F.col("_every").alias("every"), upto.alias("upto")), cut)
+    return restore(found.withColumn("text", F.when(F.size("_every") > 0, clean).otherwise(F.col("text"))))
