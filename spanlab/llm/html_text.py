@@ -4,18 +4,24 @@ A page is read into lines, one a block element, with its markup stripped: script
 comments, forms and elements that by tag, role or class are navigation, banners, adverts,
 notices, sidebars or reader comments never enter a line, unless such an element wraps most of
 the page's article or main elements or, for forms, roles and class hints, most of the page's
-text.  Each line's length is summed over a sliding window of ``WINDOW`` lines.  Where the sum
-surges (it passes the ``SURGE`` share of the page's mean and keeps up over the next lines) a run
-opens, where it dives to nothing it closes; the run with the most text is the core, and all text
-between its surge and dive points is kept, link-heavy lines too.  Short lines at the rim of an
-article fall outside those points, so the run is widened: to all of the article and main
-elements that it holds text of and to their siblings with a line of that share as well, where
-the page marks any, and otherwise over the neighbouring lines that aren't mostly link text.
+text.  Each line's length outside links is summed over a sliding window of ``WINDOW`` lines.
+Where the sum surges (it passes the ``SURGE`` share of the page's mean) a run opens, where it
+dives to nothing, ``WINDOW`` lines of links or less, it closes; its points are the first and the
+last line with text of its own in between, and all lines between them are kept, link-heavy ones
+too.  What decides:
+
+* the runs with at least ``RIVAL`` of the longest run's text are the page's text.  Where the page
+  marks no article, they are kept, with the short lines at their rims that aren't mostly links;
+* where it does, the article and main elements in which a run has a line of the ``SURGE`` share
+  are kept, and their siblings with such a line, each cut at its own surge and dive points (there
+  any text surges, so a title stays, but a list of links that nothing marks goes); of the text
+  outside them, the lines of these runs stay.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by a line end in page order.  A null page is empty and gives an empty text; a page
 that ends in the middle of a tag, comment or element is read up to there.  Repeated rows give
-a row each, extra columns are kept, an empty table gives no rows.
+a row each, an empty table gives no rows.  Extra columns are kept; one named like the output
+is kept under that name with ``_`` behind it.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ from pyspark.sql import types as T
 
 WINDOW = 3
 SURGE = 0.5
+RIVAL = 0.25
 
 # Fixed values of HTML: elements that start a block, that hold no children, that hold no text to read.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -191,59 +198,59 @@ def _read(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Line], li
     return lines, asides, total, inner
 
 
-def core(lines: list[Line], window: int = WINDOW, surge: float = SURGE) -> tuple[int, int]:
-    """First and end line of the run with the most text between a surge and its dive."""
-    size = [len(x.text) - x.links for x in lines]
-    n = len(size)
-    sums = [sum(size[i : i + window]) for i in range(n)]
-    level = surge * sum(sums) / max(1, n)
-    best, start, i = (0, 0, 0), None, 0
-    while i < n:
-        if start is None and sums[i] > level and all(sums[i + 1 : i + 3]):
+def runs(size: list[int], level: float, window: int = WINDOW) -> list[tuple[int, int]]:
+    """First and end line of every stretch between a surge above ``level`` and its dive."""
+    sums = [sum(size[i : i + window]) for i in range(len(size))]
+    found, start = [], None
+    for i, x in enumerate([*sums, 0]):
+        if start is None and x > level:
             start = i
-        elif start is not None and sums[i] == 0:
-            best, start = max(best, (sum(size[start:i]), start, i)), None
-        i += 1
-    if start is not None:
-        best = max(best, (sum(size[start:]), start, n))
-    return best[1:] if best[0] else (0, n)
+        elif start is not None and x == 0:
+            own = [k for k in range(start, i) if size[k]]
+            found.append((own[0], own[-1] + 1))
+            start = None
+    return found
 
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    if not lines:
-        return ""
-    a, b = core(lines)
+    size = [len(x.text) - x.links for x in lines]
+    if not any(size):
+        return "\n".join(x.text for x in lines if x.home)
+    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
+    found = runs(size, SURGE * sum(sums) / len(sums))
+    weight = {(a, b): sum(size[a:b]) for a, b in found}
+    found = [r for r in found if weight[r] >= RIVAL * max(weight.values())]
     # a line carries the text when it reaches the surge's share of the mean line
-    least = SURGE * sum(len(x.text) - x.links for x in lines) / len(lines)
-    carries = lambda x: len(x.text) - x.links > least
-    linky = lambda x: 2 * x.links > len(x.text)
-    weight: dict[int, int] = {}
-    for x in lines[a:b]:
-        weight[x.home] = weight.get(x.home, 0) + len(x.text) - x.links
-    homes = {x.home for x in lines[a:b] if x.home and carries(x)}
-    top = max(weight, key=lambda h: (weight[h], h))
-    if homes or top:
-        # articles and main elements of the core, and their siblings that carry text
-        homes |= {top} - {0} | {x.home for x in lines if x.home and carries(x)}
-        # a window surges ahead of its text: the points are the first and last line that carry it
-        own = [i for i in range(a, b) if carries(lines[i])]
-        a, b = (own[0], own[-1] + 1) if own else (a, a)
-        return "\n".join(x.text for i, x in enumerate(lines) if a <= i < b or x.home in homes)
-    while a < b and linky(lines[a]) and not carries(lines[a]):
-        a += 1
-    while a < b and linky(lines[b - 1]) and not carries(lines[b - 1]):
-        b -= 1
-    while 0 < a < b and not linky(lines[a - 1]):
-        a -= 1
-    while a < b < len(lines) and not linky(lines[b]):
-        b += 1
-    return "\n".join(x.text for x in lines[a:b])
-
-
-def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """``pages`` with the main text of ``column`` in its place, as ``text``."""
-    own = [c for c in pages.columns if c not in (column, "text")]
+    least = SURGE * sum(size) / len(size)
+    carries = [x > least for x in size]
+    linky = [2 * x.links > len(x.text) for x in lines]
+    kept: set[int] = set()
+    homes = {lines[i].home for a, b in found for i in range(a, b) if carries[i]} - {0}
+    if homes:
+        homes |= {x.home for i, x in enumerate(lines) if carries[i]} - {0}
+        for h in homes:
+            inside = [i for i, x in enumerate(lines) if x.home == h]
+            kept |= {inside[k] for a, b in runs([size[i] for i in inside], 0) for k in range(a, b)}
+        for a, b in found:
+            own = [i for i in range(a, b) if carries[i]]
+            kept |= {i for i in range(own[0], own[-1] + 1) if lines[i].home not in homes} if own else set()
+    else:
+        for a, b in found:
+            while a > 0 and not linky[a - 1]:
+                a -= 1
+            while b < len(lines) and not linky[b]:
+                b += 1
+            kept |= set(range(a, b))
+    return "\n".join(lines[i].text for i in sorted(kept))
+
+
+def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
+    """``pages`` with the main text of ``column`` in its place, as ``into``."""
+    own = [c for c in pages.columns if c != column]
+    names = list(own)
+    while into in names:
+        names[names.index(into)] += "_" * (1 + sum(c.startswith(into + "_") for c in names))
     inner = pages.select(*own, F.col(column)).toDF(*(f"c{i}" for i in range(len(own))), "page")
     schema = T.StructType([*inner.schema.fields[:-1], T.StructField("text", T.StringType())])
 
@@ -254,4 +261,4 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
                 text = pa.array([main_text(x) for x in batch.column("page").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=schema.names)
 
-    return inner.mapInArrow(read, schema).toDF(*own, "text")
+    return inner.mapInArrow(read, schema).toDF(*names, into)

@@ -257,11 +257,16 @@ def test_main_text(spark):
     assert html_text.extract(df).columns == ["page_id", "url", "page", "text"] and html_text.extract(df.limit(0)).count() == 0
 
 
-def test_surge_and_dive_find_the_core():
-    line = lambda n, links=0: html_text.Line("x" * n, links, 0)
-    lines = [line(10, 10), line(8, 8), line(9, 9), line(9, 9), line(200), line(300), line(20), line(250), line(9, 9), line(9, 9), line(9, 9), line(9, 9), line(30)]
-    a, b = html_text.core(lines)
-    assert a <= 4 and 8 <= b <= 11 and a >= 2
+def test_surge_and_dive_points():
+    size = [0, 0, 0, 0, 200, 300, 0, 250, 0, 0, 0, 0, 30]
+    assert html_text.runs(size, 40) == [(4, 8)] and html_text.runs(size, 0) == [(4, 8), (12, 13)]
+    assert html_text.runs([], 0) == [] and html_text.runs([0, 0], 0) == [] and html_text.runs([5], 1) == [(0, 1)]
+
+
+def test_an_own_column_named_text_is_kept(spark):
+    df = spark.createDataFrame([(1, "mine", "<p>page</p>", "too")], "page_id long, text string, html string, text_ string")
+    out = html_text.extract(df)
+    assert out.columns[-1] == "text" and len(set(out.columns)) == 4 and sorted(map(str, out.first())) == ["1", "mine", "page", "too"]
 
 
 @pytest.mark.parametrize("text", ["", "word", "é" * 100, "  A--b\x00C É\x7f", " x"])

@@ -1,5 +1,7 @@
 """Pages whose markup must not swallow their text."""
 
+from html.parser import HTMLParser
+
 import pytest
 
 from spanlab.llm import html_text
@@ -53,3 +55,74 @@ SPREAD = {
 @pytest.mark.parametrize("page", SPREAD)
 def test_text_between_surge_and_dive_is_kept(page):
     assert html_text.main_text(f"<html><body>{page}</body></html>") == SPREAD[page]
+
+
+LIST = "".join(f"<li><a href=/{k}>Another story of the site, number {k}</a></li>" for k in range(5))
+MENUS = [
+    f"<article><h1>Head</h1><p>{LONG}</p><ul>{LIST}</ul><p>{LONG}</p></article>",
+    f"<article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><ul>{LIST}</ul></article>",
+    f"<ul>{LIST}</ul><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><ul>{LIST}</ul><p>(c)</p>",
+    f"<h1>Head</h1><p>{LONG}</p><ul>{LIST}</ul><p>{LONG}</p>",
+]
+
+
+@pytest.mark.parametrize("page", MENUS)
+def test_surge_and_dive_decide(page, monkeypatch):
+    """Lists of links that nothing marks go by the distribution alone, with an article and without."""
+    page = f"<html><body>{page}</body></html>"
+    assert html_text.main_text(page) == f"Head\n{LONG}\n{LONG}"
+    monkeypatch.setattr(html_text, "runs", lambda size, level, window=3: [(0, len(size))])
+    assert html_text.main_text(page) != f"Head\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["post-header", "entry-header", "side-by-side", "headers", "admission", "navy-blue", "share-price"])
+def test_only_whole_hints_count(name):
+    assert html_text.main_text(f"<article><div class='{name}'><h1>Head</h1></div>{BODY[13:]}</article>") == TEXT
+
+
+class Contract(HTMLParser):
+    """The contract restated for the tables' pages: blocks of the article, adverts and menus left out."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.parts, self.inside, self.out = [], [], False, []
+        self.feed(page or "")
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.blocks += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("b", "i", "a", "em", "strong", "span", "br"):
+            self.flush()
+        if tag == "br":
+            self.parts.append(" ")
+        if tag == "article":
+            self.inside = True
+        if tag in ("nav", "aside", "form", "footer", "script", "style") or dict(attrs).get("class") in ("ad", "comments"):
+            self.out.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.flush()
+        if tag == "article":
+            self.inside = False
+        if self.out and self.out[-1] == tag:
+            self.out.pop()
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.parts.append(data)
+
+
+def test_the_query_meets_the_contract(spark, sf_dir):
+    from spanlab.llm.queries import op2_html_text
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = op2_html_text(spark, sf_dir).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert r.text == "\n".join(Contract(pages[r.page_id].html).blocks) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
