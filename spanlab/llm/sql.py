@@ -15,23 +15,25 @@ WITH raw AS (
 ), sized AS (
   SELECT *, length(role) + 8 + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) + 8 AS chars FROM turns
 ), sys AS (
-  SELECT conv_id, tokens AS st, chars AS sc FROM sized WHERE idx = 0 AND role = 'system'
-), placed AS (
-  SELECT s.*, st, sc, greatest(768 - coalesce(st, 0), 256) AS stride, greatest(before - coalesce(st, 0), 0) AS after
+  SELECT conv_id, tokens AS st, chars AS sc FROM sized WHERE idx = 0 AND role = 'system' AND tokens < 1024
+), ruled AS (
+  SELECT s.*, coalesce(st, 0) AS st, sc, idx = 0 AND st IS NOT NULL AS opens, greatest(before - coalesce(st, 0), 0) AS after,
+         least(256, (1024 - coalesce(st, 0)) // 2) AS past, 1024 - coalesce(st, 0) - least(256, (1024 - coalesce(st, 0)) // 2) AS stride
   FROM sized s LEFT JOIN sys USING (conv_id)
 ), windowed AS (
-  SELECT *, 2 * (after // stride) + CASE WHEN after + CASE WHEN idx = 0 AND st IS NOT NULL THEN 0 ELSE tokens END > (after // stride + 1) * stride THEN 1 ELSE 0 END AS win
-  FROM placed
+  SELECT *, after + CASE WHEN opens THEN 0 ELSE tokens END > (after // stride + 1) * stride AS alone,
+         2 * (after // stride) + CASE WHEN after + CASE WHEN opens THEN 0 ELSE tokens END > (after // stride + 1) * stride THEN 1 ELSE 0 END AS win
+  FROM ruled
 ), firsts AS (
-  SELECT conv_id, win, min(idx) AS f, any_value(sc) AS sc FROM windowed GROUP BY ALL
+  SELECT conv_id, win, min(idx) AS f, any_value(sc) AS sc, any_value(st) AS st, any_value(past) AS past, max(CASE WHEN alone THEN tokens ELSE stride END) AS own FROM windowed GROUP BY conv_id, win
 ), past AS (
-  SELECT f.conv_id, f.win, p.chars, sum(p.tokens) OVER (PARTITION BY f.conv_id, f.win ORDER BY p.idx DESC) AS t
+  SELECT f.conv_id, f.win, p.chars, sum(p.tokens) OVER (PARTITION BY f.conv_id, f.win ORDER BY p.idx DESC) AS t, least(f.past, 1024 - f.st - f.own) AS most
   FROM firsts f JOIN windowed p ON p.conv_id = f.conv_id AND p.idx BETWEEN f.f - 2 AND f.f - 1
-  WHERE NOT (p.idx = 0 AND p.st IS NOT NULL)
+  WHERE NOT p.opens
 ), extra AS (
   SELECT conv_id, sum(chars) AS c FROM (
-    SELECT conv_id, chars FROM past WHERE t <= 256
-    UNION ALL SELECT conv_id, sc FROM firsts WHERE f > 0 AND sc IS NOT NULL
+    SELECT conv_id, chars FROM past WHERE t <= most
+    UNION ALL SELECT conv_id, sc FROM firsts WHERE f > 0 AND win > 0 AND sc IS NOT NULL AND st + own <= 1024
   ) GROUP BY conv_id
 )
 SELECT w.conv_id,

@@ -97,6 +97,62 @@ TURNS = [
 ]
 
 
+def tokens_of(text):
+    return 4 + (len((text or "").encode()) + 3) // 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_keep_the_budget(spark, seed):
+    """Random conversations with system turns up to and beyond the budget; windows against a plain restatement."""
+    rng = random.Random(seed)
+    budget, history, back = rng.choice([(100, 30, 2), (300, 200, 3), (64, 0, 1), (200, 500, 4)])
+    turns, rows = {}, []
+    for c in range(60):
+        n, at = rng.choice([1, 2, 9, 40]), 0
+        for k in range(n):
+            at += rng.choice([1, 1, 1, 300, 1000])
+            role = "system" if k == 0 and c % 3 else rng.choice(["user", "assistant"])
+            text = "w" * (rng.randrange(5 * budget) if k == 0 or rng.random() < 0.1 else rng.randrange(2 * budget))
+            turns.setdefault(c, []).append((role, text))
+            rows.append((c, at, role, text))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    made = chat.windows(df, budget=budget, history=history, history_turns=back).select("conv_id", "window", "n_context", chat.parse(F.col("formatted")).alias("turns")).collect()
+    got = {(r.conv_id, r.window): (r.n_context, [tuple(t) for t in r.turns]) for r in made}
+    expected = {}
+    for c, own in turns.items():
+        size = [tokens_of(t) for _, t in own]
+        st = size[0] if own[0][0] == "system" and size[0] < budget else 0
+        past = min(history, (budget - st) // 2)
+        stride, at, windows = budget - st - past, 0, {}
+        for i, n in enumerate(size):
+            if i == 0 and st:
+                windows[0] = [0]
+                continue
+            k = at // stride
+            windows.setdefault(2 * k + (at + n > (k + 1) * stride), []).append(i)
+            at += n
+        for w, new in windows.items():
+            most, sum_, old = min(past, budget - st - (size[new[0]] if w % 2 else stride)), 0, []
+            for i in range(new[0] - 1, max(-1, new[0] - 1 - back), -1):
+                sum_ += size[i]
+                if sum_ > most or (i == 0 and st):
+                    break
+                old.insert(0, i)
+            if st and w > 0 and st + (size[new[0]] if w % 2 else stride) <= budget:
+                old.insert(0, 0)
+            expected[c, w] = (len(old), [own[i] for i in old + new])
+            total = sum(size[i] for i in old + new)
+            assert total <= budget or max(size[i] for i in new) > budget
+    assert got == expected
+
+
+def test_windows_plan_is_small(spark):
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    plan = chat.windows(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 10
+
+
 def test_windows_read_back(spark):
     df = spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id long, turn long, role string, text string, window string")
     for budget, history in ((64, 16), (200, 60), (4000, 100)):
@@ -107,9 +163,8 @@ def test_windows_read_back(spark):
             assert len(r.turns) == r.n_context + r.n_new
             back.setdefault(r.conv_id, []).extend((t.role, t.text) for t in r.turns[r.n_context :])
             loss[r.conv_id] = loss.get(r.conv_id, "") + r.loss
-            size = lambda t: 4 + (len((t or "").encode()) + 3) // 4
-            if r.n_new > 1:
-                assert sum(size(t.text) for t in r.turns) <= max(budget, budget // 4 + history + 50)
+            sizes = [tokens_of(t.text) for t in r.turns]
+            assert sum(sizes) <= budget or max(sizes[r.n_context :]) > budget
         expected = {}
         for c, t, role, text, in sorted(TURNS, key=lambda t: (t[0] is not None, t[0] or 0, t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")):
             expected.setdefault(c, []).append((role or "", text or ""))
