@@ -12,10 +12,11 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes); two documen
    shingles costs nothing further.
 3. Pairs that share a prefix shingle pass a length filter and, at their first common shingle, a
    positional filter, and are verified once each on the whole sets, behind a suffix filter that bounds the overlap by hash ranges.
+   The set of a document that meets many is sent to several tasks, one for every ``GROUP`` of them.
 4. Pairs are made in two rounds, not all within a shingle's list.  First every member is
    compared with the list's smallest member.  Lists whose members thereby fall into one
    component are done, as further links there can't change a component; in the others the
-   pairs across components are compared.  So a group of thousands of near copies costs a
+   pairs across components are made, a task for every ``GROUP`` of the smaller sets in the list.  So a group of thousands of near copies costs a
    comparison a member, and no link that joins components is lost.
 5. Components by repeated hooking to the smallest neighbour and contraction.
 
@@ -35,11 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_words import plain_texts, release, words_of
-from .blocks import blocked, counted, from_counted, from_planes, planes, shard_bounds
+from .blocks import blocked, counted, from_counted, from_planes, planes, shard_bounds, shards_of
 from .common import mixed, shielded, written
 
 SHINGLE = 5
 PERCENT = 75
+GROUP = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 ASKED = "shard int, block int, keys binary, counts binary, sets binary, ids binary"
@@ -155,10 +157,15 @@ def _nodes(table: pa.Table, totals: pa.Table, percent: int) -> pa.Table:
     return pa.table(columns, names=["doc_id", "n_shingles", "same", "keys", "places", "shingles"])
 
 
+def asked_of(table: DataFrame, n: int) -> DataFrame:
+    """What ``n`` blocks ask of the shards: a row where a block has keys or sets of a shard."""
+    return table.groupBy("block").applyInArrow(lambda key, t: Sets(t).asked(key[0].as_py(), shards_of(n)), ASKED)
+
+
 def nodes(docs: DataFrame, percent: int = PERCENT, block_bytes: int | None = None) -> DataFrame:
     """``docs(doc_id, text)``: doc_id, n_shingles, same, and prefix keys, their places and the set of each node that may link."""
     table, n = blocked(docs, block_bytes) if block_bytes else blocked(docs)
-    asked = table.groupBy("block").applyInArrow(lambda key, t: Sets(t).asked(key[0].as_py(), n), ASKED)
+    asked = asked_of(table, n)
     totals = asked.groupBy("shard").applyInArrow(_totals, TOTALS)
     return table.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(lambda left, right: _nodes(left, right, percent), NODES)
 
@@ -184,8 +191,23 @@ def overlap(a: np.ndarray, b: np.ndarray, need: int) -> int:
     return int((b[at] == a).sum())
 
 
+def spread(by: str, members: str | Column) -> Column:
+    """A row's number among the tasks that share a key of so many members, ``GROUP`` a task."""
+    return F.pmod(F.xxhash64(by), F.ceil(members / F.lit(GROUP)) if isinstance(members, Column) else F.ceil(F.col(members) / F.lit(GROUP))).cast("int")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", tasks: int = 64) -> DataFrame:
+    """``left`` joined with ``right``, which has a row a key; rows of a hot key of ``left`` are dealt over ``tasks`` by ``by``."""
+    left = left.withColumn("_task", F.pmod(F.xxhash64(by), F.lit(tasks)).cast("int"))
+    needed_ = left.select(key, "_task").distinct()  # at most ``tasks`` rows a key
+    return left.join(needed_.join(right, key), [key, "_task"], how).drop("_task")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``pairs(a, b)`` with whether they link; ``sets(doc_id, shingles)``."""
+    """``pairs(a, b, task)`` with whether they link; ``sets(doc_id, shingles)``.
+
+    ``task`` deals the pairs of an ``a`` that has many; its set is sent once to each of its tasks.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,9 +218,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 linked.append(overlap(p, q, need) >= need)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).join(pairs.select("a", "task").distinct(), "a")
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
+    return pairs.join(right, "b").join(left, ["a", "task"]).select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
 
 
 def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -208,22 +230,25 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = sets.select("doc_id", F.col("n_shingles").alias("n"), entry).select("doc_id", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"))
 
     centre = F.min(F.struct("doc_id", "n", "at"))
-    lists = entries.groupBy("key").agg(centre.alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("c.at").alias("pa"))
+    lists = entries.groupBy("key").agg(centre.alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("c.at").alias("pa"), "members")
     star = entries.join(lists, "key").where((F.col("doc_id") != F.col("a")) & _may_link(F.col("na"), F.col("pa"), F.col("n"), F.col("at"), percent))
-    star = written(verified(star.select("a", F.col("doc_id").alias("b")).distinct(), sets, percent))
+    star = star.groupBy("a", F.col("doc_id").alias("b")).agg(F.max("members").alias("members")).select("a", "b", spread("b", "members").alias("task"))
+    star = written(verified(written(star), sets, percent))
 
     # members that no comparison has joined yet, list by list
     label = component_of(star.where("linked").select("a", "b"))
     named = entries.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed_lists = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = named.join(mixed_lists, "key")
     # the smaller set of a pair needs its common shingle earlier, as its overlap is at least that of two sets of its size
     early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
-    left = rest.where(early).select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
-    right = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"))
+    mixed_lists = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.when(early, 1)).alias("members")).where("lo < hi and members > 0").select("key", "members")
+    rest = named.join(mixed_lists, "key")
+    left = rest.where(early).select("key", spread("doc_id", "members").alias("task"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
+    tasks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / F.lit(GROUP)).cast("int") - 1)).alias("task")
+    right = rest.select("key", tasks, F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    across = left.join(right, "key").where(ordered & (F.col("la") != F.col("lb")) & _may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    across = left.join(right, ["key", "task"]).where(ordered & (F.col("la") != F.col("lb")) & _may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
+    across = across.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("task").alias("task")).join(star.select("a", "b"), ["a", "b"], "left_anti")
+    across = written(across)
     return star.where("linked").select("a", "b").unionByName(verified(across, sets, percent).where("linked").select("a", "b"))
 
 
@@ -235,12 +260,12 @@ def component_of(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("to"))
         # the hook's own hook: chains halve
-        jump = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("far")), "to", "left").select("node", F.coalesce("far", "to").alias("to"))
+        jump = spread_join(hook, hook.select(F.col("node").alias("to"), F.col("to").alias("far")), "to", "node", "left").select("node", F.coalesce("far", "to").alias("to"))
         jump = written(jump)
-        label = jump.select(F.col("node").alias("doc_id"), F.col("to").alias("label")) if label is None else label.join(jump, label.label == jump.node, "left").select("doc_id", F.coalesce("to", "label").alias("label"))
+        label = jump.select(F.col("node").alias("doc_id"), F.col("to").alias("label")) if label is None else spread_join(label, jump.withColumnRenamed("node", "label"), "label", "doc_id", "left").select("doc_id", F.coalesce("to", "label").alias("label"))
         label = written(label)
         x, y = jump.select(F.col("node").alias("a"), F.col("to").alias("ta")), jump.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        moved = edges.join(x, "a").join(y, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a < b").distinct()
+        moved = spread_join(spread_join(edges, x, "a", "b"), y, "b", "a").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a < b").distinct()
         edges = written(moved)
         if edges.isEmpty():
             return label
@@ -251,7 +276,7 @@ def components(docs: DataFrame, percent: int = PERCENT, block_bytes: int | None
     found = written(nodes(docs, percent, block_bytes))
     label = component_of(links(found, percent))
     each = found.select("doc_id", "n_shingles", "same")
-    return each.join(label.select(F.col("doc_id").alias("same"), "label"), "same", "left").select("doc_id", "n_shingles", F.coalesce("label", "same").alias("component_id"))
+    return spread_join(each, label.select(F.col("doc_id").alias("same"), "label"), "same", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "same").alias("component_id"))
 
 
 def distinct(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -14,19 +14,25 @@ from spanlab.llm import chat, jaccard, lm_score
 @pytest.mark.parametrize("block_bytes", [1 << 20, 3000])
 def test_scores(docs, block_bytes):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    count, pairs = collections.Counter(), collections.Counter()
+    count, pairs, triples = collections.Counter(), collections.Counter(), collections.Counter()
     for doc, text in rows:
         if not brute.is_held(doc):
             w = [*brute.spaced(text, lower=True), ""]
             count.update(w)
             pairs.update(zip([None, *w], w, strict=False))
-    n, v, k = sum(count.values()), len(count), lm_score.STRENGTH
+            triples.update(zip([None, *w], w, w[1:], strict=False))
+    n, v, (k, l) = sum(count.values()), len(count), lm_score.STRENGTH
     expected = []
     for doc, text in rows:
         w = [*brute.spaced(text, lower=True), ""]
         p = [(count[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        history = [count[""], *(count[x] for x in w[:-1])]
-        score = sum(math.log10((pairs[h, x] + k * q) / (c + k)) for h, x, q, c in zip([None, *w], w, p, history, strict=False))
+        score, before, last = 0.0, None, None
+        for i, (x, q) in enumerate(zip(w, p, strict=True)):
+            q = (pairs[before, x] + k * q) / ((count[""] if before is None else count[before]) + k)
+            if i:
+                q = (triples[last, before, x] + l * q) / (pairs[last, before] + l)
+            score += math.log10(q)
+            last, before = before, x
         expected.append((doc, brute.is_held(doc), len(w), sum(count[x] > 0 for x in w), n, sum(map(math.log10, p)), score))
     key = lambda r: (r[0] is not None, r[0] or 0)
     got = sorted((tuple(r) for r in lm_score.score(docs, block_bytes=block_bytes).collect()), key=key)
@@ -34,6 +40,50 @@ def test_scores(docs, block_bytes):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_what_blocks_ask_grows_with_the_input(spark):
+    """Twice the documents ask no more than twice the rows, and never more than there are keys."""
+    from spanlab.llm import blocks
+
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choices([f"w{k}" for k in range(3000)], k=60))) for i in range(800)]
+    n_rows = []
+    for n in (400, 800):
+        df = spark.createDataFrame(texts[:n], "doc_id long, text string")
+        table, k = blocks.blocked(df, 4000)
+        asked = lm_score.asked_of(table, k).select("block", "shard", F.length("grams").alias("g"), "n_words").collect()
+        assert all(r.g or r.n_words for r in asked) and len(asked) == len({(r.block, r.shard) for r in asked})
+        assert len(asked) <= sum(r.g // 8 + r.n_words for r in asked)
+        n_rows.append(sum(r.g // 8 + r.n_words for r in asked))
+    assert n_rows[1] <= 2.1 * n_rows[0]
+
+
+def test_rows_of_one_id_are_dealt_over_blocks(spark):
+    from spanlab.llm import blocks
+
+    df = spark.createDataFrame([(None if i % 2 else 7, f"text {i} " + "x" * 50) for i in range(400)], "doc_id long, text string")
+    table, n = blocks.blocked(df, 2000)
+    sizes = [r["count"] for r in table.groupBy("block").count().collect()]
+    assert n > 15 and max(sizes) < 60
+
+
+def test_held_out_texts_gain_from_the_model(spark):
+    """Texts of a small grammar: held-out ones are likelier under the automaton than under words alone, and under triples than under pairs."""
+    rng = random.Random(3)
+    follow = {}
+
+    def text():
+        w = ["a", "b"]
+        while len(w) < 80:
+            w.append(rng.choice(follow.setdefault((w[-2], w[-1]), rng.sample([f"w{k}" for k in range(40)], 2))))
+        return " ".join(w)
+
+    df = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")
+    held = lambda strength: lm_score.score(df, strength).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    base, triples = held(lm_score.STRENGTH)
+    _, pairs = held((lm_score.STRENGTH[0], 1e12))
+    assert triples > pairs > base
+
+
 def test_model_is_a_distribution(spark):
     words = [f"w{i}" for i in range(30)]
     rng = random.Random(1)
