@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of the text; a line of more than ``BLOCK_WORDS`` words is read as
-half-overlapping windows of that many.  A block meets a template when it holds at least
-``ceil(threshold * |template|)`` of the template's distinct words.  The join is exact:
+A block is ``BLOCK_WORDS`` consecutive words of the text, whatever its lines; blocks overlap by
+half, so every run of up to half a block's words lies whole in one.  A block meets a template when
+it holds at least ``ceil(threshold * |template|)`` of the template's distinct words, or all of them
+where they are fewer than ``WHOLE``, as there one word tells two licences apart.  The join is exact:
 
 * the templates' words are ordered by their frequency in the whole corpus, rare first;
 * a template is indexed under its prefix, its first ``n - need + 1`` words in that order,
@@ -11,6 +12,9 @@ half-overlapping windows of that many.  A block meets a template when it holds a
   whose remaining words can't reach the needed overlap;
 * what is left is verified by intersecting the sets.
 
+The base phrases are templates too, to be held whole; a match counts where the phrase's words also
+stand consecutively in the text.  The score is the largest share of a template that a block holds.
+
 The template table is a constant of the library, so its index is a literal of the plan and
 each text row probes it in place: one shuffle of word counts, none of texts, no Python.
 
@@ -23,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import let, running
+from .decontaminate import words_of
 
 # The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -46,78 +51,68 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.85
-BLOCK_WORDS = 64
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def words_line(text: Column) -> Column:
-    """The words of a text, letters as they are, single spaces between."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS, " "))
-
-
-def _spaces(s: Column) -> Column:
-    return F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))
+WHOLE = 10
+BLOCK_WORDS = 48
 
 
 def word_order(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> list[str]:
-    """The templates' distinct words, rarest in ``docs`` first, ties by word."""
-    vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    word = F.explode(F.split(ascii_lower(words_line(F.col("text"))), " ")).alias("word")
+    """The distinct words of templates and phrases, rarest in ``docs`` first, ties by word."""
+    vocabulary = sorted({w for t in (*templates.values(), *PHRASES) for w in t.split()})
+    word = F.explode_outer(words_of(F.col("text"))).alias("word")
     rows = docs.select(word).where(F.col("word").isin(vocabulary)).groupBy("word").count().collect()  # at most one row a vocabulary word
     seen = {r.word: r["count"] for r in rows}
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
-def _needed(n: int, threshold: float) -> int:
+def needed(n: int, threshold: float) -> int:
+    """How many of a template's ``n`` distinct words a block must hold."""
     whole = int(threshold * n)
-    return max(1, whole if whole >= threshold * n - 1e-9 else whole + 1)
+    return n if n < WHOLE else max(1, whole if whole >= threshold * n - 1e-9 else whole + 1)
+
+
+def _spaces(s: Column) -> Column:
+    return F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))
+
+
+def _places(line: Column, pattern: str) -> Column:
+    """(word, hit) of all leftmost, non-overlapping matches in words that single spaces part."""
+    cut = F.struct(F.split(line, pattern, -1).alias("pieces"), F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("hits"))
+    steps = lambda x: F.transform(x["hits"], lambda h, i: (_spaces(F.get(x["pieces"], i)) + _spaces(h)).cast("long"))
+    placed = lambda x: F.transform(x["hits"], lambda h, i: F.struct((F.get(x["before"], i) + _spaces(F.get(x["pieces"], i))).alias("word"), h.alias("hit")))
+    found = let(let(cut, lambda x: F.struct(x["pieces"].alias("pieces"), x["hits"].alias("hits"), running(steps(x)).alias("before"))), placed)
+    return F.when(line.rlike(pattern), found).otherwise(F.array().cast("array<struct<word:long,hit:string>>"))
 
 
 def scan(docs: DataFrame, order: list[str], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs(doc_id, text)``: doc_id, n_words, places (start word and label of each base phrase), matches (label, score)."""
     rank = {w: k for k, w in enumerate(order)}
-    sets = {label: sorted({rank[w] for w in t.split()}) for label, t in templates.items()}
+    sets = [(label, sorted({rank[w] for w in t.split()}), False) for label, t in templates.items()]
+    sets += [(label, sorted({rank[w] for w in p.split()}), True) for p, label in PHRASES.items()]
     entries, probes = [], set()
-    for label, ranks in sets.items():
-        need = _needed(len(ranks), threshold)
+    for label, ranks, phrase in sets:
+        need = len(ranks) if phrase else needed(len(ranks), threshold)
         for j, r in enumerate(ranks[: len(ranks) - need + 1]):
-            entries.append(f"named_struct('label','{label}','word',{r},'at',{j},'size',{len(ranks)},'need',{need},'ranks',array({','.join(map(str, ranks))}))")
+            entries.append(f"named_struct('label','{label}','phrase',{str(phrase).lower()},'word',{r},'at',{j},'size',{len(ranks)},'need',{need},'ranks',array({','.join(map(str, ranks))}))")
             probes.add(order[r])
     index = F.expr(f"array({','.join(entries)})")
     vocabulary = F.split(F.lit(" ".join(order)), " ")
-    probe = rf"(?i)(?<![^ ])({'|'.join(sorted(probes))})(?![^ ])"
+    standing = lambda words: rf"(?<![^ ])({'|'.join(sorted(words))})(?![^ ])"
 
-    line = words_line(F.col("text"))
-    base = docs.select("doc_id", "text", line.alias("line"))
-    base = base.withColumn("n_words", F.when(F.col("line") == "", 0).otherwise(_spaces(F.col("line")) + 1).cast("long"))
-
-    # base phrases: the text between two places tells how many words lie between them
-    phrase = rf"(?i)(?<![^ ])({'|'.join(PHRASES)})(?![^ ])"
+    base = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    base = base.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("line"))
     labels = F.create_map(*(F.lit(x) for pair in PHRASES.items() for x in pair))
-    parts = F.arrays_zip(F.split("line", phrase, -1).alias("p"), F.regexp_extract_all("line", F.lit(phrase), F.lit(0)).alias("h"))
-    none = F.array().cast("array<struct<word:long,label:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + _spaces(x["p"])
-        one = F.struct(at.cast("long").alias("word"), F.element_at(labels, ascii_lower(x["h"])).alias("label"))
-        return F.struct((at + F.coalesce(_spaces(x["h"]), F.lit(0))).cast("long").alias("at"), F.concat(acc["found"], F.when(x["h"].isNull(), none).otherwise(F.array(one))).alias("found"))
+    places = F.transform(_places(F.col("line"), standing(PHRASES)), lambda p: F.struct(p["word"].alias("word"), F.element_at(labels, p["hit"]).alias("label")))
 
-    places = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    places = F.when(F.col("line").rlike(phrase), places).otherwise(none)
+    # the join: a place of a probe word lies in the block of its half and in the one before
+    half = BLOCK_WORDS // 2
+    number = lambda p: F.floor(p["word"] / half)
+    blocks = F.array_distinct(F.flatten(F.transform(_places(F.col("line"), standing(probes)), lambda p: F.array(F.greatest(number(p) - 1, F.lit(0)), number(p)))))
 
-    # the join: blocks of rows with a probe word somewhere
-    def ranks_of(words: Column) -> Column:
-        known = F.filter(F.transform(words, lambda w: F.array_position(vocabulary, w).cast("int") - 1), lambda r: r >= 0)
+    def ranks_of(block: Column) -> Column:
+        known = F.filter(F.transform(F.slice(F.col("words"), (block * half + 1).cast("int"), BLOCK_WORDS), lambda w: F.array_position(vocabulary, w).cast("int") - 1), lambda r: r >= 0)
         return F.array_sort(F.array_distinct(known))
 
-    def blocks_of(one: Column) -> Column:
-        words = F.split(ascii_lower(words_line(one)), " ")
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - BLOCK_WORDS // 2, F.lit(1)) - 1, F.lit(BLOCK_WORDS // 2))
-        return F.transform(starts, lambda s: F.slice(words, s + 1, BLOCK_WORDS))
-
-    def matched(block: Column) -> Column:
-        ranks = ranks_of(block)
-
+    def matched(ranks: Column) -> Column:
         def passes(e: Column) -> Column:
             i = F.array_position(ranks, e["word"]) - 1
             bound = F.least(i, e["at"]) + 1 + F.least(F.size(ranks) - 1 - i, e["size"] - 1 - e["at"])
@@ -125,9 +120,9 @@ def scan(docs: DataFrame, order: list[str], templates: dict[str, str] = TEMPLATE
 
         overlap = lambda e: F.size(F.array_intersect(ranks, e["ranks"]))
         kept = F.filter(F.filter(index, passes), lambda e: overlap(e) >= e["need"])
-        return F.transform(kept, lambda e: F.struct(e["label"].alias("label"), (overlap(e) / e["size"]).alias("score")))
+        return F.transform(kept, lambda e: F.struct(e["label"].alias("label"), (overlap(e) / e["size"]).alias("score"), e["phrase"].alias("phrase")))
 
-    lines = F.filter(F.split("text", "\n"), lambda x: words_line(x).rlike(probe))
-    found = F.flatten(F.transform(F.flatten(F.transform(lines, blocks_of)), matched))
-    matches = F.when(F.col("line").rlike(probe), F.array_distinct(found)).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
-    return base.select("doc_id", "n_words", places.alias("places"), matches.alias("matches"))
+    met = F.array_distinct(F.flatten(F.transform(F.transform(blocks, ranks_of), matched)))
+    out = base.select("doc_id", "n_words", places.alias("places"), met.alias("met"))
+    true = F.filter("met", lambda m: ~m["phrase"] | F.exists("places", lambda p: p["label"] == m["label"]))
+    return out.select("doc_id", "n_words", "places", F.transform(true, lambda m: F.struct(m["label"].alias("label"), m["score"].alias("score"))).alias("matches"))

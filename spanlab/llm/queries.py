@@ -64,7 +64,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(words).alias("last_word"),
         text(labels).alias("base_labels"),
         text(F.concat(labels, own)).alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+        best.alias("score"),
     )
 
 

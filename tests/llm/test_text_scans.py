@@ -115,15 +115,19 @@ def test_license_phrases(docs):
 
 
 def brute_matches(text, threshold):
-    found = set()
-    for line in (text or "").split("\n"):
-        w = brute.words(line)
-        for a in range(0, max(1, len(w) - 32), 32):
-            block = set(w[a : a + 64])
-            for label, template in license_scan.TEMPLATES.items():
-                t = set(template.split())
-                if len(block & t) >= threshold * len(t) - 1e-9:
-                    found.add((label, round(len(block & t) / len(t), 9)))
+    found, w = set(), brute.words(text)
+    half = license_scan.BLOCK_WORDS // 2
+    for a in range(0, max(1, len(w)), half):
+        block = set(w[a : a + 2 * half])
+        for label, template in license_scan.TEMPLATES.items():
+            t = set(template.split())
+            need = len(t) if len(t) < license_scan.WHOLE else threshold * len(t) - 1e-9
+            if len(block & t) >= need:
+                found.add((label, round(len(block & t) / len(t), 9)))
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        if any(w[k : k + len(p)] == p for k in range(len(w))):
+            found.add((label, 1.0))
     return found
 
 
@@ -132,17 +136,30 @@ def test_license_join_is_exact(spark):
 
     rng = random.Random(2)
     rows = []
-    for i in range(120):
+    for i in range(160):
         t = rng.choice(list(license_scan.TEMPLATES.values())).split()
-        kept = [x for x in t if rng.random() < 0.93]
-        noise = ["word"] * rng.randrange(90)
-        rows.append((i, "\n".join([" ".join(noise[: len(noise) // 2] + [x.upper() if rng.random() < 0.3 else x for x in kept] + noise[len(noise) // 2 :]), "the license under"])))
+        kept = [x + rng.choice(["", "", ",", "\n * "]) for x in t if rng.random() < 0.95]
+        noise = [rng.choice(["word", "the", "under", "license", "all rights", "cc"]) for _ in range(rng.randrange(150))]
+        rows.append((i, " ".join(noise[: len(noise) // 2] + [x.upper() if rng.random() < 0.3 else x for x in kept] + noise[len(noise) // 2 :])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for threshold in (0.6, 0.85, 1.0):
         got = {r.doc_id: {(m.label, round(m.score, 9)) for m in r.matches} for r in license_scan.scan(df, license_scan.word_order(df), threshold=threshold).collect()}
         assert got == {i: brute_matches(t, threshold) for i, t in rows}
 
 
+def test_wrapped_and_short_notices(spark):
+    rows = [
+        (1, "/*\n * Permission is hereby granted, free of charge,\n * to any person obtaining a copy of this software\n * and associated documentation files ...\n */"),
+        (2, "Licensed under CC BY-NC 4.0."),
+        (3, "Licensed under CC BY 4.0"),
+        (4, "rights that all have reserved"),
+        (5, "x " * 40 + "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:" + " y" * 40),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {m.label: m.score for m in r.matches} for r in license_scan.scan(df, license_scan.word_order(df)).collect()}
+    assert got == {1: {"mit-grant": 1.0}, 2: {"cc-by": 1.0, "cc-by-nc": 1.0}, 3: {"cc-by": 1.0}, 4: {}, 5: {"bsd": 1.0}}
+
+
 BENCH = {1: "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron", 2: "short item of five", 3: None, 4: "!!!", 5: "solo", 6: " ".join(f"w{i}" for i in range(40))}
 
 
