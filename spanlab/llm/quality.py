@@ -3,23 +3,28 @@
 Words and word pairs are hashed into ``BUCKETS`` cells.  Two multinomials over the cells are
 estimated, one from trusted documents and one from all documents; a document's score is the
 mean log ratio over its n-grams, so that its length doesn't matter, and a document stays when
-the score reaches a fixed threshold.  No random draw is involved: the same document gets the
+the score reaches the model's threshold.  No random draw is involved: the same document gets the
 same verdict every time.
 
-The corpus counts cover every document.  The trusted documents are at most ``TRUSTED`` of the
-rows labelled quality 1, those of the smallest hashed ids (a documented bound on what the
-classifier is fitted on), so their id list can be broadcast.  Every task adds its documents'
-n-grams into arrays of ``BUCKETS`` counters before anything is shuffled.
+The corpus counts cover every document.  The classifier is fitted on a bounded sample of labelled
+rows: at most ``TRUSTED`` of each quality, those of the smallest hashed ids, so their id list can
+be broadcast.  Four fifths of those labelled 1 are the trusted documents.  The rest, which the
+model hasn't seen, and those labelled 0 set the threshold: the cut that parts the two best, but no
+higher than what all but ``LOST`` of the good ones reach.  Rows labelled both ways are left out.
+Every task adds its documents' n-grams into arrays of ``BUCKETS`` counters before anything is
+shuffled.
 
 Nulls: a null text has no words; a null id is scored like any other and is never trusted.
-Empty texts fail the length rule.  Repeated rows get a row each.  Without trusted documents
-every ratio is 0 and the rules decide alone.  Extra columns are ignored by ``assess`` and kept
+Empty texts fail the length rule.  Repeated rows get a row each.  Without trusted documents, or
+without good ones to set the threshold, the rules decide alone.  Extra columns are ignored by ``assess`` and kept
 by ``keep``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from .common import mixed, shielded
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
-THRESHOLD = -0.25
+LOST = 0.005
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -48,15 +53,24 @@ def cells(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return every.astype(np.int64), np.concatenate((doc, doc[pair]))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """Ids of at most ``most`` documents labelled quality 1, in the order of their hashes."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+class Model(NamedTuple):
+    """Log P(cell | trusted) - log P(cell | all documents) for each cell, and the least mean to stay."""
 
+    weights: np.ndarray
+    threshold: float
 
-def ratios(docs: DataFrame, labels: DataFrame, alpha: float = 1.0) -> np.ndarray:
-    """log P(cell | trusted) - log P(cell | all documents) for each of BUCKETS cells."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels).withColumn("trusted", F.lit(True))), "doc_id", "left")  # the list is bounded by TRUSTED
+
+def sample(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+    """(doc_id, good, trusted) of at most ``most`` documents of each quality, in the order of their ids' hashes."""
+    each = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
+    part = lambda q: each.where(F.col("hi") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    good = F.col("hi") == 1
+    return part(1).unionByName(part(0)).select("doc_id", good.alias("good"), (good & (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) > 0)).alias("trusted"))
+
+
+def ratios(docs: DataFrame, chosen: DataFrame, alpha: float = 1.0) -> np.ndarray:
+    """log P(cell | trusted) - log P(cell | all documents) for each of BUCKETS cells; ``chosen`` is a ``sample``."""
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen.where("trusted").select("doc_id", "trusted")), "doc_id", "left")  # the list is bounded by TRUSTED
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -80,6 +94,30 @@ def ratios(docs: DataFrame, labels: DataFrame, alpha: float = 1.0) -> np.ndarray
     return np.log((good + BUCKETS * common) / (good.sum() + BUCKETS)) - np.log(common)
 
 
+def cut(good: np.ndarray, bad: np.ndarray, lost: float = LOST) -> float:
+    """The score that parts good from bad best, but at most what all but the share ``lost`` of the good reach."""
+    if not len(good):
+        return -math.inf
+    low = float(np.quantile(good, lost, method="lower"))
+    if not len(bad):
+        return low
+    seen = np.unique(np.concatenate((good, bad)))
+    at = np.append((seen[1:] + seen[:-1]) / 2, low)
+    gain = np.searchsorted(np.sort(bad), at) / len(bad) - np.searchsorted(np.sort(good), at) / len(good)
+    return min(float(at[gain >= gain.max() - 1e-12].min()), low)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of ``docs(doc_id, text)``: ratios of all of them, threshold of the labelled ones that pass the rules."""
+    chosen = sample(labels)
+    weights = ratios(docs, chosen)
+    if not weights.any():
+        return Model(weights, -math.inf)
+    seen = docs.select("doc_id", "text").join(F.broadcast(chosen.where("not trusted").select("doc_id", "good")), "doc_id")  # bounded as the sample is
+    rows = _assessed(seen, Model(weights, 0.0)).where("not base_failed").groupBy("doc_id", "good").agg(F.max("llr").alias("llr")).collect()  # at most 2 * TRUSTED
+    return Model(weights, cut(np.array([r.llr for r in rows if r.good]), np.array([r.llr for r in rows if not r.good])))
+
+
 def _per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(flags)))[bounds])
 
@@ -130,12 +168,12 @@ def rules(texts: pa.Array, words: Words) -> dict[str, np.ndarray]:
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _assessed(docs: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _assessed(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (any columns, ``text`` among them) with the figures, base_failed, llr and kept added."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in FIGURES), T.StructField("base_failed", T.BooleanType()), T.StructField("llr", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers
+    shared, threshold = docs.sparkSession.sparkContext.broadcast(model.weights), model.threshold  # BUCKETS numbers
 
     def assess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -152,12 +190,12 @@ def _assessed(docs: DataFrame, weights: np.ndarray, threshold: float) -> DataFra
     return docs.mapInArrow(assess, schema)
 
 
-def assess(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def assess(docs: DataFrame, model: Model) -> DataFrame:
     """``docs(doc_id, text)``: doc_id, the base rules' figures, base_failed, llr and the verdict ``kept``."""
-    return _assessed(docs.select("doc_id", "text"), weights, threshold).drop("text")
+    return _assessed(docs.select("doc_id", "text"), model).drop("text")
 
 
-def keep(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that pass, with their own columns only."""
     inner, restore = shielded(docs, "text")
-    return restore(_assessed(inner, weights, threshold).where("kept"))
+    return restore(_assessed(inner, model).where("kept"))

@@ -70,8 +70,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality.ratios(docs, _table(spark, sf_dir, "labels"))
-    return quality.assess(docs, weights)
+    return quality.assess(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,13 +255,13 @@ def test_pipeline(spark, sf_dir):
     from spanlab.llm.wordids import word_ids
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    weights = quality.ratios(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     texts = {r.doc_id: r.text for r in docs.collect()}
-    llr = {r.doc_id: r.llr for r in quality.assess(docs, weights).collect()}
+    llr = {r.doc_id: r.llr for r in quality.assess(docs, model).collect()}
     left = {}
     for i, t in texts.items():
         n, _, _, _, repeated = brute.rules(t)
-        if n >= 20 and 100 * repeated <= 30 * n and llr[i] >= quality.THRESHOLD:
+        if n >= 20 and 100 * repeated <= 30 * n and llr[i] >= model.threshold:
             left[i] = t
     left = {i: left[i] for i, c in brute.components(left).items() if c == i}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}

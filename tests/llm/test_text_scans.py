@@ -227,13 +227,13 @@ def test_decontamination_effects(spark, contaminated):
 def test_quality_figures(spark, docs):
     import numpy as np
 
-    got = quality.assess(docs, np.zeros(quality.BUCKETS)).collect()
+    got = quality.assess(docs, quality.Model(np.zeros(quality.BUCKETS), 0.0)).collect()
     assert len(got) == docs.count()
     by = sorted((brute.rules(r.text) for r in docs.collect()))
     assert sorted(tuple(r[c] for c in quality.FIGURES) for r in got) == by
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and r.kept == (not r.base_failed)
-    assert quality.assess(docs.limit(0), np.zeros(quality.BUCKETS)).count() == 0
+    assert quality.assess(docs.limit(0), quality.Model(np.zeros(quality.BUCKETS), 0.0)).count() == 0
 
 
 def test_quality_model_parts_junk_from_prose(spark):
@@ -246,11 +246,60 @@ def test_quality_model_parts_junk_from_prose(spark):
     rows = [(i, junk() if i % 5 == 0 else good(), "x") for i in range(1600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, llr string")
     labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 1, 0) for i in range(800)] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
-    weights = quality.ratios(docs, labels)
-    kept = quality.keep(docs, weights)
+    model = quality.fit(docs, labels)
+    kept = quality.keep(docs, model)
     held_out = {r.doc_id for r in kept.where("doc_id >= 800").collect()}
     assert kept.columns == docs.columns and held_out == {i for i in range(800, 1600) if i % 5}
-    assert not quality.ratios(docs, labels.limit(0)).any()
+    nothing = quality.fit(docs, labels.limit(0))
+    assert not nothing.weights.any() and nothing.threshold == float("-inf")
+    check_ratios(docs, labels, model)
+
+
+def check_ratios(docs, labels, model):
+    """The ratios restated with plain numbers, one n-gram at a time."""
+    import collections
+    import math
+
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def spread(h):
+        h ^= h >> 31
+        h = h * 0x9E3779B97F4A7C15 & full
+        h ^= h >> 29
+        h = h * 0xD6E8FEB86659FD93 & full
+        return h ^ h >> 32
+
+    def grams(text):
+        h = [spread(xxhash.xxh64_intdigest(w)) for w in brute.spaced(text)]
+        return [x >> 48 for x in h] + [spread((x * 0x9E3779B97F4A7C15 + y) & full) >> 48 for x, y in zip(h, h[1:], strict=False)]
+
+    marks = {r.doc_id: r.trusted for r in quality.sample(labels).collect()}
+    assert sum(marks.values()) > 300 and len(marks) > 1.2 * sum(marks.values())
+    raw, good = collections.Counter(), collections.Counter()
+    rows = docs.collect()
+    for r in rows:
+        raw.update(grams(r.text))
+        if marks.get(r.doc_id):
+            good.update(grams(r.text))
+    n, m, k = sum(raw.values()), sum(good.values()), quality.BUCKETS
+    common = lambda c: (raw[c] + 1) / (n + k)
+    ratio = {c: math.log((good[c] + k * common(c)) / (m + k)) - math.log(common(c)) for c in raw}
+    got = {r.doc_id: r for r in quality.assess(docs, model).collect()}
+    for r in rows:
+        own = grams(r.text)
+        llr = sum(ratio[c] for c in own) / max(1, len(own))
+        assert got[r.doc_id].llr == pytest.approx(llr, abs=1e-9) and got[r.doc_id].kept == (not got[r.doc_id].base_failed and llr >= model.threshold)
+
+
+def test_the_cut_parts_good_from_bad():
+    import numpy as np
+
+    good, bad = np.linspace(0, 1, 1001), np.array([-2.0, -1.0, -0.5, 0.3])
+    assert -0.5 < quality.cut(good, bad) <= 0.0
+    assert quality.cut(good, bad + 9) <= 0.005 and quality.cut(good, bad[:0]) == pytest.approx(0.005)
+    assert quality.cut(good[:0], bad) == float("-inf") and quality.cut(good[:1], bad[:1]) == -1.0
 
 
 PAGES = {
