@@ -14,8 +14,7 @@ from spanlab.llm.common import vocabulary_path, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the corpus model is that of this stage's input."""
-    weights = quality.ratios(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep(docs, weights)
+    return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
