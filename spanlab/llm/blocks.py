@@ -19,6 +19,7 @@ matter, nor does a lost executor: any task can be run again.
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +45,30 @@ def shards_of(blocks: int) -> int:
 
 def shard_bounds(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's part of sorted hashes begins and the last ends: shards split the hash range evenly."""
-    shard = (hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-    return np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64))
+    starts = np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
+    return np.append(np.searchsorted(hashes, starts), len(hashes))
 
 
-def planes(values: np.ndarray, width: int = 4) -> bytes:
-    """Unsigned integers as byte planes, so that high zero bytes lie together and compress away."""
-    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+def within_shard(hashes: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """The place of hashes in their shard's range, to so many bits; it ascends with the hash."""
+    return hashes * np.uint64(shards) >> np.uint64(64 - bits)
 
 
-def from_planes(data: bytes, width: int = 4) -> np.ndarray:
-    flat = np.frombuffer(data, np.uint8).reshape(width, -1)
+def packed(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Unsigned integers as byte planes, so that high bytes lie together and compress away."""
+    return packed(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    flat = np.frombuffer(unpacked(data), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(flat.T).view(f"<u{width}").reshape(-1)
 
 
@@ -68,10 +82,8 @@ def from_ascending(data: bytes) -> np.ndarray:
 
 
 def counted(values: np.ndarray) -> bytes:
-    """Counts in 4 bytes each where they fit, else in 8; a leading byte says which."""
-    width = 4 if not len(values) or values.max() < 1 << 32 else 8
-    return bytes([width]) + planes(values, width)
+    return planes(values, 8)
 
 
 def from_counted(data: bytes) -> np.ndarray:
-    return from_planes(data[1:], data[0]).astype(np.int64)
+    return from_planes(data, 8).astype(np.int64)

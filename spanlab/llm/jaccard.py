@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_words import plain_texts, release, words_of
-from .blocks import blocked, counted, from_counted, from_planes, planes, shard_bounds, shards_of
+from .blocks import ascending, blocked, counted, from_ascending, from_counted, shard_bounds, shards_of, within_shard
 from .common import mixed, shielded, written
 
 SHINGLE = 5
@@ -96,13 +96,12 @@ class Sets:
 
     def asked(self, block: int, shards: int) -> pa.Table:
         k, m = shard_bounds(self.keys, shards), shard_bounds(self.marks[:, 0], shards)
-        low = (((self.keys >> np.uint64(32)) * np.uint64(shards)) & np.uint64(0xFFFFFFFF)) + ((self.keys & np.uint64(0xFFFFFFFF)) * np.uint64(shards) >> np.uint64(32))
-        low = np.minimum(low, np.uint64(0xFFFFFFFF))
+        low = within_shard(self.keys, shards, 32)
         ids = self.number[self.has][self.by_mark]
         rows = []
         for s in range(shards):
             if k[s] < k[s + 1] or m[s] < m[s + 1]:
-                rows.append((s, block, planes(np.diff(low[k[s] : k[s + 1]], prepend=np.uint64(0))), counted(self.count[k[s] : k[s + 1]] - 1), self.marks[m[s] : m[s + 1]].astype("<u8").tobytes(), ids[m[s] : m[s + 1]].astype("<i8").tobytes()))
+                rows.append((s, block, ascending(low[k[s] : k[s + 1]]), counted(self.count[k[s] : k[s + 1]] - 1), self.marks[m[s] : m[s + 1]].astype("<u8").tobytes(), ids[m[s] : m[s + 1]].astype("<i8").tobytes()))
         columns = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "block", "keys", "counts", "sets", "ids"])
@@ -112,7 +111,7 @@ def _totals(table: pa.Table) -> pa.Table:
     """One shard: frequency of each key and smallest id of each set, for every block in its own order."""
     release()
     rows = table.to_pylist()
-    keys = [np.cumsum(from_planes(r["keys"]).astype(np.int64)) for r in rows]
+    keys = [from_ascending(r["keys"]) for r in rows]
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.concatenate([from_counted(r["counts"]) + 1 for r in rows])
     total = np.bincount(at, weights=counts).astype(np.int64)[at] if len(at) else counts

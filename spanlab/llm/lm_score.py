@@ -16,8 +16,9 @@ for the word, its failure arc is taken; the arc then taken leads to the state of
 history that ends in the word.  A text starts in a state of its own and ends with an end token.
 
 The counts come from the exchange in ``blocks``: every block of documents asks for the
-totals of the words (by the words themselves) and of the pairs and triples of words (by 64-bit
-hashes) it holds and builds the part of the automaton that its texts can reach.  Nothing else is gathered, and what
+totals of the words (by the words themselves) and of the pairs and triples of words (by hashes,
+kept to ``GRAM_BITS`` bits below their shard, at which one gram in some ten million shares its
+count with another, at every size of the corpus) it holds and builds the part of the automaton that its texts can reach.  Nothing else is gathered, and what
 is gathered follows the input.
 
 Nulls: a null text is empty (its end token is scored); a null id counts as the text "" in the
@@ -37,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_words import plain_texts, release, slices, words_of
-from .blocks import ascending, blocked, counted, from_ascending, from_counted, shard_bounds, shards_of
+from .blocks import ascending, blocked, counted, from_ascending, from_counted, packed, shard_bounds, shards_of, unpacked, within_shard
 from .common import mixed
 
 FOLDS, HELD = 5, 1
 STRENGTH = (1500.0, 5.0)  # K and L, the best of ten settings on the held-out texts of a 10,000-document sample
+GRAM_BITS = 44
 _START = np.uint64(0x5851F42D4C957F2D)
 
 ASKED = "shard int, block int, n_words int, words binary, word_counts binary, grams binary, gram_counts binary"
@@ -93,7 +95,8 @@ class Block:
         grams = np.bincount(self.pair[train], minlength=len(self.grams)) + np.bincount(self.triple[train & (self.triple >= 0)], minlength=len(self.grams))
         names = [self.names[i] for i in self.order]
         w, g = shard_bounds(self.hashes, shards), shard_bounds(self.grams, shards)
-        rows = [(s, block, w[s + 1] - w[s], b"\n".join(names[w[s] : w[s + 1]]), counted(words[w[s] : w[s + 1]]), ascending(self.grams[g[s] : g[s + 1]]), counted(grams[g[s] : g[s + 1]])) for s in range(shards) if w[s] < w[s + 1] or g[s] < g[s + 1]]
+        place = within_shard(self.grams, shards, GRAM_BITS)
+        rows = [(s, block, w[s + 1] - w[s], packed(b"\n".join(names[w[s] : w[s + 1]])), counted(words[w[s] : w[s + 1]]), ascending(place[g[s] : g[s + 1]]), counted(grams[g[s] : g[s + 1]])) for s in range(shards) if w[s] < w[s + 1] or g[s] < g[s + 1]]
         columns = list(zip(*rows, strict=True)) or [()] * 7
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "block", "n_words", "words", "word_counts", "grams", "gram_counts"])
@@ -104,7 +107,7 @@ def _totals(table: pa.Table) -> pa.Table:
     release()
     rows = table.to_pylist()
     known: dict[bytes, int] = {}
-    names = [r["words"].split(b"\n") if r["n_words"] else [] for r in rows]
+    names = [unpacked(r["words"]).split(b"\n") if r["n_words"] else [] for r in rows]
     for own, r in zip(names, rows, strict=True):
         for name, n in zip(own, from_counted(r["word_counts"]).tolist(), strict=True):
             known[name] = known.get(name, 0) + n

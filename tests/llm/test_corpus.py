@@ -50,10 +50,10 @@ def test_what_blocks_ask_grows_with_the_input(spark):
     for n in (400, 800):
         df = spark.createDataFrame(texts[:n], "doc_id long, text string")
         table, k = blocks.blocked(df, 4000)
-        asked = lm_score.asked_of(table, k).select("block", "shard", F.length("grams").alias("g"), "n_words").collect()
-        assert all(r.g or r.n_words for r in asked) and len(asked) == len({(r.block, r.shard) for r in asked})
-        assert len(asked) <= sum(r.g // 8 + r.n_words for r in asked)
-        n_rows.append(sum(r.g // 8 + r.n_words for r in asked))
+        asked = lm_score.asked_of(table, k).collect()
+        keys = [r.n_words + len(blocks.from_ascending(r.grams)) for r in asked]
+        assert all(keys) and len(asked) == len({(r.block, r.shard) for r in asked}) <= min(sum(keys), k * blocks.shards_of(k))
+        n_rows.append(sum(keys))
     assert n_rows[1] <= 2.1 * n_rows[0]
 
 
