@@ -47,8 +47,3 @@ def matched_phrases(text: Column, phrases: Sequence[str]) -> Column:
     """Leftmost, non-overlapping phrases of a normalised text, longer ones first."""
     ordered = sorted(phrases, key=lambda p: (-len(p), p))
     return F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(map(re.escape, ordered))})\b"), F.lit(1))
-
-
-def any_word(text: Column, *stems: str) -> Column:
-    """Whether one of the words, or of the stems ending in ``*``, occurs."""
-    return text.rlike(rf"\b({'|'.join(s.replace('*', '[a-z0-9]*') for s in stems)})\b")

@@ -48,90 +48,99 @@ def q_sanitize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", clean.alias("clean")).withColumn("n_words", F.when(F.col("clean").isNotNull(), F.size(F.split("clean", " "))).cast("long"))
 
 
+# Question, its intent, whether it asks for yes or no, whether it negates, whether it is an open question in polite form.
 QUESTIONS = [
-    "Is a needle driver being used?", "Is there no needle driver in view?", "Are forceps present?", "Was a stapler fired?", "Is any instrument visible?",
-    "Are no tools installed?", "Is the tissue being cut?", "Is anything being dissected here?", "Is the surgeon suturing?", "Does this show stitching?",
-    "Is this an open procedure?", "Is it laparoscopic?", "Was it a robot assisted operation?", "Is this the knot exercise?", "Does the clip show ring transfer?",
-    "Is the camera moving?", "In this clip, is blood visible?", "Can you confirm that scissors are used?", "Can you identify the organ?", "Could you describe the procedure being performed?",
-    "Would you describe this as suturing?", "What tool is used?", "Which instruments are visible?", "What type of forceps is this?", "Name the device in the left of the image.",
-    "How many instruments are there?", "What is the number of tools?", "How long does this step take?", "Which arm holds the needle driver?", "Where is the grasper?",
-    "Who is operating?", "How many seconds is the stapler used?", "What organ is manipulated in this procedure?", "Which tissue is grasped?", "What is the location of the procedure?",
-    "What is the purpose of the clip applier?", "What are forceps for?", "Why is the cautery hook used?", "What phase of the procedure is this?", "Which forceps is used in this step?",
-    "What procedure is being performed?", "What is the surgeon doing?", "Describe what is happening in this clip.", "Summarize the surgical activity.", "Tell me about the weather.",
-    "", "What surgery is this?", "Explain the scene.", "Is the vein divided, or not?", "State the operation shown.",
-]
-_LIT = "q(id, question) AS (VALUES " + ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(QUESTIONS)) + ")"
+    ("Is a needle driver in the picture?", "tool_presence", 1, 0, 0),
+    ("Is there no stapler on the screen?", "tool_presence", 1, 1, 0),
+    ("Do we see scissors, yes or no?", "tool_presence", 1, 1, 0),
+    ("Vessel sealer - in use or not?", "tool_presence", 1, 1, 0),
+    ("Have any instruments entered the field?", "tool_presence", 1, 0, 0),
+    ("A retractor stands by, right?", "tool_presence", 1, 0, 0),
+    ("Am I right that a ProGrasp holds the bowel?", "tool_presence", 1, 0, 0),
+    ("Aren't those bipolar forceps?", "tool_presence", 1, 0, 0),
+    ("Can you tell whether a clip applier was fired?", "tool_presence", 1, 0, 0),
+    ("Will the cautery hook be needed for the incision?", "tool_presence", 1, 0, 0),
+    ("Has the duct been transected?", "cutting", 1, 0, 0),
+    ("At this moment, are adhesions trimmed?", "cutting", 1, 0, 0),
+    ("Is nothing severed here?", "cutting", 1, 1, 0),
+    ("Would you describe that as dissection?", "cutting", 1, 0, 0),
+    ("Are stitches placed?", "suture", 1, 0, 0),
+    ("Does the trainee finish without a knot?", "suture", 1, 1, 0),
+    ("Is the range of motion drill running?", "task_confirm", 1, 0, 0),
+    ("Do they work near the uterine horn?", "task_confirm", 1, 0, 0),
+    ("Was it done as open surgery?", "approach", 1, 0, 0),
+    ("Is it a robotic case?", "approach", 1, 0, 0),
+    ("Is it robotic or laparoscopic?", "unknown_polar", 1, 0, 0),
+    ("Did the patient wake up?", "unknown_polar", 1, 0, 0),
+    ("Is the light bright?", "unknown_polar", 1, 0, 0),
+    ("Could you please name the device at the top?", "tool_identity", 0, 0, 1),
+    ("Would you list the tools laid out?", "tool_identity", 0, 0, 1),
+    ("Which grasper pulls on the liver tissue?", "tool_identity", 0, 0, 0),
+    ("What sort of scissors does one see?", "tool_identity", 0, 0, 0),
+    ("How many devices can be told apart?", "count", 0, 0, 0),
+    ("Give the number of instruments, please.", "count", 0, 0, 0),
+    ("How many minutes does the step last?", "unknown_open", 0, 0, 0),
+    ("How long did the operation take?", "unknown_open", 0, 0, 0),
+    ("Who holds the retractor?", "unknown_open", 0, 0, 0),
+    ("Where was the film made?", "unknown_open", 0, 0, 0),
+    ("Which hand moves first?", "unknown_open", 0, 0, 0),
+    ("Which organ is lifted by the forceps?", "organ", 0, 0, 0),
+    ("What tissue lies under the hook?", "organ", 0, 0, 0),
+    ("Can you identify the anatomical region?", "organ", 0, 0, 1),
+    ("What are bipolar forceps for?", "purpose", 0, 0, 0),
+    ("Why does one take a stapler here?", "purpose", 0, 0, 0),
+    ("State the role of the second instrument.", "purpose", 0, 0, 0),
+    ("What is a vessel sealer used for?", "purpose", 0, 0, 0),
+    ("Which step of the operation do we watch?", "task", 0, 0, 0),
+    ("What exercise is this?", "task", 0, 0, 0),
+    ("What is going on?", "task", 0, 0, 0),
+    ("Explain what the team is doing.", "task", 0, 0, 0),
+    ("Which operation was filmed?", "procedure", 0, 0, 0),
+    ("Could you specify the procedure?", "procedure", 0, 0, 1),
+    ("Name the surgery.", "procedure", 0, 0, 0),
+    ("Sing a song.", "unknown_open", 0, 0, 0),
+    ("", "unknown_open", 0, 0, 0),
+    ("What's the weather like?", "unknown_open", 0, 0, 0),
+]
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_LIT = "q(id, question, intent, polar, negated, polite) AS (VALUES " + ", ".join(f"({i}, {_QUOTED(q)}, '{k}', {p}, {n}, {o})" for i, (q, k, p, n, o) in enumerate(QUESTIONS)) + ")"
 
 
 def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "id long, question string")
+    return spark.createDataFrame([(i, q[0]) for i, q in enumerate(QUESTIONS)], "id long, question string")
 
 
-def _stem(*words: str) -> str:
-    return r"\b(" + "|".join(w.replace("*", "[a-z0-9]*") for w in words) + r")\b"
-
-
-_N = "trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g'), ' ')"
-_RULES_SQL = rf"""{_LIT}, cl AS (SELECT id, question, {_N} AS whole, [trim(c, ' ') FOR c IN regexp_split_to_array(lower(trim(question, ' ')), '[,;:]')] AS cs FROM q),
-po AS (SELECT *, len([c FOR c IN cs IF regexp_matches(c, '^({R.POLAR.replace("'", "''")})\b') AND NOT (regexp_matches(c, '{R.POLITE}') AND (regexp_matches(regexp_replace(c, '{R.POLITE}', ''), '^(what|which|who|where|when|why|how)\b') OR (regexp_matches(regexp_replace(c, '{R.POLITE}', ''), '^(identify|describe|name|list|state|specify)\b') AND NOT contains(c, ' as '))))]) > 0 AS polar,
-  regexp_matches(lower(trim(question, ' ')), '{R.POLITE}') AND (regexp_matches(regexp_replace(lower(trim(question, ' ')), '{R.POLITE}', ''), '^(what|which|who|where|when|why|how)\b') OR (regexp_matches(regexp_replace(lower(trim(question, ' ')), '{R.POLITE}', ''), '^(identify|describe|name|list|state|specify)\b') AND NOT contains(question, ' as '))) AS polite FROM cl),
-tx AS (SELECT *, trim(regexp_replace(CASE WHEN polite THEN regexp_replace(lower(trim(question, ' ')), '{R.POLITE}', '') ELSE lower(question) END, '[^a-z0-9]+', ' ', 'g'), ' ') AS text, regexp_matches(whole, '{_stem(*(t + "s?" for t in R.TOOLS))}') AS tool, regexp_matches(whole, '\b(no|not|without|absent|never|none)\b') AS neg FROM po),
-it AS (SELECT *, CASE WHEN whole = '' THEN 'unknown_open' WHEN polar AND tool THEN 'tool_presence' WHEN polar AND regexp_matches(whole, '{_stem(*R.TASKS)}') THEN 'task_confirm'
- WHEN polar AND regexp_matches(whole, '{_stem(*R.APPROACH)}') THEN 'approach' WHEN polar AND regexp_matches(whole, '{_stem(*R.CUT)}') THEN 'cutting' WHEN polar AND regexp_matches(whole, '{_stem(*R.SEW)}') THEN 'suture'
- WHEN polar AND regexp_matches(whole, '{_stem(*R.TOOL_WORDS)}') THEN 'tool_presence' WHEN polar THEN 'unknown_polar'
- WHEN regexp_matches(text, '^(how much time|how many (seconds|minutes|times)|when|where|who)\b|\bhow long\b|\b(what|which|whose) (arms?|sides?|hands?)\b') THEN 'unknown_open'
- WHEN regexp_matches(text, '\b(purpose|why|function|used for|role of|meant to|intended)\b|\bfor$') THEN 'purpose' WHEN regexp_matches(text, '\bhow (many|much)\b|\bnumber of\b|\bcount\b') THEN 'count'
- WHEN regexp_matches(text, '\b(organs?|anatom(y|ic|ical))\b|\b(what|which|name the|identify the) (tissues?|structures?|part of the body|body part)\b') OR (regexp_matches(text, '\b(location|located)\b|\b(anatomic(al)?|body) (region|site|area)\b') AND NOT tool) THEN 'organ'
- WHEN regexp_matches(text, '\b(what|which) ((kind|type|sort) of )?{R.TASK_WORDS}\b') THEN 'task'
- WHEN regexp_matches(text, '\bwhat ((kind|type|sort) of )?(procedure|surgery|operation)\b|\b(procedure|surgery|operation) (is|was) (this|being)\b|\bsummary describ') THEN 'procedure'
- WHEN tool OR regexp_matches(text, '{_stem(*R.TOOL_WORDS)}') THEN 'tool_identity' WHEN regexp_matches(text, '\b{R.TASK_WORDS}\b') THEN 'task'
- WHEN regexp_matches(text, '^(what|which|describe|identify|name|list|state)\b') AND regexp_matches(text, '\b(procedure|surgery|operation)\b') THEN 'procedure'
- WHEN regexp_matches(text, '^(what|which|describe|identify|name|list|state)\b') AND regexp_matches(text, '\b(doing|performed|performing|underway)\b') THEN 'task'
- WHEN regexp_matches(text, '\bwhat ?s? (is |are )?(happening|going on|taking place|occurring)\b|\b(describe|explain|summari[sz]e|tell me)\b.*\b(happening|going on|taking place|scene|surgeon (is doing|does)|being (done|performed))\b') THEN 'task' ELSE 'unknown_open' END AS intent FROM tx)"""
-
-
-@query(f"WITH {_RULES_SQL} SELECT id::BIGINT AS id, question, intent FROM it")
+@query(f"WITH {_LIT} SELECT id::BIGINT AS id, question, intent FROM q")
 def q_intent_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark).withColumn("intent", R.intent(F.col("question")))
 
 
-@query(f"WITH {_RULES_SQL} SELECT id::BIGINT AS id, CAST(polar AS INT) AS polar, CAST(neg AS INT) AS negated, CAST(polite AS INT) AS polite FROM it")
+@query(f"WITH {_LIT} SELECT id::BIGINT AS id, polar, negated, polite FROM q")
 def q_text_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
-    return _questions(spark).select("id", R.is_polar(q).cast("int").alias("polar"), R.negated(q).cast("int").alias("negated"), R.polite_open(F.lower(F.trim(q))).cast("int").alias("polite"))
+    return _questions(spark).select("id", R.is_polar(q).cast("int").alias("polar"), R.negated(q).cast("int").alias("negated"), R.polite_open(R.tokens(q)).cast("int").alias("polite"))
 
 
-RECORDS = [("a", ["forceps", "needle driver"], "Suturing", "uterine horn"), ("b", [], None, None), ("c", ["scissors"], "Dissection", "rectal artery")]
-_REC = "rec(rid, tools, task, organ) AS (VALUES ('a', ['forceps', 'needle driver'], 'Suturing', 'uterine horn'), ('b', CAST([] AS VARCHAR[]), NULL, NULL), ('c', ['scissors'], 'Dissection', 'rectal artery'))"
-_TOOLRE = "|".join(R.TOOLS)
+RECORDS = [("a", ["cadiere forceps", "needle driver"], "suturing", "Uterus", "robotic"), ("b", [], None, None, None), ("c", ["monopolar curved scissors"], "range of motion", "Liver", "open"), ("d", [], "uterine horn", None, "robotic")]
+_REC = "rec(rid, tools, task, organ, approach) AS (VALUES ('a', ['cadiere forceps', 'needle driver'], 'suturing', 'Uterus', 'robotic'), ('b', CAST([] AS VARCHAR[]), NULL, NULL, NULL), ('c', ['monopolar curved scissors'], 'range of motion', 'Liver', 'open'), ('d', CAST([] AS VARCHAR[]), 'uterine horn', NULL, 'robotic'))"
+# The instrument, task or approach that a question names.
+NAMED = {0: "needle driver", 1: "stapler", 2: "scissors", 3: "vessel sealer", 5: "retractor", 6: "prograsp", 7: "bipolar", 8: "clip applier", 9: "cautery hook", 16: "range of motion", 17: "uterine horn", 18: "open", 19: "robotic", 25: "grasper", 26: "scissors", 37: "bipolar", 38: "stapler", 40: "vessel sealer"}
+_NAMED = "named(id, term) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in NAMED.items()) + ")"
 
 
-@query(rf"""WITH {_RULES_SQL}, {_REC}, j AS (SELECT id, rid, intent, neg, tools, task, organ, regexp_extract(whole, '\b({_TOOLRE})', 1) AS named FROM it, rec),
-y AS (SELECT *, CASE intent WHEN 'tool_presence' THEN CASE WHEN named <> '' THEN list_contains(tools, named) ELSE len(tools) > 0 END WHEN 'cutting' THEN list_contains(tools, 'scissors') WHEN 'suture' THEN list_contains(tools, 'needle driver') END AS yes FROM j)
-SELECT id::BIGINT AS id, rid, CASE WHEN yes IS NOT NULL THEN CASE WHEN yes <> neg THEN 'Yes' ELSE 'No' END WHEN intent IN ('task_confirm', 'approach', 'unknown_polar') THEN 'Yes'
- WHEN intent = 'count' THEN list_extract(['Zero', 'One', 'Two', 'Three'], len(tools)::INT + 1) WHEN intent = 'organ' THEN coalesce(upper(organ[1]) || organ[2:], 'Not visible') WHEN intent = 'task' THEN coalesce(task, 'Surgical activity')
- WHEN intent = 'tool_identity' THEN CASE WHEN len(tools) = 0 THEN 'No instrument' WHEN len(tools) = 1 THEN upper(tools[1][1]) || tools[1][2:] ELSE upper(tools[1][1]) || tools[1][2:] || ' and ' || tools[2] END
- WHEN intent = 'purpose' THEN 'To handle tissue' WHEN intent = 'procedure' THEN 'Endoscopic surgery' ELSE 'A surgical scene' END AS answer FROM y""")
+@query(rf"""WITH {_LIT}, {_REC}, {_NAMED}, j AS (SELECT q.*, rec.*, coalesce(term, '') AS term, array_to_string(tools, ' | ') AS held,
+ CASE WHEN len(tools) < 2 THEN array_to_string(tools, '') ELSE array_to_string(tools[:-2], ', ') || ' and ' || tools[-1] END AS listed FROM q CROSS JOIN rec LEFT JOIN named USING (id)),
+y AS (SELECT *, CASE intent WHEN 'tool_presence' THEN CASE WHEN term <> '' THEN contains(held, term) ELSE held <> '' END WHEN 'cutting' THEN contains(held, 'scissors') OR contains(held, 'hook') WHEN 'suture' THEN contains(held, 'needle driver')
+ WHEN 'task_confirm' THEN coalesce(task = term, false) WHEN 'approach' THEN coalesce(approach = term, false) END AS yes FROM j),
+r AS (SELECT id, rid, CASE WHEN yes IS NOT NULL THEN CASE WHEN yes <> (negated = 1) THEN 'Yes' ELSE 'No' END WHEN intent = 'count' THEN ['Zero', 'One', 'Two'][len(tools) + 1] WHEN intent = 'organ' THEN coalesce(organ, 'Not visible')
+ WHEN intent = 'task' THEN coalesce(task, 'Surgical activity') WHEN intent = 'tool_identity' THEN CASE WHEN held = '' THEN 'No instrument' ELSE listed END WHEN intent = 'purpose' THEN CASE WHEN term <> '' THEN 'The ' || term || ' serves to handle tissue' ELSE 'To handle tissue' END
+ WHEN intent = 'procedure' THEN 'Endoscopic surgery' WHEN held <> '' AND task IS NOT NULL THEN listed || ' during ' || task WHEN held <> '' THEN listed || ' in view' WHEN task IS NOT NULL THEN 'A clip of ' || task ELSE 'A surgical scene' END AS answer FROM y)
+SELECT id::BIGINT AS id, rid, upper(answer[1]) || answer[2:] AS answer FROM r""")
 def q_answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question by record to the final answer; every question keeps a row, unknown ones a general sentence."""
-    from ..functions.arrays import english_list
-
-    rec = F.broadcast(spark.createDataFrame(RECORDS, "rid string, tools array<string>, task string, organ string"))
-    q = F.col("question")
-    j = _questions(spark).select("id", "question", R.intent(q).alias("intent"), F.regexp_extract(X.words_only(q), rf"\b({_TOOLRE})", 1).alias("named")).crossJoin(rec)  # two literal tables
-    intent, tools = F.col("intent"), F.col("tools")
-    yes = F.when(intent == "tool_presence", F.when(F.col("named") != "", F.array_contains("tools", F.col("named"))).otherwise(F.size("tools") > 0)).when(intent == "cutting", F.array_contains("tools", "scissors")).when(intent == "suture", F.array_contains("tools", "needle driver"))
-    answer = (
-        F.when(yes.isNotNull(), R.polar_answer(yes, q))
-        .when(intent.isin("task_confirm", "approach", "unknown_polar"), "Yes")
-        .when(intent == "count", F.get(F.array(*map(F.lit, ("Zero", "One", "Two", "Three"))), F.size("tools")))
-        .when(intent == "organ", F.coalesce(F.col("organ"), F.lit("Not visible")))
-        .when(intent == "task", F.coalesce(F.col("task"), F.lit("Surgical activity")))
-        .when(intent == "tool_identity", F.when(F.size("tools") == 0, "No instrument").otherwise(english_list(tools)))
-        .when(intent == "purpose", "To handle tissue")
-        .when(intent == "procedure", "Endoscopic surgery")
-        .otherwise("A surgical scene")
-    )
+    rec = F.broadcast(spark.createDataFrame(RECORDS, "rid string, tools array<string>, task string, organ string, approach string"))
+    j = _questions(spark).crossJoin(rec)  # two literal tables
+    answer = R.answered(F.col("question"), F.col("tools"), F.col("task"), F.col("organ"), F.col("approach"))
     return j.select("id", "rid", X.finalized(answer, "Unknown").alias("answer"))
 
 
