@@ -72,11 +72,21 @@ def stratified_sample(df: DataFrame, stratum: str, shares: DataFrame, order: Col
 
 
 def case_split(df: DataFrame, key: str, seed: str, share: float) -> DataFrame:
-    """Each distinct key in ``val`` (the first round(n * share) in hash order) or ``train``."""
-    keys = df.select(key).distinct()
-    by = Window.orderBy(draw(seed, F.col(key)))
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    return keys.withColumn("_r", F.row_number().over(by)).withColumn("_n", n).select(key, F.when(F.col("_r") <= F.round(F.col("_n") * share), "val").otherwise("train").alias("split"))
+    """Each distinct key in ``val`` (the first round(n * share) in hash order) or ``train``.
+
+    The hash at which ``val`` ends is found from counts by its first characters, so no key is
+    ranked but those of the one cell in which it lies.
+    """
+    keys = df.select(key).distinct().withColumn("_d", draw(seed, F.col(key))).withColumn("_cell", F.substring("_d", 1, 4))
+    cells = keys.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))  # at most 65,536
+    order = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("_upto", F.sum("_n").over(order)).withColumn("_most", F.round(F.sum("_n").over(Window.partitionBy(F.lit(1))) * share))
+    placed = keys.join(cells, "_cell")
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy("_d"))
+    edge = (F.col("_upto") > F.col("_most")) & (F.col("_upto") - F.col("_n") < F.col("_most"))
+    sure = placed.where(~edge).select(key, F.when(F.col("_upto") <= F.col("_most"), "val").otherwise("train").alias("split"))
+    close = placed.where(edge).withColumn("_r", F.col("_upto") - F.col("_n") + within).select(key, F.when(F.col("_r") <= F.col("_most"), "val").otherwise("train").alias("split"))
+    return sure.unionByName(close)
 
 
 def split_cost(counts: DataFrame, split: DataFrame, key: str, cls: str, n: str, share: float, floor: int) -> DataFrame:
@@ -91,15 +101,79 @@ def fold_trials(counts: DataFrame, key: str, cls: str, n: str, trials: int) -> D
     """Objective of hash-drawn two-fold splits: worst log ratio of a class and half the size skew."""
     from ..functions.hashing import stable_index
 
-    each = counts.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
-    fold = stable_index(F.concat_ws("|", "trial", key), 2)
-    side = lambda f: F.sum(F.when(fold == f, F.col(n)).otherwise(0))
+    per_key = counts.groupBy(key).agg(F.collect_list(F.struct(cls, n)).alias("_all"))  # a row a class
+    each = per_key.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
+    each = each.withColumn("_fold", stable_index(F.concat_ws("|", "trial", key), 2)).select("trial", "_fold", F.inline("_all"))
+    side = lambda f: F.sum(F.when(F.col("_fold") == f, F.col(n)).otherwise(0))
     per = each.groupBy("trial", cls).agg(side(0).alias("a"), side(1).alias("b"))
     worst = F.max(F.abs(F.log((F.col("a") + 1) / (F.col("b") + 1))))
     skew = F.abs(F.sum("a") - F.sum("b")) / F.sum(F.col("a") + F.col("b"))
     return per.groupBy("trial").agg((worst + 0.5 * skew).alias("objective"))
 
 
+def holdout_trials(durations: DataFrame, key: str, family: str, seconds: str, share: float, trials: int) -> DataFrame:
+    """Hash-drawn holdouts judged by how far each family's share of the duration is from ``share``.
+
+    trial, objective (the worst distance), missing (families without any held-out duration).
+    """
+    from ..functions.hashing import stable_index
+
+    per_key = durations.groupBy(key).agg(F.collect_list(F.struct(family, seconds)).alias("_all"))  # a row a family
+    each = per_key.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
+    held = stable_index(F.concat_ws("|", F.lit("holdout"), "trial", key), 1000) < int(share * 1000)
+    each = each.withColumn("_held", held).select("trial", "_held", F.inline("_all"))
+    per = each.groupBy("trial", family).agg(F.sum(F.when(F.col("_held"), F.col(seconds)).otherwise(0)).alias("h"), F.sum(seconds).alias("t"))
+    return per.groupBy("trial").agg(F.max(F.abs(F.col("h") / F.col("t") - share)).alias("objective"), F.count_if(F.col("h") == 0).alias("missing"))
+
+
+MOST_CASES = 100_000
+
+
+def swap_search(counts: DataFrame, key: str, cls: str, n: str, share: float, floor: int, restarts: int = 4) -> DataFrame:
+    """Split of the keys, ``val`` or ``train``, at a local optimum of ``split_cost`` under swaps of two keys.
+
+    Counts are gathered in Spark, a row of classes a key (at most ``MOST_CASES`` keys, else an error);
+    the search starts at hash-drawn splits and takes the best swap while one helps.
+    """
+    import hashlib
+
+    import numpy as np
+
+    rows = counts.groupBy(key).agg(F.collect_list(F.struct(cls, n)).alias("all")).limit(MOST_CASES + 1).collect()
+    if len(rows) > MOST_CASES:
+        raise ValueError(f"more than {MOST_CASES} keys to search over")
+    rows.sort(key=lambda r: str(r[0]))
+    names = sorted({str(x[0]) for r in rows for x in r["all"]})
+    at = {c: j for j, c in enumerate(names)}
+    m = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        for c, x in r["all"]:
+            m[i, at[str(c)]] += x
+    total, size = m.sum(axis=0), round(len(rows) * share)
+    cost = lambda v: ((v / (share * total) - 1) ** 2).sum(axis=-1) + 1000 * (v < floor).sum(axis=-1)
+    best, chosen = np.inf, np.zeros(len(rows), bool)
+    for k in range(restarts if size else 0):
+        order = sorted(range(len(rows)), key=lambda i: hashlib.sha256(f"{k}|{rows[i][0]}".encode()).digest())
+        val = np.zeros(len(rows), bool)
+        val[order[:size]] = True
+        now = float(cost(m[val].sum(axis=0)))
+        while True:
+            inside, outside, sums = np.flatnonzero(val), np.flatnonzero(~val), m[val].sum(axis=0)
+            if not len(outside):
+                break
+            tried = [cost(sums - m[i] + m[outside]) for i in inside]
+            i = int(np.argmin([t.min() for t in tried]))
+            j = int(np.argmin(tried[i]))
+            if tried[i][j] >= now - 1e-12:
+                break
+            val[inside[i]], val[outside[j]], now = False, True, float(tried[i][j])
+        if now < best:
+            best, chosen = now, val
+    spark = counts.sparkSession
+    kind = counts.schema[key].dataType.simpleString()
+    return spark.createDataFrame([(r[0], "val" if v else "train") for r, v in zip(rows, chosen, strict=True)], f"`{key}` {kind}, split string")
+
+
 def systematic(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:
     """Every ``step``-th row of each key, the first included."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1

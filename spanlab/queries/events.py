@@ -350,14 +350,34 @@ def q_split_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_cost(counts, split, "case_id", "cls", "n", 0.2, floor=5)
 
 
-@query(f"""WITH {STAB}, n AS (SELECT case_id, cls, count(*) AS n FROM (SELECT DISTINCT case_id, part, seg_id, k, cls FROM stab) GROUP BY 1, 2), t AS (SELECT unnest(range(50)) AS trial),
-x AS (SELECT trial, cls, n, CAST(('0x' || sha256(trial || '|' || case_id)[1:16])::UHUGEINT % 2 AS INT) AS fold FROM n, t),
+@query(f"""WITH {STAB}, n AS (SELECT case_id, cls, count(*) AS n FROM (SELECT DISTINCT case_id, part, seg_id, k, cls FROM stab) GROUP BY 1, 2), t AS (SELECT unnest(range(4000)) AS trial),
+d AS (SELECT trial, case_id, CAST(('0x' || sha256(trial || '|' || case_id)[1:16])::UHUGEINT % 2 AS INT) AS fold FROM (SELECT DISTINCT case_id FROM n), t),
+x AS (SELECT trial, cls, n, fold FROM n JOIN d USING (case_id)),
 y AS (SELECT trial, cls, coalesce(sum(n) FILTER (WHERE fold = 0), 0) AS a, coalesce(sum(n) FILTER (WHERE fold = 1), 0) AS b FROM x GROUP BY 1, 2),
 z AS (SELECT trial, max(abs(ln((a + 1) / (b + 1)))) AS worst, abs(sum(a) - sum(b)) / sum(a + b) AS skew FROM y GROUP BY trial)
 SELECT trial::BIGINT AS trial, round(worst + 0.5 * skew, 6) AS objective FROM z ORDER BY round(worst + 0.5 * skew, 9), trial LIMIT 1""")
 def q_fold_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _window_sets(spark, sf_dir).select("case_id", F.explode("classes").alias("cls")).groupBy("case_id", "cls").agg(F.count(F.lit(1)).alias("n"))
-    return S.fold_trials(counts, "case_id", "cls", "n", 50).orderBy(F.round("objective", 9), "trial").limit(1).select("trial", F.round("objective", 6).alias("objective"))
+    return S.fold_trials(counts, "case_id", "cls", "n", 4000).orderBy(F.round("objective", 9), "trial").limit(1).select("trial", F.round("objective", 6).alias("objective"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type, sum(value) AS secs FROM events GROUP BY 1, 2), t AS (SELECT unnest(range(4000)) AS trial),
+d AS (SELECT trial, user_id, CAST(('0x' || sha256('holdout|' || trial || '|' || user_id)[1:16])::UHUGEINT % 1000 AS INT) < 200 AS held FROM (SELECT DISTINCT user_id FROM events), t),
+y AS (SELECT trial, event_type, coalesce(sum(secs) FILTER (WHERE held), 0) AS h, sum(secs) AS t FROM f JOIN d USING (user_id) GROUP BY 1, 2),
+z AS (SELECT trial, max(abs(h / t - 0.2)) AS objective, count(*) FILTER (WHERE h = 0) AS missing FROM y GROUP BY 1)
+SELECT trial::BIGINT AS trial, round(objective, 6) AS objective FROM z WHERE missing = 0 ORDER BY round(objective, 9), trial LIMIT 1""")
+def q_duration_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of 4,000 holdouts by duration; one that leaves a family out doesn't count."""
+    f = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("secs"))
+    trials = S.holdout_trials(f, "user_id", "event_type", "secs", 0.2, 4000).where("missing = 0")
+    return trials.orderBy(F.round("objective", 9), "trial").limit(1).select("trial", F.round("objective", 6).alias("objective"))
+
+
+@query()
+def q_split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of a stratified split found by swaps; an iterative search, so tested against brute force."""
+    counts = _window_sets(spark, sf_dir).select("case_id", F.explode("classes").alias("cls")).groupBy("case_id", "cls").agg(F.count(F.lit(1)).alias("n"))
+    return S.swap_search(counts, "case_id", "cls", "n", 0.2, floor=5)
 
 
 @query(f"""WITH {EV}, w AS (SELECT case_id, round(t0 / 1e6, 6) AS t FROM win), e AS (SELECT DISTINCT case_id, round(a / 1e6, 6) AS t, 1 AS hit FROM tool)

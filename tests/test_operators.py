@@ -149,3 +149,42 @@ def test_samples_do_not_depend_on_partitioning(spark):
     shares = spark.createDataFrame([(0, 5), (1, 100), (2, 0)], "g long, share long")
     take = lambda n: {r.id for r in sampling.stratified_sample(df.repartition(n), "g", shares, draw("s", F.col("id"))).collect()}
     assert take(1) == take(7) and len(take(1)) == 5 + 67
+
+
+def test_swap_search_ends_where_no_swap_helps(spark):
+    rng = random.Random(2)
+    rows = [(f"c{i}", c, rng.randrange(1, 30)) for i in range(20) for c in "xyz" if rng.random() < 0.8]
+    counts = spark.createDataFrame(rows, "k string, cls string, n long")
+    split = {r.k: r.split for r in sampling.swap_search(counts, "k", "cls", "n", 0.25, 5).collect()}
+    total = {c: sum(n for _, d, n in rows if d == c) for c in "xyz"}
+
+    def cost(val):
+        own = {c: sum(n for k, d, n in rows if d == c and k in val) for c in "xyz"}
+        return sum((own[c] / (0.25 * total[c]) - 1) ** 2 + 1000 * (own[c] < 5) for c in "xyz")
+
+    val = {k for k, s in split.items() if s == "val"}
+    assert len(split) == 20 and len(val) == 5
+    best = cost(val)
+    assert all(cost(val - {a} | {b}) >= best - 1e-9 for a in val for b in set(split) - val)
+    assert best <= min(cost(set(rng.sample(sorted(split), 5))) for _ in range(50))
+
+
+def test_case_split_takes_the_first_hashes(spark):
+    from spanlab.functions.hashing import draw
+
+    df = spark.range(1000).withColumn("k", F.col("id") % 203)
+    got = {r.k: r.split for r in sampling.case_split(df, "k", "s", 0.2).collect()}
+    order = [r.k for r in df.select("k").distinct().orderBy(draw("s", F.col("k"))).collect()]
+    assert got == {k: "val" if i < 41 else "train" for i, k in enumerate(order)}
+    assert sampling.case_split(df.limit(0), "k", "s", 0.2).count() == 0
+
+
+def test_forms(spark):
+    from spanlab.functions import forms
+
+    df = spark.createDataFrame([("case_012/part3/000045.jpg", "grasper", 3.0, ["a", "b", "c"]), ("x", "brush", float("nan"), []), (None, None, None, None)], "p string, n string, x double, xs array<string>")
+    a, b, c = df.select(forms.parsed_name(F.col("p")).alias("p"), forms.plural(F.col("n")).alias("n"), forms.valid_threshold(F.col("x") / 3).alias("v"), forms.capped_list(F.col("xs"), 2).alias("l"), forms.hms_seconds(F.lit("1:02:03.5")).alias("t")).collect()
+    assert tuple(a.p) == (12, 3, 45) and a.n == "graspers" and a.v and a.l == "a, b +1 more" and a.t == 3723.5
+    assert tuple(b.p) == (None, None, None) and b.n == "brushes" and not b.v and b.l == "" and not c.v
+    with pytest.raises(Exception, match="unknown name"):
+        df.select(forms.mapped(F.col("n"), {"brush": None})).collect()

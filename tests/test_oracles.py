@@ -38,4 +38,4 @@ def test_matches_sql(spark, sf_dir, duck, name):
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == {"q_split_search"}  # an iterative search, see test_operators
