@@ -68,6 +68,32 @@ def two_fold(df: DataFrame, keys: Sequence[str], cls: str, p: str, y: str, fold:
     return per.groupBy(*keys).agg(F.avg("score").alias("honest"), F.count(F.lit(1)).alias("n_classes"))
 
 
+CELLS = 256
+
+
+def sums_below(per: DataFrame, keys: Sequence[str], value: str, columns: Sequence[str]) -> DataFrame:
+    """Adds ``below_<c>``, the sum of each column over the rows of a lower value, one row a value.
+
+    Without keys the values are dealt into ``CELLS`` cells by their quantiles; rows are summed up
+    inside a cell, and only the cells' sums are gone through in one place.
+    """
+    cell = F.lit(0)
+    if not keys:
+        cuts = per.agg(F.percentile_approx(value, [k / CELLS for k in range(1, CELLS)], 10_000)).first()[0]
+        if cuts:
+            cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(value)))
+    per = per.withColumn("_cell", cell)
+    past = lambda over: over.rowsBetween(Window.unboundedPreceding, -1)
+    own, whole = past(Window.partitionBy(*keys, "_cell").orderBy(value)), past(Window.partitionBy(*keys).orderBy("_cell"))
+    none = F.lit(0).cast("long")
+    cells = per.groupBy(*keys, "_cell").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    cells = cells.select(*keys, "_cell", *(F.coalesce(F.sum(f"_{c}").over(whole), none).alias(f"_{c}") for c in columns))
+    for c in columns:
+        per = per.withColumn(f"below_{c}", F.coalesce(F.sum(c).over(own), none))
+    per = per.join(cells, [*keys, "_cell"])
+    return per.select(*(c for c in per.columns if not c.startswith(("_", "below_"))), *((F.col(f"below_{c}") + F.col(f"_{c}")).alias(f"below_{c}") for c in columns))
+
+
 def auc(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
     """Mann-Whitney by average ranks, ties one half; rows without score or label are left out.
 
@@ -75,20 +101,20 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
     """
     kept = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     per = kept.groupBy(*keys, score).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = sums_below(per, keys, score, ["n"]).withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
     P, N = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     value = (F.sum(F.col("rank") * F.col("pos")) - P * (P + 1) / 2) / F.when(P * N > 0, P * N)
     return ranked.groupBy(*keys).agg(value.alias("auc"), P.alias("positives"), N.alias("negatives"))
 
 
 def balanced_cut(df: DataFrame, score: str, y: str) -> DataFrame:
-    """The lowest observed value at which ``score >= value`` has the best balanced accuracy."""
-    per = df.groupBy(F.col(score).alias("cut")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    up = Window.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(F.lit(1))
-    per = per.withColumn("tp", F.sum("pos").over(up)).withColumn("fp", F.sum(F.col("n") - F.col("pos")).over(up)).withColumn("all_pos", F.sum("pos").over(every)).withColumn("all_neg", F.sum(F.col("n") - F.col("pos")).over(every))
-    value = F.round((F.col("tp") / F.col("all_pos") + (F.col("all_neg") - F.col("fp")) / F.col("all_neg")) / 2, 12)
+    """The lowest observed value at which ``score >= value`` has the best balanced accuracy; rows without score or label are left out."""
+    kept = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
+    per = kept.groupBy(F.col(score).alias("cut")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
+    totals = F.broadcast(per.agg(F.sum("pos").alias("all_pos"), F.sum(F.col("n") - F.col("pos")).alias("all_neg")))  # one row
+    per = sums_below(per, [], "cut", ["pos", "n"]).crossJoin(totals)
+    missed, dropped = F.col("below_pos"), F.col("below_n") - F.col("below_pos")
+    value = F.round(((F.col("all_pos") - missed) / F.col("all_pos") + dropped / F.col("all_neg")) / 2, 12)
     best = per.agg(F.max(F.struct(value.alias("v"), (-F.col("cut")).alias("c"))).alias("b"))
     return best.select((-F.col("b.c")).alias("cut"), F.col("b.v").alias("balanced"))
 

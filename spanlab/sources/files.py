@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
@@ -14,13 +15,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = Fal
     return df.where("_corrupt_record is null").drop("_corrupt_record")
 
 
+def holds_nan(value: Column, kind: T.DataType) -> Column | None:
+    """Whether a NaN is anywhere in a value, null for types that can't hold one."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.isnan(value)
+    if isinstance(kind, T.ArrayType):
+        return None if holds_nan(value, kind.elementType) is None else F.exists(value, lambda x: holds_nan(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return holds_nan(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        parts = [p for f in kind.fields if (p := holds_nan(value[f.name], f.dataType)) is not None]
+        return F.exists(F.array(*parts), lambda x: x) if parts else None
+    return None
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines with sorted keys; a NaN anywhere is an error."""
-    numbers = [c for c, t in df.dtypes if t in ("double", "float")]
-    if numbers:
-        bad = F.exists(F.array(*(F.isnan(c) for c in numbers)), lambda x: x)
-        if not df.where(bad).isEmpty():
-            raise ValueError("NaN can't be written as JSON")
+    parts = [p for f in df.schema.fields if (p := holds_nan(F.col(f"`{f.name}`"), f.dataType)) is not None]
+    if parts and not df.where(F.exists(F.array(*parts), lambda x: x)).isEmpty():
+        raise ValueError("NaN can't be written as JSON")
     df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

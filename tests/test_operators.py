@@ -188,3 +188,20 @@ def test_forms(spark):
     assert tuple(b.p) == (None, None, None) and b.n == "brushes" and not b.v and b.l == "" and not c.v
     with pytest.raises(Exception, match="unknown name"):
         df.select(forms.mapped(F.col("n"), {"brush": None})).collect()
+
+
+def test_ranks_in_two_levels(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([rng.random() * 10 ** rng.randrange(6), float(rng.randrange(40))]), rng.randrange(2)) for _ in range(3000)]
+    df = spark.createDataFrame([*rows, (None, 1), (1.0, None)], "s double, y int")
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    import bisect
+
+    neg.sort()
+    expected = sum((bisect.bisect_left(neg, p) + bisect.bisect_right(neg, p)) / 2 for p in pos) / len(pos) / len(neg)
+    assert metrics.auc(df, [], "s", "y").first().auc == pytest.approx(expected)
+    got = metrics.balanced_cut(df, "s", "y").first()
+    value = lambda c: round((sum(p >= c for p in pos) / len(pos) + sum(n < c for n in neg) / len(neg)) / 2, 12)
+    best = max((value(c), -c) for c in sorted({s for s, _ in rows})[:: 1])
+    assert (got.balanced, got.cut) == pytest.approx((best[0], -best[1]))
+    assert metrics.auc(df.limit(0), [], "s", "y").first().auc is None

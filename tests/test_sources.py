@@ -70,3 +70,13 @@ def test_incremental(spark, tmp_path):
         stream = spark.readStream.schema("k int").parquet(str(tmp_path / "in"))
         append_new(stream, str(tmp_path / "sink"), ["k"], str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == [1, 2]
+
+
+def test_nan_inside_arrays_and_structs_is_refused(spark, tmp_path):
+    from spanlab.sources import files
+
+    nan = float("nan")
+    for kind, value in (("array<double>", [1.0, nan]), ("struct<a:int,b:array<float>>", (1, [nan])), ("map<string,double>", {"k": nan})):
+        with pytest.raises(ValueError, match="NaN"):
+            files.write_jsonl(spark.createDataFrame([(value,)], f"x {kind}"), str(tmp_path / "bad"))
+    files.write_jsonl(spark.createDataFrame([([1.0], None)], "x array<double>, y struct<b:double>"), str(tmp_path / "good"))
