@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,15 +20,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_LOCAL: dict[str, str] = {}  # application id: its temporary folder
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, the folder all executors share.
 
-    Only where that setting is absent (tests, one machine) a temporary folder takes its place.
+    Only on one machine (a local master) a temporary folder takes its place where that setting is
+    absent; on a cluster that is an error.  What is written there outlives the result that reads
+    it, so the folder is cleared by whoever set it.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = os.environ.setdefault("SPANLAB_SCRATCH", tempfile.mkdtemp(prefix="spanlab-"))
-        spark.sparkContext.setCheckpointDir(top)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        top = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spanlab-"))
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
