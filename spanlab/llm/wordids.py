@@ -12,7 +12,7 @@ Chunks written with ASCII and plain Latin-1 letters only are split into the
 vocabulary's word pieces here (the split is fully determined on that alphabet)
 and reach the library's BPE model directly; every other chunk goes through the
 library's whole pipeline.  Both give the ids ``Tokenizer.encode`` gives
-(`tests/llm/test_wordids.py` compares them).  The cache is emptied when it grows
+(`tests/llm/test_tokens.py` compares them).  The cache is emptied when it grows
 past ``CACHE_CHUNKS``, so a worker's memory stays bounded.
 """
 
@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 
 CACHE_CHUNKS = 600_000
 SLICE_BYTES = 8 << 20
+# How the public vocabulary splits words, and the byte alphabet of such vocabularies.
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\n {_LETTERS}0-9]+")
