@@ -22,8 +22,9 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes); two documen
 
 Nulls: a null text has no shingles; rows of null id are returned with their set's size and a
 null component.  Texts of fewer than five words have one shingle, the whole; texts without
-words have none and link with nothing.  Repeated rows give a row each.  Documents of equal id
-are one node.  Extra columns are ignored by ``components`` and kept by ``distinct``.
+words have none and link with nothing.  Repeated rows give a row each.  Rows of equal id are one
+document: where their texts differ, it links by its smallest set, and by any set that another
+document has just as it is.  Extra columns are ignored by ``components`` and kept by ``distinct``.
 """
 
 from __future__ import annotations
@@ -224,7 +225,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between nodes that suffice for the components: (a, b), a < b.  ``found`` is a written ``nodes``."""
-    sets = found.where("shingles is not null").select("doc_id", "n_shingles", "keys", "places", "shingles").dropDuplicates(["doc_id"])
+    smallest = F.min(F.struct("n_shingles", "keys", "places", "shingles")).alias("s")  # of the sets of a repeated id always the same one
+    sets = found.where("shingles is not null").groupBy("doc_id").agg(smallest).select("doc_id", "s.*")
     entry = F.explode(F.arrays_zip("keys", "places")).alias("e")
     entries = sets.select("doc_id", F.col("n_shingles").alias("n"), entry).select("doc_id", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"))
 
@@ -281,10 +283,11 @@ def components(docs: DataFrame, percent: int = PERCENT, block_bytes: int | None
 def distinct(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the component's.
 
-    Of several rows of that id the one of the smallest text stays; rows of null id all stay.
+    Of several rows of that id the one of the smallest text stays, a null text only where none has
+    another; rows of null id all stay.
     """
     docs, restore = shielded(docs, "doc_id", "text")
     found = components(docs.select("doc_id", "text"), percent).where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
     kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
     return restore(docs.where("doc_id is null").unionByName(kept))

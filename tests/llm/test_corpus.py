@@ -135,6 +135,18 @@ def test_odd_documents(docs, texts, empty):
     assert jaccard.components(empty).count() == 0 and jaccard.distinct(empty).count() == 0
 
 
+def test_rows_of_equal_id_link_by_their_smallest_set(spark):
+    short, long_ = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, "near", long_ + " x"), (2, "near", short + " x"), (5, "both", long_), (5, "both", short), (5, "none", None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, kind string, text string").repartition(3)
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.components(docs, block_bytes=1 << 8).collect()}
+        assert got == {(1, 57): 1, (2, 27): 2, (5, 56): 2, (5, 26): 2, (5, 0): 2}
+        assert sorted(jaccard.distinct(docs).toPandas().doc_id) == [1, 2]
+    alone = spark.createDataFrame(rows[3:], "doc_id long, kind string, text string")
+    assert [r.text for r in jaccard.distinct(alone).collect()] == [short]
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 99), (5, 5)], "a long, b long")
     got = {r.doc_id: r.label for r in jaccard.component_of(edges).collect()}
