@@ -77,3 +77,27 @@ def hms_seconds(text: Column) -> Column:
     """'HH:MM:SS.ffffff' as seconds, null where it isn't such a time."""
     part = lambda k: F.regexp_extract(text, r"^(\d{1,3}):([0-5]?\d):([0-5]?\d(?:\.\d+)?)$", k)
     return F.when(part(1) != "", part(1).cast("double") * 3600 + part(2).cast("double") * 60 + part(3).cast("double"))
+
+
+def variant_gate(asked: Column, intent: Column, classes: Column, detected: Column, decided: Column, family: Column, of: Column, families: Sequence[str]) -> Column:
+    """Yes or No to "is it of the asked family", null where the answer must come from elsewhere.
+
+    It takes a known family in the question, the intent "presence", just the class ``of`` among the
+    classes asked about, that class detected, and a model that decided for a known family.
+    """
+    known = asked.isin(*families) & family.isin(*families)
+    return F.when(known & (intent == "presence") & (classes == F.array(of)) & detected & decided, F.when(family == asked, "Yes").otherwise("No"))
+
+
+def response_text(answer: Column, fallback: str) -> Column:
+    """An answer as a JSON string, its white space squeezed; the fallback where nothing is left."""
+    text = F.trim(F.regexp_replace(F.coalesce(answer, F.lit("")), r"[ \t\n\f\r]+", " "))
+    encoded = F.to_json(F.array(F.when(text == "", fallback).otherwise(text)))
+    return F.substring(encoded, F.lit(2), F.length(encoded) - 2)
+
+
+def annotation(line: Column, shapes: Sequence[tuple[str, str]]) -> Column:
+    """intent and answer of a "question|answer" line by the first shape its question begins with, else null."""
+    question, answer = F.trim(F.split_part(line, F.lit("|"), F.lit(1))), F.trim(F.split_part(line, F.lit("|"), F.lit(2)))
+    intent = F.coalesce(*(F.when(question.startswith(prefix), name) for prefix, name in shapes))
+    return F.when(line.contains("|") & (answer != "") & intent.isNotNull(), F.struct(intent.alias("intent"), answer.alias("answer")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def stable_index(key: Column, n: int) -> Column:
+def stable_index(key: Column, n: int | Column) -> Column:
     """First 8 bytes of sha256(key), big-endian, mod n."""
     return (F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)") % n).cast("long")
 

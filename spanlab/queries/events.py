@@ -242,6 +242,50 @@ def q_qa_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("r.shape", phrase, "r.answer").groupBy("shape", "phrase", "answer").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TOOLS = ("click", "error", "signup")
+_PURPOSES = {"click": "to choose", "error": "to report", "signup": "to join"}
+_HASHED = "CAST(('0x' || sha256(key || '|{0}')[1:16])::UHUGEINT % {1} AS BIGINT)"
+_QA_SLOTS = f"""WITH {SETS}, x AS (SELECT case_id || '|' || part || '|' || seg_id || '|' || k AS key, part, bag, classes AS present, [c FOR c IN {list(_TOOLS)} IF NOT list_contains(classes, c)] AS absent FROM wset),
+h AS (SELECT *, {_HASHED.format("presence", 2)} = 0 AS yes, {_HASHED.format("variant", 2)} = 0 AS same, {_HASHED.format("confirm", 2)} = 0 AS right_, {_HASHED.format("procedure", 25)} = 0 AS told,
+ present[{_HASHED.format("pick", "greatest(len(present), 1)::UHUGEINT")} + 1] AS p, absent[{_HASHED.format("pick", "greatest(len(absent), 1)::UHUGEINT")} + 1] AS a, CASE WHEN bag > 1 THEN 'many' ELSE 'one' END AS family FROM x),
+r AS (SELECT unnest([
+ {{'shape': 'presence_of', 'slot': CASE WHEN p IS NOT NULL AND (a IS NULL OR yes) THEN p ELSE a END, 'answer': CASE WHEN p IS NOT NULL AND (a IS NULL OR yes) THEN 'Yes' WHEN a IS NOT NULL THEN 'No' END}},
+ {{'shape': 'presence_any', 'slot': '', 'answer': CASE WHEN len(present) > 0 THEN 'Yes' ELSE 'No' END}},
+ {{'shape': 'single', 'slot': '', 'answer': CASE WHEN len(present) = 1 THEN present[1] END}},
+ {{'shape': 'purpose', 'slot': p, 'answer': CASE p WHEN 'click' THEN 'to choose' WHEN 'error' THEN 'to report' WHEN 'signup' THEN 'to join' END}},
+ {{'shape': 'procedure', 'slot': '', 'answer': CASE WHEN told THEN 'a session' END}},
+ {{'shape': 'variant', 'slot': CASE WHEN list_contains(present, 'click') THEN CASE WHEN same = (family = 'many') THEN 'many' ELSE 'one' END END, 'answer': CASE WHEN list_contains(present, 'click') THEN CASE WHEN same THEN 'Yes' ELSE 'No' END END}},
+ {{'shape': 'first_absent', 'slot': '', 'answer': absent[1]}},
+ {{'shape': 'confirm', 'slot': CAST(CASE WHEN right_ THEN part ELSE (part + 1) % 4 END AS VARCHAR), 'answer': CASE WHEN right_ THEN 'Yes' ELSE 'No' END}}]) AS q FROM h)
+SELECT q.shape AS shape, coalesce(q.slot, '') AS slot, q.answer AS answer, count(*)::BIGINT AS n FROM r GROUP BY ALL"""
+
+
+@query(_QA_SLOTS)
+def q_qa_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight question shapes with slots filled by hash, in one pass; a shape that doesn't apply to a window is tallied with a null answer."""
+    w = _window_sets(spark, sf_dir).select(F.concat_ws("|", "case_id", "part", "seg_id", "k").alias("key"), "part", "bag", F.col("classes").alias("present"))
+    w = w.withColumn("absent", F.array_except(F.array(*map(F.lit, _TOOLS)), "present"))
+    draw = lambda what, n: stable_index(F.concat("key", F.lit(f"|{what}")), n)
+    picked = lambda c: F.get(c, draw("pick", F.greatest(F.size(c), F.lit(1))).cast("int"))
+    even = lambda what: draw(what, 2) == 0
+    polar = lambda test: F.when(test, "Yes").otherwise("No")
+    w = w.withColumns({"p": picked("present"), "a": picked("absent"), "same": even("variant"), "right": even("confirm")})
+    shown = F.col("p").isNotNull() & (F.col("a").isNull() | even("presence"))
+    click, many = F.array_contains("present", "click"), F.col("bag") > 1
+    slots = {
+        "presence_of": (F.when(shown, F.col("p")).otherwise(F.col("a")), F.when(shown, "Yes").when(F.col("a").isNotNull(), "No")),
+        "presence_any": (F.lit(""), polar(F.size("present") > 0)),
+        "single": (F.lit(""), F.when(F.size("present") == 1, F.get("present", F.lit(0)))),
+        "purpose": (F.col("p"), F.coalesce(*(F.when(F.col("p") == c, to) for c, to in _PURPOSES.items()))),
+        "procedure": (F.lit(""), F.when(draw("procedure", 25) == 0, "a session")),
+        "variant": (F.when(click, F.when(F.col("same") == many, "many").otherwise("one")), F.when(click, polar(F.col("same")))),
+        "first_absent": (F.lit(""), F.get("absent", F.lit(0))),
+        "confirm": (F.when(F.col("right"), F.col("part")).otherwise((F.col("part") + 1) % 4).cast("string"), polar(F.col("right"))),
+    }
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("shape"), F.coalesce(slot, F.lit("")).alias("slot"), answer.alias("answer")) for s, (slot, answer) in slots.items()))).alias("q")
+    return w.select(rows).groupBy("q.shape", "q.slot", "q.answer").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {EV}, r AS (SELECT cls, case_id, count(*) AS n, grouping(cls)::BIGINT AS g_cls, grouping(case_id)::BIGINT AS g_case FROM ev GROUP BY ROLLUP (cls, case_id))
 SELECT coalesce(cls, '') AS cls, coalesce(case_id, -1)::BIGINT AS case_id, g_cls, g_case, n::BIGINT AS n, round(n / (SELECT count(*) FROM ev), 6) AS share FROM r""")
 def q_balance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

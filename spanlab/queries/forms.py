@@ -120,3 +120,33 @@ def q_flag_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.sum(F.when(said, F.col("n") * F.col("quality")).otherwise(0))
     out = each.groupBy(F.col("flags").cast("long").alias("flags")).agg(n.alias("chosen"), good.alias("good"))
     return out.select("flags", "chosen", F.when(F.col("chosen") > 0, F.round(F.col("good") / F.col("chosen"), 6)).alias("share"), F.when(F.col("chosen") == 0, "nothing chosen").alias("error"))
+
+
+@query("""WITH q AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'large' WHEN 1 THEN 'mega' END AS asked, CASE WHEN p_partkey % 4 = 0 THEN 'count' ELSE 'presence' END AS intent, p_partkey % 5 = 0 AS two, p_retailprice > 1000 AS detected, p_size > 5 AS decided, CASE WHEN p_partkey % 2 = 0 THEN 'large' ELSE 'mega' END AS family FROM part)
+SELECT p_partkey, CASE WHEN asked IS NOT NULL AND intent = 'presence' AND NOT two AND detected AND decided THEN CASE WHEN family = asked THEN 'Yes' ELSE 'No' END END AS answer FROM q""")
+def q_variant_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    asked = F.when(size % 3 == 0, "large").when(size % 3 == 1, "mega")
+    intent = F.when(key % 4 == 0, "count").otherwise("presence")
+    classes = F.when(key % 5 == 0, F.array("p_brand", F.lit("other"))).otherwise(F.array("p_brand"))
+    family = F.when(key % 2 == 0, "large").otherwise("mega")
+    gate = X.variant_gate(asked, intent, classes, F.col("p_retailprice") > 1000, size > 5, family, F.col("p_brand"), ("large", "mega"))
+    return table(spark, sf_dir, "part").select("p_partkey", gate.alias("answer"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(CASE WHEN turn % 3 = 0 THEN ' ' ELSE coalesce(text, '') END, '[ \t\n\f\r]+', ' ', 'g'), ' ') AS said FROM conversations)
+SELECT conv_id, turn, to_json(CASE WHEN said = '' THEN 'Unknown.' ELSE said END)::VARCHAR AS response FROM t""")
+def q_response_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("turn") % 3 == 0, F.lit(" ")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.response_text(said, "Unknown.").alias("response"))
+
+
+@query("""WITH l AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'where is it' WHEN s_suppkey % 4 = 1 THEN 'what tool acts' WHEN s_suppkey % 4 = 2 THEN 'what is it' ELSE 'is it there' END AS question, CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE s_name END AS answer FROM supplier)
+SELECT s_suppkey, CASE WHEN question LIKE 'what tool%' THEN 'tool' WHEN question LIKE 'what%' THEN 'thing' ELSE 'place' END AS intent, answer FROM l WHERE answer <> '' AND question NOT LIKE 'is%'""")
+def q_annotation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and answer lines, those of the known shapes; the first shape that fits counts."""
+    k = F.col("s_suppkey") % 4
+    question = F.when(k == 0, "where is it").when(k == 1, "what tool acts").when(k == 2, "what is it").otherwise("is it there")
+    line = F.concat(question, F.lit(" | "), F.when(F.col("s_suppkey") % 10 == 0, "").otherwise(F.col("s_name")), F.lit("|more"))
+    found = X.annotation(line, (("what tool", "tool"), ("what", "thing"), ("where", "place")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", found.alias("a")).where("a is not null").select("s_suppkey", "a.intent", "a.answer")

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from spanlab.sources import files, intervals_csv
+from spanlab.sources import cases, files, intervals_csv
 from spanlab.streaming.incremental import append_new, remaining
 
 
@@ -80,3 +80,30 @@ def test_nan_inside_arrays_and_structs_is_refused(spark, tmp_path):
         with pytest.raises(ValueError, match="NaN"):
             files.write_jsonl(spark.createDataFrame([(value,)], f"x {kind}"), str(tmp_path / "bad"))
     files.write_jsonl(spark.createDataFrame([([1.0], None)], "x array<double>, y struct<b:double>"), str(tmp_path / "good"))
+
+
+def test_sample_cases(spark, tmp_path):
+    (tmp_path / "c1").mkdir()
+    (tmp_path / "c1" / "c1.json").write_text('["a \\"b\\"", "c"]')
+    (tmp_path / "c1" / "c1_question.json").write_text('"what, then?"\n')
+    (tmp_path / "c2.json").write_text('[\n"d"]')
+    (tmp_path / "c2_question.json").write_text('"why"')
+    (tmp_path / "c9_question.json").write_text('"no case"')
+    got = {r.case: (r.question, r.references) for r in cases.read_sample_cases(spark, str(tmp_path)).collect()}
+    assert got == {"c1": ("what, then?", ['a "b"', "c"]), "c2": ("why", ["d"])}
+    (tmp_path / "c3.json").write_text('["x"]')
+    with pytest.raises(Exception, match="case c3: no question"):
+        cases.read_sample_cases(spark, str(tmp_path)).collect()
+    (tmp_path / "c3_question.json").write_text('"x"')
+    (tmp_path / "c3.json").write_text("[]")
+    with pytest.raises(Exception, match="case c3: no references"):
+        cases.read_sample_cases(spark, str(tmp_path)).collect()
+
+
+def test_lines_and_responses(spark, tmp_path):
+    df = spark.createDataFrame([("k2", ' say "hi"\n now '), ("k1", None), ("k3", " ")], "case string, answer string")
+    cases.write_lines(df, str(tmp_path / "lines"), "case", "case")
+    assert "".join(f.read_text() for f in sorted((tmp_path / "lines").glob("part-*"))).split() == ["k1", "k2", "k3"]
+    cases.write_responses(df, str(tmp_path / "out"), "Unknown.")
+    got = {d.name: json.loads(next(d.glob("part-*")).read_text()) for d in (tmp_path / "out").glob("case=*")}
+    assert got == {"case=k1": "Unknown.", "case=k2": 'say "hi" now', "case=k3": "Unknown."}
