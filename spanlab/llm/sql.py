@@ -45,3 +45,57 @@ SELECT w.conv_id,
 FROM windowed w LEFT JOIN extra e ON e.conv_id = w.conv_id
 GROUP BY w.conv_id
 """
+
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), wanted AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS run FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT n FROM wanted
+), runs AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS run FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+), met AS (
+  SELECT doc_id, i, n, item_id FROM runs JOIN wanted USING (n, run)
+), hit AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM (SELECT DISTINCT doc_id, i, n FROM met)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM met GROUP BY doc_id
+)
+SELECT doc_id,
+       len(w)::BIGINT AS n_words,
+       coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# Equal sets are one node; links among nodes are walked from every node to all it reaches.
+OP9 = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)])) AS s FROM d WHERE len(w) > 0
+), same AS MATERIALIZED (
+  SELECT doc_id, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS node FROM sets
+), entry AS MATERIALIZED (
+  SELECT node, n, unnest(s) AS shingle FROM (SELECT node, n, s FROM same JOIN sets USING (doc_id) WHERE node = doc_id)
+), pairs AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS common
+  FROM entry a JOIN entry b ON a.shingle = b.shingle AND a.node < b.node AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs WHERE 100 * common >= 75 * (na + nb - common)
+  UNION ALL SELECT b, a FROM pairs WHERE 100 * common >= 75 * (na + nb - common)
+), reach(node, far) AS (
+  SELECT a, b FROM links
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.far
+), label AS (
+  SELECT node, least(node, min(far)) AS low FROM reach GROUP BY node
+)
+SELECT d.doc_id, coalesce(same.n, 0)::BIGINT AS n_shingles, coalesce(low, same.node, d.doc_id)::BIGINT AS component_id
+FROM d LEFT JOIN same ON same.doc_id = d.doc_id LEFT JOIN label ON label.node = same.node
+"""

@@ -250,7 +250,8 @@ def test_queries_match_sql(spark, sf_dir):
     from spanlab.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from read_parquet('{sf_dir}/conversations.parquet')")
+    for t in ("benchmark", "conversations", "documents"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, sf_dir)
         relation = con.execute(sql)
