@@ -90,4 +90,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_html_text, op3_secret_scan, op4_best_fit_packing, op5_lm_score, op6_license_scan, op7_quality_rules, op8_decontamination, op9_jaccard_join, op10_token_files)}
-ORACLES: dict[str, str] = {"op1_chat_windows": sql.OP1, "op8_decontamination": sql.OP8, "op9_jaccard_join": sql.OP9}
+ORACLES: dict[str, str] = {"op1_chat_windows": sql.OP1, "op6_license_scan": sql.OP6, "op8_decontamination": sql.OP8, "op9_jaccard_join": sql.OP9}

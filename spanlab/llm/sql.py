@@ -1,5 +1,7 @@
 """DuckDB twins of the queries that SQL can express."""
 
+from .license_scan import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, needed
+
 OP1 = r"""
 WITH raw AS (
   SELECT conv_id, turn, role, text FROM conversations
@@ -46,6 +48,33 @@ FROM windowed w LEFT JOIN extra e ON e.conv_id = w.conv_id
 GROUP BY w.conv_id
 """
 
+_TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))}, {needed(len(set(t.split())), THRESHOLD)})" for label, t in TEMPLATES.items())
+_PHRASES = ", ".join(f"('{label}', {p.split()})" for p, label in PHRASES.items())
+
+# Every block meets every template here; nothing is filtered before the sets are compared.
+OP6 = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), places AS (
+  SELECT k, label, i - 1 AS word FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d), (VALUES {_PHRASES}) p(label, phrase) WHERE w[i:i + len(phrase) - 1] = phrase
+), base AS (
+  SELECT k, count(*) AS n, min(word) AS first_word, max(word) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY k
+), blocks AS (
+  SELECT k, list_distinct(w[b * {BLOCK_WORDS // 2} + 1:b * {BLOCK_WORDS // 2} + {BLOCK_WORDS}]) AS block FROM (SELECT k, w, unnest(range((len(w) + {BLOCK_WORDS // 2 - 1}) // {BLOCK_WORDS // 2})) AS b FROM d)
+), met AS (
+  SELECT k, list(DISTINCT label) AS labels, max(len(list_intersect(block, words)) / len(words)) AS score FROM blocks, (VALUES {_TEMPLATES}) t(label, words, need) WHERE len(list_intersect(block, words)) >= need GROUP BY k
+)
+SELECT doc_id,
+       len(w)::BIGINT AS n_words,
+       coalesce(base.n, 0)::BIGINT AS n_base,
+       first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, met.labels))), ','), '') AS labels,
+       greatest(CASE WHEN base.n > 0 THEN 1.0 ELSE 0.0 END, coalesce(met.score, 0.0))::DOUBLE AS score
+FROM d LEFT JOIN base USING (k) LEFT JOIN met USING (k)
+"""
+
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
