@@ -205,3 +205,22 @@ def test_ranks_in_two_levels(spark):
     best = max((value(c), -c) for c in sorted({s for s, _ in rows})[:: 1])
     assert (got.balanced, got.cut) == pytest.approx((best[0], -best[1]))
     assert metrics.auc(df.limit(0), [], "s", "y").first().auc is None
+
+
+def test_harvested_names_of_another_form_fail(spark):
+    from spanlab.functions import records
+
+    case = lambda path: spark.createDataFrame([(path,)], "path string").select(records.harvested_case(F.col("path")).alias("case")).collect()[0].case
+    assert case("a/pseudo_case_7_part1_w0001_f00.jpg") == "case_007"
+    with pytest.raises(Exception, match="no case in case_7.jpg"):
+        case("case_7.jpg")
+
+
+def test_names_and_settings_of_odd_texts(spark):
+    from spanlab.functions import records
+
+    df = spark.createDataFrame([("CASE_9-x-Part 07.mp4",), ("case_9.mp4",), (None,)], "n string")
+    got = [r.v and tuple(r.v) for r in df.select(records.video_name(F.col("n")).alias("v")).collect()]
+    assert got == [("CASE_9", "7"), None, None]
+    df = spark.createDataFrame([('{"a": null, "b": 2}',), ("{",), ("",)], "t string")
+    assert [r.s for r in df.select(records.settings(F.col("t"), {"a": "1"}).alias("s")).collect()] == [{"a": "1", "b": "2"}, {"a": "1"}, {"a": "1"}]
