@@ -51,6 +51,24 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(codes, bounds, dictionary)
 
 
+def letters_of(spans: str) -> np.ndarray:
+    """What each byte becomes when terms are runs of the ASCII characters in ``spans`` and of all others:
+    itself, A-Z as a-z, a space where no term goes on."""
+    table = np.full(256, 0x20, np.uint8)
+    table[0x80:] = np.arange(0x80, 0x100)
+    for c in spans.encode():
+        table[c] = c + 32 if 0x41 <= c <= 0x5A else c
+    return table
+
+
+def terms_of(texts: pa.Array, letters: np.ndarray) -> Words:
+    """Terms are the maximal runs of bytes that ``letters`` (of ``letters_of``) doesn't turn into a space."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = texts.buffers()[2] if len(texts) else None
+    plain = letters[np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]] if data else np.zeros(0, np.uint8)
+    return words_of(pa.StringArray.from_buffers(len(texts), pa.py_buffer((bounds - bounds[0]).tobytes()), pa.py_buffer(plain)))
+
+
 def release() -> None:
     """Gives freed memory back to the system, so that a worker that waits for its next task stays small."""
     pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, jaccard, license_scan, lm_score, packing, quality, secret_scan, sql, token_files
+from . import chat, decontaminate, divergence, html_text, jaccard, lexical, license_scan, lm_score, packing, quality, repeats, secret_scan, sql, token_files
 from .common import vocabulary_path
 
 
@@ -89,5 +89,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_html_text, op3_secret_scan, op4_best_fit_packing, op5_lm_score, op6_license_scan, op7_quality_rules, op8_decontamination, op9_jaccard_join, op10_token_files)}
-ORACLES: dict[str, str] = {"op1_chat_windows": sql.OP1, "op6_license_scan": sql.OP6, "op8_decontamination": sql.OP8, "op9_jaccard_join": sql.OP9}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.search(index, _table(spark, sf_dir, "benchmark").select("item_id", "text"), k=50)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_html_text, op3_secret_scan, op4_best_fit_packing, op5_lm_score, op6_license_scan, op7_quality_rules, op8_decontamination, op9_jaccard_join, op10_token_files, op11_lexical_search, op12_source_divergence, op13_repeated_passages)}
+ORACLES: dict[str, str] = {"op1_chat_windows": sql.OP1, "op6_license_scan": sql.OP6, "op8_decontamination": sql.OP8, "op9_jaccard_join": sql.OP9, "op11_lexical_search": sql.OP11, "op12_source_divergence": sql.OP12, "op13_repeated_passages": sql.OP13}

@@ -128,3 +128,72 @@ WITH RECURSIVE d AS MATERIALIZED (
 SELECT d.doc_id, coalesce(same.n, 0)::BIGINT AS n_shingles, coalesce(low, same.node, d.doc_id)::BIGINT AS component_id
 FROM d LEFT JOIN same ON same.doc_id = d.doc_id LEFT JOIN label ON label.node = same.node
 """
+
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), size AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), postings AS (
+  SELECT doc_id, k, term, 50 + (50 * m * n) // l AS m, count(*) AS tf FROM (SELECT doc_id, k, len(w) AS m, unnest(w) AS term FROM d), size WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM postings, size GROUP BY term
+), scores AS (
+  SELECT item_id, k, any_value(doc_id) AS doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM asked JOIN postings USING (term) JOIN weights USING (term) GROUP BY item_id, k
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), tokens AS MATERIALIZED (
+  SELECT k, lang, source, term, count(*) AS n FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT lang, term, sum(n)::BIGINT AS n FROM tokens GROUP BY lang, term HAVING count(*) >= 10
+), groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)
+), counts AS (
+  SELECT t.lang, source, term, sum(t.n)::BIGINT AS n FROM tokens t JOIN kept USING (lang, term) GROUP BY ALL
+), mass AS (
+  SELECT lang, source, v, coalesce(sum(n), 0)::BIGINT AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS MATERIALIZED (
+  SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000 * (coalesce(c.n, 0) + 2) // (m.total + 2 * m.v))::BIGINT AS p, (1 + 1000000000 * (k.n + 2) // (sum(m.total) OVER (PARTITION BY m.lang, k.term) + 2 * m.v))::BIGINT AS q
+  FROM mass m JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((s.p - t.p) * (s.p - t.p) // (s.p + t.p)), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares s ON s.lang = a.lang AND s.source = a.source LEFT JOIN shares t ON t.lang = b.lang AND t.source = b.source AND t.term = s.term
+  GROUP BY ALL
+), own AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM own) WHERE rank <= 10
+"""
+
+# Every string of 400 bytes is written out and counted.
+OP13 = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), starts AS MATERIALIZED (
+  SELECT k, 400 * j + i AS i, md5_number(piece[2 * i + 1:2 * i + 800]) AS m FROM (
+    SELECT k, j, piece, unnest(range(0, len(piece) // 2 - 399)) AS i FROM (SELECT k, j, h[800 * j + 1:800 * j + 1598] AS piece FROM (SELECT k, h, unnest(range(0, len(h) // 800)) AS j FROM d)) WHERE len(piece) >= 800)
+), twice AS (
+  SELECT m FROM starts GROUP BY m HAVING count(*) > 1
+), hit AS (
+  SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM starts JOIN twice USING (m)
+), runs AS (
+  SELECT k, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS run FROM hit) GROUP BY k, run
+), cut AS (
+  SELECT k, list(struct_pack(a := a, b := b) ORDER BY a) AS r, sum(b - a)::BIGINT AS gone FROM runs GROUP BY k
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(r), 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN r IS NULL THEN h ELSE array_to_string([h[CASE WHEN j = 1 THEN 0 ELSE 2 * r[j - 1].b END + 1:CASE WHEN j > len(r) THEN len(h) ELSE 2 * r[j].a END] FOR j IN range(1, len(r) + 2)], '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (k)
+"""
