@@ -19,3 +19,8 @@ def sha1_bucket(key: Column, n: int = 200) -> Column:
 def draw(seed: str, *keys: Column) -> Column:
     """Sort key of a seeded draw without replacement."""
     return F.sha2(F.concat_ws("|", F.lit(seed), *(k.cast("string") for k in keys)), 256)
+
+
+def unit(key: Column) -> Column:
+    """A number in (0, 1] from the first 52 bits of sha256(key)."""
+    return (F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)

@@ -1,6 +1,12 @@
 """Interval operators: cleaning, windows, point-in-interval and overlap joins, union and gaps.
 
 Times are integers (microseconds), so no sum of floats decides which window a point is in.
+
+Point lookups go through a hierarchical index.  Level 0 has cells of ``BUCKET``, each further level cells
+``FAN`` times as wide.  An interval is entered at the lowest level at which it touches ``FAN`` + 1 cells at most, whether
+it lasts a second or ten years, and a point probes one cell of each level in use, which is one where all
+intervals are short.  Point and interval meet at one cell only, so the join is an equi-join on (keys, level,
+cell) with an exact filter, and a key with very many intervals is dealt by time.
 """
 
 from __future__ import annotations
@@ -10,7 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried, positions, with_carry
+
 BUCKET = 6 * 3_600_000_000
+FAN = 32
 
 
 def clean(raw: DataFrame, payload: Sequence[str], keep: Column) -> DataFrame:
@@ -27,21 +36,49 @@ def tumbling(segments: DataFrame, lo: str, hi: str, length: int, stride: int | N
     return made.withColumn("t0", F.col(lo) + F.col("k") * stride).withColumn("t1", F.col("t0") + length)
 
 
-def range_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, lo: str, hi: str, bucket: int = BUCKET, outer: bool = False) -> DataFrame:
+def _widths(bucket: int, fan: int) -> list[int]:
+    """Widths of the cells, level by level, as far as 64-bit times go."""
+    out = [bucket]
+    while out[-1] * fan * fan < 1 << 63:
+        out.append(out[-1] * fan)
+    return out
+
+
+def indexed(intervals: DataFrame, lo: str, hi: str, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
+    """A row for every cell an interval is entered in, ``fan`` + 1 at most: adds _level, _cell."""
+    widths = _widths(bucket, fan)
+    level = F.lit(len(widths) - 1)
+    for k in reversed(range(len(widths) - 1)):
+        level = F.when(F.col(hi) - F.col(lo) <= widths[k] * fan, k).otherwise(level)
+    width = F.get(F.array(*(F.lit(w).cast("long") for w in widths)), F.col("_level"))
+    made = intervals.where(F.col(lo) <= F.col(hi)).withColumn("_level", level)
+    return made.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+
+
+def probes(points: DataFrame, index: DataFrame, at: str, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
+    """A row for every level in use (and level 0) with the point's cell there: adds _level, _cell."""
+    widths = _widths(bucket, fan)
+    used = index.agg(F.array_sort(F.array_union(F.collect_set("_level"), F.array(F.lit(0)))).alias("_levels"))  # one row, a dozen levels at most
+    width = F.get(F.array(*(F.lit(w).cast("long") for w in widths)), F.col("_level"))
+    made = points.crossJoin(F.broadcast(used)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    return made.withColumn("_cell", F.floor(F.col(at) / width))
+
+
+def range_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, lo: str, hi: str, bucket: int = BUCKET, outer: bool = False, fan: int = FAN) -> DataFrame:
     """Points with every interval of equal keys that contains them, both ends included.
 
-    Intervals enter each coarse bucket they touch and points theirs, so the join is an
-    equi-join on (keys, bucket) with an exact filter: a pair meets in one bucket only, and a
-    key with very many intervals is dealt by time.  ``outer`` keeps points without interval.
+    ``outer`` keeps points without interval, with nulls; a point that only intervals of a higher level
+    contain has such a row too, so who counts rows of the outer join counts those with an interval.
     Columns other than the keys must have different names on the two sides.
     """
-    spread = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
-    dealt = points.withColumn("_bucket", F.floor(F.col(at) / bucket))
-    on = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in [*keys, "_bucket"]] + [F.col(f"p.{at}").between(F.col(f"i.{lo}"), F.col(f"i.{hi}"))]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
+    spread = indexed(intervals, lo, hi, bucket, fan)
+    dealt = probes(points, spread.select("_level"), at, bucket, fan)
+    condition = F.col(f"p.{at}").between(F.col(f"i.{lo}"), F.col(f"i.{hi}"))
+    for k in [*keys, "_level", "_cell"]:
+        condition = (F.col(f"p.{k}") == F.col(f"i.{k}")) & condition
     both = dealt.alias("p").join(spread.alias("i"), condition, "left" if outer else "inner")
+    if outer:
+        both = both.where((F.col("p._level") == 0) | F.col(f"i.{lo}").isNotNull())
     return both.select(*(f"p.{c}" for c in points.columns), *(f"i.{c}" for c in intervals.columns if c not in keys))
 
 
@@ -51,37 +88,67 @@ def shortest(joined: DataFrame, point_keys: Sequence[str], lo: str, hi: str, tie
     return joined.groupBy(*point_keys).agg(best).select(*point_keys, *(F.col(f"best.{c}").alias(c) for c in take))
 
 
-def exclusive(intervals: DataFrame, keys: Sequence[str], lo: str, hi: str, cls: str, bucket: int = BUCKET) -> DataFrame:
-    """Intervals that no interval of another class overlaps."""
-    spread = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
-    other = spread.select(*(F.col(k).alias(f"o_{k}") for k in [*keys, "_bucket"]), F.col(lo).alias("o_lo"), F.col(hi).alias("o_hi"), F.col(cls).alias("o_cls"))
+def exclusive(intervals: DataFrame, keys: Sequence[str], lo: str, hi: str, cls: str, ident: str = "event_id", bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
+    """Intervals that no interval of another class overlaps; touching ends don't overlap.
+
+    Of two that overlap, one begins inside the other, so two point lookups find all of them: beginnings in
+    the other's index and the other's beginnings in one's own.  Both are semi-joins, which make no pairs.
+    """
+    other = intervals.select(*(F.col(k).alias(f"o_{k}") for k in keys), F.col(lo).alias("o_lo"), F.col(hi).alias("o_hi"), F.col(cls).alias("o_cls"))
     hit = (F.col("o_lo") < F.col(hi)) & (F.col(lo) < F.col("o_hi")) & (F.col("o_cls") != F.col(cls))
-    for k in [*keys, "_bucket"]:
+    for k in keys:
         hit = hit & (F.col(k) == F.col(f"o_{k}"))
-    clean_buckets = spread.join(other, hit, "left_semi").select("event_id").distinct()
-    return intervals.join(clean_buckets, "event_id", "left_anti")
+
+    def met(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+        theirs = theirs.withColumnsRenamed({"_level": "o_level", "_cell": "o_cell"})
+        return mine.join(theirs, hit & (F.col("_level") == F.col("o_level")) & (F.col("_cell") == F.col("o_cell")), "left_semi").select(ident)
+
+    own, others = indexed(intervals, lo, hi, bucket, fan), indexed(other, "o_lo", "o_hi", bucket, fan)
+    found = met(probes(intervals, others.select("_level"), lo, bucket, fan), others)
+    found = found.unionByName(met(own, probes(other, own.select("_level"), "o_lo", bucket, fan)))
+    return intervals.join(found.distinct(), ident, "left_anti")
 
 
-def merge(intervals: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
-    """Union of intervals by key; touching ones merge.  keys, lo, hi, n (intervals merged)."""
-    order = Window.partitionBy(*keys).orderBy(lo, hi)
-    before = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+def merge(intervals: DataFrame, keys: Sequence[str], lo: str, hi: str, bucket: int = BUCKET) -> DataFrame:
+    """Union of intervals by key; touching ones merge.  keys, lo, hi, n (intervals merged).
+
+    Islands are made inside buckets of the intervals' beginnings first.  How far all earlier buckets reach tells which
+    islands of a bucket go on from before; they join the last island that began before.
+    """
+    by = Window.partitionBy(*keys, "_b").orderBy(lo, hi)
+    before = F.max(hi).over(by.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col(lo) > before), 1).otherwise(0)
-    islands = intervals.withColumn("_open", opens).withColumn("_island", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return islands.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count(F.lit(1)).alias("n")).drop("_island")
+    marked = intervals.select(*keys, lo, hi).withColumn("_b", F.floor(F.col(lo) / bucket)).withColumn("_open", opens)
+    marked = marked.withColumn("_island", F.sum("_open").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = marked.groupBy(*keys, "_b", "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count(F.lit(1)).alias("n"))
+    own = with_carry(own, carried(own, keys, "_b", F.max(hi)), keys, "_b", "_reach")
+    own = own.withColumn("_start", F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach")), F.col(lo)))
+    own = with_carry(own, carried(own, keys, "_b", F.max("_start"), "last"), keys, "_b", "_from")
+    return own.withColumn("_start", F.coalesce("_start", "_from")).groupBy(*keys, "_start").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.sum("n").alias("n")).drop("_start")
 
 
-def gaps(merged: DataFrame, keys: Sequence[str], lo: str, hi: str, first: int, last: int) -> DataFrame:
+def gaps(merged: DataFrame, keys: Sequence[str], lo: str, hi: str, first: int, last: int, bucket: int = BUCKET) -> DataFrame:
     """What merged intervals leave free of [first, last), head and tail included: keys, gap_lo, gap_hi."""
-    order = Window.partitionBy(*keys).orderBy(lo)
-    between = merged.select(*keys, F.greatest(F.coalesce(F.lag(hi).over(order), F.lit(first)), F.lit(first)).alias("gap_lo"), F.least(F.col(lo), F.lit(last)).alias("gap_hi"))
+    dealt = merged.withColumn("_b", F.floor(F.col(lo) / bucket)).withColumn("_p", F.lag(hi).over(Window.partitionBy(*keys, "_b").orderBy(lo)))
+    dealt = with_carry(dealt, carried(dealt, keys, "_b", F.max(hi)), keys, "_b", "_pc")
+    before = F.coalesce("_p", "_pc", F.lit(first))
+    between = dealt.select(*keys, F.greatest(before, F.lit(first)).alias("gap_lo"), F.least(F.col(lo), F.lit(last)).alias("gap_hi"))
     tail = merged.groupBy(*keys).agg(F.greatest(F.max(hi), F.lit(first)).alias("gap_lo")).select(*keys, "gap_lo", F.lit(last).alias("gap_hi"))
     return between.unionByName(tail).where("gap_lo < gap_hi")
 
 
-def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, least: int) -> DataFrame:
-    """Runs of at least ``least`` consecutive rows with ``flag``: keys, first (position from 0), length."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    placed = df.withColumn("_at", F.row_number().over(by) - 1).where(flag)
-    island = F.col("_at") - F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))
-    return placed.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("_at").cast("long").alias("first"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= least).drop("_island")
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, least: int, bucket: Column) -> DataFrame:
+    """Runs of at least ``least`` consecutive rows with ``flag``: keys, first (position from 0), length.
+
+    ``bucket`` ascends with ``order``.  A run is named by its first row; one that comes over a bucket's border is
+    named by the last run that began before.
+    """
+    placed = positions(df.select(*keys, *order, F.coalesce(flag, F.lit(False)).alias("_f")), keys, order, bucket, "_at").withColumn("_b", bucket)
+    by = Window.partitionBy(*keys, "_b").orderBy("_at")
+    placed = placed.withColumn("_p", F.lag("_f").over(by))
+    placed = with_carry(placed, carried(placed, keys, "_b", F.max_by("_f", "_at"), "last"), keys, "_b", "_pc")
+    placed = placed.where("_f").withColumn("_s", F.when(~F.coalesce("_p", "_pc", F.lit(False)), F.col("_at")))
+    placed = placed.withColumn("_run", F.last("_s", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = with_carry(placed, carried(placed, keys, "_b", F.max("_s"), "last"), keys, "_b", "_rc")
+    made = placed.groupBy(*keys, F.coalesce("_run", "_rc").alias("first")).agg(F.count(F.lit(1)).alias("length"))
+    return made.where(F.col("length") >= least)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw
+from ..functions.hashing import draw, unit
+from .ordered import first_of
+from .quantiles import magnitude
 
 
 def drop_reasons(df: DataFrame, ladder: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -27,6 +29,23 @@ def span_anchors(merged: DataFrame, keys: Sequence[str], lo: str, hi: str, n: in
     return spans.where((F.col("_off") >= F.col("_before")) & (F.col("_off") < F.col("_before") + size)).select(*keys, "anchor", (F.col(lo) + F.col("_off") - F.col("_before")).alias("at"))
 
 
+def weighted_requests(spans: DataFrame, keys: Sequence[str], lo: str, hi: str, want: str, seed: str, window: int, batch: int) -> DataFrame:
+    """Pieces of spans drawn by length without replacement, until they supply ``want`` anchors a key.
+
+    Spans are cut into pieces of ``window``; a piece supplies ``batch`` anchors, the last one what is left.  A piece's key is
+    -log(u) over its length with u from a hash, and the least keys are taken: so at every draw each piece left is taken in
+    proportion to its length.  keys, start, length, n, rank; a key with too few pieces gives all it has.
+    """
+    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({hi} - {lo} - 1) div {window}"))).alias("_piece")
+    pieces = spans.where((F.col(lo) < F.col(hi)) & (F.col(want) > 0)).select(*keys, lo, hi, want, cut)
+    pieces = pieces.select(*keys, want, (F.col(lo) + F.col("_piece") * window).alias("start"), hi).withColumn("length", F.least(F.lit(window).cast("long"), F.col(hi) - F.col("start")))
+    pieces = pieces.withColumn("_o", -F.log(unit(F.concat_ws("|", F.lit(seed), *keys, "start"))) / F.col("length"))
+    taken = first_of(pieces, keys, F.expr(f"({want} + {batch - 1}) div {batch}"), F.struct("_o", "start"), magnitude(F.col("_o")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "start")).cast("long")  # over the pieces taken
+    taken = taken.withColumn("rank", rank)
+    return taken.select(*keys, "start", "length", F.least(F.lit(batch).cast("long"), F.col(want) - (F.col("rank") - 1) * batch).alias("n"), "rank")
+
+
 def interval_points(df: DataFrame, lo: str, hi: str, margin: int, spacing: int, most: int) -> DataFrame:
     """Evenly spaced times inside [lo + margin, hi - margin], min(most, span // spacing + 1) of them."""
     df = df.where(F.col(hi) - F.col(lo) >= 2 * margin).withColumn("_span", F.col(hi) - F.col(lo) - 2 * margin)
@@ -40,8 +59,8 @@ def rarity_sample(df: DataFrame, classes: str, keys: Sequence[str], order: Colum
     seen = df.select(F.explode(classes).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     table = seen.agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("_freq"))  # one entry a class of a closed vocabulary
     rare = F.coalesce(F.array_min(F.transform(classes, lambda c: F.element_at("_freq", c))), F.lit(10**9)).cast("long")
-    ranked = df.crossJoin(F.broadcast(table)).withColumn("rarity", rare).drop("_freq")
-    return ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("rarity", order))).where(F.col("_r") <= cap).drop("_r")
+    ranked = df.crossJoin(F.broadcast(table)).withColumn("rarity", rare).drop("_freq").withColumn("_o", order)
+    return first_of(ranked, keys, cap, F.col("_o"), F.struct("rarity", F.substring("_o", 1, 4))).drop("_o")
 
 
 def water_fill(capacity: DataFrame, key: str, cap: str, target: int) -> DataFrame:
@@ -66,9 +85,12 @@ def water_fill(capacity: DataFrame, key: str, cap: str, target: int) -> DataFram
 
 
 def stratified_sample(df: DataFrame, stratum: str, shares: DataFrame, order: Column) -> DataFrame:
-    """Without replacement ``share`` rows a stratum, in hash order; ``shares(stratum, share)``."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order)))
-    return ranked.join(shares.select(stratum, "share"), stratum).where(F.col("_r") <= F.col("share")).drop("_r", "share")
+    """Without replacement ``share`` rows a stratum, in hash order; ``shares(stratum, share)``.
+
+    The order is cut by its first four digits, so a stratum is counted, not sorted.
+    """
+    wanted = df.withColumn("_o", order).join(shares.select(stratum, "share"), stratum)
+    return first_of(wanted, [stratum], F.col("share"), F.col("_o"), F.substring("_o", 1, 4)).select(*df.columns)
 
 
 def case_split(df: DataFrame, key: str, seed: str, share: float) -> DataFrame:
@@ -187,4 +209,5 @@ def oversample(df: DataFrame, times: Column) -> DataFrame:
 
 def protected_cap(df: DataFrame, protected: Column, order: Column, cap: int) -> DataFrame:
     """All protected rows and the first ``cap`` others in hash order."""
-    return df.where(protected).unionByName(df.where(~protected).orderBy(order).limit(cap))
+    common = df.where(~protected).withColumn("_o", order)
+    return df.where(protected).unionByName(first_of(common, [], cap, F.col("_o"), F.substring("_o", 1, 4)).drop("_o"))

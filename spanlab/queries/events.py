@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.arrays import english_list
 from ..functions.hashing import draw, stable_index
 from ..operators import intervals as I
+from ..operators import ordered as O
 from ..operators import sampling as S
+from ..operators.quantiles import quantiles
 from ..plans import views as V
 from ..plans.views import DAY, EV, HOUR, STAB, VOCABULARY
+from ..sources.shared import staged
 from .registry import query, table
 
 KEYS = ["case_id", "part"]
@@ -125,7 +128,7 @@ h AS (SELECT *, pos - row_number() OVER (PARTITION BY case_id ORDER BY pos) AS i
 SELECT case_id, min(pos)::BIGINT AS first, count(*)::BIGINT AS length FROM h GROUP BY case_id, island HAVING count(*) >= 3""")
 def q_run_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), "ts", "event_id", "value")
-    return I.runs(e, ["case_id"], ["ts", "event_id"], F.col("value") > 20, 3)
+    return I.runs(e, ["case_id"], ["ts", "event_id"], F.col("value") > 20, 3, F.to_date("ts"))
 
 
 @query(f"""WITH {MERGED}, c AS (SELECT case_id, a, b, coalesce(sum(b - a) OVER (PARTITION BY case_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(b - a) OVER (PARTITION BY case_id) AS total FROM merged),
@@ -135,6 +138,26 @@ def q_span_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.span_anchors(I.merge(V.iv(spark, sf_dir), ["case_id"], "a", "b"), ["case_id"], "a", "b", 8)
 
 
+_PER_CASE, _BATCH = 12, 4
+
+
+@query(f"""WITH {MERGED.replace("FROM iv WINDOW", "FROM tool WINDOW")}, g AS (SELECT case_id, greatest(coalesce(lag(b) OVER (PARTITION BY case_id ORDER BY a), {_LO}), {_LO}) AS lo, least(a, {_HI}) AS hi FROM merged
+UNION ALL SELECT case_id, greatest(max(b), {_LO}), {_HI} FROM merged GROUP BY case_id),
+s AS (SELECT case_id, 'active' AS kind, a AS lo, b AS hi FROM merged UNION ALL SELECT case_id, 'idle', lo, hi FROM g WHERE lo < hi),
+k AS (SELECT case_id, kind, CASE WHEN count(*) OVER (PARTITION BY case_id) = 2 THEN {_PER_CASE // 2} ELSE {_PER_CASE} END AS want FROM (SELECT DISTINCT case_id, kind FROM s)),
+p AS (SELECT case_id, kind, want, lo + i * {HOUR} AS start, least({HOUR}, hi - lo - i * {HOUR}) AS length FROM (SELECT *, unnest(range(0, (hi - lo - 1) // {HOUR} + 1)) AS i FROM s) JOIN k USING (case_id, kind)),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id, kind ORDER BY -ln((('0x' || sha256('spans|' || case_id || '|' || kind || '|' || start)[1:13])::BIGINT + 1) / 4503599627370496.0) / length, start) AS rank FROM p)
+SELECT case_id, kind, start::BIGINT AS start, length::BIGINT AS length, least({_BATCH}, want - (rank - 1) * {_BATCH})::BIGINT AS n, rank::BIGINT AS rank FROM r WHERE rank <= (want + {_BATCH - 1}) // {_BATCH}""")
+def q_span_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of a case's anchors from spans in use, half from the gaps, each drawn by length; a kind that is absent leaves its half to the other."""
+    active = staged(I.merge(V.tool(spark, sf_dir), ["case_id"], "a", "b").select("case_id", "a", "b"))
+    idle = I.gaps(active, ["case_id"], "a", "b", _LO, _HI)
+    spans = active.select("case_id", F.lit("active").alias("kind"), F.col("a").alias("lo"), F.col("b").alias("hi")).unionByName(idle.select("case_id", F.lit("idle").alias("kind"), F.col("gap_lo").alias("lo"), F.col("gap_hi").alias("hi")))
+    kinds = spans.groupBy("case_id").agg(F.count_distinct("kind").alias("kinds"))
+    asked = spans.join(kinds, "case_id").withColumn("want", F.when(F.col("kinds") == 2, _PER_CASE // 2).otherwise(_PER_CASE).cast("long"))
+    return S.weighted_requests(asked, ["case_id", "kind"], "lo", "hi", "want", "spans", HOUR, _BATCH)
+
+
 @query(f"WITH {STAB}, d AS (SELECT DISTINCT case_id, part, seg_id, k, cls FROM stab) SELECT v.cls, count(d.cls)::BIGINT AS n FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) v(cls) LEFT JOIN d USING (cls) GROUP BY v.cls")
 def q_class_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: windows per class, classes without any zero-filled."""
@@ -321,8 +344,9 @@ def q_macro_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, round(value - lag(value) OVER o, 6) AS from_prev, round(lead(value) OVER o - value, 6) AS to_next FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def q_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - F.lag("value").over(o), 6).alias("from_prev"), F.round(F.lead("value").over(o) - F.col("value"), 6).alias("to_next"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    near = O.neighbours(e, ["user_id"], ["ts", "event_id"], F.to_date("ts"), ["value"])
+    return near.select("event_id", F.round(F.col("value") - F.col("prev_value"), 6).alias("from_prev"), F.round(F.col("next_value") - F.col("value"), 6).alias("to_next"))
 
 
 @query("""SELECT e.event_id, coalesce(p1.value, p2.value, p3.value) AS probe FROM events e LEFT JOIN events p1 ON p1.event_id = e.event_id + 1 AND p1.event_type = 'view'
@@ -345,16 +369,18 @@ def q_activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type AS cls, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS lo, max(value) AS hi, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.5), 4) AS p50,
 round(quantile_cont(value, 0.9), 4) AS p90, round(stddev_pop(value) / avg(value), 6) AS cv FROM events GROUP BY 1""")
 def q_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    q = lambda p: F.round(F.percentile(v, F.lit(p)), 4)
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("cls")).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), F.round(F.stddev_pop(v) / F.avg(v), 6).alias("cv"))
+    v, e = F.col("value"), table(spark, sf_dir, "events").select(F.col("event_type").alias("cls"), "value")
+    cuts = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    moments = e.groupBy("cls").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.round(F.stddev_pop(v) / F.avg(v), 6).alias("cv"))
+    found = quantiles(e, ["cls"], "value", cuts)
+    return moments.join(found, "cls").select("cls", "mean", "std", "lo", "hi", *(F.round(c, 4).alias(c) for c in cuts), "cv")
 
 
 @query(f"WITH {_MICRO}, t AS (SELECT round(quantile_cont(activity, 0.1), 6) AS cut FROM act WHERE activity IS NOT NULL) SELECT case_id, day, CAST(activity < cut AS INT) AS still FROM act, t")
 def q_static_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tri-state: null where nothing was measured."""
-    act = _activity(spark, sf_dir)
-    cut = act.agg(F.round(F.percentile("activity", F.lit(0.1)), 6).alias("cut"))
+    act = staged(_activity(spark, sf_dir))
+    cut = quantiles(act, [], "activity", {"cut": 0.1}).select(F.round("cut", 6).alias("cut"))
     return act.crossJoin(F.broadcast(cut)).select("case_id", "day", (F.col("activity") < F.col("cut")).cast("int").alias("still"))  # one row
 
 

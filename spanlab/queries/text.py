@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.hashing import draw, sha1_bucket, stable_index
+from ..functions.votes import early_vote, normal_answer
 from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import sampling as S
@@ -174,6 +175,26 @@ def q_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("conv_id", "b.word", share.alias("share"), (share >= 0.66).cast("int").alias("accepted"))
 
 
+_FIRST_WORD, _SAMPLES, _AGREED, _SECONDS = r"^[^ \t\n.,]+", 5, 0.6, 900
+
+
+@query(rf"""WITH w AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r, rtrim(lower(trim(regexp_extract(text, '{_FIRST_WORD}'), ' ')), '.') AS word, length(text) AS secs FROM conversations WHERE text IS NOT NULL),
+a AS (SELECT *, coalesce(sum(secs) OVER (PARTITION BY conv_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {_SECONDS} AS open FROM w WHERE r <= {_SAMPLES}),
+c AS (SELECT x.conv_id, x.r AS i, y.word, count(*) AS n, min(y.r) AS first FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.r <= x.r WHERE x.open GROUP BY 1, 2, 3),
+s AS (SELECT conv_id, i, arg_max(word, (n, -first)) AS answer, max(n) / i AS share FROM c GROUP BY 1, 2),
+e AS (SELECT conv_id, min(i) FILTER (WHERE i >= 2 AND share >= {_AGREED}) AS stop, max(i) AS last FROM s GROUP BY 1),
+o AS (SELECT conv_id, count(*) AS offered FROM a GROUP BY 1)
+SELECT conv_id, answer, round(share, 6) AS confidence, i::BIGINT AS calls, CAST(stop IS NOT NULL AS INT) AS agreed, CAST(stop IS NULL AND last < offered AS INT) AS curtailed FROM e JOIN o USING (conv_id) JOIN s USING (conv_id) WHERE i = coalesce(stop, last)""")
+def q_early_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words of a conversation's turns as answers, their lengths as seconds; only a key's first answers are gathered."""
+    w = _turns(spark, sf_dir).where("text is not null").select("conv_id", "turn", "text")
+    w = w.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))).where(F.col("r") <= _SAMPLES)
+    answer = F.struct("r", normal_answer(F.regexp_extract("text", _FIRST_WORD, 0)).alias("word"), F.length("text").cast("double").alias("secs"))
+    g = w.groupBy("conv_id").agg(F.array_sort(F.collect_list(answer)).alias("a"))
+    v = g.select("conv_id", early_vote(F.col("a.word"), F.col("a.secs"), _AGREED, _SAMPLES, _SECONDS).alias("v"))
+    return v.select("conv_id", "v.answer", F.round("v.confidence", 6).alias("confidence"), F.col("v.calls").cast("long").alias("calls"), F.col("v.agreed").cast("int").alias("agreed"), F.col("v.curtailed").cast("int").alias("curtailed"))
+
+
 @query("SELECT conv_id, sha256(arg_min(text, turn) FILTER (WHERE role = 'user')) AS asked, sha256(arg_min(text, turn) FILTER (WHERE role = 'assistant')) AS answered FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0 AND count(*) FILTER (WHERE role = 'assistant') > 0")
 def q_conv_first_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda role: F.min_by(F.sha2("text", 256), F.when(F.col("role") == role, F.col("turn")))
