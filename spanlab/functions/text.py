@@ -32,15 +32,18 @@ def finalized(text: Column, default: str) -> Column:
     return F.coalesce(F.nullif(F.concat(F.upper(F.substring(line, 1, 1)), F.substring(line, 2, 1 << 30)), F.lit("")), F.lit(default))
 
 
+# How a model's refusal begins, and the labels it may put before an answer.
+REFUSALS = ("i'm", "i am", "i can", "i cannot", "i can't", "i do", "i don't", "i do not", "i would", "i could", "as an ai", "sorry", "unable to", "it is not possible", "there is not enough", "unfortunately")
+LABELS = ("answer", "response", "a")
+
+
 def sanitized(text: Column, words: int = 24) -> Column:
-    """First non-blank line without an answer label or quotes, at most ``words`` words; a refusal gives null."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    line = F.trim(F.get(lines, F.lit(0)))
-    line = F.regexp_replace(line, r"^(?i:answer)\s*:\s*", "")
-    line = F.regexp_replace(line, "^[\"']+|[\"']+$", "")
-    capped = F.array_join(F.slice(F.split(line, r"[ \t]+"), 1, words), " ")
-    refusal = F.lower(line).rlike(r"^(i can ?not|i can't|i am unable|sorry|as an ai)")
-    return F.when(line.isNull() | (line == "") | refusal, F.lit(None)).otherwise(capped)
+    """First non-blank line without an answer label or quotes, white space squeezed, at most ``words`` words; a refusal gives null."""
+    line = F.get(F.filter(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"\s+", "") != ""), F.lit(0))
+    trim = lambda c, what: F.regexp_replace(c, rf"^{what}+|{what}+$", "")
+    line = trim(F.regexp_replace(trim(line, r"\s"), rf"^(?i:{'|'.join(LABELS)})\s*[:-]\s*", ""), r"\s")
+    line = F.regexp_replace(trim(trim(trim(line, '"'), "'"), r"\s"), r"\s+", " ")
+    return F.when((line != "") & ~F.lower(line).rlike(rf"^({'|'.join(REFUSALS)})\b"), F.array_join(F.slice(F.split(line, " "), 1, words), " "))
 
 
 def matched_phrases(text: Column, phrases: Sequence[str]) -> Column:

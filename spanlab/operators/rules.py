@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import english_list
+from ..functions.arrays import let
 from ..functions.text import words_only
 
 # The instrument classes and the named tasks that records carry.
@@ -52,7 +52,7 @@ APPROACHES = "laparoscopic laparoscopy laparotomy endoscopic robotic robot keyho
 AUXILIARY = "am is are was were do does did has have had can could will would shall should may might isn aren wasn weren don doesn didn hasn haven couldn wouldn".split()
 COURTESY = ("can", "could", "would", "will")
 OPENING = "what which who whose where when why how name identify describe list state specify tell explain count summarize summarise".split()
-NEGATION = ("no", "not", "none", "never", "without", "absent", "nothing", "neither")
+NEGATION = ("no", "not", "none", "never", "without", "absent", "nothing", "neither", "lack", "lacking")
 TAGS = ("or not", "right", "correct", "yes or no", "true or false")
 
 
@@ -96,8 +96,8 @@ def is_polar(question: Column) -> Column:
 
 
 def negated(question: Column) -> Column:
-    """The existence asked about is negated, which turns the answer, not the intent."""
-    return F.arrays_overlap(tokens(question), _in(NEGATION))
+    """The existence asked about is negated, which turns the answer, not the intent; the "no" of a tag like "yes or no" isn't a negation."""
+    return F.arrays_overlap(tokens(F.regexp_replace(words_only(question), r"(^| )(or not|yes or no|true or false)$", "")), _in(NEGATION))
 
 
 def concepts(words: Column, table: dict[str, str]) -> Column:
@@ -109,11 +109,16 @@ def concepts(words: Column, table: dict[str, str]) -> Column:
 
 def intent(question: Column) -> Column:
     """One of 13 intents."""
-    words = tokens(question)
-    named, asked = concepts(words, CONCEPTS), concepts(words, ASKED)
+    facts = F.struct(words_only(question).alias("whole"), is_polar(question).alias("polar"))
+    read = lambda f: F.struct(f["whole"].alias("whole"), f["polar"].alias("polar"), F.filter(F.split(f["whole"], " "), lambda w: w != "").alias("words"))
+    named = lambda f: F.struct(f.alias("f"), concepts(f["words"], CONCEPTS).alias("named"), concepts(f["words"], ASKED).alias("asked"))
+    return let(let(let(facts, read), named), _intent)
+
+
+def _intent(facts: Column) -> Column:
+    whole, words, named, asked = facts["f"]["whole"], facts["f"]["words"], facts["named"], facts["asked"]
     names = lambda concept: F.array_contains(named, concept)
     approaches = F.size(F.array_distinct(concepts(words, {a: a for a in APPROACHES.split()})))
-    whole = words_only(question)
     polar = F.coalesce(
         F.when(names("instrument"), "tool_presence"),
         F.when(whole.rlike("|".join(TASKS)), "task_confirm"),
@@ -127,57 +132,7 @@ def intent(question: Column) -> Column:
     about = F.get(F.filter(named, lambda c: c.isin(*focus)), F.lit(0))
     how = F.when(F.array_contains(asked, "other"), "unknown_open").when(F.array_contains(asked, "purpose") | (F.element_at(words, -1) == "for"), "purpose").when(F.array_contains(asked, "count"), "count")
     open_ = F.coalesce(how, F.try_element_at(F.create_map(*(F.lit(x) for pair in focus.items() for x in pair)), about), F.lit("unknown_open"))
-    return F.when(whole == "", "unknown_open").when(is_polar(question), polar).otherwise(open_)
-
-
-def named_term(question: Column, terms: Sequence[str]) -> Column:
-    """The first of the terms that stands in the question, or ""."""
-    return F.regexp_extract(words_only(question), rf"\b({'|'.join(t.replace('_', ' ') for t in terms)})", 1)
-
-
-def seen(tools: Column, task: Column) -> Column:
-    """What a record shows, in one of four sentences."""
-    some, doing = F.size(tools) > 0, task.isNotNull()
-    return F.when(some & doing, F.concat(english_list(tools), F.lit(" during "), task)).when(some, F.concat(english_list(tools), F.lit(" in view"))).when(doing, F.concat(F.lit("A clip of "), task)).otherwise("A surgical scene")
-
-
-NUMBERS = ("Zero", "One", "Two", "Three", "Four", "Five", "Six")
-
-
-def answered(question: Column, tools: Column, task: Column, organ: Column, approach: Column) -> Column:
-    """The answer to a question from a record (names of tools, task, organ, approach; null where not known).
-
-    Presence, cutting, suturing, named tasks and approaches are answered by yes or no, turned by a
-    negation; what needs no record (purpose, procedure) has an answer without one; a question that
-    is not understood gets what the record shows.
-    """
-    kind = intent(question)
-    tool = named_term(question, CONCEPTS["instrument"].split())
-    wanted = named_term(question, TASKS)
-    way = F.when(words_only(question).rlike(r"\b(robot|robotic)\b"), "robotic").when(words_only(question).rlike(r"\b(open|laparotomy)\b"), "open").otherwise("laparoscopic")
-    has = lambda part: F.exists(tools, lambda t: t.contains(part))
-    yes = (
-        F.when(kind == "tool_presence", F.when(tool != "", F.exists(tools, lambda t: F.replace(t, F.lit("-"), F.lit(" ")).contains(tool))).otherwise(F.size(tools) > 0))
-        .when(kind == "cutting", has("scissors") | has("hook"))
-        .when(kind == "suture", has("needle driver"))
-        .when(kind == "task_confirm", F.coalesce(F.lower(task).contains(wanted), F.lit(False)))
-        .when(kind == "approach", F.coalesce(approach == way, F.lit(False)))
-    )
-    return (
-        F.when(yes.isNotNull(), polar_answer(yes, question))
-        .when(kind == "count", F.get(_in(NUMBERS), F.size(tools)))
-        .when(kind == "organ", F.coalesce(organ, F.lit("Not visible")))
-        .when(kind == "task", F.coalesce(task, F.lit("Surgical activity")))
-        .when(kind == "tool_identity", F.when(F.size(tools) == 0, "No instrument").otherwise(english_list(tools)))
-        .when(kind == "purpose", F.when(tool != "", F.concat(F.lit("The "), tool, F.lit(" serves to handle tissue"))).otherwise("To handle tissue"))
-        .when(kind == "procedure", "Endoscopic surgery")
-        .otherwise(seen(tools, task))
-    )
-
-
-def polar_answer(yes: Column, question: Column) -> Column:
-    """Yes or No, turned where the question negates."""
-    return F.when(yes != negated(question), "Yes").otherwise("No")
+    return F.when(whole == "", "unknown_open").when(facts["f"]["polar"], polar).otherwise(open_)
 
 
 def arbitrated(mode: Column, base: Column, draft: Column, intent_: Column, judged: Column, allowed: Sequence[str]) -> Column:

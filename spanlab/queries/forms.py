@@ -6,28 +6,56 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import forms as X
+from ..functions.hashing import stable_index
+from ..sources.intervals_csv import seconds
 from .registry import query, table
 
 
 @query("SELECT l_orderkey, l_linenumber, l_linenumber || CASE WHEN l_orderkey % 2 = 0 THEN '.0' ELSE '.5' END AS written, CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber END::BIGINT AS part FROM lineitem")
 def q_part_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_orderkey") % 2 == 0, ".0").otherwise(".5"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", written.alias("written")).withColumn("part", X.part_number(F.col("written")))
-
-
-# What a model said, the polarity in it, and the candidate of ("first", "second") that it names.
-SAID = [("Yes.", "Yes", None), ("  no, it isn't", "No", None), ("Answer 2", None, "second"), ("answer 1: the first one", None, "first"), ("Answer 0", None, None), ("Answer 3", None, None), ("Answer", None, None), ("Nothing", None, None), ("*Yes* it is", "Yes", None), ("", None, None), ("I think Answer 2", None, None), ("ANSWER 2 : so", None, "second")]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", written.alias("written")).withColumn("part", X.part_number(F.col("written"), strict=False))
+
+
+# What a model said, the polarity in it, the candidate of ("first", "second") that it names, and what kind of decision it is.
+SAID = [
+    ("Yes.", "Yes", None, "suppressed"),
+    ("  no, it isn't", "No", None, "suppressed"),
+    ("NO: none", "No", None, "suppressed"),
+    ("yes-man", None, None, "suppressed"),
+    ("*Yes* it is", None, None, "suppressed"),
+    ("1 yes", None, None, "suppressed"),
+    ("Answer 2", None, "second", "choice"),
+    ("answer 1: the first one", None, "first", "choice"),
+    ("Answer2", None, "second", "choice"),
+    ("Answer 2.", None, "second", "choice"),
+    ("Answer 1- so", None, "first", "choice"),
+    ("ANSWER 2 : so", None, "second", "choice"),
+    ("Answer 2 and more", None, None, "suppressed"),
+    ("Answer 0", None, None, "unparseable"),
+    ("Answer 3", None, None, "unparseable"),
+    ("Answer 99999999999999999999", None, None, "unparseable"),
+    ("Answer", None, None, "suppressed"),
+    ("I think Answer 2", None, None, "suppressed"),
+    (" ", None, None, "unparseable"),
+]
 _SAID = ", ".join("(" + ", ".join("NULL" if x is None else "'" + str(x).replace("'", "''") + "'" for x in (i, *row)) + ")" for i, row in enumerate(SAID))
 
 
-@query(f"SELECT id::BIGINT AS id, polarity, chosen FROM (VALUES {_SAID}) v(id, said, polarity, chosen)")
+@query(f"""WITH v(id, said, polarity, chosen, source) AS (VALUES {_SAID}), c AS (SELECT CAST(('0x' || sha256(conv_id || '|' || turn)[1:16])::UHUGEINT % {len(SAID)} AS VARCHAR) AS id FROM conversations)
+SELECT id::BIGINT AS id, polarity, chosen, source, count(*)::BIGINT AS n FROM c JOIN v USING (id) GROUP BY ALL""")
 def q_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = spark.createDataFrame([(i, row[0]) for i, row in enumerate(SAID)], "id long, said string")
-    return said.select("id", X.polarity_of(F.col("said")).alias("polarity"), X.judged(F.col("said"), F.array(F.lit("first"), F.lit("second"))).alias("chosen"))
+    """Replies to turns of conversations, one of the list each, white space around every other one."""
+    pick = stable_index(F.concat_ws("|", "conv_id", "turn"), len(SAID)).alias("id")
+    t = table(spark, sf_dir, "conversations").select(pick, "turn")
+    said = F.get(F.array(*(F.lit(r[0]) for r in SAID)), F.col("id").cast("int"))
+    t = t.withColumn("said", F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" \n"), said, F.lit("\t"))).otherwise(said))
+    j = t.withColumn("j", X.judged(F.col("said"), F.array(F.lit("first"), F.lit("second"))))
+    return j.groupBy("id", X.polarity_of(F.col("said")).alias("polarity"), F.col("j.answer").alias("chosen"), F.col("j.source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT p_partkey, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS noun,
-CASE WHEN regexp_matches(p_brand, '[0-9]$') THEN p_brand ELSE p_brand || 's' END AS brands, CASE WHEN regexp_matches(p_name, '(s|x|z|ch|sh)$') THEN p_name || 'es' ELSE p_name || 's' END AS many FROM part""")
+CASE WHEN NOT regexp_matches(p_brand, '(^| )[0-9]+$') AND NOT regexp_matches(p_brand, '(s|x|z|ch|sh)$') THEN p_brand || 's' END AS brands, CASE WHEN NOT regexp_matches(p_name, '(s|x|z|ch|sh)$') THEN p_name || 's' END AS many FROM part""")
 def q_display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", X.display_noun(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("noun"), X.plural(F.col("p_brand")).alias("brands"), X.plural(F.col("p_name")).alias("many"))
@@ -45,7 +73,7 @@ def q_threshold_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(X.valid_threshold(F.col("value") / 100)).alias("valid"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN text[1:37] || '...' ELSE text END AS shown FROM documents")
+@query(r"WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS line FROM documents) SELECT doc_id, CASE WHEN length(line) > 40 THEN line[1:39] || '…' ELSE line END AS shown FROM d")
 def q_clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.clipped(F.col("text"), 40).alias("shown"))
 
@@ -64,12 +92,12 @@ def q_detector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)
 SELECT user_id, event_type, string_agg(event_id::VARCHAR, ', ' ORDER BY k) || CASE WHEN any_value(n) > 4 THEN ' +' || (any_value(n) - 4) || ' more' ELSE '' END AS listed FROM r WHERE k <= 4 GROUP BY 1, 2""")
 def q_capped_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four of each group and how many more; only four rows a group are gathered."""
-    by = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    first = table(spark, sf_dir, "events").withColumn("k", F.row_number().over(by)).where("k <= 4").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    rest = F.when(F.col("n") > 4, F.concat(F.lit(" +"), (F.col("n") - 4).cast("string"), F.lit(" more"))).otherwise("")
-    return first.join(n, ["user_id", "event_type"]).select("user_id", "event_type", F.concat(F.array_join(F.transform("ids", lambda i: i.cast("string")), ", "), rest).alias("listed"))
+    """The first four of each group and how many more; one pass that gathers five rows a group at most."""
+    by = Window.partitionBy("user_id", "event_type")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    e = e.withColumn("k", F.row_number().over(by.orderBy("event_id"))).withColumn("n", F.count(F.lit(1)).over(by)).where("k <= 4")
+    listed = e.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("event_id")).alias("ids"), F.max("n").cast("int").alias("n"))
+    return listed.select("user_id", "event_type", X.capped_list(F.transform("ids", lambda i: i.cast("string")), 4, F.col("n")).alias("listed"))
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT l_orderkey, count(*)::BIGINT AS paths FROM p LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey
@@ -99,9 +127,12 @@ def q_evidence_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("user_id", X.evidence_prompt(blocks).alias("prompt"))
 
 
-@query("SELECT event_id, round(hour(ts) * 3600 + minute(ts) * 60 + second(ts), 6)::DOUBLE AS seconds FROM events")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL ELSE round(CASE WHEN event_id % 5 = 1 THEN 1000 ELSE hour(ts) END * 3600 + CASE WHEN event_id % 5 = 2 THEN 75 ELSE minute(ts) END * 60 + second(ts), 6)::DOUBLE END AS seconds FROM events")
 def q_parse_hms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.round(X.hms_seconds(F.date_format("ts", "HH:mm:ss")), 6).alias("seconds"))
+    """Times as the interval logs write them: with spaces around, of many hours, of more than sixty minutes, and unreadable."""
+    k, t = F.col("event_id") % 5, F.date_format("ts", "HH:mm:ss")
+    written = F.when(k == 0, F.concat(t, F.lit(":9"))).when(k == 1, F.concat(F.lit("1000"), F.substring(t, 3, 6))).when(k == 2, F.concat(F.substring(t, 1, 3), F.lit("75"), F.substring(t, 6, 3))).when(k == 3, F.concat(F.lit("  "), t, F.lit(" "))).otherwise(t)
+    return table(spark, sf_dir, "events").select("event_id", F.round(seconds(written), 6).alias("seconds"))
 
 
 @query("""WITH f AS (SELECT unnest(range(8)) AS flags), d AS (SELECT doc_id, n_chars > 500 AS a, lang = 'en' AS b, source < 's' AS c, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +106,10 @@ def q_index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("o_orderkey", F.when(inside, F.col("f")).alias("first"), F.when(inside, F.col("l")).alias("last"))
 
 
-@query("SELECT n::BIGINT AS n, array_to_string(CASE WHEN n <= 8 THEN range(n) ELSE [((2 * i + 1) * n) // 16 FOR i IN range(8)] END, ',') AS picked FROM range(1, 41) r(n)")
+@query("WITH d AS (SELECT doc_id, coalesce(n_chars, 0) % 40 + 1 AS n FROM documents) SELECT doc_id, array_to_string(CASE WHEN n <= 8 THEN range(n) ELSE [((2 * i + 1) * n) // 16 FOR i IN range(8)] END, ',') AS picked FROM d")
 def q_bin_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("id").cast("int")
-    return spark.range(1, 41).select(F.col("id").alias("n"), F.array_join(F.transform(bin_centres(n, F.lit(8)), lambda i: i.cast("string")), ",").alias("picked"))
+    n = (F.coalesce("n_chars", F.lit(0)) % 40 + 1).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(bin_centres(n, F.lit(8)), lambda i: i.cast("string")), ",").alias("picked"))
 
 
 @query("WITH l AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks FROM orders GROUP BY 1 HAVING count(*) >= 5), p AS (SELECT o_custkey, ks, unnest(range(len(ks))) AS i FROM l) SELECT o_custkey, i::BIGINT AS i, array_to_string(ks[greatest(1, least(i - 1, len(ks) - 4)):greatest(1, least(i - 1, len(ks) - 4)) + 4], ',') AS around FROM p")
@@ -162,21 +160,19 @@ def q_systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLANS = [(1, 32, 896), (2, 32, 672), (3, 16, 672), (4, 16, 448), (5, 8, 448), (6, 8, 224)]
-BUDGETS = [(1, 100000, 600), (2, 9000, 600), (3, 4000, 120), (4, 2000, 40), (5, 300, 30), (6, 100, 600)]
 
 
-@query(f"""WITH p(rank, frames, size) AS (VALUES {', '.join(map(str, PLANS))}), b(id, tokens, seconds) AS (VALUES {', '.join(map(str, BUDGETS))}), c AS (SELECT *, ((size // 14) * (size // 14) // 4) * frames AS cost FROM p),
-m AS (SELECT b.id, min(rank) AS rank FROM b JOIN c ON cost <= b.tokens AND round(15 + 40 * cost / 1000.0, 6) <= b.seconds GROUP BY b.id)
-SELECT b.id::BIGINT AS id, m.rank::BIGINT AS rank, c.cost::BIGINT AS cost, (SELECT min(d.rank) FROM c d WHERE d.cost < c.cost)::BIGINT AS cheaper FROM b LEFT JOIN m USING (id) LEFT JOIN c ON c.rank = m.rank""")
+@query(f"""WITH p(rank, frames, size) AS (VALUES {', '.join(map(str, PLANS))}), b AS (SELECT o_orderkey, o_orderkey * 37 % 40000 AS tokens, o_custkey % 620 AS seconds FROM orders), c AS (SELECT *, ((size // 14) * (size // 14) // 4) * frames AS cost FROM p),
+m AS (SELECT o_orderkey, min(rank) AS rank FROM b JOIN c ON cost <= tokens AND round(15 + 40 * cost / 1000.0, 6) <= seconds GROUP BY 1), d AS (SELECT x.rank, any_value(x.cost) AS cost, min(y.rank) AS cheaper FROM c x LEFT JOIN c y ON y.cost < x.cost GROUP BY x.rank)
+SELECT b.o_orderkey, m.rank::BIGINT AS rank, d.cost::BIGINT AS cost, d.cheaper::BIGINT AS cheaper FROM b LEFT JOIN m USING (o_orderkey) LEFT JOIN d ON d.rank = m.rank""")
 def q_plan_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The richest plan within two budgets, and the next strictly cheaper one; null where none fits."""
-    cost = F.expr("((size div 14) * (size div 14) div 4) * frames")
-    plans = F.broadcast(spark.createDataFrame(PLANS, "rank long, frames long, size long").withColumn("cost", cost))
-    budgets = spark.createDataFrame(BUDGETS, "id long, tokens long, seconds long")
-    fits = (F.col("cost") <= F.col("tokens")) & (F.round(15 + 40 * F.col("cost") / 1000.0, 6) <= F.col("seconds"))
-    best = budgets.join(plans, fits, "left").groupBy("id").agg(F.min(F.struct("rank", "cost")).alias("b")).select("id", F.when(F.col("b.rank").isNotNull(), F.col("b.rank")).alias("rank"), F.col("b.cost").alias("cost"))
-    cheaper = plans.select(F.col("rank").alias("r"), F.col("cost").alias("c"))
-    return best.join(cheaper, F.col("c") < F.col("cost"), "left").groupBy("id", "rank", "cost").agg(F.min("r").alias("cheaper"))
+    """For each row's two budgets the richest plan within them and the next strictly cheaper one, null where none fits; the plans are a literal, so a CASE."""
+    costed = [(rank, (size // 14) ** 2 // 4 * frames) for rank, frames, size in sorted(PLANS)]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 37 % 40000).alias("tokens"), (F.col("o_custkey") % 620).alias("seconds"))
+    fits = lambda cost: (F.lit(cost) <= F.col("tokens")) & (F.round(15 + 40 * F.lit(cost) / 1000.0, 6) <= F.col("seconds"))
+    cheaper = {rank: min((r for r, c in costed if c < cost), default=None) for rank, cost in costed}
+    best = F.coalesce(*(F.when(fits(cost), F.struct(F.lit(rank).cast("long").alias("rank"), F.lit(cost).cast("long").alias("cost"), F.lit(cheaper[rank]).cast("long").alias("cheaper"))) for rank, cost in costed))
+    return o.select("o_orderkey", best.alias("b")).select("o_orderkey", "b.rank", "b.cost", "b.cheaper")
 
 
 @query("SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 7)) GROUP BY 1")
@@ -220,10 +216,15 @@ def q_dim_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("s_suppkey", F.coalesce("n_name", F.lit("UNKNOWN")).alias("nation"), F.coalesce("r_name", F.lit("UNKNOWN")).alias("region"))
 
 
-FLAGS = ("cache", "fuse", "judge", "motion", "variant")
-
-
-@query(f"WITH f(i, name) AS (VALUES {', '.join(f'({i}, {name!r})' for i, name in enumerate(FLAGS))}), m AS (SELECT unnest(range(32)) AS mask) SELECT m.mask::BIGINT AS mask, count(name)::BIGINT AS size, coalesce(string_agg(name, '+' ORDER BY name), 'none') AS flags FROM m LEFT JOIN f ON (m.mask >> f.i) & 1 = 1 GROUP BY m.mask")
+@query("WITH f AS (SELECT r_name AS name, row_number() OVER (ORDER BY r_name) - 1 AS i, n FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey), m AS (SELECT unnest(range((SELECT 1 << count(*) FROM f))) AS mask) SELECT m.mask::BIGINT AS mask, count(name)::BIGINT AS size, coalesce(string_agg(name, '+' ORDER BY name), 'none') AS flags, coalesce(sum(n), 0)::BIGINT AS nations FROM m LEFT JOIN f ON (m.mask >> f.i) & 1 = 1 GROUP BY m.mask")
 def q_flag_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(sum(1 << FLAGS.index(f) for f in c), n, "+".join(c) or "none") for n in range(len(FLAGS) + 1) for c in itertools.combinations(FLAGS, n)]
-    return spark.createDataFrame(rows, "mask long, size long, flags string")
+    """Every subset of the regions with its nations; subsets double with every name, so more than sixteen are an error."""
+    n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count(F.lit(1)).alias("n"))
+    names = table(spark, sf_dir, "region").join(n, "r_regionkey").agg(F.array_sort(F.collect_list(F.struct("r_name", "n"))).alias("names"))
+    few = F.when(F.size("names") <= 16, F.shiftleft(F.lit(1), 16)).otherwise(F.raise_error(F.lit("too many names")).cast("int"))
+    masks = names.select("names", F.explode(F.sequence(F.lit(0), F.least(few, F.pow(F.lit(2), F.size("names")).cast("int")) - 1)).alias("mask"))
+    own = F.filter("names", lambda x, i: F.expr("1").cast("int") == F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)))
+    s = masks.select(F.col("mask").cast("long").alias("mask"), own.alias("own"))
+    flags = F.array_join(F.transform("own", lambda x: x["r_name"]), "+")
+    return s.select("mask", F.size("own").cast("long").alias("size"), F.when(F.size("own") == 0, "none").otherwise(flags).alias("flags"), F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("nations"))
+

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import records as X
 from ..functions.arrays import english_list
+from ..functions.hashing import stable_index
 from ..functions.text import words_only
 from ..operators import intervals as I
 from ..operators import sampling as S
+from ..operators.answers import evidence_verdict
 from ..operators.rules import TOOLS
 from ..plans import views as V
 from ..sources.files import last_timings
@@ -53,30 +55,48 @@ def q_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MARKERS = {"steel": "mega", "brass": "large", "copper": "large"}
-# Question and the one family that it names.
-ASKED = [("Is the mega one used?", "mega"), ("Which LARGE tool?", "large"), ("large or mega?", None), ("Any enlarged part?", None), ("", None)]
-
-
 @query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') OR contains(lower(p_name), 'steel') THEN 'mega' WHEN regexp_matches(lower(p_type || ' ' || p_name), 'brass|copper') THEN 'large' END AS family FROM part""")
 def q_family_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.family_of(F.concat_ws(" ", "p_type", "p_name"), MARKERS).alias("family"))
 
 
-@query(f"SELECT id::BIGINT AS id, family FROM ({_values([(i, *r) for i, r in enumerate(ASKED)])}) v(id, question, family)")
+@query(r"""WITH q AS (SELECT p_partkey, 'Is the ' || CASE p_size % 4 WHEN 0 THEN 'mega' WHEN 1 THEN 'LARGE' WHEN 2 THEN 'enlarged' ELSE '' END || ' ' || p_name || CASE WHEN p_size > 40 THEN ' or mega' ELSE '' END || ' used?' AS question FROM part),
+h AS (SELECT p_partkey, regexp_matches(lower(question), '(^|[^a-z0-9])large([^a-z0-9]|$)') AS l, regexp_matches(lower(question), '(^|[^a-z0-9])mega([^a-z0-9]|$)') AS m FROM q)
+SELECT p_partkey, CASE WHEN l AND NOT m THEN 'large' WHEN m AND NOT l THEN 'mega' END AS family FROM h""")
 def q_family_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame([(i, r[0]) for i, r in enumerate(ASKED)], "id long, question string")
-    return q.select("id", X.family_asked(F.split(words_only(F.col("question")), " "), {"large": "large", "mega": "mega"}).alias("family"))
+    """The one family a question names; part names bring words of their own."""
+    k = F.col("p_size") % 4
+    word = F.when(k == 0, "mega").when(k == 1, "LARGE").when(k == 2, "enlarged").otherwise("")
+    question = F.concat(F.lit("Is the "), word, F.lit(" "), "p_name", F.when(F.col("p_size") > 40, " or mega").otherwise(""), F.lit(" used?"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.family_asked(F.split(words_only(question), " "), {"large": "large", "mega": "mega"}).alias("family"))
 
 
-# Family asked about, family found (null: undecided), answer, and what the evidence says of it.
-EVIDENCE = [("mega", "mega", "Yes", "agrees"), ("mega", "large", "Yes.", "contradicts"), ("large", "mega", "No", "agrees"), ("large", "large", "no, none", "contradicts"), ("mega", None, "Yes", "undecidable"), (None, "mega", "Yes", "undecidable"), ("mega", "mega", "Perhaps", "undecidable"), ("mega", "mega", None, "undecidable")]
+_PROBES = ("Is a MEGA needle driver used?", "Was the large one taken?", "Is a click driver used?", "Do we see an error here?", "Are there sign-ups?", "Is it the driver?")
+_PROBE_SQL = "[" + ", ".join("'" + q + "'" for q in _PROBES) + "]"
+_HASH = "CAST(('0x' || sha256(key || '|{0}')[1:16])::UHUGEINT % {1} AS INT)"
 
 
-@query(f"SELECT verdict, count(*)::BIGINT AS n, string_agg(id, ',' ORDER BY id) AS ids FROM ({_values([(i, *r) for i, r in enumerate(EVIDENCE)])}) v(id, asked, found, answer, verdict) GROUP BY verdict")
+@query(f"""WITH {V.STAB}, d AS (SELECT w.case_id, w.part, w.seg_id, w.k, coalesce(list(DISTINCT s.cls) FILTER (WHERE s.cls IS NOT NULL), []) AS classes FROM win w LEFT JOIN stab s USING (case_id, part, seg_id, k) GROUP BY ALL),
+x AS (SELECT *, case_id || '|' || part || '|' || seg_id || '|' || k AS key FROM d),
+r AS (SELECT CASE WHEN {_HASH.format("lens", 3)} = 0 THEN 'other' WHEN {_HASH.format("lens", 3)} = 1 THEN 'variant_presence_polar' ELSE 'tool_presence_polar' END AS intent, {_HASH.format("q", len(_PROBES))} AS q,
+ CASE WHEN {_HASH.format("a", 5)} < 2 THEN 'yes' WHEN {_HASH.format("a", 5)} < 4 THEN 'no' END AS polar, CASE WHEN k % 7 <> 0 THEN classes END AS tools, [NULL, 'mega', 'large'][seg_id % 3 + 1] AS family, seg_id % 2 = 0 AS decided FROM x),
+v AS (SELECT *, CASE WHEN q = 0 THEN 'mega' WHEN q = 1 THEN 'large' END AS asked, CASE WHEN q = 2 THEN 'click' WHEN q = 3 THEN 'error' END AS name FROM r),
+e AS (SELECT *, CASE intent WHEN 'variant_presence_polar' THEN CASE WHEN decided AND family IS NOT NULL AND asked IS NOT NULL THEN family = asked END WHEN 'tool_presence_polar' THEN CASE WHEN name IS NOT NULL AND tools IS NOT NULL THEN list_contains(tools, name) END END AS says FROM v)
+SELECT intent, CASE WHEN says IS NULL OR polar IS NULL THEN 'undecidable' WHEN says = (polar = 'yes') THEN 'agrees' ELSE 'contradicts' END AS verdict, count(*)::BIGINT AS n FROM e GROUP BY 1, 2""")
 def q_evidence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(EVIDENCE)], "id long, asked string, found string, answer string")
-    by = e.groupBy(X.verdict(F.col("asked"), F.col("found"), F.col("answer")).alias("verdict"))
-    return by.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
+    """Answers about windows of the event log against what the windows show, by two lenses; other intents decide nothing."""
+    tools = V.tool(spark, sf_dir).select("case_id", "part", "cls", F.col("a").alias("ta"), F.col("b").alias("tb"))
+    j = I.range_join(V.win(spark, sf_dir), tools, ["case_id", "part"], "mid", "ta", "tb", outer=True)
+    w = j.groupBy("case_id", "part", "seg_id", "k").agg(F.collect_set("cls").alias("classes")).withColumn("key", F.concat_ws("|", "case_id", "part", "seg_id", "k"))
+    draw = lambda what, n: stable_index(F.concat("key", F.lit(f"|{what}")), n)
+    lens, said = draw("lens", 3), draw("a", 5)
+    intent = F.when(lens == 0, "other").when(lens == 1, "variant_presence_polar").otherwise("tool_presence_polar")
+    answer = F.when(said < 2, "Yes.").when(said < 4, " no").otherwise("Perhaps")
+    question = F.get(F.array(*map(F.lit, _PROBES)), draw("q", len(_PROBES)).cast("int"))
+    family = F.get(F.array(F.lit(None), F.lit("Mega"), F.lit("large")), (F.col("seg_id") % 3).cast("int"))
+    r = w.select(intent.alias("intent"), question.alias("question"), answer.alias("answer"), F.when(F.col("k") % 7 != 0, F.col("classes")).alias("tools"), family.alias("family"), (F.col("seg_id") % 2 == 0).alias("decided"))
+    verdict = evidence_verdict(F.col("intent"), F.col("question"), F.col("answer"), F.col("tools"), F.col("family"), F.col("decided"), ("click", "error", "signup"))
+    return r.groupBy("intent", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH s AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS names FROM events GROUP BY 1), t AS (SELECT user_id, names[1:3] AS n FROM s)
@@ -104,13 +124,17 @@ def q_part_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DEFAULTS = {"mode": "fallback", "weight": "0.5"}
-SETTINGS = [('{"mode": "judge"}', "judge", "0.5", None), ('{"weight": 0.7, "extra": "x"}', "fallback", "0.7", "x"), ("{broken", "fallback", "0.5", None), ("[1]", "fallback", "0.5", None), (None, "fallback", "0.5", None), ("{}", "fallback", "0.5", None)]
 
 
-@query(f"SELECT id::BIGINT AS id, mode, weight, extra FROM ({_values([(i, *r[1:]) for i, r in enumerate(SETTINGS)])}) v(id, mode, weight, extra)")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_name ELSE 'fallback' END AS mode, CASE WHEN s_suppkey % 5 = 1 THEN s_nationkey::VARCHAR ELSE '0.5' END AS weight, CASE WHEN s_suppkey % 5 = 1 THEN s_acctbal::INT::VARCHAR END AS extra FROM supplier""")
 def q_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.createDataFrame([(i, r[0]) for i, r in enumerate(SETTINGS)], "id long, text string").select("id", X.settings(F.col("text"), DEFAULTS).alias("s"))
-    return s.select("id", *(F.try_element_at("s", F.lit(k)).alias(k) for k in ("mode", "weight", "extra")))
+    """Defaults under each row's own settings: some override, some add, some are broken, no object, or absent."""
+    k = F.col("s_suppkey") % 5
+    over = F.concat(F.lit('{"mode": "'), "s_name", F.lit('", "weight": null}'))
+    more = F.concat(F.lit('{"weight": '), F.col("s_nationkey").cast("string"), F.lit(', "extra": "'), F.round("s_acctbal").cast("int").cast("string"), F.lit('"}'))
+    text = F.when(k == 0, over).when(k == 1, more).when(k == 2, F.concat(F.lit("{"), "s_name")).when(k == 3, F.concat(F.lit('["'), "s_name", F.lit('"]')))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", X.settings(text, DEFAULTS).alias("s"))
+    return s.select("s_suppkey", *(F.try_element_at("s", F.lit(c)).alias(c) for c in ("mode", "weight", "extra")))
 
 
 @query(f"""WITH ev AS (SELECT user_id AS case_id, event_id, event_type AS cls, value, epoch_us(ts) AS a, (epoch_us(ts) + round(value * 100)::BIGINT * {V.HALF_HOUR_CENT})::BIGINT AS b FROM events),

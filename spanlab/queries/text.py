@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.hashing import draw, sha1_bucket, stable_index
 from ..functions.votes import early_vote, normal_answer
+from ..operators import answers as A
 from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import sampling as S
@@ -42,10 +43,19 @@ def q_text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", F.sha2(X.words_only(t), 256).alias("words"), F.length(X.collapsed(t)).cast("long").alias("collapsed"), F.sha2(X.unpunctuated(t), 256).alias("plain"))
 
 
-@query(r"""WITH l AS (SELECT conv_id, turn, [trim(x, ' ') FOR x IN string_split(text, chr(10)) IF trim(x, ' ') <> ''][1] AS line FROM conversations)
-SELECT conv_id, turn, CASE WHEN line IS NOT NULL THEN array_to_string(regexp_split_to_array(line, '[ \t]+')[1:24], ' ') END AS clean, len(regexp_split_to_array(line, '[ \t]+')[1:24])::BIGINT AS n_words FROM l""")
+_PREFIXES = ("", "Answer: ", "response - ", 'A: "', "I cannot say: ", "Sorry, ", "Unable to tell ", "'")
+_PREFIX_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _PREFIXES) + "]"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN chr(10) || ' ' || {_PREFIX_SQL}[turn % {len(_PREFIXES)} + 1] || text END AS said FROM conversations),
+l AS (SELECT conv_id, turn, turn % {len(_PREFIXES)} AS k, trim(regexp_replace([x FOR x IN string_split(said, chr(10)) IF trim(regexp_replace(x, '[ \t\r\x0B\f]+', ' ', 'g'), ' ') <> ''][1], '[ \t\r\x0B\f]+', ' ', 'g'), ' ') AS line FROM t),
+u AS (SELECT conv_id, turn, k, CASE WHEN k IN (1, 2, 3) THEN trim(regexp_replace(line, '^(?i:answer|response|a) *[:-] *', ''), ' ') ELSE line END AS line FROM l),
+q AS (SELECT conv_id, turn, k, trim(trim(trim(line, '"'), chr(39)), ' ') AS line FROM u)
+SELECT conv_id, turn, CASE WHEN k NOT IN (4, 5, 6) AND line <> '' THEN array_to_string(string_split(line, ' ')[1:24], ' ') END AS clean, CASE WHEN k NOT IN (4, 5, 6) AND line <> '' THEN len(string_split(line, ' ')[1:24]) END::BIGINT AS n_words FROM q""")
 def q_sanitize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = X.sanitized(F.col("text"))
+    """Turns behind labels, quotes and openings of refusals."""
+    prefix = F.get(F.array(*map(F.lit, _PREFIXES)), (F.col("turn") % len(_PREFIXES)).cast("int"))
+    clean = X.sanitized(F.concat(F.lit("\n "), prefix, F.col("text")))
     return _turns(spark, sf_dir).select("conv_id", "turn", clean.alias("clean")).withColumn("n_words", F.when(F.col("clean").isNotNull(), F.size(F.split("clean", " "))).cast("long"))
 
 
@@ -53,8 +63,8 @@ def q_sanitize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTIONS = [
     ("Is a needle driver in the picture?", "tool_presence", 1, 0, 0),
     ("Is there no stapler on the screen?", "tool_presence", 1, 1, 0),
-    ("Do we see scissors, yes or no?", "tool_presence", 1, 1, 0),
-    ("Vessel sealer - in use or not?", "tool_presence", 1, 1, 0),
+    ("Do we see scissors, yes or no?", "tool_presence", 1, 0, 0),
+    ("Vessel sealer - in use or not?", "tool_presence", 1, 0, 0),
     ("Have any instruments entered the field?", "tool_presence", 1, 0, 0),
     ("A retractor stands by, right?", "tool_presence", 1, 0, 0),
     ("Am I right that a ProGrasp holds the bowel?", "tool_presence", 1, 0, 0),
@@ -102,47 +112,91 @@ QUESTIONS = [
     ("Sing a song.", "unknown_open", 0, 0, 0),
     ("", "unknown_open", 0, 0, 0),
     ("What's the weather like?", "unknown_open", 0, 0, 0),
+    ("Which forceps are not in use?", "tool_identity", 0, 1, 0),
+    ("How many forceps are there?", "count", 0, 0, 0),
+    ("What are the graspers for?", "purpose", 0, 0, 0),
 ]
 _QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
 _LIT = "q(id, question, intent, polar, negated, polite) AS (VALUES " + ", ".join(f"({i}, {_QUOTED(q)}, '{k}', {p}, {n}, {o})" for i, (q, k, p, n, o) in enumerate(QUESTIONS)) + ")"
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, q[0]) for i, q in enumerate(QUESTIONS)], "id long, question string")
+# The classes that a question may mean, the task and the purpose it names, which ask for several instruments.
+_FORCEPS = ["bipolar forceps", "cadiere forceps", "force bipolar", "prograsp forceps"]
+_GRASPERS = ["cadiere forceps", "grasping retractor", "prograsp forceps", "tip-up fenestrated grasper"]
+MEANT = {0: ["needle driver"], 1: ["stapler"], 2: ["monopolar curved scissors"], 3: ["vessel sealer"], 5: ["grasping retractor", "tip-up fenestrated grasper"], 6: ["prograsp forceps"], 7: ["bipolar forceps"], 8: ["clip applier"], 9: ["permanent cautery hook/spatula"], 25: _GRASPERS, 26: ["monopolar curved scissors"], 51: _FORCEPS, 52: _FORCEPS}
+TASK_MEANT = {16: "range of motion", 17: "uterine horn"}
+PURPOSE_MEANT = {37: "To grasp tissue and apply bipolar energy to control bleeding.", 38: "To staple and divide tissue during the surgery.", 40: "To seal and divide vessels during the surgery.", 53: "To grasp and hold tissues or objects during the surgery."}
+SEVERAL = (24, 28)
+_CELL = lambda x: "NULL" if x is None else str(x) if isinstance(x, list) else _QUOTED(x)
+_MEANT = "meant(id, wanted, asked_task, purpose) AS (VALUES " + ", ".join(f"({i}, {_CELL(MEANT[i]) if i in MEANT else 'CAST([] AS VARCHAR[])'}, {_CELL(TASK_MEANT.get(i))}, {_CELL(PURPOSE_MEANT.get(i))})" for i in range(len(QUESTIONS))) + ")"
+_PICK = f"CAST(('0x' || sha256(conv_id || '|' || turn)[1:16])::UHUGEINT % {len(QUESTIONS)} AS BIGINT)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every turn of a conversation, in capitals or with spaces around for some."""
+    pick = stable_index(F.concat_ws("|", "conv_id", "turn"), len(QUESTIONS))
+    q = F.get(F.array(*(F.lit(x[0]) for x in QUESTIONS)), F.col("id").cast("int"))
+    k = F.col("turn") % 3
+    written = F.when(k == 0, q).when(k == 1, F.upper(q)).otherwise(F.concat(F.lit("  "), q, F.lit(" ")))
+    return _turns(spark, sf_dir).select("conv_id", "turn", pick.alias("id")).withColumn("question", written)
 
 
-@query(f"WITH {_LIT} SELECT id::BIGINT AS id, question, intent FROM q")
+@query(f"WITH {_LIT}, c AS (SELECT {_PICK} AS id FROM conversations) SELECT id, intent, count(*)::BIGINT AS n FROM c JOIN q USING (id) GROUP BY ALL")
 def q_intent_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark).withColumn("intent", R.intent(F.col("question")))
+    return _asked(spark, sf_dir).groupBy("id", R.intent(F.col("question")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_LIT} SELECT id::BIGINT AS id, polar, negated, polite FROM q")
+@query(f"WITH {_LIT}, c AS (SELECT {_PICK} AS id FROM conversations) SELECT id, polar, negated, polite, count(*)::BIGINT AS n FROM c JOIN q USING (id) GROUP BY ALL")
 def q_text_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
-    return _questions(spark).select("id", R.is_polar(q).cast("int").alias("polar"), R.negated(q).cast("int").alias("negated"), R.polite_open(R.tokens(q)).cast("int").alias("polite"))
-
-
-RECORDS = [("a", ["cadiere forceps", "needle driver"], "suturing", "Uterus", "robotic"), ("b", [], None, None, None), ("c", ["monopolar curved scissors"], "range of motion", "Liver", "open"), ("d", [], "uterine horn", None, "robotic")]
-_REC = "rec(rid, tools, task, organ, approach) AS (VALUES ('a', ['cadiere forceps', 'needle driver'], 'suturing', 'Uterus', 'robotic'), ('b', CAST([] AS VARCHAR[]), NULL, NULL, NULL), ('c', ['monopolar curved scissors'], 'range of motion', 'Liver', 'open'), ('d', CAST([] AS VARCHAR[]), 'uterine horn', NULL, 'robotic'))"
-# The instrument, task or approach that a question names.
-NAMED = {0: "needle driver", 1: "stapler", 2: "scissors", 3: "vessel sealer", 5: "retractor", 6: "prograsp", 7: "bipolar", 8: "clip applier", 9: "cautery hook", 16: "range of motion", 17: "uterine horn", 18: "open", 19: "robotic", 25: "grasper", 26: "scissors", 37: "bipolar", 38: "stapler", 40: "vessel sealer"}
-_NAMED = "named(id, term) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in NAMED.items()) + ")"
+    kinds = (R.is_polar(q).cast("int").alias("polar"), R.negated(q).cast("int").alias("negated"), R.polite_open(R.tokens(q)).cast("int").alias("polite"))
+    return _asked(spark, sf_dir).groupBy("id", *kinds).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Records are made of a user's events of a day: their kinds stand for instruments, the user's number for the task.
+_STANDS = {"click": "cadiere forceps", "error": "monopolar curved scissors", "signup": "needle driver", "purchase": "vessel sealer"}
+_DOES = (None, "suturing", "uterine horn", "range of motion", "other")
+_NAMED_SQL = "MAP {" + ", ".join(f"{_QUOTED(c)}: {_QUOTED(A.display_of(c))}" for c in R.TOOLS) + "}"
+_ORDER_SQL = str(list(A.USUAL))
+_SEEN_SQL = "list_sort(list(DISTINCT CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STANDS.items()) + " END) FILTER (WHERE event_type <> 'view' AND event_id % 3 <> 0))"
+_LISTED_SQL = "CASE WHEN len({0}) = 1 THEN {0}[1] ELSE array_to_string({0}[1:len({0}) - 1], ', ') || ' and ' || {0}[len({0})] END"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "event_type")
+    stands = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _STANDS.items()))
+    u = e.groupBy("user_id", "day").agg(F.collect_set(F.when(F.col("event_id") % 3 != 0, stands)).alias("tools_present"), (F.count_if(F.col("event_type") == "view") > 1).alias("still"))
+    return u.withColumn("task_top", F.get(F.array(*map(F.lit, _DOES)), (F.col("user_id") % 5).cast("int")))
+
+
+@query(rf"""WITH {_LIT}, {_MEANT}, u AS (SELECT user_id, ts::DATE AS day, {_SEEN_SQL} AS seen, count(*) FILTER (WHERE event_type = 'view') > 1 AS still FROM events GROUP BY 1, 2),
+r AS (SELECT coalesce(seen, []) AS seen, still, [NULL, 'suturing', 'uterine horn', 'range of motion', 'other'][user_id % 5 + 1] AS task, CAST(('0x' || sha256(user_id || '|' || day)[1:16])::UHUGEINT % {len(QUESTIONS)} AS BIGINT) AS id FROM u),
+j AS (SELECT *, negated = 1 AS no, list_intersect(seen, wanted) AS hit, [t FOR t IN {_ORDER_SQL} IF list_contains(CASE WHEN len(wanted) > 0 THEN wanted ELSE {_ORDER_SQL} END, t)] AS family FROM r JOIN q USING (id) JOIN meant USING (id)),
+p AS (SELECT *, CASE WHEN len([t FOR t IN family IF list_contains(seen, t)]) > 0 THEN [t FOR t IN family IF list_contains(seen, t)] ELSE family END AS pool FROM j),
+y AS (SELECT *, CASE intent WHEN 'tool_presence' THEN CASE WHEN len(wanted) > 0 THEN len(hit) > 0 WHEN id = 4 THEN len(seen) > 0 ELSE true END WHEN 'cutting' THEN len(list_intersect(seen, {list(A.CUTTING)})) > 0 AND NOT still WHEN 'suture' THEN coalesce(task = 'suturing', false) OR list_contains(seen, 'needle driver')
+ WHEN 'task_confirm' THEN coalesce(asked_task = task, true) WHEN 'approach' THEN (id = 18) = no WHEN 'unknown_polar' THEN NOT no END AS yes FROM p),
+a AS (SELECT id, CASE WHEN yes IS NOT NULL THEN CASE WHEN yes <> (no AND intent IN ('tool_presence', 'cutting', 'suture')) THEN 'Yes' ELSE 'No' END
+ WHEN intent = 'count' THEN {A.NUMBERS}[1 + CASE WHEN len(seen) = 0 THEN CASE WHEN len(wanted) > 0 THEN 1 ELSE 3 END WHEN len(wanted) > 0 THEN len(hit) ELSE len(seen) END]
+ WHEN intent = 'organ' THEN CASE task WHEN 'suturing' THEN 'Sigmoid colon' WHEN 'uterine horn' THEN 'Uterine horn' WHEN 'range of motion' THEN 'Abdominal wall' ELSE 'Tissue' END
+ WHEN intent = 'task' THEN CASE task WHEN 'suturing' THEN 'Suturing' WHEN 'uterine horn' THEN 'Uterine horn mobilization' WHEN 'range of motion' THEN 'Range of motion' WHEN 'other' THEN 'Surgical activity' ELSE '{A.SAYS_OPEN}' END
+ WHEN intent = 'tool_identity' THEN CASE WHEN no THEN {_NAMED_SQL}[[t FOR t IN {list(A.SELDOM)} IF NOT list_contains(seen, t)][1]] WHEN id IN {SEVERAL} THEN {_LISTED_SQL.format(f'[{_NAMED_SQL}[t] FOR t IN pool[1:3]]')} ELSE {_NAMED_SQL}[pool[1]] END
+ WHEN intent = 'purpose' THEN coalesce(purpose, '{A.SAYS_PURPOSE}') WHEN intent = 'procedure' THEN '{A.SAYS_PROCEDURE}' ELSE '{A.SAYS_OPEN}' END AS answer FROM y)
+SELECT id, answer, count(*)::BIGINT AS n FROM a GROUP BY ALL""")
+def q_answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every user and day of the event log, and the answer to one question about it."""
+    q = F.get(F.array(*(F.lit(x[0]) for x in QUESTIONS)), F.col("id").cast("int"))
+    r = _records(spark, sf_dir).select(stable_index(F.concat_ws("|", "user_id", "day"), len(QUESTIONS)).alias("id"), F.to_json(F.struct("tools_present", "task_top", "still")).alias("record"))
+    return r.groupBy("id", A.answered_from(q, F.col("record")).alias("answer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(rf"""WITH {_LIT}, {_REC}, {_NAMED}, j AS (SELECT q.*, rec.*, coalesce(term, '') AS term, array_to_string(tools, ' | ') AS held,
- CASE WHEN len(tools) < 2 THEN array_to_string(tools, '') ELSE array_to_string(tools[:-2], ', ') || ' and ' || tools[-1] END AS listed FROM q CROSS JOIN rec LEFT JOIN named USING (id)),
-y AS (SELECT *, CASE intent WHEN 'tool_presence' THEN CASE WHEN term <> '' THEN contains(held, term) ELSE held <> '' END WHEN 'cutting' THEN contains(held, 'scissors') OR contains(held, 'hook') WHEN 'suture' THEN contains(held, 'needle driver')
- WHEN 'task_confirm' THEN coalesce(task = term, false) WHEN 'approach' THEN coalesce(approach = term, false) END AS yes FROM j),
-r AS (SELECT id, rid, CASE WHEN yes IS NOT NULL THEN CASE WHEN yes <> (negated = 1) THEN 'Yes' ELSE 'No' END WHEN intent = 'count' THEN ['Zero', 'One', 'Two'][len(tools) + 1] WHEN intent = 'organ' THEN coalesce(organ, 'Not visible')
- WHEN intent = 'task' THEN coalesce(task, 'Surgical activity') WHEN intent = 'tool_identity' THEN CASE WHEN held = '' THEN 'No instrument' ELSE listed END WHEN intent = 'purpose' THEN CASE WHEN term <> '' THEN 'The ' || term || ' serves to handle tissue' ELSE 'To handle tissue' END
- WHEN intent = 'procedure' THEN 'Endoscopic surgery' WHEN held <> '' AND task IS NOT NULL THEN listed || ' during ' || task WHEN held <> '' THEN listed || ' in view' WHEN task IS NOT NULL THEN 'A clip of ' || task ELSE 'A surgical scene' END AS answer FROM y)
-SELECT id::BIGINT AS id, rid, upper(answer[1]) || answer[2:] AS answer FROM r""")
-def q_answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question by record to the final answer; every question keeps a row, unknown ones a general sentence."""
-    rec = F.broadcast(spark.createDataFrame(RECORDS, "rid string, tools array<string>, task string, organ string, approach string"))
-    j = _questions(spark).crossJoin(rec)  # two literal tables
-    answer = R.answered(F.col("question"), F.col("tools"), F.col("task"), F.col("organ"), F.col("approach"))
-    return j.select("id", "rid", X.finalized(answer, "Unknown").alias("answer"))
+@query(rf"""WITH u AS (SELECT user_id, ts::DATE AS day, {_SEEN_SQL} AS seen FROM events GROUP BY 1, 2),
+r AS (SELECT [lower({_NAMED_SQL}[t]) FOR t IN {_ORDER_SQL} IF list_contains(coalesce(seen, []), t)] AS names, [NULL, 'suturing', 'uterine horn mobilization', 'range of motion', 'surgical activity'][user_id % 5 + 1] AS task FROM u),
+l AS (SELECT *, CASE WHEN len(names) > 0 THEN {_LISTED_SQL.format('names')} || CASE WHEN len(names) = 1 THEN ' is' ELSE ' are' END || ' in use ' END AS held FROM r),
+x AS (SELECT CASE WHEN held IS NOT NULL AND task IS NOT NULL THEN held || 'during ' || task || '.' WHEN held IS NOT NULL THEN held || 'in this procedure.' WHEN task IS NOT NULL THEN 'The procedure involves ' || task || '.' ELSE '{A.SAYS_OPEN}' END AS sentence FROM l)
+SELECT upper(sentence[1]) || sentence[2:] AS sentence, count(*)::BIGINT AS n FROM x GROUP BY 1""")
+def q_record_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same records show, in one sentence each."""
+    return _records(spark, sf_dir).groupBy(A.sentence(F.col("tools_present"), F.col("task_top")).alias("sentence")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, CAST(('0x' || sha256(doc_id::VARCHAR)[1:16])::UHUGEINT % 7 AS BIGINT) AS bucket, CAST(('0x' || sha1(doc_id::VARCHAR)[1:8])::BIGINT % 200 AS BIGINT) AS shard, CAST(('0x' || sha256(doc_id::VARCHAR)[1:16])::UHUGEINT % 25 = 0 AS INT) AS keep FROM documents")
@@ -224,17 +278,24 @@ def q_verdict_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("toxic"), 6).alias("toxic_rate"))
 
 
-CASES = [(1, "Yes", "No", "tool_presence", 2), (2, "Yes", None, "count", 1), (3, "Two", "Three", "count", 1), (4, "Suturing", "suturing.", "task", 2), (5, "A scene", "nan", "unknown_open", 2), (6, "A scene", "Knot tying", "unknown_open", 2)]
 MODES = ("fallback", "challenger", "primary", "per_intent", "judge", "other")
+_MODES_SQL = "[" + ", ".join(f"'{m}'" for m in MODES) + "]"
 
 
-@query(r"""WITH c(id, base, draft, intent, judged) AS (VALUES (1, 'Yes', 'No', 'tool_presence', 2), (2, 'Yes', NULL, 'count', 1), (3, 'Two', 'Three', 'count', 1), (4, 'Suturing', 'suturing.', 'task', 2), (5, 'A scene', 'nan', 'unknown_open', 2), (6, 'A scene', 'Knot tying', 'unknown_open', 2)),
-m AS (SELECT unnest(['fallback', 'challenger', 'primary', 'per_intent', 'judge', 'other']) AS mode), x AS (SELECT *, trim(regexp_replace(lower(draft), '[^a-z0-9]+', ' ', 'g'), ' ') <> trim(regexp_replace(lower(base), '[^a-z0-9]+', ' ', 'g'), ' ') AS differs FROM c, m)
-SELECT id::BIGINT AS id, mode, CASE WHEN draft IS NULL OR trim(draft, ' ') = '' OR lower(trim(draft, ' ')) = 'nan' THEN base WHEN mode = 'primary' THEN draft WHEN mode = 'challenger' AND differs THEN draft
+@query(rf"""WITH n AS (SELECT conv_id, turn, regexp_extract(coalesce(text, ''), '^[^ \n.,]+[ .,]?') AS said, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS after FROM conversations),
+c AS (SELECT conv_id, turn, said AS base, CASE turn % 4 WHEN 0 THEN upper(said) WHEN 1 THEN 'nan' ELSE regexp_extract(after, '^[^ \n.,]+') END AS draft, ['unknown_open', 'count', 'purpose', 'task'][conv_id % 4 + 1] AS intent, conv_id % 3 AS judged FROM n),
+x AS (SELECT *, unnest({_MODES_SQL}) AS mode, trim(regexp_replace(lower(draft), '[^a-z0-9]+', ' ', 'g'), ' ') <> trim(regexp_replace(lower(base), '[^a-z0-9]+', ' ', 'g'), ' ') AS differs FROM c)
+SELECT conv_id, turn, mode, CASE WHEN draft IS NULL OR trim(draft, ' ') = '' OR lower(trim(draft, ' ')) = 'nan' THEN base WHEN mode = 'primary' THEN draft WHEN mode = 'challenger' AND differs THEN draft
 WHEN mode = 'per_intent' AND intent IN ('unknown_open', 'purpose') THEN draft WHEN mode = 'judge' AND differs AND judged = 2 THEN draft ELSE base END AS answer FROM x""")
 def q_arbitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.createDataFrame(CASES, "id long, base string, draft string, intent string, judged int").withColumn("mode", F.explode(F.array(*map(F.lit, MODES))))
-    return c.select("id", "mode", R.arbitrated(F.col("mode"), F.col("base"), F.col("draft"), F.col("intent"), F.col("judged"), ("unknown_open", "purpose")).alias("answer"))
+    """The first words of a turn and of the next as two answers, under every policy."""
+    t = _turns(spark, sf_dir).withColumn("after", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")))
+    base = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^ \n.,]+[ .,]?", 0)
+    k = F.col("turn") % 4
+    t = t.withColumn("base", base).withColumn("draft", F.when(k == 0, F.upper("base")).when(k == 1, "nan").otherwise(F.regexp_extract("after", r"^[^ \n.,]+", 0)))
+    intent = F.get(F.array(*map(F.lit, ("unknown_open", "count", "purpose", "task"))), (F.col("conv_id") % 4).cast("int"))
+    c = t.select("conv_id", "turn", "base", "draft", intent.alias("intent"), (F.col("conv_id") % 3).alias("judged"), F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
+    return c.select("conv_id", "turn", "mode", R.arbitrated(F.col("mode"), F.col("base"), F.col("draft"), F.col("intent"), F.col("judged"), ("unknown_open", "purpose")).alias("answer"))
 
 
 @query("""WITH p(policy, said) AS (VALUES ('always_0', 0), ('always_1', 1)) SELECT policy, count(*)::BIGINT AS n, round(avg(CAST(quality = said AS INT)), 6) AS quality_accuracy, round(avg(CAST(toxic = said AS INT)), 6) AS toxic_accuracy FROM labels, p GROUP BY policy""")

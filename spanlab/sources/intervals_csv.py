@@ -31,10 +31,10 @@ def read_cases(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def seconds(text: Column) -> Column:
-    """h:m:s.f as seconds, null where it can't be read."""
+    """h:m:s.f as seconds, null where it can't be read; hours and minutes are whole, of any size."""
     parts = F.split(F.trim(text), ":")
-    number = lambda i: F.get(parts, F.lit(i)).try_cast("double")
-    return F.when(F.size(parts) == 3, number(0) * 3600 + number(1) * 60 + number(2))
+    number = lambda i, kind: F.trim(F.get(parts, F.lit(i))).try_cast(kind)
+    return F.when(F.size(parts) == 3, number(0, "long") * 3600 + number(1, "long") * 60 + number(2, "double"))
 
 
 def part_label(text: Column) -> Column:

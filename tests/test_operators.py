@@ -119,6 +119,9 @@ def test_lists_and_indices(spark):
 def test_text_normalisation(spark):
     df = spark.createDataFrame([("  Answer: \"Yes, it is.\"\nmore",), ("\n \n",), ("I cannot say",), (None,)], "t string")
     assert [r.s for r in df.select(text.sanitized(F.col("t")).alias("s")).collect()] == ["Yes, it is.", None, None, None]
+    odd = {"response - two\twords ": "two words", "A: x": "x", "a-b": "b", "Unfortunately, no": None, "unable to tell": None, "I'm not sure": None, "it is there": "it is there", "iron": "iron", "\r\n'quoted'\rrest": "quoted", "w " * 30: "w " * 23 + "w", "Answer:": None}
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.sanitized(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == odd
     assert [r.f for r in df.select(text.finalized(F.col("t"), "None").alias("f")).collect()][1::2] == ["None", "None"]
 
 
@@ -183,9 +186,9 @@ def test_forms(spark):
     from spanlab.functions import forms
 
     df = spark.createDataFrame([("case_012/part3/000045.jpg", "grasper", 3.0, ["a", "b", "c"]), ("x", "brush", float("nan"), []), (None, None, None, None)], "p string, n string, x double, xs array<string>")
-    a, b, c = df.select(forms.parsed_name(F.col("p")).alias("p"), forms.plural(F.col("n")).alias("n"), forms.valid_threshold(F.col("x") / 3).alias("v"), forms.capped_list(F.col("xs"), 2).alias("l"), forms.hms_seconds(F.lit("1:02:03.5")).alias("t")).collect()
-    assert tuple(a.p) == (12, 3, 45) and a.n == "graspers" and a.v and a.l == "a, b +1 more" and a.t == 3723.5
-    assert tuple(b.p) == (None, None, None) and b.n == "brushes" and not b.v and b.l == "" and not c.v
+    a, b, c = df.select(forms.parsed_name(F.col("p")).alias("p"), forms.plural(F.col("n")).alias("n"), forms.valid_threshold(F.col("x") / 3).alias("v"), forms.capped_list(F.col("xs"), 2).alias("l")).collect()
+    assert tuple(a.p) == (12, 3, 45) and a.n == "graspers" and a.v and a.l == "a, b +1 more"
+    assert tuple(b.p) == (None, None, None) and b.n is None and not b.v and b.l == "" and not c.v
     with pytest.raises(Exception, match="unknown name"):
         df.select(forms.mapped(F.col("n"), {"brush": None})).collect()
 
@@ -224,3 +227,92 @@ def test_names_and_settings_of_odd_texts(spark):
     assert got == [("CASE_9", "7"), None, None]
     df = spark.createDataFrame([('{"a": null, "b": 2}',), ("{",), ("",)], "t string")
     assert [r.s for r in df.select(records.settings(F.col("t"), {"a": "1"}).alias("s")).collect()] == [{"a": "1", "b": "2"}, {"a": "1"}, {"a": "1"}]
+
+
+def test_replies_and_polarity(spark):
+    from spanlab.functions import forms
+
+    said = {"Yes.": "Yes", "no; really": "No", "*Yes* it is": None, "1 yes": None, "yes-man": None, "": None, " YES , so": "Yes", "nothing": None}
+    got = spark.createDataFrame([(t,) for t in said], "t string").select("t", forms.polarity_of(F.col("t")).alias("p")).collect()
+    assert {r.t: r.p for r in got} == said
+    two = F.array(F.lit("a"), F.lit("b"))
+    replies = {"Answer 2.": ("b", "choice"), "answer2": ("b", "choice"), " Answer 1- x": ("a", "choice"), "Answer 3": (None, "unparseable"), "Answer 0:": (None, "unparseable"), "": (None, "unparseable"), "Answer 2 x": (None, "suppressed"), "blue": (None, "suppressed")}
+    df = spark.createDataFrame([(t,) for t in replies], "t string")
+    assert {r.t: tuple(r.j) for r in df.select("t", forms.judged(F.col("t"), two).alias("j")).collect()} == replies
+    assert tuple(df.where("t = 'blue'").select(forms.judged(F.col("t"), two, free=True).alias("j")).first().j) == ("blue", "freetext")
+    with pytest.raises(Exception, match="no part number: 2.5"):
+        spark.createDataFrame([("2.5",)], "t string").select(forms.part_number(F.col("t"))).collect()
+    clip = spark.createDataFrame([("a  b\nc d",)], "t string").select(forms.clipped(F.col("t"), 5).alias("c"), forms.clipped(F.col("t"), 7).alias("d")).first()
+    assert tuple(clip) == ("a b …", "a b c d")
+
+
+def test_templates_take_only_their_slots(spark):
+    from spanlab.functions import forms
+
+    df = spark.createDataFrame([("click", 3), ("error", None)], "tool string, n int")
+    made = forms.rendered("Is  {tool} seen {n} times?", {"tool": F.col("tool"), "n": F.coalesce("n", F.lit(0)).cast("string")}, {"tool": ("click", "error")})
+    assert [r.q for r in df.select(made.alias("q")).collect()] == ["Is click seen 3 times?", "Is error seen 0 times?"]
+    for slot, what in ((F.lit("scalpel"), "tool can't be scalpel"), (F.lit(None).cast("string"), "tool can't be null")):
+        with pytest.raises(Exception, match=what):
+            df.select(forms.rendered("{tool}", {"tool": slot}, {"tool": ("click",)})).collect()
+    with pytest.raises(ValueError, match="slots"):
+        forms.rendered("{tool}", {"thing": F.lit("x")}, {})
+    with pytest.raises(Exception, match="n can't be"):
+        df.select(forms.rendered("{n}", {"n": F.lit(" ")}, {})).collect()
+
+
+FORCEPS, SCISSORS, DRIVER, SEALER = "cadiere forceps", "monopolar curved scissors", "needle driver", "vessel sealer"
+ALL_THREE = [FORCEPS, SCISSORS, DRIVER]
+# Question, classes in view (None: not measured), task, scores, still, answer.
+ANSWERS = [
+    ("Is tissue being cut?", [SEALER], None, {}, None, "Yes"),
+    ("Is tissue being cut?", ["stapler"], None, {}, None, "Yes"),
+    ("Is tissue being cut?", [SCISSORS], None, {}, True, "No"),
+    ("Is tissue not being cut?", [FORCEPS], None, {}, None, "Yes"),
+    ("Is suturing taking place?", [], "suturing", {}, None, "Yes"),
+    ("Is suturing taking place?", [DRIVER], None, {}, None, "Yes"),
+    ("Is suturing taking place?", [FORCEPS], "other", {}, None, "No"),
+    ("Is there no needle driver?", [DRIVER], None, {}, None, "No"),
+    ("Is a scalpel used?", [FORCEPS], None, {}, None, "Yes"),
+    ("Are no tools installed?", [], None, {}, None, "Yes"),
+    ("Are any instruments in use?", [], None, {FORCEPS: 0.7}, None, "Yes"),
+    ("Are any instruments in use?", [], None, {c: 0.7 for c in (*ALL_THREE, SEALER)}, None, "No"),
+    ("How many instruments are there?", list(rules.TOOLS[:7]), None, {}, None, "Seven"),
+    ("How many instruments are there?", None, None, {}, None, "Three"),
+    ("How many forceps are there?", [FORCEPS, "prograsp forceps", DRIVER], None, {}, None, "Two"),
+    ("How many forceps are there?", [], None, {}, None, "One"),
+    ("What is the purpose of the scissors?", [], None, {}, None, "To cut and dissect tissue during the surgery."),
+    ("What are forceps used for?", [], None, {}, None, "To grasp and hold tissues or objects during the surgery."),
+    ("Why was it done?", [], None, {}, None, "To manipulate and control tissue during the surgery."),
+    ("Which forceps is in use?", [DRIVER], None, {}, None, "Cadiere Forceps"),
+    ("Which forceps is in use?", [FORCEPS, "prograsp forceps"], None, {"prograsp forceps": 0.9, FORCEPS: 0.2}, None, "ProGrasp Forceps"),
+    ("Which instruments are in use?", ALL_THREE, None, {}, None, "Cadiere Forceps, Monopolar Curved Scissors and Needle Driver"),
+    ("Which instrument does not appear?", ["tip-up fenestrated grasper"], None, {}, None, "Clip Applier"),
+    ("What organ is shown?", [], "uterine horn", {}, None, "Uterine horn"),
+    ("What organ is shown?", [], None, {}, None, "Tissue"),
+    ("What task is performed?", [], "other", {}, None, "Surgical activity"),
+    ("What task is performed?", [], None, {}, None, "The procedure involves surgical instruments."),
+    ("Is rectal artery/vein dissection taking place?", [], "rectal artery/vein", {}, None, "Yes"),
+    ("Is the uterine horn shown?", [], "suturing", {}, None, "No"),
+    ("Is the uterine horn shown?", [], None, {}, None, "Yes"),
+    ("Is this an open surgery?", [], None, {}, None, "No"),
+    ("Is this not a robotic procedure?", [], None, {}, None, "No"),
+    ("Is the light not bright?", [], None, {}, None, "No"),
+    ("", [], None, {}, None, "The procedure involves surgical instruments."),
+    (None, None, None, None, None, "The procedure involves surgical instruments."),
+]
+
+
+def test_answers(spark):
+    from spanlab.operators import answers
+
+    df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(ANSWERS)], "i int, q string, tools array<string>, task string, scores map<string,double>, still boolean")
+    got = {r.i: r.a for r in df.select("i", answers.answered(F.col("q"), F.col("tools"), F.col("task"), F.col("scores"), F.col("still")).alias("a")).collect()}
+    assert {ANSWERS[i][0]: a for i, a in got.items() if a != ANSWERS[i][5]} == {}
+    broken = spark.createDataFrame([("Is tissue being cut?", "{oops"), ("How many tools?", "[1]"), ("Is it on?", None)], "q string, r string")
+    assert [r.a for r in broken.select(answers.answered_from(F.col("q"), F.col("r")).alias("a")).collect()] == ["No", "Three", "Yes"]
+    table = answers.phrase_table()
+    assert table["staplers"] == ("stapler",) and "cadiere forcepss" not in table and table["clip appliers"] == ("clip applier",)
+    says = [(ALL_THREE, "suturing", "Cadiere forceps, monopolar curved scissors and needle driver are in use during suturing."), ([DRIVER], None, "Needle driver is in use in this procedure."), ([], "other", "The procedure involves surgical activity."), ([], None, "The procedure involves surgical instruments.")]
+    df = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(says)], "i int, tools array<string>, task string")
+    assert [r.s for r in df.orderBy("i").select(answers.sentence(F.col("tools"), F.col("task")).alias("s")).collect()] == [x[2] for x in says]
