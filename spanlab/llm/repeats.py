@@ -7,8 +7,9 @@ are dropped by counting; equal contexts go on as one, with their number.  The co
 then each is cut into an eighth of its windows, keyed by what all windows of the eighth have in common, and so on, down to single windows, which
 are equal or apart.  So no group is unbounded and none is left out.
 
-A task builds an enhanced suffix array over the owned windows of its contexts: ranks of 8 bytes, then of three times as many a
-step, sort the suffixes, and give the longest common prefix of neighbours.  A scan with a stack walks the
+A task builds an enhanced suffix array over the owned windows of its contexts.  Equal windows stand at the same place from their anchor, so suffixes are
+sorted place by place: from the anchor on directly, and one byte further to the left by that byte and the order just found.  The longest
+common prefix of neighbours is what they share up to the anchor and the least of the common prefixes between them from there on.  A scan with a stack walks the
 tree of the common-prefix intervals of at least ``LENGTH`` bytes; an interval whose suffixes have different bytes before them, or one
 of which starts its context, can't be extended to the left, so it is a maximal repeat, and its group has all suffixes of the interval as
 occurrences, not only neighbours.  A repeat longer than a context comes in pieces that overlap, each with all its occurrences.
@@ -34,7 +35,7 @@ from .common import mixed, written
 LENGTH = 400
 SEED = 64
 MANY = 4096
-SHARD_BYTES = 2 << 20  # of contexts in a task's suffix array
+SHARD_BYTES = 4 << 20  # of contexts in a task's suffix arrays
 STEP = 8  # parts into which the windows of a seed with many contexts are cut, level by level
 SLICE_BYTES = 4 << 20
 
@@ -147,52 +148,51 @@ def _parts(batches: Iterator[pa.RecordBatch], length: int, wide: int, level: int
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(core, pa.int64()), pa.array(whole, pa.int64())], names=[*out.schema.names, "from_core", "from_whole"])
 
 
-class SuffixArray:
-    """Sorted suffixes from some positions of a text of parts, and what neighbours have in common.
+class SuffixArrays:
+    """Suffixes of aligned texts, sorted anew at each place, with the common prefixes of neighbours.
 
-    A suffix ends with its part.  Ranks cover 8 bytes, then three times as many a step, until a rank covers the longest part.
+    ``texts`` are sorted by group and what stands right of the anchor, ``left`` tells how many bytes stand before it.
+    Walked from the anchor to the left; texts that are too short drop out.
     """
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, starts: np.ndarray):
-        n = len(data)
-        self.data, self.room = data, ends - np.arange(n)  # room: bytes up to the end of the part
-        key = np.zeros(n, np.uint64)
-        padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        for k in range(8):
-            key = key << np.uint64(8) | np.where(self.room > k, padded[k : k + n], 0).astype(np.uint64)
-        # where a part ends within the 8 bytes, the shorter suffix comes first
-        order = np.lexsort((np.minimum(self.room, 8), key))
-        new = np.ones(n, bool)
-        new[1:] = (np.diff(key[order]) != 0) | (np.diff(np.minimum(self.room, 8)[order]) != 0)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        self.levels, wide = [(8, rank)], 8
-        while wide < int(self.room.max(initial=0)):
-            bits = int(rank.max()).bit_length()
-            key, third = rank << bits | self._further(rank, wide), self._further(rank, 2 * wide)
-            if 3 * bits > 63:
-                key = np.unique(key, return_inverse=True)[1]
-            rank = np.unique(key << bits | third, return_inverse=True)[1].astype(np.int64) + 1
-            wide *= 3
-            self.levels.append((wide, rank))
-        self.suffix = starts[np.argsort(rank[starts], kind="stable")]
-        self.common = np.zeros(len(starts), np.int64)
-        self.common[1:] = self.common_prefix(self.suffix[:-1], self.suffix[1:])
-
-    def _further(self, rank: np.ndarray, by: int) -> np.ndarray:
-        """Ranks ``by`` bytes further on, 0 beyond the part."""
-        out = np.zeros(len(rank), np.int64)
-        there = np.flatnonzero(self.room > by)
-        out[there] = rank[there + by]
-        return out
-
-    def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the common prefixes of suffixes, by ranks from the widest down, the last bytes one by one."""
-        out, most = np.zeros(len(a), np.int64), np.minimum(self.room[a], self.room[b])
-        for wide, rank in [*[x for level in reversed(self.levels) for x in (level, level)], *[(1, self.data)] * 7]:
-            far = np.flatnonzero(out + wide <= most)
-            out[far[rank[a[far] + out[far]] == rank[b[far] + out[far]]]] += wide
-        return out
+    def __init__(self, texts: list[bytes], left: np.ndarray, group: np.ndarray):
+        n = len(texts)
+        self.left, self.group, self.n = left, group, n
+        size = np.array([len(x) for x in texts])
+        data, first = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(size)))[:-1]
+        column = np.arange(int((size - left).max()))
+        inside = column < (size - left)[:, None]
+        right = np.where(inside, data[np.where(inside, (first + left)[:, None] + column, 0)], 0)
+        column = np.arange(1, int(left.max()) + 1)
+        inside = column <= left[:, None]
+        self.before = np.where(inside, data[np.where(inside, (first + left)[:, None] - column, 0)], 0)  # by distance from the anchor, less 1
+        differ = right[1:] != right[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), right.shape[1])
+        common = np.zeros(n, np.int64)
+        common[1:] = np.where(group[1:] == group[:-1], np.minimum(same, np.minimum((size - left)[1:], (size - left)[:-1])), 0)
+        least = [common]  # least[k][i] is that of 2^k neighbours from i on
+        while 2 ** len(least) < n:
+            half, last = 2 ** (len(least) - 1), least[-1]
+            least.append(np.minimum(last, np.append(last[half:], np.zeros(half, np.int64))))
+        self.least = np.stack(least)
+        self.rank = group.astype(np.int64)
+
+    def step(self, back: int) -> None:
+        """From ``back`` - 1 bytes before the anchor to ``back``: ranks by group, this byte, the ranks so far."""
+        has = np.flatnonzero(self.left >= back)
+        key = (self.group[has].astype(np.int64) << 8 | self.before[has, back - 1]) * self.n + self.rank[has]
+        self.rank[has] = np.unique(key, return_inverse=True)[1]
+
+    def sorted(self, some: np.ndarray, back: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``some`` texts, ascending, their suffixes in order and what each has in common with the one before, 0 where that ends left of the anchor."""
+        order = some[np.argsort(self.rank[some], kind="stable")]
+        a, b = order[:-1], order[1:]
+        same = self.rank[a] == self.rank[b]
+        span = np.where(same, b - a, 1)
+        level = np.frexp(span)[1] - 1  # floor of the logarithm
+        start = np.where(same, a + 1, 0)
+        least = np.minimum(self.least[level, start], self.least[level, start + span - (1 << level)])
+        return order, np.concatenate(([0], np.where(same, back + least, 0)))
 
 
 def maximal_repeats(common: list[int], before: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -223,37 +223,50 @@ def _solved(table: pa.Table, length: int) -> pa.Table:
     seen: dict[tuple[int, int], dict] = {}
     for r in table.to_pylist():
         seen.setdefault((r["core"], r["whole"]), r)  # two equal rows of documents send a context twice
-    rows = [seen[k] for k in sorted(seen)]
+    rows = sorted(seen.values(), key=lambda r: (r["core"], r["text"][-r["lo"] :], r["whole"]))
     number = {c: np.array([r[c] for r in rows], np.int64) for c in ("core", "whole", "many", "lo", "hi")}
     sizes = np.array([len(r["text"]) for r in rows])
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    data = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
+    group = np.cumsum(np.diff(number["core"], prepend=number["core"][0]) != 0)
+    arrays = SuffixArrays([r["text"] for r in rows], -number["lo"], group)
     del seen, rows
-    part = np.repeat(np.arange(len(sizes)), sizes)
-    windows = number["hi"] - number["lo"] + 1
-    own = np.repeat(np.arange(len(windows)), windows)
-    array = SuffixArray(data, first[part + 1], first[own] + np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows))
-    at = array.suffix
-    before = np.where(at > first[part[at]], data[at - 1].astype(np.int64), -1)
-    found = sorted(maximal_repeats(array.common.tolist(), before.tolist(), length), key=lambda x: x[2])
-    stands = np.concatenate(([0], np.cumsum(number["many"][part[at]])))
-    inner = np.full(len(at), -1)  # the longest repeat of each suffix
-    parent, size, total = [], [], []
-    for k, (a, b, n) in enumerate(found):  # outer ones first
-        parent.append(int(inner[a]))
-        size.append(n)
-        total.append(int(stands[b + 1] - stands[a]))
-        inner[a : b + 1] = k
-    spot = np.flatnonzero(inner >= 0)
-    where, repeat = at[spot], inner[spot]
+    columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    labels = 0
+    for back in range(int(-number["lo"].min()) + 1):
+        if back:
+            arrays.step(back)
+        order, common = arrays.sorted(np.flatnonzero((number["lo"] <= -back) & (number["hi"] >= -back)), back)
+        starts = np.flatnonzero((common < length) & (np.append(common[1:], 0) >= length))
+        if not len(starts):
+            continue
+        # the byte before each suffix, negative where the context begins; where it is one byte throughout, the place before has the repeat
+        before = np.where(number["lo"][order] < -back, arrays.before[order, min(back, arrays.before.shape[1] - 1)].astype(np.int64) if arrays.before.shape[1] else -1, -1)
+        ends = np.flatnonzero((common >= length) & (np.append(common[1:], 0) < length))
+        rims, padded = np.stack((starts, ends + 1), axis=1).reshape(-1), np.append(before, -1)
+        low, high = np.minimum.reduceat(padded, rims)[::2], np.maximum.reduceat(padded, rims)[::2]
+        diverse = (low < 0) | (low < high)
+        for a, b in zip(starts[diverse].tolist(), ends[diverse].tolist(), strict=True):
+            part = before[a : b + 1]
+            found = sorted(maximal_repeats([0, *common[a + 1 : b + 1].tolist()], part.tolist(), length), key=lambda x: x[2])
+            inner = np.full(b + 1 - a, -1)  # the longest repeat of each suffix
+            parent, total, many = [], [], np.concatenate(([0], np.cumsum(number["many"][order[a : b + 1]])))
+            for k, (x, y, _) in enumerate(found):  # outer ones first
+                parent.append(labels + int(inner[x]) if inner[x] >= 0 else -1)
+                total.append(int(many[y + 1] - many[x]))
+                inner[x : y + 1] = k
+            spot = np.flatnonzero(inner >= 0)
+            k = inner[spot]
+            for column, values in zip(columns, (order[a + spot], np.full(len(spot), -back), np.array([x[2] for x in found])[k], labels + k, np.array(parent)[k], np.array(total)[k]), strict=True):
+                column.append(values)
+            labels += len(found)
+    where, places, lengths, repeat, parents, totals = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in columns)
     # a context that stands for several is a repeat as far as it goes
     alone = np.flatnonzero(number["many"] > 1)
-    c = np.concatenate((part[where], alone))
-    place = np.concatenate((where - first[part[where]] + number["lo"][part[where]], number["lo"][alone]))
-    size_of = np.concatenate((np.array(size, np.int64)[repeat], sizes[alone]))
-    label = np.concatenate((repeat, len(found) + np.arange(len(alone))))
-    above = np.concatenate((np.array(parent, np.int64)[repeat], np.full(len(alone), -1)))
-    n = np.concatenate((np.array(total, np.int64)[repeat], number["many"][alone]))
+    c = np.concatenate((where, alone))
+    place = np.concatenate((places, number["lo"][alone]))
+    size_of = np.concatenate((lengths, sizes[alone]))
+    label = np.concatenate((repeat, labels + np.arange(len(alone))))
+    above = np.concatenate((parents, np.full(len(alone), -1)))
+    n = np.concatenate((totals, number["many"][alone]))
     small = lambda x: pa.array(x.astype(np.int32))
     return pa.table([pa.array(number["core"][c]), pa.array(number["whole"][c]), small(place), small(size_of), small(label), small(above), pa.array(n)], names=["core", "whole", "at", "length", "repeat", "parent", "n"])
 
