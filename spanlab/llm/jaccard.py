@@ -223,10 +223,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(right, "b").join(left, ["a", "task"]).select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
 
 
+def _sets(found: DataFrame) -> DataFrame:
+    """The nodes' prefixes and sets, one of each id: of a repeated id always the smallest.
+
+    Ids alone are counted; only the rows of repeated ones, as a rule none, are aggregated, so that who reads
+    prefixes needs no sets and who reads sets doesn't sort them.
+    """
+    sets = found.where("shingles is not null").select("doc_id", "n_shingles", "keys", "places", "shingles")
+    twice = written(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return sets
+    smallest = F.min(F.struct("n_shingles", "keys", "places", "shingles")).alias("s")
+    chosen = sets.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(smallest).select("doc_id", "s.*")
+    return written(sets.join(twice, "doc_id", "left_anti").unionByName(chosen))
+
+
 def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between nodes that suffice for the components: (a, b), a < b.  ``found`` is a written ``nodes``."""
-    smallest = F.min(F.struct("n_shingles", "keys", "places", "shingles")).alias("s")  # of the sets of a repeated id always the same one
-    sets = found.where("shingles is not null").groupBy("doc_id").agg(smallest).select("doc_id", "s.*")
+    sets = _sets(found)
     entry = F.explode(F.arrays_zip("keys", "places")).alias("e")
     entries = sets.select("doc_id", F.col("n_shingles").alias("n"), entry).select("doc_id", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("at"))
 
