@@ -122,7 +122,7 @@ def optimal_cuts(lists: np.ndarray, sizes: np.ndarray, cost: int = BLOCK_COST, l
 
 
 def _cut_all(impacts: np.ndarray, sizes: np.ndarray, cost: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block ends of every list, one after the other, and how many each list has; lists of one posting are a block."""
+    """Block ends of every list, one after the other, and how many each list has; a list of one posting is a block, one without any has none."""
     first, ends = _starts(sizes), [None] * len(sizes)
     level = np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
     for k in np.unique(level[sizes > 1]).tolist():  # lists of like length side by side
@@ -134,7 +134,7 @@ def _cut_all(impacts: np.ndarray, sizes: np.ndarray, cost: int, longest: int) ->
             inside = np.arange(wide) < sizes[own][:, None]
             for j, e in zip(own.tolist(), optimal_cuts(np.where(inside, impacts[np.where(inside, at, 0)], 0), sizes[own], cost, longest), strict=True):
                 ends[j] = e
-    ends = [e or [1] for e in ends]
+    ends = [e or [1] * int(n) for e, n in zip(ends, sizes, strict=True)]
     return np.fromiter((x for e in ends for x in e), np.int64), np.fromiter(map(len, ends), np.int64, len(ends))
 
 

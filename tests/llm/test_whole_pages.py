@@ -71,7 +71,7 @@ def test_surge_and_dive_decide(page, monkeypatch):
     """Lists of links that nothing marks go by the distribution alone, with an article and without."""
     page = f"<html><body>{page}</body></html>"
     assert html_text.main_text(page) == f"Head\n{LONG}\n{LONG}"
-    monkeypatch.setattr(html_text, "runs", lambda size, level, window=3: [(0, len(size))])
+    monkeypatch.setattr(html_text, "runs", lambda weight, *_: [[(0, len(weight))]])
     assert html_text.main_text(page) != f"Head\n{LONG}\n{LONG}"
 
 
@@ -80,6 +80,62 @@ def test_only_whole_hints_count(name):
     assert html_text.main_text(f"<article><div class='{name}'><h1>Head</h1></div>{BODY[13:]}</article>") == TEXT
 
 
+NAMED = "comment-body comment-content comment-respond user-comment discussion cookie-consent-banner gdpr-overlay sidebar-inner wp-sidebar google-ad advert-wrap page-footer-inner newsletter-signup notification author-bio recommended trending related site-info".split()
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_usual_names_are_left_out(name):
+    aside = f"<div class='{name}'><p>{LONG}</p></div>"
+    for page in (f"<article>{BODY}</article>{aside}", f"<article>{BODY}{aside}</article>", f"<div>{BODY}</div>{aside}"):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == TEXT
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    n = 40_000
+    for page in ("<i>" * n + "</b>" * n, "<div class='sidebar'>" * n + "x<br>" * n, "<i>" * n + "x<br>" * n + "</i>" * n, "<article>" * n + "x" + "</article>" * n, "<p>a " * n, "<a '" * n, "<!--" * n):
+        start = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - start < 6
+
+
+def plainly(weight, level, least, loose, window=3):
+    """Lines in a run, each found by looking at the whole page anew."""
+    seen = [i for i, w in enumerate(weight) if w >= 0]
+    w = [weight[i] for i in seen]
+    ahead = lambda k: sum(w[k : k + window])
+    state, spans = None, []
+    for k in range(len(w) + 1):
+        if state is None and k < len(w) and ahead(k) > level:
+            state = k
+        elif state is not None and (k == len(w) or ahead(k) == 0):
+            carrying = [j for j in range(state, k) if w[j] > least]
+            if carrying:
+                spans.append((min(carrying), max(carrying)))
+            state = None
+    inside = {j for a, b in spans for j in range(a, b + 1)}
+    for a, b in spans:
+        for step, j in ((-1, a - 1), (1, b + 1)):
+            while 0 <= j < len(w) and j not in inside and loose[seen[j]]:
+                inside.add(j)
+                j += step
+    return {seen[j] for j in inside}
+
+
+def test_runs_match_a_plain_search():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(500):
+        weight = [rng.choice([0, 0, 0, 5, 40, 200, -1]) for _ in range(rng.randrange(25))]
+        loose = [rng.random() < 0.5 for _ in weight]
+        level, least = rng.choice([10, 60]), rng.choice([3, 20])
+        found = html_text.runs(weight, level, least, loose)
+        lines = [i for run in found for a, b in run for i in range(a, b)]
+        assert len(lines) == len(set(lines)) and set(lines) == plainly(weight, level, least, loose)
+
+
 class Contract(HTMLParser):
     """The contract restated for the tables' pages: blocks of the article, adverts and menus left out."""
 
