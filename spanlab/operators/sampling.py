@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, unit
+from ..sources.shared import staged
 from .ordered import first_of
 from .quantiles import magnitude
 
@@ -63,25 +67,33 @@ def rarity_sample(df: DataFrame, classes: str, keys: Sequence[str], order: Colum
     return first_of(ranked, keys, cap, F.col("_o"), F.struct("rarity", F.substring("_o", 1, 4))).drop("_o")
 
 
+LEVELS = 64
+
+
 def water_fill(capacity: DataFrame, key: str, cap: str, target: int) -> DataFrame:
     """Even integer shares of ``target`` limited by capacity: adds ``share``.
 
-    Groups sorted by capacity fill up until one exceeds the even share of what is left; from
-    there all get that level, and the remainder goes one each to the first of them by key.
-    The table holds one row a group, so the ordering windows see groups, not data rows.
+    Every group gets up to a level, the highest at which the shares still fit; what is left goes one
+    each to the first groups by key that have room.  The level is searched for by sums at ``LEVELS`` levels at
+    a time, one aggregation each, and the first groups are found by counting key ranges, so no task sees all groups.
     """
-    by = Window.orderBy(cap, key)
     df = capacity.where(F.col(cap) > 0)
-    df = df.withColumn("_i", F.row_number().over(by) - 1).withColumn("_cum", F.coalesce(F.sum(cap).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    everything = Window.partitionBy(F.lit(1))
-    df = df.withColumn("_n", F.count(F.lit(1)).over(everything)).withColumn("_T", F.least(F.lit(target), F.sum(cap).over(everything)))
-    df = df.withColumn("_even", F.expr("(_T - _cum) div (_n - _i)"))
-    df = df.withColumn("_j", F.min(F.when(F.col(cap) > F.col("_even"), F.struct("_i", "_even", "_cum"))).over(everything))
-    level, past = F.col("_j._even"), F.col("_i") >= F.col("_j._i")
-    df = df.withColumn("_left", F.col("_T") - F.col("_j._cum") - level * (F.col("_n") - F.col("_j._i")))
-    rank = F.row_number().over(Window.partitionBy(past).orderBy(key))
-    share = F.when(F.col("_j").isNull() | ~past, F.col(cap)).otherwise(level + F.when(rank <= F.col("_left"), 1).otherwise(0))
-    return df.select(*capacity.columns, share.cast("long").alias("share"))
+    row = df.agg(F.sum(cap).alias("all"), F.max(cap).alias("most")).first()
+    if (row["all"] or 0) <= target:
+        return df.select(*capacity.columns, F.col(cap).cast("long").alias("share"))
+    low, high, spent = 0, int(row["most"]), 0  # the level is at least low and below high
+    while high - low > 1:
+        tried = sorted({low + (high - low) * k // LEVELS for k in range(1, LEVELS)} - {low})
+        sums = df.agg(*(F.sum(F.least(F.col(cap), F.lit(x))).alias(f"s{x}") for x in tried)).first()
+        fits = [x for x in tried if sums[f"s{x}"] <= target]
+        low, high = max([low, *fits]), min([high, *(x for x in tried if sums[f"s{x}"] > target)])
+        spent = sums[f"s{low}"] if fits else spent
+    level, room = F.lit(low).cast("long"), df.where(F.col(cap) > low)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(room.select(key).repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()))
+    more = first_of(ranged, [], int(target - spent), F.col(key), F.col("_p")).select(key, F.lit(1).alias("_more"))
+    out = df.join(more, key, "left")
+    return out.select(*(out[c] for c in capacity.columns), (F.least(F.col(cap), level) + F.coalesce("_more", F.lit(0))).cast("long").alias("share"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, shares: DataFrame, order: Column) -> DataFrame:
@@ -119,48 +131,106 @@ def split_cost(counts: DataFrame, split: DataFrame, key: str, cls: str, n: str,
     return per.agg(F.round(cost, 6).alias("cost"), F.count(F.lit(1)).alias("classes"))
 
 
+BITS = 256  # sides that one digest gives
+
+
+def _trial_sums(rows: DataFrame, key: str, cls: str, n: str, trials: int, lanes: int, sides: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """trial, cls, own (the class's sum over the keys on a trial's side), total.
+
+    A batch of keys becomes a matrix of sides, keys by trials, and one of counts, keys by classes; their
+    product has the batch's sums of all trials.  ``sides`` makes the first matrix out of digests, ``lanes`` trials each.
+    """
+    per_key = rows.groupBy(F.col(key).cast("string").alias("key")).agg(F.collect_list(F.struct(F.col(cls).cast("string").alias("cls"), F.col(n).cast("double").alias("n"))).alias("all"))  # a row a class
+    kind = rows.schema[cls].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048).to_pylist()
+                names = sorted({x["cls"] for r in batch for x in r["all"]}, key=lambda c: (c is not None, c or ""))
+                place = {c: j for j, c in enumerate(names)}
+                counts = np.zeros((len(batch), len(names)))
+                for i, r in enumerate(batch):
+                    for x in r["all"]:
+                        counts[i, place[x["cls"]]] += x["n"] or 0.0
+                for first in range(0, trials, lanes):
+                    side = sides([f"{first // lanes}|{r['key']}" for r in batch])[:, : trials - first]
+                    own, t = side.T.astype(float) @ counts, side.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, first + t), len(names))), pa.array(names * t, pa.string()), pa.array(own.reshape(-1)), pa.array(np.tile(counts.sum(axis=0), t))], names=["trial", "cls", "own", "total"])
+
+    made = per_key.mapInArrow(sums, "trial long, cls string, own double, total double")
+    return made.groupBy("trial", F.col("cls").cast(kind).alias(cls)).agg(F.sum("own").alias("own"), F.sum("total").alias("total"))
+
+
+def bit_sides(keys: list[str]) -> np.ndarray:
+    """A side for each key and each of ``BITS`` trials: the bits of sha256(key), the highest first."""
+    return np.unpackbits(np.array([np.frombuffer(hashlib.sha256(k.encode()).digest(), np.uint8) for k in keys]), axis=1)
+
+
 def fold_trials(counts: DataFrame, key: str, cls: str, n: str, trials: int) -> DataFrame:
-    """Objective of hash-drawn two-fold splits: worst log ratio of a class and half the size skew."""
-    from ..functions.hashing import stable_index
-
-    per_key = counts.groupBy(key).agg(F.collect_list(F.struct(cls, n)).alias("_all"))  # a row a class
-    each = per_key.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
-    each = each.withColumn("_fold", stable_index(F.concat_ws("|", "trial", key), 2)).select("trial", "_fold", F.inline("_all"))
-    side = lambda f: F.sum(F.when(F.col("_fold") == f, F.col(n)).otherwise(0))
-    per = each.groupBy("trial", cls).agg(side(0).alias("a"), side(1).alias("b"))
-    worst = F.max(F.abs(F.log((F.col("a") + 1) / (F.col("b") + 1))))
-    skew = F.abs(F.sum("a") - F.sum("b")) / F.sum(F.col("a") + F.col("b"))
+    """Objective of hash-drawn two-fold splits: worst log ratio of a class and half the size skew.
+
+    A key is in the second fold of trial t where bit t mod ``BITS`` of sha256("<t div BITS>|<key>") is set.
+    """
+    per = _trial_sums(counts, key, cls, n, trials, BITS, bit_sides).withColumn("a", F.col("total") - F.col("own"))
+    worst = F.max(F.abs(F.log((F.col("a") + 1) / (F.col("own") + 1))))
+    skew = F.abs(F.sum("a") - F.sum("own")) / F.sum("total")
     return per.groupBy("trial").agg((worst + 0.5 * skew).alias("objective"))
 
 
 def holdout_trials(durations: DataFrame, key: str, family: str, seconds: str, share: float, trials: int) -> DataFrame:
     """Hash-drawn holdouts judged by how far each family's share of the duration is from ``share``.
 
+    A key is held out in trial t where the 16 bits at t mod 16 of sha256("holdout|<t div 16>|<key>") are below the share of 65,536.
     trial, objective (the worst distance), missing (families without any held-out duration).
     """
-    from ..functions.hashing import stable_index
+    cut = int(share * 65_536)
+
+    def held(keys: list[str]) -> np.ndarray:
+        return np.array([np.frombuffer(hashlib.sha256(f"holdout|{k}".encode()).digest(), ">u2") for k in keys]) < cut
 
-    per_key = durations.groupBy(key).agg(F.collect_list(F.struct(family, seconds)).alias("_all"))  # a row a family
-    each = per_key.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
-    held = stable_index(F.concat_ws("|", F.lit("holdout"), "trial", key), 1000) < int(share * 1000)
-    each = each.withColumn("_held", held).select("trial", "_held", F.inline("_all"))
-    per = each.groupBy("trial", family).agg(F.sum(F.when(F.col("_held"), F.col(seconds)).otherwise(0)).alias("h"), F.sum(seconds).alias("t"))
-    return per.groupBy("trial").agg(F.max(F.abs(F.col("h") / F.col("t") - share)).alias("objective"), F.count_if(F.col("h") == 0).alias("missing"))
+    per = _trial_sums(durations, key, family, seconds, trials, 16, held)
+    return per.groupBy("trial").agg(F.max(F.abs(F.col("own") / F.col("total") - share)).alias("objective"), F.count_if(F.col("own") == 0).alias("missing"))
 
 
 MOST_CASES = 100_000
+CANDIDATES = 64
 
 
-def swap_search(counts: DataFrame, key: str, cls: str, n: str, share: float, floor: int, restarts: int = 4) -> DataFrame:
-    """Split of the keys, ``val`` or ``train``, at a local optimum of ``split_cost`` under swaps of two keys.
+def best_swaps(m: np.ndarray, val: np.ndarray, target: np.ndarray, floor: int) -> tuple[np.ndarray, float]:
+    """From a split (``val`` marks its rows of ``m``) swaps of two rows until none lowers the cost; the split and its cost.
 
-    Counts are gathered in Spark, a row of classes a key (at most ``MOST_CASES`` keys, else an error);
-    the search starts at hash-drawn splits and takes the best swap while one helps.
+    A step weighs every row by what its own move would change, and tries the ``CANDIDATES`` best of either side
+    against each other; only where none of these helps are all pairs tried, in blocks, so the end is an optimum of all swaps.
     """
-    import hashlib
-
-    import numpy as np
-
+    val = val.copy()
+    cost = lambda v: ((v / target - 1) ** 2).sum(axis=-1) + 1000.0 * (v < floor).sum(axis=-1)
+    sums = m[val].sum(axis=0)
+    now = float(cost(sums))
+    while val.any() and not val.all():
+        inside, outside = np.flatnonzero(val), np.flatnonzero(~val)
+        out = inside[np.argsort(cost(sums - m[inside]), kind="stable")[:CANDIDATES]]
+        into = outside[np.argsort(cost(sums + m[outside]), kind="stable")[:CANDIDATES]]
+        tried = cost(sums - m[out][:, None] + m[into][None])
+        i, j = np.unravel_index(int(tried.argmin()), tried.shape)
+        best, pair = float(tried[i, j]), (out[i], into[j])
+        if best >= now - 1e-12:
+            step = max(1, 2_000_000 // max(len(outside), 1))
+            for at in range(0, len(inside), step):
+                some = inside[at : at + step]
+                tried = cost(sums - m[some][:, None] + m[outside][None])
+                i, j = np.unravel_index(int(tried.argmin()), tried.shape)
+                if tried[i, j] < best:
+                    best, pair = float(tried[i, j]), (some[i], outside[j])
+        if best >= now - 1e-12:
+            break
+        val[pair[0]], val[pair[1]], now = False, True, best
+        sums = sums - m[pair[0]] + m[pair[1]]
+    return val, now
+
+
+def _count_matrix(counts: DataFrame, key: str, cls: str, n: str) -> tuple[list, np.ndarray]:
+    """Keys in the order of their text and their counts by class; at most ``MOST_CASES`` keys, some megabytes, else an error."""
     rows = counts.groupBy(key).agg(F.collect_list(F.struct(cls, n)).alias("all")).limit(MOST_CASES + 1).collect()
     if len(rows) > MOST_CASES:
         raise ValueError(f"more than {MOST_CASES} keys to search over")
@@ -171,29 +241,52 @@ def swap_search(counts: DataFrame, key: str, cls: str, n: str, share: float, flo
     for i, r in enumerate(rows):
         for c, x in r["all"]:
             m[i, at[str(c)]] += x
-    total, size = m.sum(axis=0), round(len(rows) * share)
-    cost = lambda v: ((v / (share * total) - 1) ** 2).sum(axis=-1) + 1000 * (v < floor).sum(axis=-1)
-    best, chosen = np.inf, np.zeros(len(rows), bool)
-    for k in range(restarts if size else 0):
-        order = sorted(range(len(rows)), key=lambda i: hashlib.sha256(f"{k}|{rows[i][0]}".encode()).digest())
-        val = np.zeros(len(rows), bool)
-        val[order[:size]] = True
-        now = float(cost(m[val].sum(axis=0)))
-        while True:
-            inside, outside, sums = np.flatnonzero(val), np.flatnonzero(~val), m[val].sum(axis=0)
-            if not len(outside):
-                break
-            tried = [cost(sums - m[i] + m[outside]) for i in inside]
-            i = int(np.argmin([t.min() for t in tried]))
-            j = int(np.argmin(tried[i]))
-            if tried[i][j] >= now - 1e-12:
-                break
-            val[inside[i]], val[outside[j]], now = False, True, float(tried[i][j])
-        if now < best:
-            best, chosen = now, val
+    return [r[0] for r in rows], m
+
+
+def swap_search(counts: DataFrame, key: str, cls: str, n: str, share: float, floor: int, restarts: int = 4) -> DataFrame:
+    """Split of the keys, ``val`` or ``train``, at a local optimum of ``split_cost`` under swaps of two keys.
+
+    Counts are gathered and sent to a task for each restart, which begins at a hash-drawn split; the best one is returned.
+    """
+    keys, m = _count_matrix(counts, key, cls, n)
+    target, size = share * m.sum(axis=0), round(len(keys) * share)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                order = sorted(range(len(keys)), key=lambda i: hashlib.sha256(f"{k}|{keys[i]}".encode()).digest())
+                val = np.zeros(len(keys), bool)
+                val[order[:size]] = True
+                val, cost = best_swaps(m, val, target, floor)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([cost]), pa.array([np.flatnonzero(val).tolist()], pa.list_(pa.int64()))], names=["k", "cost", "val"])
+
     spark = counts.sparkSession
+    found = spark.range(0, restarts, 1, restarts).mapInArrow(search, "k long, cost double, val array<long>")
+    chosen = set(found.orderBy("cost", "k").first()["val"]) if keys else set()
     kind = counts.schema[key].dataType.simpleString()
-    return spark.createDataFrame([(r[0], "val" if v else "train") for r, v in zip(rows, chosen, strict=True)], f"`{key}` {kind}, split string")
+    return spark.createDataFrame([(k, "val" if i in chosen else "train") for i, k in enumerate(keys)], f"`{key}` {kind}, split string")
+
+
+def improving_swaps(counts: DataFrame, split: DataFrame, key: str, cls: str, n: str, share: float, floor: int) -> DataFrame:
+    """For each ``val`` key that some swap with a ``train`` key moves out at a gain the best such gain: none at an optimum.
+
+    The gathered counts (as for the search) go to every task; a key is weighed against all others at once.
+    """
+    keys, m = _count_matrix(counts, key, cls, n)
+    side = {r[0]: r[1] for r in split.select(key, "split").collect()}  # as many rows
+    val = np.array([side.get(k) == "val" for k in keys], bool)
+    target, sums = share * m.sum(axis=0), m[val].sum(axis=0)
+    cost = lambda v: ((v / target - 1) ** 2).sum(axis=-1) + 1000.0 * (v < floor).sum(axis=-1)
+    now, others = float(cost(sums)), m[~val]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("id").to_pylist()
+            gain = [now - float(cost(sums - m[i] + others).min()) if val[i] and len(others) else 0.0 for i in own]
+            yield pa.RecordBatch.from_arrays([pa.array([str(keys[i]) for i in own]), pa.array(gain, pa.float64())], names=["key", "gain"])
+
+    return counts.sparkSession.range(len(keys)).mapInArrow(weigh, "key string, gain double").where("gain > 1e-9")
 
 
 def systematic(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:

@@ -421,7 +421,7 @@ def q_split_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STAB}, n AS (SELECT case_id, cls, count(*) AS n FROM (SELECT DISTINCT case_id, part, seg_id, k, cls FROM stab) GROUP BY 1, 2), t AS (SELECT unnest(range(4000)) AS trial),
-d AS (SELECT trial, case_id, CAST(('0x' || sha256(trial || '|' || case_id)[1:16])::UHUGEINT % 2 AS INT) AS fold FROM (SELECT DISTINCT case_id FROM n), t),
+d AS (SELECT trial, case_id, CAST(('0x' || sha256((trial // 256) || '|' || case_id)[trial % 256 // 4 + 1:trial % 256 // 4 + 1])::INT >> (3 - trial % 4)::INT AS INT) & 1 AS fold FROM (SELECT DISTINCT case_id FROM n), t),
 x AS (SELECT trial, cls, n, fold FROM n JOIN d USING (case_id)),
 y AS (SELECT trial, cls, coalesce(sum(n) FILTER (WHERE fold = 0), 0) AS a, coalesce(sum(n) FILTER (WHERE fold = 1), 0) AS b FROM x GROUP BY 1, 2),
 z AS (SELECT trial, max(abs(ln((a + 1) / (b + 1)))) AS worst, abs(sum(a) - sum(b)) / sum(a + b) AS skew FROM y GROUP BY trial)
@@ -432,7 +432,7 @@ def q_fold_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT user_id, event_type, sum(value) AS secs FROM events GROUP BY 1, 2), t AS (SELECT unnest(range(4000)) AS trial),
-d AS (SELECT trial, user_id, CAST(('0x' || sha256('holdout|' || trial || '|' || user_id)[1:16])::UHUGEINT % 1000 AS INT) < 200 AS held FROM (SELECT DISTINCT user_id FROM events), t),
+d AS (SELECT trial, user_id, ('0x' || sha256('holdout|' || (trial // 16) || '|' || user_id)[trial % 16 * 4 + 1:trial % 16 * 4 + 4])::INT < 13107 AS held FROM (SELECT DISTINCT user_id FROM events), t),
 y AS (SELECT trial, event_type, coalesce(sum(secs) FILTER (WHERE held), 0) AS h, sum(secs) AS t FROM f JOIN d USING (user_id) GROUP BY 1, 2),
 z AS (SELECT trial, max(abs(h / t - 0.2)) AS objective, count(*) FILTER (WHERE h = 0) AS missing FROM y GROUP BY 1)
 SELECT trial::BIGINT AS trial, round(objective, 6) AS objective FROM z WHERE missing = 0 ORDER BY round(objective, 9), trial LIMIT 1""")
@@ -443,6 +443,21 @@ def q_duration_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.orderBy(F.round("objective", 9), "trial").limit(1).select("trial", F.round("objective", 6).alias("objective"))
 
 
+@query(f"""WITH {STAB}, n AS (SELECT case_id, cls, count(*) AS n FROM (SELECT DISTINCT case_id, part, seg_id, k, cls FROM stab) GROUP BY 1, 2), c AS (SELECT DISTINCT case_id FROM n)
+SELECT round(count(*) * 0.2)::BIGINT AS val, (count(*) - round(count(*) * 0.2))::BIGINT AS train, true AS optimal, true AS better FROM c""")
+def q_split_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searched split judged: its sizes, whether no swap of two cases lowers its cost, and whether it costs no more than the hash-drawn split."""
+    counts = _window_sets(spark, sf_dir).select("case_id", F.explode("classes").alias("cls")).groupBy("case_id", "cls").agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(counts)
+    split = staged(S.swap_search(counts, "case_id", "cls", "n", 0.2, floor=5))
+    drawn = S.case_split(counts, "case_id", "split", 0.2)
+    cost = lambda s: S.split_cost(counts, s, "case_id", "cls", "n", 0.2, floor=5).select("cost")
+    sizes = split.agg(F.count_if(F.col("split") == "val").alias("val"), F.count_if(F.col("split") == "train").alias("train"))
+    swaps = S.improving_swaps(counts, split, "case_id", "cls", "n", 0.2, floor=5).agg((F.count(F.lit(1)) == 0).alias("optimal"))
+    both = cost(split).select(F.col("cost").alias("own")).crossJoin(cost(drawn)).select((F.col("own") <= F.col("cost")).alias("better"))  # a row each
+    return sizes.crossJoin(swaps).crossJoin(both)  # one row each
+
+
 @query()
 def q_split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of a stratified split found by swaps; an iterative search, so tested against brute force."""

@@ -316,3 +316,53 @@ def test_answers(spark):
     says = [(ALL_THREE, "suturing", "Cadiere forceps, monopolar curved scissors and needle driver are in use during suturing."), ([DRIVER], None, "Needle driver is in use in this procedure."), ([], "other", "The procedure involves surgical activity."), ([], None, "The procedure involves surgical instruments.")]
     df = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(says)], "i int, tools array<string>, task string")
     assert [r.s for r in df.orderBy("i").select(answers.sentence(F.col("tools"), F.col("task")).alias("s")).collect()] == [x[2] for x in says]
+
+
+def test_level_of_a_million_groups(spark):
+    """Equal shares, the rest to the first keys, and no window over all groups."""
+    groups = spark.range(1_000_000).selectExpr("id as k", "1 + id % 997 as cap")
+    out = sampling.water_fill(groups, "k", "cap", 123_456_789)
+    a = out.where("share > cap or share < 0").count(), out.agg(F.sum("share")).first()[0]
+    assert a == (0, 123_456_789)
+    full = out.where("share < cap").agg(F.min("share"), F.max("share"), F.max(F.when(F.col("share") == 149, F.col("k")))).first()
+    low = out.where("share < cap").groupBy("share").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("share").collect()
+    assert full[1] - full[0] <= 1 and len(low) == 2 and low[1].b < low[0].a or len(low) == 1 or low[1].b <= low[0].a
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan or "rangepartitioning" not in plan
+
+
+def test_sides_are_bits_of_digests(spark):
+    import hashlib
+
+    rng = random.Random(9)
+    rows = [(f"k{i}", c, rng.randrange(1, 9)) for i in range(30) for c in "xy" if rng.random() < 0.8]
+    got = {r.trial: r.objective for r in sampling.fold_trials(spark.createDataFrame(rows, "k string, c string, n long"), "k", "c", "n", 300).collect()}
+    import math
+
+    def side(t, k):
+        return int.from_bytes(hashlib.sha256(f"{t // 256}|{k}".encode()).digest(), "big") >> (255 - t % 256) & 1
+
+    for t in (0, 1, 7, 8, 255, 256, 299):
+        sums = {c: [sum(n for k, d, n in rows if d == c and side(t, k) == s) for s in (0, 1)] for c in "xy"}
+        want = max(abs(math.log((a + 1) / (b + 1))) for a, b in sums.values()) + 0.5 * abs(sum(a - b for a, b in sums.values())) / sum(a + b for a, b in sums.values())
+        assert got[t] == pytest.approx(want)
+    assert len(got) == 300
+
+
+def test_swaps_of_ten_thousand_cases(spark):
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 40, (10_000, 5)) * rng.integers(0, 2, (10_000, 5))
+    val = np.zeros(10_000, bool)
+    val[:2000] = True
+    start = time.process_time()
+    end, cost = sampling.best_swaps(m.astype(float), val, 0.2 * m.sum(axis=0), 5)
+    assert time.process_time() - start < 60 and end.sum() == 2000 and cost < 1e-7
+    counts = spark.createDataFrame([(i, c, int(x)) for i, row in enumerate(m[:40].tolist()) for c, x in zip("abcde", row)], "k long, c string, n long")
+    split = sampling.swap_search(counts, "k", "c", "n", 0.25, 5)
+    assert sampling.improving_swaps(counts, split, "k", "c", "n", 0.25, 5).count() == 0
+    worst = split.withColumn("split", F.when(F.col("k") < 10, "val").otherwise("train"))
+    assert sampling.improving_swaps(counts, worst, "k", "c", "n", 0.25, 5).count() > 0
