@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 
 class AuditError(ValueError):
     """A check on a table failed."""
@@ -19,10 +21,65 @@ def must_be_empty(violations: DataFrame, what: str) -> None:
 
 
 def exclude(df: DataFrame, held_out: DataFrame, keys: Sequence[str], what: str = "held-out rows") -> DataFrame:
-    """Anti-join that must remove something: no exclusion at all means the keys don't fit."""
-    if df.join(held_out, list(keys), "left_semi").isEmpty():
-        raise AuditError(f"no {what} were found to exclude")
-    return df.join(held_out, list(keys), "left_anti")
+    """Anti-join that must remove something: no exclusion at all means the keys don't fit.
+
+    One job joins, counts what goes as the rows pass, and writes what stays; the count is checked before anyone reads it.
+    """
+    marked = df.join(held_out.select(*keys).distinct().withColumn("_held", F.lit(True)), list(keys), "left")
+    return observed(marked, {"held": F.count_if(F.col("_held").isNotNull())}, lambda n: f"no {what} were found to exclude" if not n["held"] else None, F.col("_held").isNull()).drop("_held")
+
+
+def observed(df: DataFrame, counts: Mapping[str, Column], wrong: Callable[[dict], str | None], keep: Column | None = None) -> DataFrame:
+    """``df`` written once, with ``counts`` taken from its rows in the same pass; what ``wrong`` says of them is an error.
+
+    ``keep`` filters the rows behind the counts.
+    """
+    seen = Observation()
+    passed = df.observe(seen, *(c.alias(name) for name, c in counts.items()))
+    out = staged(passed if keep is None else passed.where(keep))
+    if (problem := wrong(seen.get)) is not None:
+        raise AuditError(problem)
+    return out
+
+
+def digest_problems(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``expected(key, sha256, size)`` against ``found`` of the same columns: key and its problems, none for a file as it should be."""
+    both = expected.alias("e").join(found.select(F.col(key).alias("_k"), F.col("sha256").alias("_s"), F.col("size").alias("_n")), F.col(f"e.{key}") == F.col("_k"), "left")
+    gone = F.col("_k").isNull()
+    tests = [F.when(gone, "missing"), F.when(~gone & ~F.col("sha256").eqNullSafe(F.col("_s")), "sha256 differs"), F.when(~gone & ~F.col("size").eqNullSafe(F.col("_n")), "size differs")]
+    return both.select(F.col(f"e.{key}").alias(key), F.array_compact(F.array(*tests)).alias("problems"))
+
+
+def threshold_problems(classes: Column, values: Column, tuned_on: Column, sha256: Column, against: Column, own: Column, version: Column, understood: int) -> Column:
+    """What is wrong with thresholds that stand by position beside classes, first things first.
+
+    A version that isn't one or isn't understood; no classes; another number of values; a value outside 0 to 1 or no
+    number; thresholds tuned on another file, or against other thresholds than the file's own.
+    """
+    bad = F.exists(values, lambda v: v.isNull() | F.isnan(v) | ~v.between(0, 1))
+    differ = (F.size(against) != F.size(own)) | F.exists(F.arrays_zip(against.alias("a"), own.alias("b")), lambda x: F.abs(x["a"] - x["b"]) > 1e-9)
+    yes = lambda test, what: F.when(F.coalesce(test, F.lit(True)), what)
+    return F.array_compact(
+        F.array(
+            yes(version < 1, "no version"),
+            yes(version > understood, "version not understood"),
+            yes(F.size(classes) < 1, "no classes"),
+            yes(F.size(values) != F.size(classes), "another number of values"),
+            yes(bad, "value out of range"),
+            yes(~tuned_on.eqNullSafe(sha256), "tuned on another file"),
+            yes(differ, "tuned against other thresholds"),
+        )
+    )
+
+
+def dependent(direct: DataFrame, derived: DataFrame, keys: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """Keys whose score against all references at once isn't the best of the scores against each, or that one side lacks.
+
+    ``direct(keys, score)``, ``derived(keys, score)``; anything derived from single references needs this to be empty.
+    """
+    best = derived.groupBy(*keys).agg(F.max("score").alias("_best"))
+    both = direct.join(best, list(keys), "full_outer")
+    return both.where(F.coalesce(F.abs(F.col("score") - F.col("_best")) > tolerance, F.lit(True))).select(*keys, "score", F.col("_best").alias("best"))
 
 
 def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

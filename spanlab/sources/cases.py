@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.forms import response_text
@@ -28,6 +30,31 @@ def read_sample_cases(spark: SparkSession, root: str, suffix: str = "_question")
     return pairs.select("case", asked.alias("question"), known.alias("references"))
 
 
+def read_candidates(spark: SparkSession, path: str, cases: DataFrame) -> DataFrame:
+    """``cases(case, ...)`` with the answer that a JSON object of case to answer has for each.
+
+    A file that is no object, an answer that is no string, a case without an answer and an answer without a case are errors.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    fail = lambda why: F.raise_error(F.concat(*(w if isinstance(w, Column) else F.lit(w) for w in why)))
+    text = F.when(raw["value"].startswith("{"), raw["value"]).otherwise(fail([f"{path}: no object of case to answer"]).cast("string"))
+    entries = raw.select(F.explode(F.variant_get(F.parse_json(text), "$", "map<string,variant>")).alias("case", "v"))
+    answer = F.when(F.schema_of_variant("v") == "STRING", F.variant_get("v", "$", "string")).otherwise(fail(["the answer of ", F.col("case"), " is no string"]).cast("string"))
+    both = cases.join(entries.select("case", answer.alias("answer"), F.lit(True).alias("_has")), "case", "full_outer").withColumn("_known", F.col(next(c for c in cases.columns if c != "case")).isNotNull())
+    said = F.when(F.col("_has").isNull(), fail(["no answer for ", F.col("case")]).cast("string")).when(~F.col("_known"), fail(["an answer for the unknown case ", F.col("case")]).cast("string")).otherwise(F.col("answer"))
+    return both.select(*cases.columns, said.alias("answer"))
+
+
+def data_set_text(train: str, val: str, classes: Sequence[str]) -> str:
+    """The description of a detection data set: its classes in order and its two lists of files."""
+    return "\n".join([f"nc: {len(classes)}", "names:", *(f"- {c}" for c in classes), f"train: {train}", f"val: {val}"]) + "\n"
+
+
+def write_data_set(spark: SparkSession, path: str, train: str, val: str, classes: Sequence[str]) -> None:
+    """That description as a text file below ``path``."""
+    spark.createDataFrame([(data_set_text(train, val, classes).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_lines(df: DataFrame, path: str, column: str, order: str) -> None:
     """One text line a row, in the order of a column over the files' names."""
     df.orderBy(order).select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)

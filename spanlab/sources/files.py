@@ -42,7 +42,7 @@ def write_exact(df: DataFrame, path: str, frames: str, depth: int, *by: str) ->
 
     None left to write is an error.
     """
-    exact = F.size(frames) == depth
+    exact = F.coalesce(F.size(frames) == depth, F.lit(False))
     kept, dropped = (int(n or 0) for n in df.agg(F.sum(exact.cast("int")), F.sum((~exact).cast("int"))).first())
     if not kept:
         raise ValueError(f"no row has {depth} elements in {frames}")

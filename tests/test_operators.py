@@ -366,3 +366,40 @@ def test_swaps_of_ten_thousand_cases(spark):
     assert sampling.improving_swaps(counts, split, "k", "c", "n", 0.25, 5).count() == 0
     worst = split.withColumn("split", F.when(F.col("k") < 10, "val").otherwise("train"))
     assert sampling.improving_swaps(counts, worst, "k", "c", "n", 0.25, 5).count() > 0
+
+
+def test_audits_in_one_pass(spark):
+    df = spark.range(10).withColumn("x", F.col("id") % 3)
+    kept = audit.observed(df, {"n": F.count(F.lit(1)), "twos": F.count_if(F.col("x") == 2)}, lambda c: None if c == {"n": 10, "twos": 3} else str(c), F.col("x") != 2)
+    assert kept.count() == 7
+    with pytest.raises(audit.AuditError, match="n is 10"):
+        audit.observed(df, {"n": F.count(F.lit(1))}, lambda c: f"n is {c['n']}")
+    direct = spark.createDataFrame([("a", 0.9), ("b", 0.5), ("c", 0.1)], "k string, score double")
+    derived = spark.createDataFrame([("a", 0.9), ("a", 0.1), ("b", 0.4), ("d", 1.0)], "k string, score double")
+    assert {r.k for r in audit.dependent(direct, derived, ["k"]).collect()} == {"b", "c", "d"}
+    rows = [([], None, None, None, None, 1), (["a"], [float("nan")], "s", [0.5], [0.5], 1), (["a"], [0.2], "s", [0.5], [0.5], 0), (["a"], [0.2], "s", [0.4], [0.5], 2), (["a"], [0.2], "s", [0.5], [0.5], 1)]
+    t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, classes array<string>, v array<double>, tuned string, against array<double>, own array<double>, version int")
+    got = [r.p for r in t.orderBy("i").select(audit.threshold_problems(F.col("classes"), F.col("v"), F.col("tuned"), F.lit("s"), F.col("against"), F.col("own"), F.col("version"), 1).alias("p")).collect()]
+    assert got == [["no classes", "another number of values", "value out of range", "tuned on another file", "tuned against other thresholds"], ["value out of range"], ["no version"], ["version not understood", "tuned against other thresholds"], []]
+
+
+def test_phrases_match_a_plain_scan(spark):
+    from spanlab.operators.phrases import phrase_join
+
+    rng = random.Random(4)
+    phrases = sorted({" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(30)})
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(30))) for _ in range(60)] + ["", None, "A, b-C!", "zzz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    table = spark.createDataFrame([(p.upper(), i) for i, p in enumerate(phrases)], "phrase string, cls long")
+    got = sorted((r.id, r["at"], r.phrase.lower(), r.cls) for r in phrase_join(df, "id", "t", table, "phrase").collect())
+    want = []
+    for i, t in enumerate(texts):
+        words, at = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split(), 0
+        while at < len(words):
+            hit = max((p.split(" ") for p in phrases if words[at : at + len(p.split(" "))] == p.split(" ")), key=len, default=None)
+            if hit:
+                want.append((i, at, " ".join(hit), phrases.index(" ".join(hit))))
+            at += len(hit or [0])
+    assert got == sorted(want)
+    with pytest.raises(Exception, match="more than 2 words"):
+        phrase_join(df, "id", "t", table, "phrase", lengths=2).collect()

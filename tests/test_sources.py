@@ -107,3 +107,73 @@ def test_lines_and_responses(spark, tmp_path):
     cases.write_responses(df, str(tmp_path / "out"), "Unknown.")
     got = {d.name: json.loads(next(d.glob("part-*")).read_text()) for d in (tmp_path / "out").glob("case=*")}
     assert got == {"case=k1": "Unknown.", "case=k2": 'say "hi" now', "case=k3": "Unknown."}
+
+
+def test_exact_depth_sink(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, [1, 2]), ("a", 2, [1]), ("b", 3, [3, 4]), ("b", 4, None)], "c string, i int, frames array<int>")
+    assert files.write_exact(df, str(tmp_path / "out"), "frames", 2, "c") == 2
+    assert {(r.c, r.i) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 1), ("b", 3)}
+    with pytest.raises(ValueError, match="no row has 9"):
+        files.write_exact(df, str(tmp_path / "none"), "frames", 9, "c")
+
+
+def test_candidates_and_data_set(spark, tmp_path):
+    known = spark.createDataFrame([("a", "q1"), ("b", "q2")], "case string, question string")
+
+    def read(text):
+        (tmp_path / "c.json").write_text(text)
+        return {r.case: r.answer for r in cases.read_candidates(spark, str(tmp_path / "c.json"), known).collect()}
+
+    assert read('{"a": "Yes", "b": ""}') == {"a": "Yes", "b": ""}
+    for text, what in (('["a"]', "no object"), ('{"a": 3, "b": "x"}', "answer of a is no string"), ('{"a": "x"}', "no answer for b"), ('{"a": "x", "b": "y", "z": "w"}', "unknown case z")):
+        with pytest.raises(Exception, match=what):
+            read(text)
+    cases.write_data_set(spark, str(tmp_path / "d"), "train.txt", "val.txt", ("hook", "needle driver"))
+    text = "".join(p.read_text() for p in (tmp_path / "d").glob("part-*"))
+    assert text == cases.data_set_text("train.txt", "val.txt", ("hook", "needle driver")) == "nc: 2\nnames:\n- hook\n- needle driver\ntrain: train.txt\nval: val.txt\n"
+
+
+def test_archive_members_are_read_alone(spark, tmp_path, monkeypatch):
+    import os
+
+    from spanlab.sources import archives
+
+    (tmp_path / "sub").mkdir()
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / "sub" / f"a{k}.zip", "w") as z:
+            for i in range(6):
+                z.writestr(f"VID0{k}/{i}/frames.bin", os.urandom(300_000))
+                z.writestr(f"VID0{k}/{i}/meta.txt", f"shard {k}-{i}")
+    spark.dataSource.register(archives.ZipMembers)
+    load = lambda **o: spark.read.format("zip_members").options(path=str(tmp_path), **o).load()
+    meta = load(members="*/meta.txt").collect()
+    assert sorted(bytes(r.content).decode() for r in meta) == sorted(f"shard {k}-{i}" for k in range(2) for i in range(6))
+    listed = load(content="false").collect()
+    assert len(listed) == 24 and all(r.content is None for r in listed) and sum(r["size"] for r in listed) > 3_600_000
+    assert load(members="*.bin", taskbytes="500000").rdd.getNumPartitions() == 12 and load(members="none").count() == 0
+    # the reader itself, with the bytes counted
+    read = []
+    real = archives.opened
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n=-1):
+            data = self.f.read(None if n < 0 else n)
+            read.append(len(data))
+            return data
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+    monkeypatch.setattr(archives, "opened", lambda p: Counted(real(p)))
+    reader = archives.ZipReader({"path": str(tmp_path / "sub" / "a0.zip"), "members": "*/meta.txt"})
+    assert len([x for p in reader.partitions() for x in reader.read(p)]) == 6
+    assert sum(read) < 20_000
