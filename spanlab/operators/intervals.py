@@ -44,21 +44,26 @@ def _widths(bucket: int, fan: int) -> list[int]:
     return out
 
 
-def indexed(intervals: DataFrame, lo: str, hi: str, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
-    """A row for every cell an interval is entered in, ``fan`` + 1 at most: adds _level, _cell."""
+def levelled(intervals: DataFrame, lo: str, hi: str, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
+    """Intervals with the level each is entered at: adds _level."""
     widths = _widths(bucket, fan)
     level = F.lit(len(widths) - 1)
     for k in reversed(range(len(widths) - 1)):
         level = F.when(F.col(hi) - F.col(lo) <= widths[k] * fan, k).otherwise(level)
-    width = F.get(F.array(*(F.lit(w).cast("long") for w in widths)), F.col("_level"))
-    made = intervals.where(F.col(lo) <= F.col(hi)).withColumn("_level", level)
+    return intervals.where(F.col(lo) <= F.col(hi)).withColumn("_level", level)
+
+
+def indexed(intervals: DataFrame, lo: str, hi: str, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
+    """A row for every cell an interval is entered in, ``fan`` + 1 at most: adds _level, _cell."""
+    width = F.get(F.array(*(F.lit(w).cast("long") for w in _widths(bucket, fan))), F.col("_level"))
+    made = levelled(intervals, lo, hi, bucket, fan)
     return made.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
 
 
-def probes(points: DataFrame, index: DataFrame, at: str, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
-    """A row for every level in use (and level 0) with the point's cell there: adds _level, _cell."""
+def probes(points: DataFrame, levels: DataFrame, at: str, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
+    """A row for every level that ``levels`` has (and level 0) with the point's cell there: adds _level, _cell."""
     widths = _widths(bucket, fan)
-    used = index.agg(F.array_sort(F.array_union(F.collect_set("_level"), F.array(F.lit(0)))).alias("_levels"))  # one row, a dozen levels at most
+    used = levels.agg(F.array_sort(F.array_union(F.collect_set("_level"), F.array(F.lit(0)))).alias("_levels"))  # one row, a dozen levels at most
     width = F.get(F.array(*(F.lit(w).cast("long") for w in widths)), F.col("_level"))
     made = points.crossJoin(F.broadcast(used)).withColumn("_level", F.explode("_levels")).drop("_levels")
     return made.withColumn("_cell", F.floor(F.col(at) / width))
@@ -72,7 +77,7 @@ def range_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at:
     Columns other than the keys must have different names on the two sides.
     """
     spread = indexed(intervals, lo, hi, bucket, fan)
-    dealt = probes(points, spread.select("_level"), at, bucket, fan)
+    dealt = probes(points, levelled(intervals, lo, hi, bucket, fan), at, bucket, fan)
     condition = F.col(f"p.{at}").between(F.col(f"i.{lo}"), F.col(f"i.{hi}"))
     for k in [*keys, "_level", "_cell"]:
         condition = (F.col(f"p.{k}") == F.col(f"i.{k}")) & condition
@@ -104,8 +109,8 @@ def exclusive(intervals: DataFrame, keys: Sequence[str], lo: str, hi: str, cls:
         return mine.join(theirs, hit & (F.col("_level") == F.col("o_level")) & (F.col("_cell") == F.col("o_cell")), "left_semi").select(ident)
 
     own, others = indexed(intervals, lo, hi, bucket, fan), indexed(other, "o_lo", "o_hi", bucket, fan)
-    found = met(probes(intervals, others.select("_level"), lo, bucket, fan), others)
-    found = found.unionByName(met(own, probes(other, own.select("_level"), "o_lo", bucket, fan)))
+    found = met(probes(intervals, levelled(other, "o_lo", "o_hi", bucket, fan), lo, bucket, fan), others)
+    found = found.unionByName(met(own, probes(other, levelled(intervals, lo, hi, bucket, fan), "o_lo", bucket, fan)))
     return intervals.join(found.distinct(), ident, "left_anti")
 
 

@@ -56,6 +56,14 @@ NEGATION = ("no", "not", "none", "never", "without", "absent", "nothing", "neith
 TAGS = ("or not", "right", "correct", "yes or no", "true or false")
 
 
+INTENTS = ("tool_presence", "tool_identity", "organ", "cutting", "suture", "procedure", "purpose", "task", "count", "task_confirm", "approach", "unknown_polar", "unknown_open")
+
+
+def known_intents(listed: Sequence[str]) -> tuple[str, ...]:
+    """Of the intents that a setting lists those that exist, in their own order; a name that was mistyped allows nothing."""
+    return tuple(i for i in INTENTS if i in set(listed))
+
+
 def ladder(rules: Sequence[tuple[str, Column]], default: str) -> Column:
     """The name of the first test that holds."""
     out = F.lit(default)
@@ -136,14 +144,17 @@ def _intent(facts: Column) -> Column:
 
 
 def arbitrated(mode: Column, base: Column, draft: Column, intent_: Column, judged: Column, allowed: Sequence[str]) -> Column:
-    """The answer under one of five policies; an unusable draft or an unknown mode gives the base answer."""
+    """The answer under one of five policies; an unusable draft or an unknown mode gives the base answer.
+
+    ``allowed`` counts as far as it names known intents.
+    """
     usable = draft.isNotNull() & (F.trim(draft) != "") & (F.lower(F.trim(draft)) != "nan")
     differs = words_only(draft) != words_only(base)
     return (
         F.when(~F.coalesce(usable, F.lit(False)), base)
         .when(mode == "primary", draft)
         .when((mode == "challenger") & differs, draft)
-        .when((mode == "per_intent") & intent_.isin(*allowed), draft)
+        .when((mode == "per_intent") & intent_.isin(*known_intents(allowed)), draft)
         .when((mode == "judge") & differs & (judged == 2), draft)
         .otherwise(base)
     )

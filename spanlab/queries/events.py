@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import english_list
+from ..functions.forms import rendered
 from ..functions.hashing import draw, stable_index
 from ..operators import intervals as I
 from ..operators import ordered as O
@@ -309,6 +310,19 @@ def q_qa_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(rows).groupBy("q.shape", "q.slot", "q.answer").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TEMPLATES = {"presence": "Was there a {cls}  in part {part}?", "count": "How many events of the kind {cls} had part {part} of {case}?"}
+
+
+@query("""WITH e AS (SELECT event_id, event_type AS cls, day(ts) // 10 AS part, user_id FROM events) SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Was there a ' || cls || ' in part ' || part || '?' ELSE 'How many events of the kind ' || cls || ' had part ' || part || ' of case ' || user_id || '?' END AS question FROM e""")
+def q_rendered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two templates over the event log; classes and parts outside their lists would be errors."""
+    e = V.ev(spark, sf_dir).select("event_id", "cls", F.col("part").cast("string").alias("part"), F.concat(F.lit("case  "), F.col("case_id").cast("string")).alias("case"))
+    allowed = {"cls": VOCABULARY, "part": tuple("0123")}
+    first = rendered(_TEMPLATES["presence"], {"cls": F.col("cls"), "part": F.col("part")}, allowed)
+    second = rendered(_TEMPLATES["count"], {"cls": F.col("cls"), "part": F.col("part"), "case": F.col("case")}, allowed)
+    return e.select("event_id", F.when(F.col("event_id") % 2 == 0, first).otherwise(second).alias("question"))
+
+
 @query(f"""WITH {EV}, r AS (SELECT cls, case_id, count(*) AS n, grouping(cls)::BIGINT AS g_cls, grouping(case_id)::BIGINT AS g_case FROM ev GROUP BY ROLLUP (cls, case_id))
 SELECT coalesce(cls, '') AS cls, coalesce(case_id, -1)::BIGINT AS case_id, g_cls, g_case, n::BIGINT AS n, round(n / (SELECT count(*) FROM ev), 6) AS share FROM r""")
 def q_balance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +412,7 @@ x AS (SELECT case_id, part, seg_id, k, unnest(CASE WHEN len(classes) = 0 THEN [N
 r AS (SELECT case_id, part, seg_id, k, coalesce(min(n), 1000000000) AS rarity FROM x LEFT JOIN f USING (cls) GROUP BY 1, 2, 3, 4)
 SELECT case_id, part, seg_id, k, rarity::BIGINT AS rarity FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY rarity, sha256('s|' || part || '|' || seg_id || '|' || k)) <= 5""")
 def q_rarity_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.rarity_sample(_window_sets(spark, sf_dir), "classes", ["case_id"], draw("s", F.col("part"), F.col("seg_id"), F.col("k")), 5).select("case_id", "part", "seg_id", "k", "rarity")
+    return S.rarity_sample(staged(_window_sets(spark, sf_dir)), "classes", ["case_id"], draw("s", F.col("part"), F.col("seg_id"), F.col("k")), 5).select("case_id", "part", "seg_id", "k", "rarity")
 
 
 _SPLIT = f"""{STAB}, hc AS (SELECT case_id, row_number() OVER (ORDER BY sha256('split|' || case_id)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT case_id FROM ev)),

@@ -368,6 +368,13 @@ def test_swaps_of_ten_thousand_cases(spark):
     assert sampling.improving_swaps(counts, worst, "k", "c", "n", 0.25, 5).count() > 0
 
 
+def test_policies_allow_known_intents_only(spark):
+    assert rules.known_intents(("purpose", "tasks", "count")) == ("purpose", "count") and rules.known_intents(()) == ()
+    df = spark.createDataFrame([("Two", "Three", "count"), ("Two", "Three", "tasks")], "b string, d string, i string")
+    got = df.select(rules.arbitrated(F.lit("per_intent"), F.col("b"), F.col("d"), F.col("i"), F.lit(1), ("count", "tasks")).alias("a")).collect()
+    assert [r.a for r in got] == ["Three", "Two"]
+
+
 def test_audits_in_one_pass(spark):
     df = spark.range(10).withColumn("x", F.col("id") % 3)
     kept = audit.observed(df, {"n": F.count(F.lit(1)), "twos": F.count_if(F.col("x") == 2)}, lambda c: None if c == {"n": 10, "twos": 3} else str(c), F.col("x") != 2)
