@@ -20,7 +20,7 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes); two documen
    comparison a member, and no link that joins components is lost.
 5. Components by repeated hooking to the smallest neighbour and contraction.
 
-Nulls: a null text has no shingles; rows of null id are returned with their set's size and a
+Nulls: a null text has no shingles; ids are taken as longs; rows of null id are returned with their set's size and a
 null component.  Texts of fewer than five words have one shingle, the whole; texts without
 words have none and link with nothing.  Repeated rows give a row each.  Rows of equal id are one
 document: where their texts differ, it links by its smallest set, and by any set that another

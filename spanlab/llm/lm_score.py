@@ -21,7 +21,7 @@ kept to ``GRAM_BITS`` bits below their shard, at which one gram in some ten mill
 count with another, at every size of the corpus) it holds and builds the part of the automaton that its texts can reach.  Nothing else is gathered, and what
 is gathered follows the input.
 
-Nulls: a null text is empty (its end token is scored); a null id counts as the text "" in the
+Nulls: a null text is empty (its end token is scored); ids are taken as longs; a null id counts as the text "" in the
 remainder rule.  Repeated rows are counted and scored each; an empty table gives no rows.
 Without training documents N and V are 0 and every word is unknown.
 """

@@ -14,7 +14,7 @@ Whether pieces fit together depends on their lengths alone, and there are at mos
 
 Documents longer than ``capacity`` are cut into pieces of it, the last one shorter;
 shorter ones stay whole.  Nulls: a null text is an empty document (only the end id); a
-null document id is kept.  Ties: pieces of equal length are ranked by document id, then
+null document id is kept; ids are taken as longs.  Ties: pieces of equal length are ranked by document id, then
 piece, then checksum.  Repeated rows are packed once each.  Empty tables give no rows.
 """
 

@@ -17,7 +17,7 @@ a file-system URI; a task that is run again writes files of another name, and on
 names that a finished task reports enter the manifest, so lost executors leave no half
 shards in the result.
 
-Nulls: a null text is an empty document; a null document id sorts first and is kept.
+Nulls: a null text is an empty document; a null document id sorts first and is kept; ids are taken as longs.
 Ties: documents of equal id are ordered by text.  Extra columns are ignored.  An empty
 table gives an empty manifest and no rows.
 """
