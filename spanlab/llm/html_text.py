@@ -1,26 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-A page is read into lines, one a block element, with its markup stripped: scripts, styles,
-comments, forms and elements that by tag, role or class are navigation, banners, adverts,
-notices, sidebars or reader comments never enter a line, unless such an element wraps most of
-the page's article or main elements or, for forms, roles and class hints, most of the page's
-text.  Each line's length outside links is summed over a sliding window of ``WINDOW`` lines.
-Where the sum surges (it passes the ``SURGE`` share of the page's mean) a run opens, where it
-dives to nothing, ``WINDOW`` lines of links or less, it closes; its points are the first and the
-last line with text of its own in between, and all lines between them are kept, link-heavy ones
-too.  What decides:
-
-* the runs with at least ``RIVAL`` of the longest run's text are the page's text.  Where the page
-  marks no article, they are kept, with the short lines at their rims that aren't mostly links;
-* where it does, the article and main elements in which a run has a line of the ``SURGE`` share
-  are kept, and their siblings with such a line, each cut at its own surge and dive points (there
-  any text surges, so a title stays, but a list of links that nothing marks goes); of the text
-  outside them, the lines of these runs stay.
+A page is read into lines, one a block element, with its markup stripped; each line gets a weight.
+A line's weight is its length outside links.  Markup only changes weights: lines of elements that by tag, role, class or id are navigation,
+banners, adverts, forms, notices, sidebars, footers or reader comments weigh ``AGAINST``, unless such an
+element wraps most of the page's article or main elements or, for forms, roles and names, most of the page's
+text; lines of article and main elements with text outside links weigh at least ``SURGE`` of the mean line.
+
+The weights are summed over a sliding window of ``WINDOW`` lines, lines against the text left aside.  Where the sum
+surges (it passes the ``SURGE`` share of the page's mean) a run opens at the first line that carries it; where it dives to nothing,
+``WINDOW`` lines of links or less, it closes behind the last line that does; all lines in between are kept,
+but those of the weight ``AGAINST``, at which a run is cut.  Where the page marks no article, short lines at the rims that
+aren't mostly links belong to a run too.  A run counts with ``RIVAL`` of the longest run's text, or with a line of the ``SURGE`` share in
+an article.  What the surge and dive points leave is the text; nothing is picked by markup alone.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by a line end in page order.  A null page is empty and gives an empty text; a page
-that ends in the middle of a tag, comment or element is read up to there.  Repeated rows give
-a row each, an empty table gives no rows.  Extra columns are kept; one named like the output
+that ends in the middle of a tag, comment or element is read up to there.  Long and deep pages take time in
+proportion to their length.  Repeated rows give a row each, an empty table gives no rows.  Extra columns are kept; one named like the output
 is kept under that name with ``_`` behind it.
 """
 
@@ -39,6 +35,7 @@ from pyspark.sql import types as T
 WINDOW = 3
 SURGE = 0.5
 RIVAL = 0.25
+AGAINST = -1
 
 # Fixed values of HTML: elements that start a block, that hold no children, that hold no text to read.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -46,16 +43,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select|title"
 DROPPED = frozenset("nav footer aside form header menu dialog button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
-# Class and id tokens, matched whole, and the usual compounds of them.
-HINT = re.compile(
-    r"(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|widget|toolbar|pagination"
-    r"|(?:site|page|global|top|main|primary|secondary|left|right|bottom|mobile)[_-](?:header|footer|nav(?:bar|igation)?|menu|sidebar|banner|toolbar)"
-    r"|(?:ads?|adverts?|cookies?|consent|newsletter|promo|sponsor|social|share|sharing|comments?|replies|popup|modal|subscribe|breadcrumbs?|nav|menu|related|widget)[_-](?:banner|bar|box|notice|container|wrapper|lists?|section|area|form|links?|buttons?|slot|unit|items?|posts|articles|stories|block)"
-    r"|(?:reader|user|post|article)[_-]comments|disqus[_-]thread)",
+# Parts of class and id names, between - and _, that mark an element wherever they stand, but behind "with", "has", "no" and the like.
+PARTS = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments commentlist disqus discussion respond reply replies cookie cookies consent gdpr sidebar footer newsletter signup notification notifications recommended trending bio breadcrumb breadcrumbs".split())
+WITHOUT = frozenset("with has have no without is hide show not".split())
+# Text that is written beside an article and may be longer than it.
+BESIDE = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments commentlist disqus discussion respond reply replies cookie cookies consent gdpr related recommended trending".split())
+# Names that only mark an element as a whole, and the usual compounds of them.
+NAMES = re.compile(
+    r"(?:banner|sponsor|promo|side|menu|nav(?:bar|igation)?|header|masthead|notice|popup|modal|subscribe|share|social|related|widget|toolbar|pagination|site-info"
+    r"|(?:site|page|global|top|main|primary|secondary|left|right|bottom|mobile)[_-](?:header|nav(?:bar|igation)?|menu|banner|toolbar)"
+    r"|(?:promo|sponsor|social|share|sharing|popup|modal|subscribe|nav|menu|related|widget)[_-](?:banner|bar|box|notice|container|wrapper|lists?|section|area|form|links?|buttons?|slot|unit|items?|posts|articles|stories|block))",
     re.I,
 )
-# Hints of text that is written beside an article and may be longer than it.
-BESIDE = re.compile(r"(?:ads?|adverts?|comments?|replies|disqus|cookies?|consent|related)(?:[_-].*)?|.*[_-]comments", re.I)
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<icon>svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -70,6 +69,11 @@ class Line:
     text: str
     links: int  # characters inside links
     home: int  # number of the article or main element around, 0 if none
+    against: bool  # in an element that is no main text by its markup
+
+    @property
+    def size(self) -> int:
+        return len(self.text) - self.links
 
 
 @dataclass
@@ -82,18 +86,29 @@ class Aside:
     held: int = 0  # those in articles or main elements that lie inside
 
 
+def _named(token: str) -> str:
+    """What a class or id says: "beside", "soft" or ""."""
+    parts = re.split("[-_]+", token.lower())
+    for k, part in enumerate(parts):
+        if part in PARTS and not (k and parts[k - 1] in WITHOUT):
+            return "beside" if part in BESIDE else "soft"
+    if NAMES.fullmatch(token):
+        return "beside" if parts[0] in BESIDE else "soft"
+    return ""
+
+
 def _unwanted(tag: str, attrs: str, inside: bool) -> str:
-    """Whether an element is no main text by its markup: "firm" by its tag, "beside" and "soft" by hint, tag form or role, or ""."""
+    """Whether an element is no main text by its markup: "firm" by its tag, "beside" and "soft" by name, tag form or role, or ""."""
     if tag in DROPPED:
         return "soft" if tag == "form" else "" if tag == "header" and inside else "firm"
     if not attrs or tag in ("body", "html", "article", "main"):
         return ""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-    hints = [t for k in ("class", "id") for t in found.get(k, "").split() if HINT.fullmatch(t)]
-    if any(BESIDE.fullmatch(t) for t in hints):
+    names = {_named(t) for k in ("class", "id") for t in found.get(k, "").split()}
+    if "beside" in names:
         return "beside"
     hidden = found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in attrs.lower().split()
-    return "soft" if hints or hidden else ""
+    return "soft" if "soft" in names or hidden else ""
 
 
 def _overruled(asides: list[Aside], size: int, held: int) -> frozenset[int]:
@@ -109,53 +124,60 @@ def _overruled(asides: list[Aside], size: int, held: int) -> frozenset[int]:
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order, without what is no main text by its markup and length."""
+    """The page's blocks in order; those of elements that are no main text by markup and length are ``against``."""
     lines, asides, size, held = _read(page)
     kept = _overruled(asides, size, held)
     return _read(page, kept)[0] if kept else lines
 
 
 def _read(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Line], list[Aside], int, int]:
-    """Lines without the elements left out (but with those of the numbers ``kept``), these elements, and characters outside links: all, in articles."""
+    """Lines, marked elements (those of the numbers ``kept`` mark no line), and characters outside links: all, in articles."""
     lines: list[Line] = []
     asides: list[Aside] = []
-    open_: list[tuple[Aside, bool]] = []  # those around, and whether an article began inside
     total, inner = 0, 0
     parts: list[str] = []
-    state = {"links": 0}
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, whether it is left out, number of its article, whether by markup it were
+    beside: list[str] = []  # what the block says in marked elements
+    links = 0
+    stack: list[tuple[str, bool, int, int, int, int]] = []  # tag, whether it marks lines, article around it, number of its aside or -1, total and inner before it
+    depth: dict[str, int] = {}  # open elements by tag
     out, link, home, homes, at = 0, 0, 0, 0, 0
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            lines.append(Line(text, state["links"], home))
+        nonlocal links
+        for own, against in ((parts, False), (beside, True)):
+            text = " ".join(html.unescape("".join(own)).split())
+            if text:
+                lines.append(Line(text, 0 if against else links, home, against))
+                break
         parts.clear()
-        state["links"] = 0
+        beside.clear()
+        links = 0
 
     def say(text: str) -> None:
-        nonlocal total, inner
+        nonlocal total, inner, links
+        if not text:
+            return
         n = 0 if link else len(text.strip())
         total += n
         inner += n if home else 0
-        for x, around in open_:
-            x.size += n
-            x.held += n if home and around else 0
-        if not out and text:
-            parts.append(text)
-            if link:
-                state["links"] += len(text)
+        if out:
+            beside.append(text)
+            return
+        parts.append(text)
+        if link:
+            links += len(text)
 
     def pop(tag: str) -> None:
         nonlocal out, link, home
         while stack:
-            name, dropped, _, marked = stack.pop()
-            out -= dropped
-            if marked:
-                open_.pop()
+            name, marks, around, aside, before, within = stack.pop()
+            depth[name] -= 1
+            out -= marks
             link -= name == "a"
-            if name in ("article", "main"):
-                home = next((h for _, _, h, _ in reversed(stack) if h), 0)
+            if aside >= 0:
+                asides[aside].size = total - before
+                asides[aside].held = inner - within if asides[aside].outside else 0
+            home = around
             if name == tag:
                 return
 
@@ -173,76 +195,89 @@ def _read(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Line], li
         if tag in BLOCKS:
             flush()
         if m["close"]:
-            if any(name == tag for name, *_ in stack):
+            if depth.get(tag):
                 pop(tag)
             continue
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        if tag == "p" and any(name == "p" for name, *_ in stack[-3:]) or tag == "li" and stack and stack[-1][0] == "li":
+        if tag == "p" and any(x[0] == "p" for x in stack[-3:]) or tag == "li" and stack and stack[-1][0] == "li":
             pop(tag)  # these end where the next one begins
         marked = _unwanted(tag, m["attrs"], home > 0)
-        dropped = bool(marked) and len(asides) not in kept
+        marks = bool(marked) and len(asides) not in kept
+        stack.append((tag, marks, home, len(asides) if marked else -1, total, inner))
+        depth[tag] = depth.get(tag, 0) + 1
         if marked:
             asides.append(Aside(marked, not home))
-            open_.append((asides[-1], not home))
-        out += dropped
+        out += marks
         link += tag == "a"
         if tag in ("article", "main") and not home:
             homes += 1
             home = homes
-        stack.append((tag, dropped, home, bool(marked)))
     rest = page[at:]
     cut = re.search(r"<[/!?a-zA-Z][^<]*\Z", rest)  # a tag that the page's end cuts off
     say(rest[: cut.start()] if cut else rest)
     flush()
+    pop("")
     return lines, asides, total, inner
 
 
-def runs(size: list[int], level: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """First and end line of every stretch between a surge above ``level`` and its dive."""
+def weights(lines: list[Line], window: int = WINDOW) -> tuple[list[int], float, float]:
+    """Each line's weight, the window sum at which text surges and the weight from which on a line carries it.
+
+    A weight is the length outside links, in articles at least a surge by itself, ``AGAINST`` where markup speaks against the line.
+    """
+    own = [x.size for x in lines if not x.against]
+    sums = [sum(own[i : i + window]) for i in range(len(own))]
+    level, least = (SURGE * sum(x) / max(len(x), 1) for x in (sums, own))
+    return [AGAINST if x.against else max(x.size, int(level) + 1) if x.home and x.size else x.size for x in lines], level, least
+
+
+def runs(weight: list[int], level: float, least: float, loose: list[bool], window: int = WINDOW) -> list[list[tuple[int, int]]]:
+    """Stretches between a surge and its dive, each as the pieces (first, end) between lines of the weight ``AGAINST``.
+
+    ``loose`` lines at the rims of a stretch belong to it though they don't carry it.
+    """
+    lines = [i for i, w in enumerate(weight) if w != AGAINST]
+    size = [weight[i] for i in lines]
     sums = [sum(size[i : i + window]) for i in range(len(size))]
     found, start = [], None
     for i, x in enumerate([*sums, 0]):
         if start is None and x > level:
             start = i
         elif start is not None and x == 0:
-            own = [k for k in range(start, i) if size[k]]
-            found.append((own[0], own[-1] + 1))
+            own = [k for k in range(start, i) if size[k] > least]
+            if own:
+                found.append([own[0], own[-1] + 1])
             start = None
-    return found
+    for k, run in enumerate(found):
+        while run[0] > (found[k - 1][1] if k else 0) and loose[lines[run[0] - 1]]:
+            run[0] -= 1
+        while run[1] < (found[k + 1][0] if k + 1 < len(found) else len(lines)) and loose[lines[run[1]]]:
+            run[1] += 1
+    out = []
+    for a, b in found:
+        pieces = [[lines[a], lines[a] + 1]]
+        for i in lines[a + 1 : b]:
+            if i == pieces[-1][1]:
+                pieces[-1][1] += 1
+            else:
+                pieces.append([i, i + 1])
+        out.append([(x, y) for x, y in pieces])
+    return out
 
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    size = [len(x.text) - x.links for x in lines]
-    if not any(size):
-        return "\n".join(x.text for x in lines if x.home)
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    found = runs(size, SURGE * sum(sums) / len(sums))
-    weight = {(a, b): sum(size[a:b]) for a, b in found}
-    found = [r for r in found if weight[r] >= RIVAL * max(weight.values())]
-    # a line carries the text when it reaches the surge's share of the mean line
-    least = SURGE * sum(size) / len(size)
-    carries = [x > least for x in size]
-    linky = [2 * x.links > len(x.text) for x in lines]
-    kept: set[int] = set()
-    homes = {lines[i].home for a, b in found for i in range(a, b) if carries[i]} - {0}
-    if homes:
-        homes |= {x.home for i, x in enumerate(lines) if carries[i]} - {0}
-        for h in homes:
-            inside = [i for i, x in enumerate(lines) if x.home == h]
-            kept |= {inside[k] for a, b in runs([size[i] for i in inside], 0) for k in range(a, b)}
-        for a, b in found:
-            own = [i for i in range(a, b) if carries[i]]
-            kept |= {i for i in range(own[0], own[-1] + 1) if lines[i].home not in homes} if own else set()
-    else:
-        for a, b in found:
-            while a > 0 and not linky[a - 1]:
-                a -= 1
-            while b < len(lines) and not linky[b]:
-                b += 1
-            kept |= set(range(a, b))
-    return "\n".join(lines[i].text for i in sorted(kept))
+    weight, level, least = weights(lines)
+    if not any(w > 0 for w in weight):
+        return "\n".join(x.text for x in lines if x.home and not x.against)
+    articles = any(x.home and w > 0 for x, w in zip(lines, weight, strict=True))
+    found = runs(weight, level, least, [not articles and 2 * x.links <= len(x.text) for x in lines])
+    size = [0 if x.against else x.size for x in lines]
+    held = [sum(size[i] for a, b in run for i in range(a, b)) for run in found]
+    inside = [any(lines[i].home and size[i] > least for a, b in run for i in range(a, b)) for run in found]
+    kept = [run for run, n, own in zip(found, held, inside, strict=True) if own or n >= RIVAL * max(held)]
+    return "\n".join(lines[i].text for run in kept for a, b in run for i in range(a, b))
 
 
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
