@@ -74,8 +74,11 @@ class Sets:
             whole[more] = whole[more] * _STEP + w[words.bounds[short[more]] + k]
         h = mixed(np.concatenate((h, whole + size[short].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
         owner = np.concatenate((doc[first], short))
-        order = np.lexsort((h, owner))
+        order = np.argsort(owner, kind="stable")  # two ascending runs
         h, owner = h[order], owner[order]
+        ends = np.cumsum(np.bincount(owner, minlength=n)).tolist()
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            h[a:b].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
         self.shingle, self.owner = h[new], owner[new]
@@ -144,12 +147,15 @@ def _nodes(table: pa.Table, totals: pa.Table, percent: int) -> pa.Table:
             raise ValueError("a block's documents changed between its two readings")
         same[sets.has[sets.by_mark]] = np.concatenate([np.frombuffer(r["same"], "<i8") for r in answers])
     own = frequency[sets.at]
-    order = np.lexsort((sets.shingle, own, sets.owner))
-    place = np.arange(len(order)) - sets.start[sets.owner]
     prefix = sets.size - -(-percent * sets.size // 100) + 1
     node = sets.valid & (same == sets.number) & (sets.size > 0)
+    # shingles of no other document come first in every set and aren't sent, so only the others are put in order
+    some = np.flatnonzero(own > 1)
+    order = some[np.lexsort((sets.shingle[some], own[some], sets.owner[some]))]
     owner = sets.owner[order]
-    sent = node[owner] & (place < prefix[owner]) & (own[order] > 1)
+    held = np.bincount(owner, minlength=n)
+    place = sets.size[owner] - held[owner] + np.arange(len(order)) - (np.cumsum(held) - held)[owner]
+    sent = node[owner] & (place < prefix[owner])
     keys, places, per = sets.shingle[order][sent].view(np.int64), place[sent].astype(np.int32), np.bincount(owner[sent], minlength=n)
     offsets = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
     raw = [sets.shingle[sets.start[d] : sets.start[d + 1]].astype("<u8").tobytes() if per[d] else None for d in range(n)]
