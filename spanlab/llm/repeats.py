@@ -1,22 +1,26 @@
 """Repeated passages by suffix arrays: every byte that a string of ``LENGTH`` bytes covers which starts twice.
 
-Which texts have to meet is told by anchors.  Of the ``SEED``-byte strings in a window of ``LENGTH`` bytes the one of least hash
-is the window's anchor, so equal windows have equal anchors at the same place in them.  An anchor owns the windows it is the anchor of; these lie side by
-side, and the text they cover is its context.  Anchors whose seed stands nowhere else in the corpus own no repeat and
-are dropped by counting; equal contexts go on as one, with their number.  The contexts of a seed meet in one task, unless it has more than ``MANY`` different ones:
-then each is cut into an eighth of its windows, keyed by what all windows of the eighth have in common, and so on, down to single windows, which
-are equal or apart.  So no group is unbounded and none is left out.
-
-A task builds an enhanced suffix array over the owned windows of its contexts.  Equal windows stand at the same place from their anchor, so suffixes are
-sorted place by place: from the anchor on directly, and one byte further to the left by that byte and the order just found.  The longest
-common prefix of neighbours is what they share up to the anchor and the least of the common prefixes between them from there on.  A scan with a stack walks the
-tree of the common-prefix intervals of at least ``LENGTH`` bytes; an interval whose suffixes have different bytes before them, or one
-of which starts its context, can't be extended to the left, so it is a maximal repeat, and its group has all suffixes of the interval as
-occurrences, not only neighbours.  A repeat longer than a context comes in pieces that overlap, each with all its occurrences.
-
-``groups`` returns the maximal repeats of the contexts, ``remove`` the documents without repeated bytes.  Nulls: a null text is empty; rows of null id are
-documents.  Repeated rows are occurrences of each other.  An empty table gives no rows; texts shorter than ``LENGTH`` bytes have no window.
-Extra columns are ignored.
+Which texts have to meet is told by anchors.  Of the ``SEED``-byte strings in a window of ``LENGTH`` bytes the one
+of least hash is the window's anchor, so equal windows have equal anchors at the same place in them.  An anchor owns
+the windows it is the anchor of; these lie side by side, and the text they cover is its context.  Anchors whose seed
+stands nowhere else in the corpus own no repeat and are dropped by counting; equal contexts go on as one, with their
+number.  The contexts of a seed meet in one task, unless it has more than ``MANY`` different ones: then each is cut
+into an eighth of its windows, keyed by what all windows of the eighth have in common, and so on, down to single
+windows, which are equal or apart.  So no group is unbounded and none is left out.
+
+A task builds enhanced suffix arrays over the owned windows of its contexts.  Equal windows stand at the same place
+from their anchor, so suffixes are sorted place by place: from the anchor on directly, and one byte further to the
+left by that byte and the order just found.  The longest common prefix of neighbours is what they share up to the
+anchor and the least of the common prefixes between them from there on.  A scan with a stack walks the tree of the
+common-prefix intervals of at least ``LENGTH`` bytes; an interval whose suffixes have different bytes before them, or
+one of which starts its context, can't be extended to the left, so it is a maximal repeat, and all suffixes of the
+interval are its occurrences, not only neighbours.  Maximal repeats of one place lie inside each other, so an
+occurrence is returned with the longest, and each repeat with the next shorter one around it, its parent: a repeat's
+occurrences are its own and its children's.  A repeat longer than a context comes in pieces that overlap.
+
+``groups`` returns the maximal repeats, ``remove`` the documents without repeated bytes.  Nulls: a null text is empty;
+rows of null id are documents; ids are taken as longs.  Repeated rows are occurrences of each other.  An empty table
+gives no rows; texts shorter than ``LENGTH`` bytes have no window.  Extra columns are ignored.
 """
 
 from __future__ import annotations
