@@ -325,8 +325,11 @@ def test_main_text(spark):
 
 def test_surge_and_dive_points():
     size = [0, 0, 0, 0, 200, 300, 0, 250, 0, 0, 0, 0, 30]
-    assert html_text.runs(size, 40) == [(4, 8)] and html_text.runs(size, 0) == [(4, 8), (12, 13)]
-    assert html_text.runs([], 0) == [] and html_text.runs([0, 0], 0) == [] and html_text.runs([5], 1) == [(0, 1)]
+    runs = lambda size, level: [piece for run in html_text.runs(size, level, 0, [False] * len(size)) for piece in run]
+    assert runs(size, 40) == [(4, 8)] and runs(size, 0) == [(4, 8), (12, 13)]
+    assert runs([], 0) == [] and runs([0, 0], 0) == [] and runs([5], 1) == [(0, 1)]
+    size[6] = html_text.AGAINST  # a line against the text cuts the run in two
+    assert runs(size, 40) == [(4, 6), (7, 8)]
 
 
 def test_an_own_column_named_text_is_kept(spark):
