@@ -165,7 +165,7 @@ _LISTED_SQL = "CASE WHEN len({0}) = 1 THEN {0}[1] ELSE array_to_string({0}[1:len
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "event_type")
     stands = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _STANDS.items()))
-    u = e.groupBy("user_id", "day").agg(F.collect_set(F.when(F.col("event_id") % 3 != 0, stands)).alias("tools_present"), (F.count_if(F.col("event_type") == "view") > 1).alias("still"))
+    u = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_set(F.when(F.col("event_id") % 3 != 0, stands))).alias("tools_present"), (F.count_if(F.col("event_type") == "view") > 1).alias("still"))
     return u.withColumn("task_top", F.get(F.array(*map(F.lit, _DOES)), (F.col("user_id") % 5).cast("int")))
 
 
@@ -186,7 +186,8 @@ def q_answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for every user and day of the event log, and the answer to one question about it."""
     q = F.get(F.array(*(F.lit(x[0]) for x in QUESTIONS)), F.col("id").cast("int"))
     r = _records(spark, sf_dir).select(stable_index(F.concat_ws("|", "user_id", "day"), len(QUESTIONS)).alias("id"), F.to_json(F.struct("tools_present", "task_top", "still")).alias("record"))
-    return r.groupBy("id", A.answered_from(q, F.col("record")).alias("answer")).agg(F.count(F.lit(1)).alias("n"))
+    same = r.groupBy("id", "record").agg(F.count(F.lit(1)).alias("n"))  # equal records are answered once
+    return same.groupBy("id", A.answered_from(q, F.col("record")).alias("answer")).agg(F.sum("n").alias("n"))
 
 
 @query(rf"""WITH u AS (SELECT user_id, ts::DATE AS day, {_SEEN_SQL} AS seen FROM events GROUP BY 1, 2),
