@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
+_SEVERAL = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)  # letters whose capital is several letters
+_HELD = "".join(chr(0xE000 + k) for k in range(len(_SEVERAL)))
+_SINGLE = "".join("\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL)
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case letter by letter: a letter whose capital is several letters takes its single capital, or stays."""
+    special = text.rlike(f"[{_SEVERAL}]")
+    return F.when(special, F.translate(F.upper(F.translate(text, _SEVERAL, _HELD)), _HELD, _SINGLE)).otherwise(F.upper(text))
+
+
 def words_only(text: Column) -> Column:
     """Lower case, every run of other characters one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))

@@ -290,10 +290,10 @@ SELECT conv_id, turn, mode, CASE WHEN draft IS NULL OR trim(draft, ' ') = '' OR
 WHEN mode = 'per_intent' AND intent IN ('unknown_open', 'purpose') THEN draft WHEN mode = 'judge' AND differs AND judged = 2 THEN draft ELSE base END AS answer FROM x""")
 def q_arbitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first words of a turn and of the next as two answers, under every policy."""
-    t = _turns(spark, sf_dir).withColumn("after", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")))
+    t = _turns(spark, sf_dir).withColumn("after", F.lead("text").over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), F.asc_nulls_last("text"))))
     base = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^ \n.,]+[ .,]?", 0)
     k = F.col("turn") % 4
-    t = t.withColumn("base", base).withColumn("draft", F.when(k == 0, F.upper("base")).when(k == 1, "nan").otherwise(F.regexp_extract("after", r"^[^ \n.,]+", 0)))
+    t = t.withColumn("base", base).withColumn("draft", F.when(k == 0, X.upper_each(F.col("base"))).when(k == 1, "nan").otherwise(F.regexp_extract("after", r"^[^ \n.,]+", 0)))
     intent = F.get(F.array(*map(F.lit, ("unknown_open", "count", "purpose", "task"))), (F.col("conv_id") % 4).cast("int"))
     c = t.select("conv_id", "turn", "base", "draft", intent.alias("intent"), (F.col("conv_id") % 3).alias("judged"), F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
     return c.select("conv_id", "turn", "mode", R.arbitrated(F.col("mode"), F.col("base"), F.col("draft"), F.col("intent"), F.col("judged"), ("unknown_open", "purpose")).alias("answer"))
