@@ -128,10 +128,10 @@ DEFAULTS = {"mode": "fallback", "weight": "0.5"}
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_name ELSE 'fallback' END AS mode, CASE WHEN s_suppkey % 5 = 1 THEN s_nationkey::VARCHAR ELSE '0.5' END AS weight, CASE WHEN s_suppkey % 5 = 1 THEN s_acctbal::INT::VARCHAR END AS extra FROM supplier""")
 def q_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults under each row's own settings: some override, some add, some are broken, no object, or absent."""
+    """Defaults under each row's own settings: some override, some add, some are broken, no object, or absent; halves go to the even number."""
     k = F.col("s_suppkey") % 5
     over = F.concat(F.lit('{"mode": "'), "s_name", F.lit('", "weight": null}'))
-    more = F.concat(F.lit('{"weight": '), F.col("s_nationkey").cast("string"), F.lit(', "extra": "'), F.round("s_acctbal").cast("int").cast("string"), F.lit('"}'))
+    more = F.concat(F.lit('{"weight": '), F.col("s_nationkey").cast("string"), F.lit(', "extra": "'), F.rint("s_acctbal").cast("int").cast("string"), F.lit('"}'))
     text = F.when(k == 0, over).when(k == 1, more).when(k == 2, F.concat(F.lit("{"), "s_name")).when(k == 3, F.concat(F.lit('["'), "s_name", F.lit('"]')))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", X.settings(text, DEFAULTS).alias("s"))
     return s.select("s_suppkey", *(F.try_element_at("s", F.lit(c)).alias(c) for c in ("mode", "weight", "extra")))
