@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.forms import response_text
+from .files import write_named
 
 
 def read_sample_cases(spark: SparkSession, root: str, suffix: str = "_question") -> DataFrame:
@@ -60,6 +61,11 @@ def write_lines(df: DataFrame, path: str, column: str, order: str) -> None:
     df.orderBy(order).select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_responses(answers: DataFrame, path: str, fallback: str) -> None:
-    """``answers(case, answer)`` as a folder a case with the JSON-encoded answer; none is ever empty."""
-    answers.select("case", response_text(F.col("answer"), fallback).alias("value")).write.mode("overwrite").partitionBy("case").text(path)
+def write_responses(answers: DataFrame, path: str, fallback: str, foldered: bool = False) -> None:
+    """``answers(case, answer)`` as a folder a case with the JSON-encoded answer; none is ever empty.  What ``path`` held before goes.
+
+    ``foldered`` keeps them for ``files.read_named``.
+    """
+    plain = F.regexp_replace(F.url_encode(F.coalesce(F.col("case").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))), r"\+", "%20")
+    named = answers.select(F.concat(F.lit("case="), plain, F.lit("/part-00000.txt")).alias("name"), response_text(F.col("answer"), fallback).alias("value"))
+    write_named(named, path, "value", foldered=foldered)
