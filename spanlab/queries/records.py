@@ -85,11 +85,10 @@ e AS (SELECT *, CASE intent WHEN 'variant_presence_polar' THEN CASE WHEN decided
 SELECT intent, CASE WHEN says IS NULL OR polar IS NULL THEN 'undecidable' WHEN says = (polar = 'yes') THEN 'agrees' ELSE 'contradicts' END AS verdict, count(*)::BIGINT AS n FROM e GROUP BY 1, 2""")
 def q_evidence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers about windows of the event log against what the windows show, by two lenses; other intents decide nothing."""
-    tools = V.tool(spark, sf_dir).select("case_id", "part", "cls", F.col("a").alias("ta"), F.col("b").alias("tb"))
-    j = I.range_join(V.win(spark, sf_dir), tools, ["case_id", "part"], "mid", "ta", "tb", outer=True)
-    w = j.groupBy("case_id", "part", "seg_id", "k").agg(F.collect_set("cls").alias("classes")).withColumn("key", F.concat_ws("|", "case_id", "part", "seg_id", "k"))
+    w = V.window_sets(spark, sf_dir).select("part", "seg_id", "k", "classes", F.concat_ws("|", "case_id", "part", "seg_id", "k").alias("key"))
     draw = lambda what, n: stable_index(F.concat("key", F.lit(f"|{what}")), n)
-    lens, said = draw("lens", 3), draw("a", 5)
+    w = w.withColumns({"lens": draw("lens", 3), "said": draw("a", 5)})
+    lens, said = F.col("lens"), F.col("said")
     intent = F.when(lens == 0, "other").when(lens == 1, "variant_presence_polar").otherwise("tool_presence_polar")
     answer = F.when(said < 2, "Yes.").when(said < 4, " no").otherwise("Perhaps")
     question = F.get(F.array(*map(F.lit, _PROBES)), draw("q", len(_PROBES)).cast("int"))
