@@ -40,11 +40,17 @@ def weighted_requests(spans: DataFrame, keys: Sequence[str], lo: str, hi: str, w
     -log(u) over its length with u from a hash, and the least keys are taken: so at every draw each piece left is taken in
     proportion to its length.  keys, start, length, n, rank; a key with too few pieces gives all it has.
     """
-    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({hi} - {lo} - 1) div {window}"))).alias("_piece")
-    pieces = spans.where((F.col(lo) < F.col(hi)) & (F.col(want) > 0)).select(*keys, lo, hi, want, cut)
-    pieces = pieces.select(*keys, want, (F.col(lo) + F.col("_piece") * window).alias("start"), hi).withColumn("length", F.least(F.lit(window).cast("long"), F.col(hi) - F.col("start")))
-    pieces = pieces.withColumn("_o", -F.log(unit(F.concat_ws("|", F.lit(seed), *keys, "start"))) / F.col("length"))
-    taken = first_of(pieces, keys, F.expr(f"({want} + {batch - 1}) div {batch}"), F.struct("_o", "start"), magnitude(F.col("_o")))
+    pieces, most = spans.where((F.col(lo) < F.col(hi)) & (F.col(want) > 0)), F.expr(f"({want} + {batch - 1}) div {batch}")
+
+    def piece(k: Column) -> Column:
+        start = F.col(lo) + k * window
+        length = F.least(F.lit(window).cast("long"), F.col(hi) - start)
+        return F.struct((-F.log(unit(F.concat_ws("|", F.lit(seed), *keys, start))) / length).alias("_o"), start.alias("start"), length.alias("length"))
+
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.expr(f"({hi} - {lo} - 1) div {window}")), piece)
+    least = F.slice(F.sort_array(cut), F.lit(1), most.cast("int"))  # of one span no more can be taken
+    pieces = pieces.select(*keys, want, F.explode(least).alias("_p")).select(*keys, want, "_p.start", "_p.length", "_p._o")
+    taken = first_of(pieces, keys, most, F.struct("_o", "start"), magnitude(F.col("_o")))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "start")).cast("long")  # over the pieces taken
     taken = taken.withColumn("rank", rank)
     return taken.select(*keys, "start", "length", F.least(F.lit(batch).cast("long"), F.col(want) - (F.col("rank") - 1) * batch).alias("n"), "rank")
