@@ -200,28 +200,42 @@ def holdout_trials(durations: DataFrame, key: str, family: str, seconds: str, sh
     return per.groupBy("trial").agg(F.max(F.abs(F.col("own") / F.col("total") - share)).alias("objective"), F.count_if(F.col("own") == 0).alias("missing"))
 
 
-MOST_CASES = 100_000
+WORKING = 4096  # rows of either side that one search works on
+PAIRS = 1024  # swaps found between all rows that one further search works on
 CANDIDATES = 64
 
 
-def best_swaps(m: np.ndarray, val: np.ndarray, target: np.ndarray, floor: int) -> tuple[np.ndarray, float]:
+def _costs(v: np.ndarray, target: np.ndarray, floor: int) -> np.ndarray:
+    """What each class adds to the cost of a split whose ``val`` sums are ``v``."""
+    x = v / target - 1
+    return x * x + 1000.0 * (v < floor)
+
+
+def _least_costs(target: np.ndarray, total: np.ndarray, floor: int, whole: bool) -> np.ndarray:
+    """The least that each class can add to the cost, whichever rows are in ``val``; ``whole`` where counts are whole numbers."""
+    tried = np.stack([np.floor(target), np.ceil(target), np.full(len(target), float(floor))] if whole else [target, np.full(len(target), float(floor))])
+    return np.where(tried <= total, _costs(tried, target, floor), np.inf).min(axis=0)
+
+
+def best_swaps(m: np.ndarray, val: np.ndarray, target: np.ndarray, floor: int, rest: np.ndarray | float = 0.0, least: float = 0.0) -> tuple[np.ndarray, float]:
     """From a split (``val`` marks its rows of ``m``) swaps of two rows until none lowers the cost; the split and its cost.
 
     A step weighs every row by what its own move would change, and tries the ``CANDIDATES`` best of either side
     against each other; only where none of these helps are all pairs tried, in blocks, so the end is an optimum of all swaps.
+    ``rest`` is the sum of ``val`` rows that aren't in ``m``; no cost is below ``least``.
     """
     val = val.copy()
-    cost = lambda v: ((v / target - 1) ** 2).sum(axis=-1) + 1000.0 * (v < floor).sum(axis=-1)
-    sums = m[val].sum(axis=0)
+    cost = lambda v: _costs(v, target, floor).sum(axis=-1)
+    sums = rest + m[val].sum(axis=0)
     now = float(cost(sums))
-    while val.any() and not val.all():
+    while val.any() and not val.all() and now > least * (1 + 1e-9):
         inside, outside = np.flatnonzero(val), np.flatnonzero(~val)
         out = inside[np.argsort(cost(sums - m[inside]), kind="stable")[:CANDIDATES]]
         into = outside[np.argsort(cost(sums + m[outside]), kind="stable")[:CANDIDATES]]
         tried = cost(sums - m[out][:, None] + m[into][None])
         i, j = np.unravel_index(int(tried.argmin()), tried.shape)
-        best, pair = float(tried[i, j]), (out[i], into[j])
-        if best >= now - 1e-12:
+        best, pair, gain = float(tried[i, j]), (out[i], into[j]), min(1e-12, 1e-9 * now)
+        if best >= now - gain:
             step = max(1, 2_000_000 // max(len(outside), 1))
             for at in range(0, len(inside), step):
                 some = inside[at : at + step]
@@ -229,71 +243,140 @@ def best_swaps(m: np.ndarray, val: np.ndarray, target: np.ndarray, floor: int) -
                 i, j = np.unravel_index(int(tried.argmin()), tried.shape)
                 if tried[i, j] < best:
                     best, pair = float(tried[i, j]), (some[i], outside[j])
-        if best >= now - 1e-12:
+        if best >= now - gain:
             break
         val[pair[0]], val[pair[1]], now = False, True, best
         sums = sums - m[pair[0]] + m[pair[1]]
     return val, now
 
 
-def _count_matrix(counts: DataFrame, key: str, cls: str, n: str) -> tuple[list, np.ndarray]:
-    """Keys in the order of their text and their counts by class; at most ``MOST_CASES`` keys, some megabytes, else an error."""
-    rows = counts.groupBy(key).agg(F.collect_list(F.struct(cls, n)).alias("all")).limit(MOST_CASES + 1).collect()
-    if len(rows) > MOST_CASES:
-        raise ValueError(f"more than {MOST_CASES} keys to search over")
-    rows.sort(key=lambda r: str(r[0]))
-    names = sorted({str(x[0]) for r in rows for x in r["all"]})
-    at = {c: j for j, c in enumerate(names)}
-    m = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        for c, x in r["all"]:
-            m[i, at[str(c)]] += x
-    return [r[0] for r in rows], m
+def _count_vectors(counts: DataFrame, key: str, cls: str, n: str) -> tuple[DataFrame, np.ndarray, int]:
+    """_key, m (its counts in the order of the classes' names), staged; the classes' totals; how many keys there are."""
+    each = counts.groupBy(F.col(key).alias("_key"), F.coalesce(F.col(cls).cast("string"), F.lit("")).alias("_c")).agg(F.sum(F.col(n).cast("double")).alias("_n"))
+    each = staged(each.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_n"))).alias("_all")))  # an entry a class
+    totals = each.select(F.explode("_all").alias("_c", "_n")).groupBy("_c").agg(F.sum("_n").alias("_n")).where("_n > 0").orderBy("_c").collect()  # a row a class
+    m = F.array(*(F.coalesce(F.element_at("_all", F.lit(r[0])), F.lit(0.0)) for r in totals)) if totals else F.array().cast("array<double>")
+    return each.select("_key", m.alias("m")), np.array([r[1] for r in totals]), each.count()
 
 
-def swap_search(counts: DataFrame, key: str, cls: str, n: str, share: float, floor: int, restarts: int = 4) -> DataFrame:
-    """Split of the keys, ``val`` or ``train``, at a local optimum of ``split_cost`` under swaps of two keys.
+def _val_sums(rows: DataFrame, classes: int, *by: str) -> dict:
+    """Sums of the count vectors of ``rows`` by class, keyed by ``by``: a row each."""
+    sums = rows.groupBy(*by).agg(F.array(*(F.coalesce(F.sum(F.get("m", F.lit(c))), F.lit(0.0)) for c in range(classes))).alias("_s"))
+    return {tuple(r[b] for b in by): np.array(r["_s"]) for r in sums.collect()}
+
+
+def _searched(rows: DataFrame, sums: dict, target: np.ndarray, floor: int, least: float) -> DataFrame:
+    """k, cost, _key, moved: for each k, a task's work, the rows (k, _key, m, val) that ``best_swaps`` moves; one that isn't moved where none is."""
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(np.array([str(x) for x in table["_key"].to_pylist()]), kind="stable")))
+        k, m, val = table["k"][0].as_py(), np.array(table["m"].to_pylist(), float), np.array(table["val"].to_pylist(), bool)
+        start = sums.get((k,), np.zeros(m.shape[1]))
+        end, cost = best_swaps(m, val, target, floor, start - m[val].sum(axis=0), least)
+        moved = end != val
+        told = np.flatnonzero(moved) if moved.any() else np.zeros(1, int)
+        return pa.table({"k": pa.array([k] * len(told), pa.int32()), "cost": pa.array([cost] * len(told)), "_key": table["_key"].take(pa.array(told)), "moved": pa.array(moved[told])})
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    return staged(rows.select("k", "_key", "m", "val").groupBy("k").applyInArrow(search, f"k int, cost double, _key {kind}, moved boolean"))
 
-    Counts are gathered and sent to a task for each restart, which begins at a hash-drawn split; the best one is returned.
+
+def _moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """``rows`` (_key, m, val) with the keys of ``moves`` on the other side."""
+    both = rows.alias("l").join(moves.select("_key", F.lit(True).alias("_m")).alias("r"), F.col("l._key").eqNullSafe(F.col("r._key")), "left")
+    return staged(both.select("l._key", "l.m", (F.col("l.val") != F.col("r._m").isNotNull()).alias("val")))
+
+
+def _better_pairs(rows: DataFrame, sums: np.ndarray, target: np.ndarray, least: np.ndarray, floor: int) -> DataFrame:
+    """For each count vector that ``val`` rows (_key, m, val) have its best swap with a ``train`` row, where it lowers the cost: v, val_key, train_key, gain.
+
+    Keys of equal counts are one.  A swap helps only if it takes each class's sum to where what the class adds to the cost,
+    with the least of all others, is below the present cost: so the counts of the two differ by a step in a box, which is narrow near the end
+    of a search.  The vectors meet in cells as wide as the box, so only pairs that may help, and some near them, are weighed.
     """
-    keys, m = _count_matrix(counts, key, cls, n)
-    target, size = share * m.sum(axis=0), round(len(keys) * share)
+    now = float(_costs(sums, target, floor).sum())
+    slack = np.maximum(now - (least.sum() - least), 0.0)
+    reach = target * np.sqrt(slack) * (1 + 1e-6) + 1e-6
+    lo, hi = target - reach - sums, target + reach - sums
+    row = rows.agg(*(f(F.get("m", F.lit(c))).alias(f"{name}{c}") for c in range(len(sums)) for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    spread = np.array([(row[f"hi{c}"] or 0.0) - (row[f"lo{c}"] or 0.0) + 1 for c in range(len(sums))])
+    by = [int(c) for c in np.argsort((hi - lo) / spread, kind="stable")[:3]]  # a vector of val is in eight cells at most
+    side = lambda mark, name: rows.where(mark).groupBy(F.col("m").alias(name)).agg(F.min("_key").alias(f"{name}_key"))
+    v, t = side(F.col("val"), "v"), side(~F.col("val"), "t")
+    for c in by:
+        w, x = float(hi[c] - lo[c]), F.get("v", F.lit(c))
+        v = v.withColumn(f"_c{c}", F.explode(F.sequence(F.floor((x + float(lo[c])) / w), F.floor((x + float(hi[c])) / w))))
+        t = t.withColumn(f"_c{c}", F.floor(F.get("t", F.lit(c)) / w))
+    met, cost = F.lit(True), F.lit(0.0)
+    for c in range(len(sums)):
+        step = F.get("t", F.lit(c)) - F.get("v", F.lit(c))
+        at = F.lit(float(sums[c])) - F.get("v", F.lit(c)) + F.get("t", F.lit(c))
+        off = at / float(target[c]) - 1
+        met, cost = met & step.between(float(lo[c]), float(hi[c])), cost + off * off + F.when(at < floor, 1000.0).otherwise(0.0)
+    pairs = v.join(t, [f"_c{c}" for c in by]).where(met).withColumn("gain", F.lit(now) - cost).where(F.col("gain") > min(1e-9, 1e-6 * now))
+    best = pairs.groupBy("v", "v_key").agg(F.max(F.struct("gain", "t", "t_key")).alias("_b"))
+    return best.select("v", F.col("v_key").alias("val_key"), F.col("_b.t_key").alias("train_key"), F.col("_b.gain").alias("gain"))
+
+
+def _whole(counts: DataFrame, n: str) -> bool:
+    return counts.schema[n].dataType.typeName() in ("byte", "short", "integer", "long")
+
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in batch.column("id").to_pylist():
-                order = sorted(range(len(keys)), key=lambda i: hashlib.sha256(f"{k}|{keys[i]}".encode()).digest())
-                val = np.zeros(len(keys), bool)
-                val[order[:size]] = True
-                val, cost = best_swaps(m, val, target, floor)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([cost]), pa.array([np.flatnonzero(val).tolist()], pa.list_(pa.int64()))], names=["k", "cost", "val"])
+def swap_search(counts: DataFrame, key: str, cls: str, n: str, share: float, floor: int, restarts: int = 4) -> DataFrame:
+    """Split of the keys, ``val`` or ``train``, at a local optimum of ``split_cost`` under swaps of two keys.
 
-    spark = counts.sparkSession
-    found = spark.range(0, restarts, 1, restarts).mapInArrow(search, "k long, cost double, val array<long>")
-    chosen = set(found.orderBy("cost", "k").first()["val"]) if keys else set()
-    kind = counts.schema[key].dataType.simpleString()
-    return spark.createDataFrame([(k, "val" if i in chosen else "train") for i, k in enumerate(keys)], f"`{key}` {kind}, split string")
+    Each restart begins at a hash-drawn split of all keys, and a task swaps among the first ``WORKING`` keys of either side, which are
+    all keys of a table that has no more; the others stay and count by their sums.  The best restart is kept.  Unless it has the least
+    cost that any split can have, its swaps between all keys are weighed by ``_better_pairs``, the best of them searched
+    over again, until none is left.  So neither the driver nor a task holds more than some thousand keys.
+    """
+    vectors, total, keys = _count_vectors(counts, key, cls, n)
+    size, target = int(keys * share + 0.5), share * total
+    if not len(total):
+        return vectors.select(F.col("_key").alias(key), F.lit("train").alias("split"))
+    least = _least_costs(target, total, floor, _whole(counts, n))
+    dealt = vectors.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    dealt = dealt.withColumn("_d", F.sha2(F.concat_ws("|", F.col("k").cast("string"), F.col("_key").cast("string")), 256))
+    dealt = dealt.withColumn("_u", F.translate("_d", "0123456789abcdef", "fedcba9876543210"))  # the same order from its end
+    val = first_of(dealt, ["k"], size, F.col("_d"), F.substring("_d", 1, 4))
+    inside = first_of(dealt, ["k"], min(size, WORKING), F.col("_d"), F.substring("_d", 1, 4)).withColumn("val", F.lit(True))
+    outside = first_of(dealt, ["k"], min(keys - size, WORKING), F.col("_u"), F.substring("_u", 1, 4)).withColumn("val", F.lit(False))
+    found = _searched(inside.unionByName(outside), _val_sums(val, len(total), "k"), target, floor, float(least.sum()))
+    best = found.orderBy("cost", "k").first()
+    own = val.where(F.col("k") == best["k"]).select("_key", F.lit(True).alias("_v"))
+    start = vectors.alias("l").join(own.alias("r"), F.col("l._key").eqNullSafe(F.col("r._key")), "left").select("l.*", F.col("r._v").isNotNull().alias("val"))
+    split = _moved(start, found.where((F.col("k") == best["k"]) & F.col("moved")))
+    while max(size, keys - size) > WORKING:
+        sums = _val_sums(split.where("val"), len(total)).get((), np.zeros(len(total)))
+        if float(_costs(sums, target, floor).sum()) <= float(least.sum()) * (1 + 1e-9):
+            break
+        top = staged(_better_pairs(split, sums, target, least, floor).orderBy(F.desc("gain"), "val_key").limit(PAIRS))
+        some = top.select(F.col("val_key").alias("_key")).unionByName(top.select(F.col("train_key").alias("_key"))).distinct()
+        work = split.alias("l").join(some.alias("r"), F.col("l._key").eqNullSafe(F.col("r._key")), "left_semi").withColumn("k", F.lit(0))
+        moves = _searched(work, {(0,): sums}, target, floor, float(least.sum())).where("moved")
+        if moves.isEmpty():
+            break
+        split = _moved(split, moves)
+    return split.select(F.col("_key").alias(key), F.when(F.col("val"), "val").otherwise("train").alias("split"))
 
 
 def improving_swaps(counts: DataFrame, split: DataFrame, key: str, cls: str, n: str, share: float, floor: int) -> DataFrame:
     """For each ``val`` key that some swap with a ``train`` key moves out at a gain the best such gain: none at an optimum.
 
-    The gathered counts (as for the search) go to every task; a key is weighed against all others at once.
+    All pairs that may help are weighed, see ``_better_pairs``; at the least cost that any split can have there are none.
+    A split far from an optimum has many.
     """
-    keys, m = _count_matrix(counts, key, cls, n)
-    side = {r[0]: r[1] for r in split.select(key, "split").collect()}  # as many rows
-    val = np.array([side.get(k) == "val" for k in keys], bool)
-    target, sums = share * m.sum(axis=0), m[val].sum(axis=0)
-    cost = lambda v: ((v / target - 1) ** 2).sum(axis=-1) + 1000.0 * (v < floor).sum(axis=-1)
-    now, others = float(cost(sums)), m[~val]
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("id").to_pylist()
-            gain = [now - float(cost(sums - m[i] + others).min()) if val[i] and len(others) else 0.0 for i in own]
-            yield pa.RecordBatch.from_arrays([pa.array([str(keys[i]) for i in own]), pa.array(gain, pa.float64())], names=["key", "gain"])
-
-    return counts.sparkSession.range(len(keys)).mapInArrow(weigh, "key string, gain double").where("gain > 1e-9")
+    vectors, total, _ = _count_vectors(counts, key, cls, n)
+    sides = split.select(F.col(key).alias("_key"), (F.col("split") == "val").alias("_v")).alias("r")
+    rows = vectors.alias("l").join(sides, F.col("l._key").eqNullSafe(F.col("r._key")), "left").select("l.*", F.coalesce("r._v", F.lit(False)).alias("val"))
+    target = share * total
+    sums = _val_sums(rows.where("val"), len(total)).get((), np.zeros(len(total))) if len(total) else total
+    least = _least_costs(target, total, floor, _whole(counts, n)) if len(total) else total
+    named = F.col("_key").cast("string").alias("key")
+    if float(_costs(sums, target, floor).sum()) <= float(least.sum()) * (1 + 1e-9):
+        return rows.where(F.lit(False)).select(named, F.lit(0.0).alias("gain"))
+    found = _better_pairs(rows, sums, target, least, floor).select(F.col("v").alias("m"), "gain")
+    return rows.where("val").join(found, "m").select(named, "gain")
 
 
 def systematic(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:
